@@ -28,6 +28,11 @@ def first_match(rules: Iterable[tuple[Column, object]], default: object) -> Colu
     return case.otherwise(F.lit(default))
 
 
+def fraction_mean(col: Column) -> Column:
+    """Mean of small fractions held as double, the same in whatever order they are added."""
+    return F.sum(col.cast("decimal(28,12)")).cast("double") / F.count(col)
+
+
 def mean_of(col: Column) -> Column:
     """Exact mean of an integer or decimal column: sum and count kept apart."""
     return F.sum(col).cast("double") / F.count(col)
@@ -118,41 +123,75 @@ def contains_any(text: Column, words: Iterable[str]) -> Column:
 
 
 # --- text rendering ---------------------------------------------------------
-# Values are rounded half-even before they are printed, because the JVM
-# formatter alone rounds half-up.
+# Numbers are printed as Python prints them: the exact binary value is rounded
+# half-even.  The JVM formatter rounds the shortest decimal form half-up, which
+# differs in the last digit now and then.
+#
+# These functions take a SQL expression, not a column: the rounding reads its
+# input many times and is much smaller as one parsed text.  A one-element array
+# and a lambda bind a value that is read more than once.
+
+_BITS = 52
+
+
+def _bind(value: str, name: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _scaled_units(size: str, digits: int) -> str:
+    """size * 10^digits for size >= 0, rounded half-even from the exact binary value."""
+    power, one = 10**digits, 1 << _BITS
+    units = f"(cast(floor({size}) as bigint) * {power} + w.q)"
+    # w.d: twice the fraction in units of 2^-53, plus one half; w.q: its whole part
+    tie = f"(w.d = shiftleft(w.q, {_BITS + 1}) and w.exact)"
+    rounded = f"{units} - if({tie} and {units} % 2 = 1, 1, 0)"
+    doubled = f"(cast(floor(b) as bigint) * {2 * power} + {one})"
+    parts = f"named_struct('d', {doubled}, 'q', shiftright({doubled}, {_BITS + 1}), 'exact', b = floor(b))"
+    # multiplying the fraction by a power of two is exact
+    fraction = f"(({size}) - floor({size})) * {float(one)!r}D"
+    return _bind(_bind(fraction, "b", parts), "w", rounded)
+
+
+def fixed_sql(value: str, digits: int, grouping: bool = False) -> str:
+    """SQL text of a number with 0 to 3 decimals; null stays null."""
+    if not 0 <= digits <= 3:
+        raise ValueError("digits must be 0 to 3")
+    if digits:
+        power = 10**digits
+        printed = f"concat(u div {power}, '.', lpad(cast(u % {power} as string), {digits}, '0'))"
+    else:
+        printed = "format_number(u, 0)" if grouping else "cast(u as string)"
+    text = f"concat(if(x < 0, '-', ''), {_bind(_scaled_units('abs(x)', digits), 'u', printed)})"
+    return _bind(f"cast({value} as double)", "x", text)
+
+
+def _compact_sql(value: str, prefix: str, grouping: bool) -> str:
+    text = (
+        "case when v is null or isnan(v) then '-' "
+        f"when abs(v) >= 1000000 then concat('{prefix}', {fixed_sql('v / 1000000', 2)}, 'M') "
+        f"when abs(v) >= 1000 then concat('{prefix}', {fixed_sql('v / 1000', 1)}, 'K') "
+        f"else concat('{prefix}', {fixed_sql('v', 0, grouping)}) end"
+    )
+    return _bind(f"cast({value} as double)", "v", text)
 
 
-def fixed_text(value: Column, digits: int, grouping: bool = False) -> Column:
-    comma = "," if grouping else ""
-    return F.format_string(f"%{comma}.{digits}f", F.bround(value.cast("double"), digits))
+def fixed_text(value: str, digits: int) -> Column:
+    return F.expr(fixed_sql(value, digits))
 
 
-def _compact(value: Column, prefix: str, grouping: bool) -> Column:
-    number = value.cast("double")
-    size = F.abs(number)
-    return (
-        F.when(number.isNull() | F.isnan(number), F.lit("-"))
-        .when(size >= 1_000_000, F.concat(F.lit(prefix), fixed_text(number / 1_000_000, 2), F.lit("M")))
-        .when(size >= 1_000, F.concat(F.lit(prefix), fixed_text(number / 1_000, 1), F.lit("K")))
-        .otherwise(F.concat(F.lit(prefix), fixed_text(number, 0, grouping)))
-    )
-
-
-def number_text(value: Column) -> Column:
+def number_text(value: str) -> Column:
     """Compact number: 999, 1.5K, 2.50M; "-" for null."""
-    return _compact(value, "", False)
+    return F.expr(_compact_sql(value, "", False))
 
 
-def currency_text(value: Column) -> Column:
-    return _compact(value, "$", True)
+def currency_text(value: str) -> Column:
+    return F.expr(_compact_sql(value, "$", True))
 
 
-def percent_text(value: Column, digits: int = 1, missing: str = "-") -> Column:
+def percent_text(value: str, digits: int = 1, missing: str = "-") -> Column:
     """A share as a percentage, e.g. 0.1234 -> "12.3%"."""
-    number = value.cast("double")
-    return F.when(number.isNull() | F.isnan(number), F.lit(missing)).otherwise(
-        F.concat(fixed_text(number * 100, digits), F.lit("%"))
-    )
+    text = f"if(v is null or isnan(v), '{missing}', concat({fixed_sql('v * 100', digits)}, '%'))"
+    return F.expr(_bind(f"cast({value} as double)", "v", text))
 
 
 def month_text(ts: Column, long: bool = False) -> Column:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -74,35 +74,43 @@ def standardise_vectors(df: DataFrame, id_col: str, vector_col: str, size: int)
 # --- silhouette -------------------------------------------------------------
 
 _BLOCK = 1024
-_SUM_COLUMNS = ["labelling", "id", "own", "cluster", "total", "size"]
-
-
-def _block_distances(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Distance sums from each left point to each right cluster, for every labelling."""
-    a = np.stack(left["vec"].to_numpy())
-    b = np.stack(right["vec"].to_numpy())
-    squared = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
-    distance = np.sqrt(np.maximum(squared, 0.0))
-    distance[left["id"].to_numpy()[:, None] == right["id"].to_numpy()[None, :]] = 0.0
-    own = np.stack(left["labels"].to_numpy())
-    other = np.stack(right["labels"].to_numpy())
-    parts = []
-    for labelling in range(own.shape[1]):
-        clusters, index = np.unique(other[:, labelling], return_inverse=True)
-        members = np.eye(len(clusters))[index]
-        parts.append(
-            pd.DataFrame(
-                {
-                    "labelling": labelling,
-                    "id": np.repeat(left["id"].to_numpy(), len(clusters)),
-                    "own": np.repeat(own[:, labelling], len(clusters)),
-                    "cluster": np.tile(clusters, len(left)),
-                    "total": (distance @ members).ravel(),
-                    "size": np.tile(members.sum(0).astype("int64"), len(left)),
-                }
+
+
+def _distance_sums():
+    # built here, so that it travels to the executors by value: they need no copy of this package
+    columns = ["labelling", "id", "own", "cluster", "total", "size"]
+
+    def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """Distance sums from each left point to each right cluster, for every labelling."""
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=columns)
+        a = np.stack(left["vec"].to_numpy())
+        b = np.stack(right["vec"].to_numpy())
+        squared = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
+        distance = np.sqrt(np.maximum(squared, 0.0))
+        ids = left["id"].to_numpy()
+        distance[ids[:, None] == right["id"].to_numpy()[None, :]] = 0.0
+        own = np.stack(left["labels"].to_numpy())
+        other = np.stack(right["labels"].to_numpy())
+        parts = []
+        for labelling in range(own.shape[1]):
+            clusters, index = np.unique(other[:, labelling], return_inverse=True)
+            members = np.eye(len(clusters))[index]
+            parts.append(
+                pd.DataFrame(
+                    {
+                        "labelling": labelling,
+                        "id": np.repeat(ids, len(clusters)),
+                        "own": np.repeat(own[:, labelling], len(clusters)),
+                        "cluster": np.tile(clusters, len(left)),
+                        "total": (distance @ members).ravel(),
+                        "size": np.tile(members.sum(0).astype("int64"), len(left)),
+                    }
+                )
             )
-        )
-    return pd.concat(parts)
+        return pd.concat(parts)[columns]
+
+    return sums
 
 
 def silhouette_exact(df: DataFrame, id_col: str, vector_col: str, label_cols: list[str]) -> DataFrame:
@@ -127,10 +135,7 @@ def silhouette_exact(df: DataFrame, id_col: str, vector_col: str, label_cols: li
     sums = (
         left.groupBy("i", "j")
         .cogroup(right.groupBy("i", "j"))
-        .applyInPandas(
-            lambda a, b: _block_distances(a, b) if len(a) and len(b) else pd.DataFrame(columns=_SUM_COLUMNS),
-            "labelling int, id long, own int, cluster int, total double, size long",
-        )
+        .applyInPandas(_distance_sums(), "labelling int, id long, own int, cluster int, total double, size long")
     )
     mean_to = (
         sums.groupBy("labelling", "id", "own", "cluster")
@@ -226,6 +231,12 @@ def project(df: DataFrame, vector_col: str, axes: np.ndarray, names: list[str])
     return df.select("*", *[along(axes[:, i]).alias(n) for i, n in enumerate(names)])
 
 
+def pca_coordinates(scaled: DataFrame, id_col: str = "customer_id") -> DataFrame:
+    """First two principal coordinates of stored, standardised vectors."""
+    axes = _oriented_pca(scaled.select(array_to_vector("features").alias("features")))
+    return project(scaled, "features", axes, ["cluster_x", "cluster_y"]).select(id_col, "cluster_x", "cluster_y")
+
+
 @dataclass(frozen=True)
 class Clustered:
     profile: DataFrame
@@ -240,7 +251,8 @@ def assign_clusters(profile: DataFrame, *, restarts: int = 3, seed: int = K.SEED
     choice = choose_k(stored, restarts=restarts, seed=seed)
     points = stored.select("customer_id", F.col("features").alias("vec"), array_to_vector("features").alias("features"))
     model = _fit(points, choice.k, restarts, seed)
-    placed = project(model.transform(points), "vec", _oriented_pca(points), ["cluster_x", "cluster_y"])
+    axes = _oriented_pca(points)
+    placed = project(model.transform(points), "vec", axes, ["cluster_x", "cluster_y"])
     columns = placed.select("customer_id", F.col("prediction").alias("cluster_id"), "cluster_x", "cluster_y")
     return Clustered(profile.join(columns, "customer_id", "left"), choice)
 
@@ -368,15 +380,15 @@ def persona_cards(figures: DataFrame) -> DataFrame:
     c = F.col
     return figures.select(
         "cluster_name",
-        S.number_text(c("users")).alias("users"),
-        S.currency_text(c("revenue")).alias("revenue"),
-        S.fixed_text(c("orders"), 2).alias("orders"),
-        S.fixed_text(c("sessions"), 2).alias("sessions"),
-        S.percent_text(c("conversion")).alias("conversion"),
-        F.coalesce(F.when(c("avg_age").isNotNull(), S.fixed_text(c("avg_age"), 1)), F.lit("-")).alias("avg_age"),
-        S.fixed_text(c("avg_rating"), 2).alias("avg_rating"),
+        S.number_text("users").alias("users"),
+        S.currency_text("revenue").alias("revenue"),
+        S.fixed_text("orders", 2).alias("orders"),
+        S.fixed_text("sessions", 2).alias("sessions"),
+        S.percent_text("conversion").alias("conversion"),
+        F.coalesce(F.when(c("avg_age").isNotNull(), S.fixed_text("avg_age", 1)), F.lit("-")).alias("avg_age"),
+        S.fixed_text("avg_rating", 2).alias("avg_rating"),
         "top_region",
-        S.percent_text(c("top_region_share"), 0).alias("top_region_pct"),
+        S.percent_text("top_region_share", 0).alias("top_region_pct"),
         "top_source",
     )
 

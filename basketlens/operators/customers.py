@@ -103,19 +103,23 @@ def event_summary(tables: RetailTables) -> DataFrame:
 
 
 def order_summary(orders: DataFrame) -> DataFrame:
-    return (
-        orders.dropna(subset=["customer_id"])
-        .groupBy("customer_id")
-        .agg(
-            F.count("order_id").alias("order_count"),
-            F.sum("total_usd").cast("double").alias("revenue"),
-            F.sum("subtotal_usd").cast("double").alias("subtotal"),
-            S.mean_of(F.col("total_usd")).alias("avg_order_value"),
-            F.avg("discount_pct").alias("avg_discount_pct"),
-            F.min("order_time").alias("first_order"),
-            F.max("order_time").alias("last_order"),
-        )
-    )
+    """Orders, money and first and last order per customer.
+
+    Subtotal and discount figures appear when ``orders`` has those columns.
+    """
+    measures = {
+        "order_count": F.count("order_id"),
+        "revenue": F.sum("total_usd").cast("double"),
+        "avg_order_value": S.mean_of(F.col("total_usd")),
+        "first_order": F.min("order_time"),
+        "last_order": F.max("order_time"),
+    }
+    if "subtotal_usd" in orders.columns:
+        measures["subtotal"] = F.sum("subtotal_usd").cast("double")
+    if "discount_pct" in orders.columns:
+        measures["avg_discount_pct"] = S.fraction_mean(F.col("discount_pct"))
+    buyers = orders.dropna(subset=["customer_id"]).groupBy("customer_id")
+    return buyers.agg(*[m.alias(name) for name, m in measures.items()])
 
 
 def review_summary(reviews: DataFrame, orders: DataFrame) -> DataFrame:

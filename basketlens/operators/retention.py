@@ -76,5 +76,5 @@ def retention_matrix(long_form: DataFrame) -> DataFrame:
 def retention_text(long_form: DataFrame, periods: int = 12) -> DataFrame:
     """The matrix as printed: "yyyy-MM" rows, percentages, blanks for empty cells."""
     wide = retention_wide(long_form, periods)
-    cells = [S.percent_text(F.col(c), 1, missing="").alias(c) for c in wide.columns if c != "cohort"]
+    cells = [S.percent_text(c, 1, missing="").alias(c) for c in wide.columns if c != "cohort"]
     return wide.select(S.month_text(F.col("cohort")).alias("cohort"), *cells)

@@ -74,16 +74,16 @@ def kpi_cards(figures: DataFrame) -> DataFrame:
     n, usd, pct = S.number_text, S.currency_text, S.percent_text
     c = F.col
     cards = [
-        ("Customers", n(c("customers")), F.concat(c("countries").cast("string"), F.lit(" countries"))),
-        ("Sessions", n(c("sessions")), F.concat(n(c("active_users")), F.lit(" active users"))),
-        ("Orders", n(c("orders")), F.concat(n(c("purchase_sessions")), F.lit(" purchase sessions"))),
-        ("Revenue", usd(c("revenue")), F.concat(F.lit("AOV "), usd(c("aov")))),
+        ("Customers", n("customers"), F.concat(c("countries").cast("string"), F.lit(" countries"))),
+        ("Sessions", n("sessions"), F.concat(n("active_users"), F.lit(" active users"))),
+        ("Orders", n("orders"), F.concat(n("purchase_sessions"), F.lit(" purchase sessions"))),
+        ("Revenue", usd("revenue"), F.concat(F.lit("AOV "), usd("aov"))),
         (
             "Session Conversion",
-            pct(c("conversion_rate")),
-            F.concat(F.lit("Add-to-cart rate "), pct(c("add_to_cart_rate"))),
+            pct("conversion_rate"),
+            F.concat(F.lit("Add-to-cart rate "), pct("add_to_cart_rate")),
         ),
-        ("Average Rating", S.fixed_text(c("avg_rating"), 2), F.concat(n(c("review_count")), F.lit(" reviews"))),
+        ("Average Rating", S.fixed_text("avg_rating", 2), F.concat(n("review_count"), F.lit(" reviews"))),
     ]
     rows = [F.struct(F.lit(a).alias("label"), b.alias("value"), d.alias("detail")) for a, b, d in cards]
     return figures.select(F.posexplode(F.array(*rows)).alias("position", "card")).select("position", "card.*")
@@ -187,7 +187,7 @@ def snapshot_lines(snapshot: DataFrame) -> DataFrame:
     order = S.first_match([(F.col("section") == s, i) for i, (s, _, _) in enumerate(_SNAPSHOT_SECTIONS, 1)], None)
     title = S.first_match([(F.col("section") == s, t) for s, t, _ in _SNAPSHOT_SECTIONS], None)
     unit = S.first_match([(F.col("section") == s, u) for s, _, u in _SNAPSHOT_SECTIONS], "")
-    text = F.concat(F.lit("- "), "key", F.lit(": "), S.number_text(F.col("value")), unit)
+    text = F.concat(F.lit("- "), "key", F.lit(": "), S.number_text("value"), unit)
     return (
         snapshot.select(order.alias("section_order"), "rank", title.alias("title"), text.alias("line"))
         .filter(F.col("section_order").isNotNull())
@@ -211,8 +211,8 @@ def answers(snapshot: DataFrame, top_five: DataFrame) -> DataFrame:
         entry = F.when(wanted, F.struct("rank", line.alias("line")))
         return F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["line"]))
 
-    segment_line = F.concat(F.lit("- "), "key", F.lit(": "), number(F.col("value")))
-    product_line = F.concat(F.lit("- "), "key", F.lit(": "), number(F.col("value")), F.lit(" units"))
+    segment_line = F.concat(F.lit("- "), "key", F.lit(": "), number("value"))
+    product_line = F.concat(F.lit("- "), "key", F.lit(": "), number("value"), F.lit(" units"))
     keys = ["customers", "countries", "sessions", "orders", "revenue", "aov", "conversion", "avg_rating", "reviews"]
     facts = snapshot.agg(
         *[figure("headline", k).alias(k) for k in keys],
@@ -228,23 +228,23 @@ def answers(snapshot: DataFrame, top_five: DataFrame) -> DataFrame:
         return F.concat(F.lit(f"**{a}:** "), x, F.lit(f"  \n**{b}:** "), y)
 
     texts = {
-        "revenue": pair("Total revenue", usd(c("revenue")), "Peak month", c("peak")),
-        "orders": pair("Total orders", number(c("orders")), "Average order value", usd(c("aov"))),
+        "revenue": pair("Total revenue", usd("revenue"), "Peak month", c("peak")),
+        "orders": pair("Total orders", number("orders"), "Average order value", usd("aov")),
         "customers": pair(
-            "Total customers", number(c("customers")), "Countries", c("countries").cast("long").cast("string")
+            "Total customers", number("customers"), "Countries", c("countries").cast("long").cast("string")
         ),
-        "churn": pair("Dormant customers", number(c("dormant")), "Cooling down", number(c("cooling"))),
+        "churn": pair("Dormant customers", number("dormant"), "Cooling down", number("cooling")),
         "rfm": F.concat(F.lit("**RFM Segments:**\n"), c("segments")),
         "rating": pair(
             "Average rating",
-            F.concat(S.fixed_text(c("avg_rating"), 2), F.lit(" / 5")),
+            F.concat(S.fixed_text("avg_rating", 2), F.lit(" / 5")),
             "Total reviews",
-            number(c("reviews")),
+            number("reviews"),
         ),
         "conversion": F.concat(
-            pair("Session-to-order conversion", pct(c("conversion")), "Sessions", number(c("sessions"))),
+            pair("Session-to-order conversion", pct("conversion"), "Sessions", number("sessions")),
             F.lit(" | **Orders:** "),
-            number(c("orders")),
+            number("orders"),
         ),
         "products": F.concat(F.lit("**Top 5 products by units sold:**\n"), c("top")),
         "help": F.lit(K.HELP_TEXT),

@@ -13,14 +13,14 @@ has.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from basketlens.functions.scalars import first_match
 from basketlens.plans.session import tune
-from basketlens.sources.literals import constant_table
-from basketlens.sources.tables import RetailTables
 
 _MONEY = "decimal(18,2)"
 _EVENT_NAMES = [("view", "page_view"), ("click", "add_to_cart"), ("signup", "checkout")]
@@ -32,15 +32,21 @@ EVERYTHING = (SIGNUP, DISCOUNTS, COUNTRY)
 
 
 class StarSchema:
+    """The seven tables as attributes, like ``RetailTables``, each built when first read."""
+
     def __init__(self, spark: SparkSession, folder: str, needs: tuple[str, ...] = EVERYTHING):
         self.spark = tune(spark)
         self.folder = folder
         self.needs = needs
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._raw:
+            self._raw[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._raw[name]
 
-    def nations(self) -> DataFrame:
+    @cached_property
+    def _nations(self) -> DataFrame:
         """country, country_name, region: one row per nation."""
         return (
             self.raw("nation")
@@ -53,9 +59,10 @@ class StarSchema:
             )
         )
 
+    @cached_property
     def customers(self) -> DataFrame:
         base = self.raw("customer").join(
-            self.nations().select("n_nationkey", "country"),
+            self._nations.select("n_nationkey", "country"),
             F.col("c_nationkey") == F.col("n_nationkey"),
             "left",
         )
@@ -73,10 +80,11 @@ class StarSchema:
             columns.append(F.col("signup_date"))
         return base.select(*columns)
 
+    @cached_property
     def _half_days(self) -> DataFrame:
         """user, day, half -> session_id and the figures a session needs."""
         per_half_day = (
-            self._events()
+            self._events
             .groupBy("user_id", "day", "half")
             .agg(
                 F.min("ts").alias("first_ts"),
@@ -95,6 +103,7 @@ class StarSchema:
             .withColumn("session_id", F.min("first_id").over(W.partitionBy("user_id", "visit")))
         )
 
+    @cached_property
     def _events(self) -> DataFrame:
         return self.raw("events").select(
             "event_id",
@@ -107,11 +116,12 @@ class StarSchema:
             F.regexp_extract("props", "([0-9]+)", 1).try_cast("int").alias("k"),
         )
 
+    @cached_property
     def events(self) -> DataFrame:
         kind = F.coalesce(first_match([(F.col("event_type") == a, b) for a, b in _EVENT_NAMES], None), "event_type")
         return (
-            self._events()
-            .join(self._half_days().select("user_id", "day", "half", "session_id"), ["user_id", "day", "half"])
+            self._events
+            .join(self._half_days.select("user_id", "day", "half", "session_id"), ["user_id", "day", "half"])
             .select(
                 "event_id",
                 "session_id",
@@ -123,13 +133,14 @@ class StarSchema:
             )
         )
 
+    @cached_property
     def sessions(self) -> DataFrame:
         k = F.col("k")
         sixth = F.floor(k / 3) % 6
         device = F.when(k % 3 == 0, "desktop").when(k % 3 == 1, "mobile").otherwise("tablet")
         source = first_match([(sixth == i, s) for i, s in enumerate(_SOURCES)], "referral")
         visits = (
-            self._half_days()
+            self._half_days
             .groupBy("user_id", "session_id")
             .agg(F.min("first_ts").alias("start_time"), F.min_by("first_k", "first_id").alias("k"))
             .select(
@@ -145,9 +156,10 @@ class StarSchema:
     def _with_country(self, facts: DataFrame) -> DataFrame:
         if COUNTRY not in self.needs:
             return facts
-        home = self.customers().select("customer_id", "country")
+        home = self.customers.select("customer_id", "country")
         return facts.join(home, "customer_id", "left")
 
+    @cached_property
     def orders(self) -> DataFrame:
         total: Column = F.col("o_totalprice").cast(_MONEY)
         base = self.raw("orders")
@@ -171,6 +183,7 @@ class StarSchema:
             columns += [F.col("discount_pct"), F.col("subtotal_usd")]
         return self._with_country(base.select(*columns))
 
+    @cached_property
     def order_items(self) -> DataFrame:
         return self.raw("lineitem").select(
             F.col("l_orderkey").alias("order_id"),
@@ -179,6 +192,7 @@ class StarSchema:
             F.col("l_extendedprice").cast(_MONEY).alias("line_total_usd"),
         )
 
+    @cached_property
     def products(self) -> DataFrame:
         price = F.col("p_retailprice").cast(_MONEY)
         return self.raw("part").select(
@@ -189,6 +203,7 @@ class StarSchema:
             (price * F.lit("0.25").cast("decimal(4,2)")).cast(_MONEY).alias("margin_usd"),
         )
 
+    @cached_property
     def reviews(self) -> DataFrame:
         parts = self.raw("part").agg(F.count("*").alias("n")).scalar()
         orders = self.raw("orders").agg(F.count("*").alias("n")).scalar()
@@ -211,19 +226,9 @@ class StarSchema:
             (F.col("o_orderdate") + later).alias("review_time"),
         )
 
-    def first_names(self) -> DataFrame:
-        """Stand-in for a first-name list: no test table has person names."""
-        rows = [("customer", True, True), ("alice", False, True), ("bob", True, False)]
-        return constant_table(self.spark, rows, ["name", "is_male", "is_female"])
-
-    def tables(self) -> RetailTables:
-        return RetailTables(
-            customers=self.customers(),
-            sessions=self.sessions(),
-            events=self.events(),
-            orders=self.orders(),
-            order_items=self.order_items(),
-            products=self.products(),
-            reviews=self.reviews(),
-            countries=self.nations().select("country", "country_name", "region"),
-        )
+    @cached_property
+    def countries(self) -> DataFrame:
+        return self._nations.select("country", "country_name", "region")
+
+    # no test table has person names
+    first_names = None

@@ -1,0 +1 @@
+"""Equivalent DuckDB SQL for the registered queries."""
