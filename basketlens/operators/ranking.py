@@ -122,28 +122,28 @@ def quantile_scores(
     *,
     id_col: str,
     bins: int = 5,
-    fill_nulls: bool = False,
     buckets: int = DEFAULT_BUCKETS,
 ) -> DataFrame:
     """Add equal-frequency scores 1..bins, one per entry of ``scores``.
 
     ``scores`` maps the new column to (value column, descending).  Rows are
     ordered by value, ties by id ascending in both directions; with q =
-    min(bins, n) rank r gets max(1, ceil((r - 1) * q / (n - 1))).  A score
-    changes only at q - 1 ranks, so it is enough to find the rows at those ranks
-    and compare every row with them: ``df`` itself is not shuffled.
+    min(bins, n) rank r gets max(1, ceil((r - 1) * q / (n - 1))).  Null values
+    count as the exact median, or as 0 without any value.
 
-    With ``fill_nulls`` null values count as the median (0 without any value);
-    otherwise the value columns must not hold nulls.
+    A score changes only at q - 1 ranks, so it is enough to find the rows at those
+    ranks and compare every row with them: ``df`` itself is not shuffled.
     """
+    columns = sorted({column for column, _ in scores.values()})
+    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
     keys: dict[str, Column] = {}
     for name, (column, descending) in scores.items():
-        value = F.col(column)
-        if fill_nulls:
-            median = exact_median(df, id_col, column, buckets).scalar()
-            value = F.coalesce(value.cast("double"), median, F.lit(0.0))
+        value = F.col(column).cast("double")
+        if nulls[column]:
+            median = exact_median(df, id_col, column, buckets).first()["median"]
+            value = F.coalesce(value, F.lit(median or 0.0))
         # 0.0 - x, not -x: a negative zero would order below zero
-        keys[name] = F.lit(0.0) - value.cast("double") if descending else value.cast("double")
+        keys[name] = F.lit(0.0) - value if descending else value
 
     def last_ranks(n: Column) -> list[Column]:
         q = F.least(F.lit(bins), n)

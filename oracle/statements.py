@@ -16,7 +16,7 @@ def _r(columns: str, digits: int = 6) -> str:
     items = []
     for item in columns.split():
         name, _, expr = item.partition("=")
-        items.append(f"round({expr or name}, {digits}) as {name}")
+        items.append(f"round({expr or name} + 1e-10, {digits}) as {name}")
     return ", ".join(items)
 
 
@@ -141,7 +141,7 @@ Q["retention_matrix_export"] = """select strftime(c.cohort, '%Y-%m-%d') as cohor
 Q["order_lines"] = """select i.order_id, i.product_id, i.quantity, cast(i.line_total_usd as double) as line_total_usd, p.category, cast(p.margin_usd as double) as margin_usd,
  cast(date_trunc('month', o.order_time) as timestamp) as month, cast(p.margin_usd * i.quantity as double) as gross_margin
  from x_order_items i left join x_products p on p.product_id = i.product_id left join x_orders o on o.order_id = i.order_id"""
-Q["category_performance"] = f"""select p.category, {_r('revenue=coalesce(sum(s.revenue),0)')}, cast(coalesce(sum(s.units), 0) as bigint) as units,
+Q["category_performance"] = f"""select p.category, {_r('revenue=coalesce(sum(s.revenue)::double,0)')}, cast(coalesce(sum(s.units), 0) as bigint) as units,
  round(cast(coalesce(sum(p.margin_usd * s.units), 0) as double), 6) as gross_margin, count(s.product_id) as products,
  round(coalesce(avg(r.avg_rating), 0), 6) as avg_rating, cast(coalesce(sum(r.review_count), 0) as bigint) as review_count
  from x_products p left join sales s on s.product_id = p.product_id left join ratings r on r.product_id = p.product_id where p.category is not null group by p.category"""

@@ -102,6 +102,7 @@ from x_reviews r join x_orders o on r.order_id = o.order_id group by o.customer_
 """
 
 _PROFILE = """
+select * exclude (span, since), case when span + 1 < 0 then 0 else span + 1 end as active_days, case when since < 0 then 0 else since end as recency_days from (
 select c.customer_id, c.name, c.country, c.country as country_name, coalesce(c.region, 'Other') as region, c.age, c.signup_date,
  cast(c.marketing_opt_in as int) as marketing_opt_in, c.market_segment, 'Unknown' as gender_inferred,
  case when c.age > 17 and c.age <= 24 then '18-24' when c.age > 24 and c.age <= 34 then '25-34' when c.age > 34 and c.age <= 44 then '35-44'
@@ -115,8 +116,8 @@ select c.customer_id, c.name, c.country, c.country as country_name, coalesce(c.r
  coalesce(o.order_count, 0) as order_count, coalesce(o.revenue, 0) as revenue, coalesce(o.subtotal, 0) as subtotal,
  coalesce(o.avg_order_value, 0) as avg_order_value, coalesce(o.avg_discount_pct, 0) as avg_discount_pct, o.first_order, o.last_order,
  coalesce(r.review_count, 0) as review_count, coalesce(r.avg_rating, 0) as avg_rating,
- greatest(cast(floor((epoch_us(coalesce(s.last_session, c.signup_date)) - epoch_us(coalesce(s.first_session, c.signup_date))) / 86400000000) as int) + 1, 0) as active_days,
- greatest(cast(floor((epoch_us(@now) - epoch_us(coalesce(@seen, c.signup_date))) / 86400000000) as int), 0) as recency_days,
+ cast(floor((epoch_us(coalesce(s.last_session, c.signup_date)) - epoch_us(coalesce(s.first_session, c.signup_date))) / 86400000000) as int) as span,
+ cast(floor((epoch_us(@now) - epoch_us(coalesce(@seen, c.signup_date))) / 86400000000) as int) as since,
  case when coalesce(s.session_count, 0) > 0 then coalesce(o.order_count, 0) / s.session_count else 0.0 end as session_to_order_rate,
  case when e.page_views > 0 then e.add_to_cart_events / e.page_views else 0.0 end as page_to_cart_rate,
  case when e.add_to_cart_events > 0 then e.checkout_events / e.add_to_cart_events else 0.0 end as cart_to_checkout_rate,
@@ -125,7 +126,7 @@ select c.customer_id, c.name, c.country, c.country as country_name, coalesce(c.r
  case when s.session_count > 0 then coalesce(o.revenue, 0) / s.session_count else 0.0 end as revenue_per_session
 from x_customers c left join session_summary s on s.customer_id = c.customer_id left join dominant d on d.customer_id = c.customer_id
 left join event_counts e on e.customer_id = c.customer_id left join event_volume v on v.customer_id = c.customer_id
-left join order_summary o on o.customer_id = c.customer_id left join review_summary r on r.customer_id = c.customer_id
+left join order_summary o on o.customer_id = c.customer_id left join review_summary r on r.customer_id = c.customer_id) wide
 """
 _LATEST = "(select greatest((select max(event_time) from x_events), (select max(order_time) from x_orders), (select max(start_time) from x_sessions)))"
 
@@ -145,7 +146,7 @@ select *, cast(r_score as varchar) || cast(f_score as varchar) || cast(m_score a
   when order_count >= 1 and recency_days > 120 then 'Dormant Customer' else 'Unclassified' end as lifecycle_stage,
  case when ltv_score >= 80 then 'Platinum' when ltv_score >= 60 then 'Gold' when ltv_score >= 40 then 'Silver' else 'Bronze' end as ltv_tier
 from (select *,
-  cast(greatest(1, ((row_number() over (order by recency_days desc, customer_id) - 1) * 5 + count(*) over () - 2) // (count(*) over () - 1)) as int) as r_score,
+  cast(greatest(1, ((row_number() over (order by coalesce(recency_days, (select median(recency_days) from profile)) desc, customer_id) - 1) * 5 + count(*) over () - 2) // (count(*) over () - 1)) as int) as r_score,
   cast(greatest(1, ((row_number() over (order by order_count, customer_id) - 1) * 5 + count(*) over () - 2) // (count(*) over () - 1)) as int) as f_score,
   cast(greatest(1, ((row_number() over (order by revenue, customer_id) - 1) * 5 + count(*) over () - 2) // (count(*) over () - 1)) as int) as m_score,
   least(100, case when revenue >= 500 then 40 when revenue >= 200 then 28 when revenue >= 80 then 16 when revenue > 0 then 6 else 0 end
@@ -189,7 +190,7 @@ union all select 3, 'purchase', cast(sum(purchase) as bigint) from flags
 """
 
 VIEWS["sales"] = """
-select product_id, cast(sum(quantity) as bigint) as units, cast(sum(line_total_usd) as double) as revenue from x_order_items group by product_id
+select product_id, cast(sum(quantity) as bigint) as units, sum(line_total_usd) as revenue from x_order_items group by product_id
 """
 
 VIEWS["ratings"] = """
@@ -197,7 +198,7 @@ select product_id, avg(rating) as avg_rating, count(review_id) as review_count f
 """
 
 VIEWS["master"] = """
-select p.product_id, p.category, p.name, p.price_usd, p.margin_usd, coalesce(s.units, 0) as total_qty, coalesce(s.revenue, 0) as total_revenue,
+select p.product_id, p.category, p.name, p.price_usd, p.margin_usd, coalesce(s.units, 0) as total_qty, cast(coalesce(s.revenue, 0) as double) as total_revenue,
  coalesce(r.avg_rating, 0) as avg_rating, coalesce(r.review_count, 0) as review_count
 from x_products p left join sales s on s.product_id = p.product_id left join ratings r on r.product_id = p.product_id
 """
@@ -325,7 +326,7 @@ VIEWS["features"] = """
 select customer_id, ln(1 + session_count) as session_count_log, ln(1 + total_events) as events_log, page_to_cart_rate, cart_to_checkout_rate,
  checkout_to_purchase_rate, ln(1 + order_count) as orders_log, ln(1 + revenue) as revenue_log, avg_order_value, avg_discount_pct,
  case when avg_rating > 0 then avg_rating else (select coalesce(avg(avg_rating) filter (avg_rating > 0), 0) from profile) end as avg_rating,
- cast(active_days as double) as active_days, cast(recency_days as double) as recency_days, cast(source_diversity as double) as source_diversity,
+ cast(coalesce(active_days, 0) as double) as active_days, cast(coalesce(recency_days, 0) as double) as recency_days, cast(source_diversity as double) as source_diversity,
  cast(device_diversity as double) as device_diversity, review_rate, coalesce(age, (select median(age) from profile)) as age,
  cast(marketing_opt_in as double) as marketing_opt_in from profile
 """
