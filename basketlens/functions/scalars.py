@@ -142,14 +142,15 @@ def _scaled_units(size: str, digits: int) -> str:
     """size * 10^digits for size >= 0, rounded half-even from the exact binary value."""
     power, one = 10**digits, 1 << _BITS
     units = f"(cast(floor({size}) as bigint) * {power} + w.q)"
-    # w.d: twice the fraction in units of 2^-53, plus one half; w.q: its whole part
+    # b: the fraction times 2^52, which is exact; its own fraction part r is not empty for
+    # sizes below 1.  w.d: 2 * power * b plus one half, w.q: the whole units in it
     tie = f"(w.d = shiftleft(w.q, {_BITS + 1}) and w.exact)"
     rounded = f"{units} - if({tie} and {units} % 2 = 1, 1, 0)"
-    doubled = f"(cast(floor(b) as bigint) * {2 * power} + {one})"
-    parts = f"named_struct('d', {doubled}, 'q', shiftright({doubled}, {_BITS + 1}), 'exact', b = floor(b))"
-    # multiplying the fraction by a power of two is exact
+    doubled = f"(cast(floor(b) as bigint) * {2 * power} + {one} + cast(floor(r) as bigint))"
+    parts = f"named_struct('d', {doubled}, 'q', shiftright({doubled}, {_BITS + 1}), 'exact', r = floor(r))"
     fraction = f"(({size}) - floor({size})) * {float(one)!r}D"
-    return _bind(_bind(fraction, "b", parts), "w", rounded)
+    rest = _bind(f"(b - floor(b)) * {2 * power}D", "r", parts)
+    return _bind(_bind(fraction, "b", rest), "w", rounded)
 
 
 def fixed_sql(value: str, digits: int, grouping: bool = False) -> str:

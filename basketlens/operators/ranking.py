@@ -142,8 +142,8 @@ def quantile_scores(
         if nulls[column]:
             median = exact_median(df, id_col, column, buckets).first()["median"]
             value = F.coalesce(value, F.lit(median or 0.0))
-        # 0.0 - x, not -x: a negative zero would order below zero
-        keys[name] = F.lit(0.0) - value if descending else value
+        # adding to 0.0 turns a negative zero, which would order below zero, into zero
+        keys[name] = F.lit(0.0) - value if descending else F.lit(0.0) + value
 
     def last_ranks(n: Column) -> list[Column]:
         q = F.least(F.lit(bins), n)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from basketlens.functions import constants as K
 from basketlens.functions import scalars as S
 
-_EDGE_PUNCTUATION = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _KEYWORD = r"([\p{L}\p{N}_][\p{L}\p{N}_']+)"
 
 
@@ -44,10 +44,12 @@ def review_sentiment(
     negations = K.NEGATIONS if negations is None else negations
     boosters = K.BOOSTERS if boosters is None else boosters
 
-    words = F.transform(
-        F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"\s+"),
-        lambda w: F.regexp_replace(w, _EDGE_PUNCTUATION, ""),
-    )
+    def bare(word: Column) -> Column:
+        # punctuation goes, unless next to nothing would be left: ":)" stays a word
+        stripped = F.btrim(word, F.lit(_PUNCTUATION))
+        return F.when(F.length(stripped) > 2, stripped).otherwise(word)
+
+    words = F.transform(F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"\s+"), bare)
 
     def shifted(n: int) -> Column:
         return F.concat(F.array(*[F.lit(None).cast("string")] * n), F.col("words")).alias(f"back{n}")
@@ -107,11 +109,14 @@ def keyword_counts(reviews: DataFrame, products: DataFrame, stopwords: DataFrame
     words = F.regexp_extract_all(F.lower(text_col), F.lit(_KEYWORD))
     per_product = (
         reviews.select("product_id", F.explode(words).alias("raw"))
-        .select("product_id", F.regexp_replace("raw", "'s$", "").alias("token"))
-        .filter(~F.col("token").rlike(r"^\p{N}+$"))
-        .groupBy("product_id", "token")
+        .groupBy("product_id", "raw")
         .agg(F.count("*").alias("n"))
     )
+    # cleaned after counting: once per distinct word of a product, not once per word
+    owned = F.col("raw").endswith("'s")
+    per_product = per_product.select(
+        "product_id", F.when(owned, F.expr("left(raw, length(raw) - 2)")).otherwise(F.col("raw")).alias("token"), "n"
+    ).filter(~F.col("token").rlike(r"^\p{N}*$"))
     category = products.select("product_id", "category").dropna()
     counts = (
         per_product.join(category, "product_id")

@@ -26,6 +26,9 @@ _MONEY = "decimal(18,2)"
 _EVENT_NAMES = [("view", "page_view"), ("click", "add_to_cart"), ("signup", "checkout")]
 _SOURCES = ["organic", "direct", "paid", "social", "email"]
 
+# texts of fewer bytes than this may be moved to occupy all cores
+_SPREAD_BELOW = 512 << 20
+
 # Extras that cost a join or an aggregation; a query asks for what it reads.
 SIGNUP, DISCOUNTS, COUNTRY = "signup", "discounts", "country"
 EVERYTHING = (SIGNUP, DISCOUNTS, COUNTRY)
@@ -45,6 +48,18 @@ class StarSchema:
             self._raw[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self._raw[name]
 
+    def _texts(self, name: str) -> DataFrame:
+        """A text table; a small one that comes in fewer files than there are cores is spread out.
+
+        Splitting texts into words is the costly step.  A large table has splits enough
+        and is never moved.
+        """
+        df = self.raw(name)
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        cores = self.spark.sparkContext.defaultParallelism
+        small = size < _SPREAD_BELOW and len(df.inputFiles()) < cores
+        return df.repartition(cores) if small else df
+
     @cached_property
     def _nations(self) -> DataFrame:
         """country, country_name, region: one row per nation."""
@@ -207,7 +222,7 @@ class StarSchema:
     def reviews(self) -> DataFrame:
         parts = self.raw("part").agg(F.count("*").alias("n")).scalar()
         orders = self.raw("orders").agg(F.count("*").alias("n")).scalar()
-        docs = self.raw("documents").select(
+        docs = self._texts("documents").select(
             F.col("doc_id").alias("review_id"),
             ((F.col("doc_id") * 13) % orders).alias("order_id"),
             ((F.col("doc_id") * 7) % parts).alias("product_id"),

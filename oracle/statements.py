@@ -194,11 +194,11 @@ Q["category_keywords"] = """select category, rank, token, n, round(n / max(n) ov
  (select category, token, count(*) as n from (select category, regexp_replace(raw, '''s$', '') as token from
   (select p.category, unnest(regexp_extract_all(lower(r.review_text), '([\\p{L}\\p{N}_][\\p{L}\\p{N}_'']+)', 1)) as raw
    from x_reviews r join x_products p on p.product_id = r.product_id) a) b
-  where not regexp_matches(token, '^\\p{N}+$') and token not in ('the', 'and', 'is', 'la', 'le', 'un', 'und', 'die', 'el', 'que') group by 1, 2) c
+  where not regexp_matches(token, '^\\p{N}*$') and token not in ('the', 'and', 'is', 'la', 'le', 'un', 'und', 'die', 'el', 'que') group by 1, 2) c
  left join (select distinct p.category, regexp_replace(unnest(regexp_extract_all(lower(r.review_text), '([\\p{L}\\p{N}_][\\p{L}\\p{N}_'']+)', 1)), '''s$', '') as token
    from x_reviews r join x_products p on p.product_id = r.product_id) s
   on s.category = c.category and c.token = s.token || 's' and not c.token like '%ss'
-  and s.token not in ('the', 'and', 'is', 'la', 'le', 'un', 'und', 'die', 'el', 'que') and not regexp_matches(s.token, '^\\p{N}+$')
+  and s.token not in ('the', 'and', 'is', 'la', 'le', 'un', 'und', 'die', 'el', 'que') and not regexp_matches(s.token, '^\\p{N}*$')
  group by 1, 2) d) e where rank <= 120"""
 _RULES = [
     ("revenue", ["erth", "sales"]),

@@ -249,7 +249,7 @@ from (select distinct customer_id, cast(date_trunc('week', start_time) as timest
 VIEWS["words"] = """
 select review_id, product_id, unnest(ws) as w, unnest(list_concat([null], ws)) as b1, unnest(list_concat([null, null], ws)) as b2, unnest(list_concat([null, null, null], ws)) as b3
 from (select review_id, product_id, list_transform(regexp_split_to_array(lower(coalesce(review_text, '')), '\\s+'),
-  lambda x: regexp_replace(x, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')) as ws from x_reviews) t
+  lambda x: case when length(trim(x, '!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~')) > 2 then trim(x, '!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~') else x end) as ws from x_reviews) t
 """
 
 VIEWS["lexicon"] = """
