@@ -1,6 +1,7 @@
 import datetime as dt
 import os
 import sys
+from decimal import Decimal
 
 import pytest
 
@@ -29,6 +30,14 @@ def moment(text: str) -> dt.datetime:
     return dt.datetime.fromisoformat(text)
 
 
+def typed(value, kind: str):
+    if value is None:
+        return None
+    if kind == "timestamp_ntz":
+        return moment(value)
+    return Decimal(str(value)) if kind == "decimal" else value
+
+
 @pytest.fixture(scope="session")
 def make_tables(spark):
     """Tables from short dict rows; absent columns are null, absent tables empty."""
@@ -40,8 +49,7 @@ def make_tables(spark):
             for row in rows.get(name, []):
                 unknown = set(row) - set(schema.names)
                 assert not unknown, f"{name}: {unknown}"
-                values = [row.get(c) for c in schema.names]
-                data.append([moment(v) if f.dataType.typeName() == "timestamp_ntz" and v else v for v, f in zip(values, schema)])
+                data.append([typed(row.get(f.name), f.dataType.typeName()) for f in schema])
             frames[name] = spark.createDataFrame(data, schema)
         extra = {k: rows[k] for k in ("countries", "first_names") if k in rows}
         return RetailTables(**frames, **extra)
