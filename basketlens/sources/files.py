@@ -22,11 +22,20 @@ def missing_paths(spark: SparkSession, paths: list[str]) -> list[str]:
     return [p for p in paths if not exists(p)]
 
 
-def load_tables(spark: SparkSession, folder: str, fmt: str = "csv", **lookups: DataFrame) -> RetailTables:
-    """Load ``<folder>/<table>.<fmt>`` for all seven tables.
+# nullable whole numbers; CSV writers often print them as "3.0"
+_PRINTED_AS_DOUBLE = {"events": ["product_id", "qty", "cart_size"]}
+
+
+def load_tables(
+    spark: SparkSession, folder: str, fmt: str = "csv", *, line_breaks_in_texts: bool = True, **lookups: DataFrame
+) -> RetailTables:
+    """Load ``<folder>/<table>.<fmt>``, a file or a folder of files, for all seven tables.
 
     The schemas are declared, never inferred.  A CSV value that does not fit its
     column fails the read.  Every missing table is named in one error.
+
+    Review texts may hold line breaks, so one review file is read by one task; set
+    ``line_breaks_in_texts`` to False where they have none, and large files are split.
     """
     if fmt not in ("csv", "parquet"):
         raise ValueError(f"unsupported format: {fmt}")
@@ -40,15 +49,20 @@ def load_tables(spark: SparkSession, folder: str, fmt: str = "csv", **lookups: D
         path = f"{folder}/{names[table]}"
         if fmt == "parquet":
             return spark.read.schema(SCHEMAS[table]).parquet(path)
-        return (
-            spark.read.schema(SCHEMAS[table])
+        loose = _PRINTED_AS_DOUBLE.get(table, [])
+        schema = T.StructType(
+            [T.StructField(f.name, T.DoubleType()) if f.name in loose else f for f in SCHEMAS[table]]
+        )
+        rows = (
+            spark.read.schema(schema)
             .option("header", True)
             .option("mode", "FAILFAST")
             .option("enforceSchema", False)
-            .option("multiLine", table == "reviews")
+            .option("multiLine", table == "reviews" and line_breaks_in_texts)
             .option("escape", '"')
             .csv(path)
         )
+        return rows.withColumns({c: F.col(c).cast("int") for c in loose}) if loose else rows
 
     return RetailTables(**{table: read(table) for table in SCHEMAS}, **lookups)
 

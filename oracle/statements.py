@@ -7,8 +7,26 @@ from oracle.views import VIEWS, with_views
 _TIDY: dict[str, str] = {}
 
 
+_DIGITS = ", 6)"
+
+
+def _nudged(sql: str) -> str:
+    """Add 1e-10 inside every round(x, 6): exact ties then go up on every engine."""
+    done, rest = "", sql
+    while (at := rest.find("round(")) >= 0:
+        depth, end = 1, at + len("round(")
+        while depth:
+            depth += {"(": 1, ")": -1}.get(rest[end], 0)
+            end += 1
+        inner = rest[at + len("round(") : end]
+        if inner.endswith(_DIGITS):
+            inner = f"({inner[: -len(_DIGITS)]}) + 1e-10{_DIGITS}"
+        done, rest = done + rest[:at] + "round(" + inner, rest[end:]
+    return done + rest
+
+
 def statements() -> dict[str, str]:
-    return {name: with_views(sql.strip()) for name, sql in _TIDY.items()}
+    return {name: with_views(_nudged(sql.strip())) for name, sql in _TIDY.items()}
 
 
 def _r(columns: str, digits: int = 6) -> str:
@@ -16,7 +34,7 @@ def _r(columns: str, digits: int = 6) -> str:
     items = []
     for item in columns.split():
         name, _, expr = item.partition("=")
-        items.append(f"round({expr or name} + 1e-10, {digits}) as {name}")
+        items.append(f"round({expr or name}, {digits}) as {name}")
     return ", ".join(items)
 
 
