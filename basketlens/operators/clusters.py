@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from basketlens.functions import constants as K
 from basketlens.functions import scalars as S
@@ -201,9 +203,12 @@ def choose_k(
     sample = write_stage(stable_sample(scaled.select(id_col, "features"), id_col, sample_size), "cluster-sample")
     points = sample.select(id_col, F.col("features").alias("vec"), array_to_vector("features").alias("features"))
     points = points.coalesce(1).cache()  # a few thousand rows
+    fit = inheritable_thread_target(points.sparkSession)(lambda k: _fit(points, k, restarts, seed))
+    with ThreadPool(len(candidates)) as pool:  # small independent fits: let them share the cores
+        models = pool.map(fit, candidates)
     labelled = points
-    for k in candidates:
-        labelled = _fit(points, k, restarts, seed).setPredictionCol(f"k{k}").transform(labelled)
+    for k, model in zip(candidates, models):
+        labelled = model.setPredictionCol(f"k{k}").transform(labelled)
     sizes = F.element_at(F.array(*map(F.lit, candidates)), F.col("labelling") + 1)
     scores = silhouette_exact(labelled, id_col, "vec", [f"k{k}" for k in candidates]).select(
         sizes.alias("k"), "silhouette"
@@ -250,7 +255,9 @@ def assign_clusters(profile: DataFrame, *, restarts: int = 3, seed: int = K.SEED
     stored = write_stage(vectors, "cluster-features")
     choice = choose_k(stored, restarts=restarts, seed=seed)
     points = stored.select("customer_id", F.col("features").alias("vec"), array_to_vector("features").alias("features"))
-    model = _fit(points, choice.k, restarts, seed)
+    # restarts pay on small data; each one reads all customers
+    small = stored.count() <= K.RESTART_LIMIT
+    model = _fit(points, choice.k, restarts if small else 1, seed)
     axes = _oriented_pca(points)
     placed = project(model.transform(points), "vec", axes, ["cluster_x", "cluster_y"])
     columns = placed.select("customer_id", F.col("prediction").alias("cluster_id"), "cluster_x", "cluster_y")

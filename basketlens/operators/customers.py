@@ -18,25 +18,46 @@ from basketlens.sources.literals import country_table
 from basketlens.sources.tables import RetailTables
 
 
-def dominant_value(df: DataFrame, group_col: str, value_col: str, name: str) -> DataFrame:
-    """Most frequent non-null value per group; ties go to the smaller value."""
+def value_profile(df: DataFrame, group_col: str, value_col: str, dominant: str, diversity: str) -> DataFrame:
+    """Most frequent non-null value per group (ties: the smaller value) and the number of values.
+
+    Rows are counted per group and value first, so a busy group is a handful of rows
+    when it is gathered.
+    """
     counted = df.dropna(subset=[group_col, value_col]).groupBy(group_col, value_col).agg(F.count("*").alias("n"))
     best = F.min_by(F.col(value_col), F.struct(-F.col("n"), F.col(value_col)))
-    return counted.groupBy(group_col).agg(best.alias(name))
+    return counted.groupBy(group_col).agg(best.alias(dominant), F.count("*").alias(diversity))
 
 
-def session_summary(sessions: DataFrame) -> DataFrame:
-    return (
+def dominant_value(df: DataFrame, group_col: str, value_col: str, name: str) -> DataFrame:
+    return value_profile(df, group_col, value_col, name, "values").drop("values")
+
+
+def _session_parts(sessions: DataFrame) -> list[DataFrame]:
+    """Count and span, then source and device figures, each one row per customer."""
+    spans = (
         sessions.dropna(subset=["customer_id"])
         .groupBy("customer_id")
         .agg(
             F.count("session_id").alias("session_count"),
             F.min("start_time").alias("first_session"),
             F.max("start_time").alias("last_session"),
-            F.countDistinct("source").alias("source_diversity"),
-            F.countDistinct("device").alias("device_diversity"),
         )
     )
+    return [
+        spans,
+        value_profile(sessions, "customer_id", "source", "dominant_source", "source_diversity"),
+        value_profile(sessions, "customer_id", "device", "dominant_device", "device_diversity"),
+    ]
+
+
+def session_summary(sessions: DataFrame) -> DataFrame:
+    spans, sources, devices = _session_parts(sessions)
+    return (
+        spans.join(sources.drop("dominant_source"), "customer_id", "left")
+        .join(devices.drop("dominant_device"), "customer_id", "left")
+        .fillna(0, subset=["source_diversity", "device_diversity"])
+    )
 
 
 def events_per_session(events: DataFrame) -> DataFrame:
@@ -147,15 +168,12 @@ def review_summary(reviews: DataFrame, orders: DataFrame) -> DataFrame:
 def reference_time(tables: RetailTables) -> DataFrame:
     """One row: the latest event, order or session start."""
 
-    def latest(df: DataFrame, column: str) -> Column:
-        return df.agg(F.max(column).alias("t")).scalar()
+    def latest(df: DataFrame, column: str) -> DataFrame:
+        return df.agg(F.max(column).alias("t"))
 
-    moments = [
-        latest(tables.events, "timestamp"),
-        latest(tables.orders, "order_time"),
-        latest(tables.sessions, "start_time"),
-    ]
-    return tables.spark.range(1).select(F.greatest(*moments).alias("reference_time"))
+    moments = latest(tables.events, "timestamp").union(latest(tables.orders, "order_time"))
+    moments = moments.union(latest(tables.sessions, "start_time"))
+    return moments.agg(F.max("t").alias("reference_time"))
 
 
 def geo_lookup(df: DataFrame, country_col: str = "country", countries: DataFrame | None = None) -> DataFrame:
@@ -241,9 +259,7 @@ def customer_profile(
     people = geo_lookup(tables.customers, "country", tables.countries)
     people = infer_gender(people, "name", tables.first_names)
     sides = [
-        session_summary(tables.sessions),
-        dominant_value(tables.sessions, "customer_id", "source", "dominant_source"),
-        dominant_value(tables.sessions, "customer_id", "device", "dominant_device"),
+        *_session_parts(tables.sessions),
         event_summary(tables),
         order_summary(tables.orders),
         review_summary(tables.reviews, tables.orders),
@@ -256,9 +272,11 @@ def customer_profile(
     )
 
     c = F.col
+    # one column, so that the moment is found once
+    profile = profile.withColumn("__now", now)
     last_seen = c("last_session") if recency_from == "sessions" else c("last_order")
     active = S.elapsed_days(F.coalesce("last_session", "signup_date"), F.coalesce("first_session", "signup_date"))
-    recency = S.elapsed_days(now, F.coalesce(last_seen, c("signup_date")))
+    recency = S.elapsed_days(c("__now"), F.coalesce(last_seen, c("signup_date")))
     return profile.withColumns(
         {
             "age_band": S.age_band(c("age")),
@@ -272,4 +290,4 @@ def customer_profile(
             "revenue_per_session": S.ratio(c("revenue"), c("session_count")),
             "marketing_opt_in": c("marketing_opt_in").cast("int"),
         }
-    )
+    ).drop("__now")

@@ -150,8 +150,8 @@ def rfm_inputs(t: RetailTables) -> DataFrame:
     last = last_order_time(t)
     orders = customers.order_summary(t.orders).select("customer_id", "order_count", "revenue", "last_order")
     base = t.customers.select("customer_id", "signup_date").join(orders, "customer_id", "left")
-    recency = S.not_negative(S.elapsed_days(last, F.coalesce("last_order", "signup_date")))
-    slim = base.fillna(0, subset=["order_count", "revenue"]).select(
+    recency = S.not_negative(S.elapsed_days(F.col("now"), F.coalesce("last_order", "signup_date")))
+    slim = base.withColumn("now", last).fillna(0, subset=["order_count", "revenue"]).select(
         "customer_id", recency.alias("recency_days"), "order_count", "revenue"
     )
     return write_stage(slim, "rfm-inputs")
