@@ -219,6 +219,41 @@ def infer_gender(
     return joined.select(*df.columns, F.coalesce(title, by_name).alias(out))
 
 
+def _moment(tables: RetailTables, as_of: dt.datetime | Column | None, recency_from: str) -> Column:
+    if recency_from not in ("sessions", "orders"):
+        raise ValueError(f"unsupported recency_from: {recency_from}")
+    return reference_time(tables).scalar() if as_of is None else F.lit(as_of).cast("timestamp_ntz")
+
+
+def segment_inputs(
+    tables: RetailTables,
+    *,
+    as_of: dt.datetime | Column | None = None,
+    recency_from: str = "sessions",
+    lifecycle: bool = True,
+) -> DataFrame:
+    """The few profile columns that segments are made of, without the rest of the profile.
+
+    customer_id, order_count, revenue and recency_days; with ``lifecycle`` also
+    session_count and region.  Events and reviews are not read for them, and
+    sessions only where a column needs them.
+    """
+    now = _moment(tables, as_of, recency_from)
+    base = tables.customers.select("customer_id", "country", "signup_date")
+    columns = ["customer_id", "order_count", "revenue", "recency_days"]
+    if lifecycle:
+        base = geo_lookup(base, "country", tables.countries)
+        columns += ["session_count", "region"]
+    orders = order_summary(tables.orders).select("customer_id", "order_count", "revenue", "last_order")
+    base = base.join(orders, "customer_id", "left")
+    if lifecycle or recency_from == "sessions":
+        base = base.join(_session_parts(tables.sessions)[0], "customer_id", "left")
+    filled = base.fillna(0, subset=[c for c in ("order_count", "revenue", "session_count") if c in base.columns])
+    last_seen = F.coalesce("last_session" if recency_from == "sessions" else "last_order", "signup_date")
+    recency = S.not_negative(S.elapsed_days(F.col("__now"), last_seen))
+    return filled.withColumn("__now", now).withColumn("recency_days", recency).select(*columns)
+
+
 _ZERO_FILLED = [
     "session_count",
     "source_diversity",
@@ -252,10 +287,7 @@ def customer_profile(
     (days since the last order); both fall back to the signup date.  ``as_of`` (a
     moment or a scalar column) replaces the latest moment found in the data.
     """
-    if recency_from not in ("sessions", "orders"):
-        raise ValueError(f"unsupported recency_from: {recency_from}")
-    now = reference_time(tables).scalar() if as_of is None else F.lit(as_of).cast("timestamp_ntz")
-
+    now = _moment(tables, as_of, recency_from)
     people = geo_lookup(tables.customers, "country", tables.countries)
     people = infer_gender(people, "name", tables.first_names)
     sides = [

@@ -145,16 +145,13 @@ def stored_profile(t: RetailTables) -> DataFrame:
     return write_stage(order_profile(t), "profile")
 
 
+def slim_profile(t: RetailTables, lifecycle: bool = False) -> DataFrame:
+    """What RFM scores and value tiers need, or with ``lifecycle`` all segments."""
+    return customers.segment_inputs(t, recency_from="orders", as_of=last_order_time(t), lifecycle=lifecycle)
+
+
 def rfm_inputs(t: RetailTables) -> DataFrame:
-    """The four columns the scores need, without the rest of the profile."""
-    last = last_order_time(t)
-    orders = customers.order_summary(t.orders).select("customer_id", "order_count", "revenue", "last_order")
-    base = t.customers.select("customer_id", "signup_date").join(orders, "customer_id", "left")
-    recency = S.not_negative(S.elapsed_days(F.col("now"), F.coalesce("last_order", "signup_date")))
-    slim = base.withColumn("now", last).fillna(0, subset=["order_count", "revenue"]).select(
-        "customer_id", recency.alias("recency_days"), "order_count", "revenue"
-    )
-    return write_stage(slim, "rfm-inputs")
+    return write_stage(slim_profile(t), "rfm-inputs")
 
 
 @query("session_summary")
@@ -266,29 +263,34 @@ def _(t, star):
     return segments.rfm_summary(segments.add_rfm(rfm_inputs(t)))
 
 
-@query("lifecycle_stage", SIGNUP, DISCOUNTS)
+@query("lifecycle_stage", SIGNUP)
 def _(t, star):
-    staged = segments.add_lifecycle(order_profile(t))
+    staged = segments.add_lifecycle(slim_profile(t, lifecycle=True))
     return staged.select("customer_id", "order_count", "session_count", "recency_days", "lifecycle_stage")
 
 
-@query("lifecycle_summary", SIGNUP, DISCOUNTS)
+@query("lifecycle_summary", SIGNUP)
 def _(t, star):
-    return segments.lifecycle_summary(segments.add_lifecycle(order_profile(t)))
+    return segments.lifecycle_summary(segments.add_lifecycle(slim_profile(t, lifecycle=True)))
 
 
 @query("ltv_tier", SIGNUP)
 def _(t, star):
-    return segments.add_ltv(rfm_inputs(t)).select("customer_id", "ltv_score", "ltv_tier")
+    return segments.add_ltv(slim_profile(t)).select("customer_id", "ltv_score", "ltv_tier")
+
+
+def segment_labels(t: RetailTables) -> DataFrame:
+    inputs = write_stage(slim_profile(t, lifecycle=True), "segment-inputs")
+    return segments.add_lifecycle(segments.add_rfm(inputs))
 
 
 def segmented_profile(t: RetailTables) -> DataFrame:
     return segments.add_lifecycle(segments.add_rfm(stored_profile(t)))
 
 
-@query("crm_actions", SIGNUP, DISCOUNTS)
+@query("crm_actions", SIGNUP)
 def _(t, star):
-    full = segments.add_crm(segmented_profile(t))
+    full = segments.add_crm(segment_labels(t))
     return full.select("customer_id", "rfm_segment", "lifecycle_stage", "crm_recommendation")
 
 
@@ -513,21 +515,15 @@ def _(t, star):
     return routed.select("conv_id", "turn", "intent")
 
 
-def segment_labels(t: RetailTables) -> DataFrame:
-    """Only the labels the snapshot counts, stored: several counts read them."""
-    labels = segmented_profile(t).select("customer_id", "region", "lifecycle_stage", "rfm_segment")
-    return write_stage(labels, "segment-labels")
-
-
 def canned_answers(t: RetailTables) -> DataFrame:
-    figures = snapshot.business_snapshot(t, segment_labels(t))
+    figures = snapshot.business_snapshot(t, write_stage(segment_labels(t), "segment-labels"))
     top = products.top_names(t, with_category=False, n=5).select(
         F.col("name").alias("key"), F.col("units").alias("value")
     )
     return snapshot.answers(figures, snapshot.ranked(top))
 
 
-@query("question_answers", SIGNUP, DISCOUNTS)
+@query("question_answers", SIGNUP)
 def _(t, star):
     answered = texts.answer_questions(star.raw("conversations"), "text", canned_answers(t), TEST_INTENTS)
     return answered.select("conv_id", "turn", "intent", "answer")
@@ -546,9 +542,9 @@ def _(t, star):
     return snapshot.kpi_cards(snapshot.kpis(t))
 
 
-@query("business_snapshot", SIGNUP, DISCOUNTS)
+@query("business_snapshot", SIGNUP)
 def _(t, star):
-    return snapshot.business_snapshot(t, segment_labels(t))
+    return snapshot.business_snapshot(t, write_stage(segment_labels(t), "segment-labels"))
 
 
 # --- clusters ---------------------------------------------------------------
