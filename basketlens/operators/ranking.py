@@ -65,7 +65,9 @@ def ranked_rows(
 
     def entry(metric: str, metric_limits: list[float]) -> Column:
         value, slot = F.col(f"__{metric}"), F.col(f"__{metric}_slot").cast("int")
-        edge = F.try_element_at(F.array(F.lit(None).cast("double"), *map(F.lit, metric_limits)), slot + 1)
+        # one parsed text: a few hundred literal columns would take longer to build than to run
+        edges = F.expr(f"array(cast(null as double), {', '.join(f'{x!r}D' for x in metric_limits)})")
+        edge = F.try_element_at(edges, slot + 1)
         tied = F.coalesce(value == edge, F.lit(False))
         part = F.when(tied, F.col("__id_slot").cast("int")).otherwise(-1)
         return F.struct(
