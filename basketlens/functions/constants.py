@@ -147,3 +147,4 @@ BOOSTERS = {
     "somewhat": -0.293,
 }
 KEYWORDS_PER_CATEGORY = 120
+COLLOCATION_CUTOFF = 30

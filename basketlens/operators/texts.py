@@ -104,31 +104,60 @@ def wordlist_sentiment(
     return reviews.withColumn("score", score).withColumn("sentiment", label)
 
 
-def keyword_counts(reviews: DataFrame, products: DataFrame, stopwords: DataFrame, text_col: str = "review_text") -> DataFrame:
-    """Word counts per category: lower case, no numbers, no stopwords, plurals merged."""
+def _clean_word(raw: Column) -> Column:
+    """Without a possessive ending; null for a number or for nothing."""
+    word = F.when(raw.endswith("'s"), F.left(raw, F.length(raw) - 2)).otherwise(raw)
+    return F.when(~word.rlike(r"^\p{N}*$"), word)
+
+
+def _category_counts(reviews: DataFrame, products: DataFrame, stopwords: DataFrame, text_col: str, size: int) -> DataFrame:
+    """Counts per category of words (size 1) or of pairs of neighbouring words (size 2).
+
+    Counted per product where the texts are read, cleaned once per distinct word, and
+    only then brought to the category.
+    """
     words = F.regexp_extract_all(F.lower(text_col), F.lit(_KEYWORD))
-    per_product = (
-        reviews.select("product_id", F.explode(words).alias("raw"))
-        .groupBy("product_id", "raw")
-        .agg(F.count("*").alias("n"))
-    )
-    # cleaned after counting: once per distinct word of a product, not once per word
-    owned = F.col("raw").endswith("'s")
-    per_product = per_product.select(
-        "product_id", F.when(owned, F.expr("left(raw, length(raw) - 2)")).otherwise(F.col("raw")).alias("token"), "n"
-    ).filter(~F.col("token").rlike(r"^\p{N}*$"))
+    raw, clean = [f"raw{i}" for i in range(size)], [f"word{i}" for i in range(size)]
+    if size == 1:
+        entries = reviews.select("product_id", F.explode(words).alias("raw0"))
+    else:
+        # numbers are dropped before neighbours are looked at
+        kept = F.filter(F.transform(words, _clean_word), lambda w: w.isNotNull())
+        listed = reviews.select("product_id", kept.alias("w")).filter(F.size("w") > 1)
+        pairs = F.expr("transform(slice(w, 1, size(w) - 1), (x, i) -> struct(x as a, w[i + 1] as b))")
+        entries = listed.select("product_id", F.explode(pairs).alias("p")).select(
+            "product_id", F.col("p.a").alias("raw0"), F.col("p.b").alias("raw1")
+        )
+    counted = entries.groupBy("product_id", *raw).agg(F.count("*").alias("n"))
+    counted = counted.select("product_id", *[_clean_word(F.col(r)).alias(c) for r, c in zip(raw, clean)], "n").dropna()
     category = products.select("product_id", "category").dropna()
-    counts = (
-        per_product.join(category, "product_id")
-        .groupBy("category", "token")
-        .agg(F.sum("n").alias("n"))
-        .join(stopwords.select("token"), "token", "left_anti")
-    )
+    counts = counted.join(category, "product_id").groupBy("category", *clean).agg(F.sum("n").alias("n"))
+    for column in clean:
+        counts = counts.join(stopwords.select(F.col("token").alias(column)), column, "left_anti")
+    return counts
+
+
+def keyword_counts(
+    reviews: DataFrame,
+    products: DataFrame,
+    stopwords: DataFrame,
+    text_col: str = "review_text",
+    phrases: DataFrame | None = None,
+) -> DataFrame:
+    """Word counts per category: lower case, no numbers, no stopwords, plurals merged.
+
+    With ``phrases`` (see ``category_phrases``) these pairs are entries too, and their
+    words count only where they stand outside a pair.
+    """
+    counts = _category_counts(reviews, products, stopwords, text_col, 1).withColumnRenamed("word0", "token")
+    if phrases is not None:
+        inside = phrases.select("category", F.explode(F.split("token", " ")).alias("token"), (-F.col("n")).alias("n"))
+        counts = counts.unionByName(inside).groupBy("category", "token").agg(F.sum("n").alias("n"))
     # "rings" counts as "ring" where the category also has "ring": look at both
     # forms in one group instead of joining the counts with themselves
     plural = F.col("token").endswith("s") & ~F.col("token").endswith("ss") & (F.length("token") > 1)
-    stem = F.when(plural, F.expr("left(token, length(token) - 1)")).otherwise(F.col("token"))
-    return (
+    stem = F.when(plural, F.left(F.col("token"), F.length("token") - 1)).otherwise(F.col("token"))
+    merged = (
         counts.withColumn("stem", stem)
         .groupBy("category", "stem")
         .agg(
@@ -141,6 +170,52 @@ def keyword_counts(reviews: DataFrame, products: DataFrame, stopwords: DataFrame
             "n",
         )
     )
+    if phrases is None:
+        return merged
+    return merged.filter(F.col("n") > 0).unionByName(phrases.select("category", "token", "n"))
+
+
+def _log_likelihood(both: Column, first: Column, second: Column, total: Column) -> Column:
+    """Dunning's ratio: how much likelier the pair is than two independent words."""
+
+    def fit(k: Column, n: Column, p: Column) -> Column:
+        return k * F.log(F.greatest(p, F.lit(1e-10))) + (n - k) * F.log(F.greatest(1 - p, F.lit(1e-10)))
+
+    elsewhere, rest = second - both, total - first
+    apart = fit(both, first, second / total) + fit(elsewhere, rest, second / total)
+    together = fit(both, first, both / first) + fit(elsewhere, rest, elsewhere / rest)
+    return F.when((total > first) & (total > second), -2 * (apart - together)).otherwise(0.0)
+
+
+def category_phrases(
+    reviews: DataFrame,
+    products: DataFrame,
+    stopwords: DataFrame,
+    *,
+    text_col: str = "review_text",
+    cutoff: float = K.COLLOCATION_CUTOFF,
+) -> DataFrame:
+    """Pairs of neighbouring words that belong together, per category.
+
+    A pair counts when its log-likelihood ratio is above ``cutoff``.  Pairs are
+    taken within one review, from the words left after numbers are dropped; a pair
+    with a stopword is left out.
+    """
+    words = _category_counts(reviews, products, stopwords, text_col, 1)
+    totals = words.groupBy("category").agg(F.sum("n").alias("total"))
+    pairs = _category_counts(reviews, products, stopwords, text_col, 2)
+    # one row per distinct word on the right side of both joins
+    first = words.withColumnRenamed("n", "first")
+    second = words.select("category", F.col("word0").alias("word1"), F.col("n").alias("second"))
+    score = _log_likelihood(*[F.col(c).cast("double") for c in ("n", "first", "second", "total")])
+    return (
+        pairs.join(first, ["category", "word0"])
+        .join(second, ["category", "word1"])
+        .join(totals, "category")
+        .withColumn("score", score)
+        .filter(F.col("score") > cutoff)
+        .select("category", F.concat_ws(" ", "word0", "word1").alias("token"), "n", "score")
+    )
 
 
 def category_keywords(
@@ -150,13 +225,16 @@ def category_keywords(
     *,
     text_col: str = "review_text",
     n: int = K.KEYWORDS_PER_CATEGORY,
+    phrases: DataFrame | None = None,
 ) -> DataFrame:
     """The n most frequent words of each category, weighted by the most frequent one.
 
+    With ``phrases`` the pairs that belong together are ranked among the words.
+
     The rank limit is applied before the exchange as well, so a category with a
     huge vocabulary sends n rows per task.
     """
-    counts = keyword_counts(reviews, products, stopwords, text_col)
+    counts = keyword_counts(reviews, products, stopwords, text_col, phrases)
     best_first = W.partitionBy("category").orderBy(F.desc("n"), "token")
     top = counts.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= n)
     most = F.max("n").over(W.partitionBy("category"))

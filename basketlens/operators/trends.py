@@ -102,6 +102,19 @@ def highest_aov_country(geo: DataFrame) -> DataFrame:
     return geo.select("country", "country_name", "aov").orderBy(F.desc("aov"), "country").limit(1)
 
 
+def new_user_conversion(tables: RetailTables) -> DataFrame:
+    """Per signup month: new customers, those who ordered in that month, and their share."""
+    signups = tables.customers.select("customer_id", S.period_start(F.col("signup_date")).alias("month")).dropna()
+    bought = tables.orders.select("customer_id", S.period_start(F.col("order_time")).alias("month")).dropna().distinct()
+    return (
+        signups.join(bought.withColumn("bought", F.lit(1)), ["customer_id", "month"], "left")
+        .groupBy("month")
+        .agg(F.count("*").alias("new_users"), F.count("bought").alias("buyers"))
+        .withColumn("conversion", S.ratio(F.col("buyers"), F.col("new_users")))
+        .orderBy("month")
+    )
+
+
 def demographics(profile: DataFrame) -> DataFrame:
     """Customers per region, gender and age band; empty cells are absent."""
     cell = ["region", "gender_inferred", "age_band"]

@@ -348,6 +348,11 @@ def _(t, star):
     return trends.highest_aov_country(trends.geography(t))
 
 
+@query("new_user_conversion", SIGNUP)
+def _(t, star):
+    return trends.new_user_conversion(t)
+
+
 def person_profile(t: RetailTables) -> DataFrame:
     """The customer columns the demographic cells read; no fact table needed."""
     people = customers.infer_gender(customers.geo_lookup(t.customers, "country", t.countries), "name", t.first_names)
@@ -509,6 +514,12 @@ def _(t, star):
     return texts.category_keywords(t.reviews, t.products, stopwords)
 
 
+@query("category_phrases")
+def _(t, star):
+    stopwords = constant_table(star.spark, [(w,) for w in TEST_STOPWORDS], ["token"])
+    return tidy(texts.category_phrases(t.reviews, t.products, stopwords), 3)
+
+
 @query("question_intents")
 def _(t, star):
     routed = texts.route_questions(star.raw("conversations"), "text", TEST_INTENTS)

@@ -71,6 +71,7 @@ def build_outputs(
         "persona_figures": figures,
         "persona_cards": clusters.persona_cards(figures),
         "monthly": trends.monthly_overview(tables),
+        "new_user_conversion": trends.new_user_conversion(tables),
         "overall_funnel": funnel.funnel_step_rates(flags),
         "device_rates": funnel.funnel_by_device(flags),
         "source_rates": funnel.funnel_by_source(flags),
@@ -94,7 +95,11 @@ def build_outputs(
         "answers": snapshot.answers(facts, snapshot.ranked(top_five)),
     }
     if stopwords is not None:
-        outputs["category_keywords"] = texts.category_keywords(tables.reviews, tables.products, stopwords)
+        phrases = write_stage(texts.category_phrases(tables.reviews, tables.products, stopwords), "phrases")
+        outputs["category_phrases"] = phrases
+        outputs["category_keywords"] = texts.category_keywords(
+            tables.reviews, tables.products, stopwords, phrases=phrases
+        )
     return outputs
 
 

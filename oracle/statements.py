@@ -132,6 +132,10 @@ Q["monthly_overview"] = f"""select month, sessions, active_users, orders, buyers
 Q["peak_month"] = "select month, round(revenue, 6) as revenue, label from peak"
 Q["geography"] = f"select country, country_name, region, sessions, active_users, orders, {_r('revenue aov conversion')} from geo"
 Q["highest_aov_country"] = "select country, country_name, round(aov, 6) as aov from geo order by aov desc, country limit 1"
+Q["new_user_conversion"] = """select c.month, count(*) as new_users, count(o.customer_id) as buyers, round(count(o.customer_id) / count(*), 6) as conversion
+ from (select customer_id, cast(date_trunc('month', signup_date) as timestamp) as month from x_customers where signup_date is not null) c
+ left join (select distinct customer_id, cast(date_trunc('month', order_time) as timestamp) as month from x_orders) o
+ on o.customer_id = c.customer_id and o.month = c.month group by c.month"""
 Q["demographics"] = "select region, gender_inferred, age_band, count(*) as users from profile group by 1, 2, 3"
 Q["age_pyramid"] = """select d.position, d.age_band, p.gender_inferred, count(*) as users, count(*) as plot_users from profile p
  join (values (0, '18-24'), (1, '25-34'), (2, '35-44'), (3, '45-54'), (4, '55-64'), (5, '65-75'), (6, 'Unknown')) d(position, age_band)
@@ -218,6 +222,31 @@ Q["category_keywords"] = """select category, rank, token, n, round(n / max(n) ov
   on s.category = c.category and c.token = s.token || 's' and not c.token like '%ss'
   and s.token not in ('the', 'and', 'is', 'la', 'le', 'un', 'und', 'die', 'el', 'que') and not regexp_matches(s.token, '^\\p{N}*$')
  group by 1, 2) d) e where rank <= 120"""
+_STOP = "('the', 'and', 'is', 'la', 'le', 'un', 'und', 'die', 'el', 'que')"
+VIEWS["kept_words"] = """
+select review_id, category, list_filter(list_transform(regexp_extract_all(lower(review_text), '([\\p{L}\\p{N}_][\\p{L}\\p{N}_'']+)', 1),
+  lambda x: regexp_replace(x, '''s$', '')), lambda x: not regexp_matches(x, '^\\p{N}*$')) as w
+from x_reviews r join x_products p on p.product_id = r.product_id
+"""
+VIEWS["unigrams"] = f"""
+select category, word, count(*) as n from (select category, unnest(w) as word from kept_words) a where word not in {_STOP} group by 1, 2
+"""
+VIEWS["pairs"] = f"""
+select category, w0, w1, count(*) as n from (select category, unnest(w[:-2]) as w0, unnest(w[2:]) as w1 from kept_words where len(w) > 1) a
+where w0 not in {_STOP} and w1 not in {_STOP} group by 1, 2, 3
+"""
+
+
+def _fit(k: str, n: str, p: str) -> str:
+    return f"(({k}) * ln(greatest({p}, 1e-10::double)) + (({n}) - ({k})) * ln(greatest(1 - ({p}), 1e-10::double)))"
+
+
+_RATIO = f"""case when t > a and t > b then -2 * ({_fit('n', 'a', 'b / t')} + {_fit('b - n', 't - a', 'b / t')}
+ - {_fit('n', 'a', 'n / a')} - {_fit('b - n', 't - a', '(b - n) / (t - a)')}) else 0.0 end"""
+Q["category_phrases"] = f"""select category, token, n, round(score, 3) as score from (select category, token, n, {_RATIO} as score from
+ (select p.category, p.w0 || ' ' || p.w1 as token, p.n, u.n as a, v.n as b, z.t from pairs p
+  join unigrams u on u.category = p.category and u.word = p.w0 join unigrams v on v.category = p.category and v.word = p.w1
+  join (select category, cast(sum(n) as bigint) as t from unigrams group by category) z on z.category = p.category) q) s where score > 30"""
 _RULES = [
     ("revenue", ["erth", "sales"]),
     ("orders", ["ouen", "purchase"]),

@@ -1,6 +1,7 @@
 """Hand-made tables, one case per rule the larger test data cannot reach."""
 
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -209,6 +210,31 @@ def test_keywords(frame):
     }
 
 
+def test_phrases_take_the_counts_of_their_words(frame):
+    products_ = frame([(1, "c")], "product_id int, category string")
+    stop = frame([("the",)], "token string")
+    data = [(1, "battery life")] * 20 + [(1, f"word{chr(97 + i)} other{chr(97 + i)}") for i in range(12)]
+    data += [(1, "life")] * 2 + [(1, "battery the 42 life")]
+    reviews = frame(data, "product_id int, review_text string")
+    phrases = texts.category_phrases(reviews, products_, stop)
+    ((token, n, score),) = rows(phrases, "token", "n", "score")
+
+    def fit(k, n, p):
+        return k * math.log(max(p, 1e-10)) + (n - k) * math.log(max(1 - p, 1e-10))
+
+    both, first, second, total = 20, 21, 23, 20 * 2 + 24 + 2 + 2
+    apart = fit(both, first, second / total) + fit(second - both, total - first, second / total)
+    together = fit(both, first, both / first) + fit(second - both, total - first, (second - both) / (total - first))
+    assert (token, n) == ("battery life", 20) and score == pytest.approx(-2 * (apart - together)) and score > 30
+    found = dict(rows(texts.category_keywords(reviews, products_, stop, phrases=phrases), "token", "n"))
+    assert (found["battery life"], found["battery"], found["life"], found["worda"]) == (20, 1, 3, 1)
+
+
+def test_new_user_conversion(shop):
+    found = rows(trends.new_user_conversion(shop), "month", "new_users", "buyers", "conversion")
+    assert [(m.month, n, b, c) for m, n, b, c in found] == [(12, 1, 0, 0.0), (1, 1, 0, 0.0), (3, 1, 0, 0.0)]
+
+
 def test_question_routing(frame):
     questions = [
         ("Which customers buy most?", "orders"),

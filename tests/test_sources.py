@@ -99,7 +99,8 @@ def test_publish(spark, make_tables, tmp_path):
             for i in people
         ],
     )
-    outputs = build_outputs(tables, restarts=1)
+    stopwords = spark.createDataFrame([("the",)], "token string")
+    outputs = build_outputs(tables, stopwords=stopwords, restarts=1)
     paths = publish_outputs(outputs, str(tmp_path))
     read = {name: spark.read.parquet(path) for name, path in paths.items()}
     assert read["profile"].count() == 60
@@ -109,6 +110,7 @@ def test_publish(spark, make_tables, tmp_path):
     assert sorted(r["k"] for r in scores) == [3, 4, 5, 6] and sum(r["chosen"] for r in scores) == 1
     assert read["persona_cards"].count() == read["cluster_summary"].count()
     assert read["answers"].count() == 9
+    assert {r["token"] for r in read["category_keywords"].collect()} == {"great value"}
     assert {r["sentiment"] for r in read["review_sentiment"].collect()} == {"Positive"}
     corr = read["profile"].selectExpr("corr(cluster_x, cluster_y)", "var_pop(cluster_x) >= var_pop(cluster_y)").first()
     assert abs(corr[0]) < 1e-6 and corr[1]
