@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from basketlens.llm import bpe, exact_dedup
+from basketlens.llm import bpe, exact_dedup, quality
 
 REGISTRY = {
+    "op6_quality_rules": quality.query,
     "op8_byte_bpe": bpe.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 
 SQL = {
+    "op6_quality_rules": quality.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
