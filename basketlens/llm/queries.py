@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from basketlens.llm import bpe, exact_dedup, quality
+from basketlens.llm import bpe, exact_dedup, packing, quality
 
 REGISTRY = {
+    "op2_best_fit_packing": packing.query,
     "op6_quality_rules": quality.query,
     "op8_byte_bpe": bpe.query,
     "op10_exact_dedup": exact_dedup.query,
