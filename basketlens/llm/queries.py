@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from basketlens.llm import bpe, exact_dedup, packing, quality
+from basketlens.llm import bpe, exact_dedup, language, packing, pages, quality
 
 REGISTRY = {
+    "op1_html_text": pages.query,
+    "op5_language_id": language.query,
     "op2_best_fit_packing": packing.query,
     "op6_quality_rules": quality.query,
     "op8_byte_bpe": bpe.query,
