@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from basketlens.llm import bpe, exact_dedup, language, packing, pages, quality
+from basketlens.llm import bpe, exact_dedup, language, licenses, packing, pages, quality
 
 REGISTRY = {
+    "op4_license_scan": licenses.query,
     "op1_html_text": pages.query,
     "op5_language_id": language.query,
     "op2_best_fit_packing": packing.query,
