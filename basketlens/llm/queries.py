@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from basketlens.llm import bpe, exact_dedup, language, licenses, packing, pages, quality
+from basketlens.llm import bpe, exact_dedup, language, licenses, line_dedup, packing, pages, quality, substring_dedup
 
 REGISTRY = {
+    "op3_substring_dedup": substring_dedup.query,
+    "op9_line_dedup": line_dedup.query,
     "op4_license_scan": licenses.query,
     "op1_html_text": pages.query,
     "op5_language_id": language.query,
@@ -15,6 +17,7 @@ REGISTRY = {
 }
 
 SQL = {
+    "op3_substring_dedup": substring_dedup.SQL,
     "op6_quality_rules": quality.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
