@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from basketlens.llm import bpe, exact_dedup, language, licenses, line_dedup, packing, pages, quality, substring_dedup
+from basketlens.llm import bpe, exact_dedup, language, licenses, line_dedup, ngram_join, packing, pages, quality, substring_dedup
 
 REGISTRY = {
+    "op7_ngram_join": ngram_join.query,
     "op3_substring_dedup": substring_dedup.query,
     "op9_line_dedup": line_dedup.query,
     "op4_license_scan": licenses.query,
