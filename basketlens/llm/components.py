@@ -15,6 +15,8 @@ def component_labels(links: DataFrame) -> DataFrame:
     paths shorten by more than one step a round.  Labels are written after each round; only a count comes to the driver.
     """
     edges = store(links.where("a <> b").selectExpr("a", "b").union(links.where("a <> b").selectExpr("b", "a")).distinct(), "edges")
+    if edges.isEmpty():
+        return edges.selectExpr("a as node", "b as label")
     labels = store(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")), "labels")
     while True:
         near = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))

@@ -15,10 +15,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from basketlens.llm.shared import SEPARATOR, Block, Words, blocks, documents, lines
-from basketlens.llm.spans import Scheme, covered, keyed, later_repeats
+from basketlens.llm.spans import Scheme, covered, marked, rewritten
 
 GRAM = 2
 WINNOW = 2
@@ -75,17 +74,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts.append(text)
             n.append(int(hi - lo))
             gone.append(int(out.sum()))
+        rest = [c for c in block.batch.schema.names if c in ("doc_id", "row")]
         yield pa.RecordBatch.from_arrays(
-            [*(block.batch.column(c) for c in block.batch.schema.names if c not in ("text", "marks")), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())],
-            names=[*(c for c in block.batch.schema.names if c not in ("text", "marks")), "text", "n_lines", "n_removed"],
+            [*(block.batch.column(c) for c in rest), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())],
+            names=[*rest, "text", "n_lines", "n_removed"],
         )
 
 
-def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    texts = keyed(docs, id_col, text_col)
-    return texts.join(later_repeats(texts, SCHEME, "lines").hint("shuffle_hash"), ["doc_id", "text_key"], "left").select("doc_id", "text", "marks")
-
-
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, n_lines (with a word), n_removed for every document.
 
@@ -94,7 +89,17 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     have no lines.  Of equal texts the smallest id keeps its lines; rows with the same id take nothing from each other at the
     same place.  A document without an id stays as it is.  No rows give no rows.  Other columns are not read.
     """
-    return _joined(docs, id_col, text_col).mapInArrow(_cut, RESULT)
+    return marked(docs, SCHEME, "lines", id_col, text_col).mapInArrow(_cut, RESULT)
+
+
+def _cut_in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _cut(batches):
+        yield batch.select(["row", "text"])
+
+
+def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the lines that :func:`without_repeated_lines` removes; rows without a word left go."""
+    return rewritten(docs, SCHEME, "lines", _cut_in_place, id_col, text_col)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,4 +109,4 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
-    return _joined(documents(spark, folder), "doc_id", "text").mapInArrow(_digest, "doc_id long, n_lines long, n_removed long, kept_sha256 string")
+    return marked(documents(spark, folder), SCHEME, "lines", "doc_id", "text").mapInArrow(_digest, "doc_id long, n_lines long, n_removed long, kept_sha256 string")

@@ -288,7 +288,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # rows of one id that are in several classes tie these together
     least = of_row.groupBy("doc_id").agg(F.min("class_id").alias("a"))
     tied = of_row.join(least, "doc_id").where("class_id <> a").select("a", F.col("class_id").alias("b")).distinct()
-    links = store(tied, "links")
+    links = store(tied, "ties")
     labels = component_labels(links)
 
     size = sets.where("n > 0").agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
@@ -313,14 +313,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         new = store(_links(named, pairs), "links")
         del ready, found, pairs
         _release(docs)
-        if not new.isEmpty():
-            links = links.union(new)
-            labels = component_labels(links)
+        if new.isEmpty():
+            continue
+        links = links.union(new)
+        labels = component_labels(links)
     by_class = labels.select(F.col("node").alias("class_id"), "label")
     return of_row.join(by_class, "class_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "class_id", "doc_id").alias("component_id")
     )
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component; rows without an id stay."""
+    found = near_duplicates(docs, id_col, text_col)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+
+
 def query(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(documents(spark, folder))

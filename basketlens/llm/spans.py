@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from basketlens.llm.shared import Block, Words, blocks, store, window_hashes, window_starts
 
@@ -50,10 +51,11 @@ class Scheme:
     per_byte: float
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_key, text: rows with the same id but other texts stay apart."""
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """doc_id, text_key, text: rows with the same id but other texts stay apart.  With ``carry``, all but the text as ``row`` too."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row")] if carry else []
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"), *rest)
 
 
 def buckets_for(docs: DataFrame, scheme: Scheme) -> int:
@@ -307,6 +309,22 @@ def later_repeats(texts: DataFrame, scheme: Scheme, name: str) -> DataFrame:
     return later.groupBy("doc_id", "text_key").agg(F.collect_list("marks").alias("marks"))
 
 
+def marked(docs: DataFrame, scheme: Scheme, name: str, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
+    """Every text with its id and its marks, null where nothing in it repeats."""
+    texts = keyed(docs, id_col, text_col)
+    later = later_repeats(texts, scheme, name)
+    rows = keyed(docs, id_col, text_col, carry) if carry else texts
+    return rows.join(later.hint("shuffle_hash"), ["doc_id", "text_key"], "left").drop("text_key")
+
+
+def rewritten(docs: DataFrame, scheme: Scheme, name: str, cut, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with the texts that ``cut`` leaves, column by column as before, without rows that have no word left."""
+    rows = marked(docs, scheme, name, id_col, text_col, carry=True)
+    schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType())])
+    done = rows.mapInArrow(cut, schema).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return done.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def covered(starts: list[bytes] | None, units: int, window: int) -> np.ndarray:
     """Which of a text's units lie under a window that begins at one of ``starts``."""
     change = np.zeros(units + 1, np.int64)

@@ -15,10 +15,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from basketlens.llm.shared import blocks, documents, words
-from basketlens.llm.spans import Scheme, covered, keyed, later_repeats
+from basketlens.llm.spans import Scheme, covered, marked, rewritten
 
 WINDOW = 13
 PERIOD = 7
@@ -58,11 +57,6 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    texts = keyed(docs, id_col, text_col)
-    return texts.join(later_repeats(texts, SCHEME, "words").hint("shuffle_hash"), ["doc_id", "text_key"], "left").select("doc_id", "text", "marks")
-
-
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text (the kept words, joined by one space), n_words, n_removed for every document.
 
@@ -71,7 +65,28 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows with the same id take nothing from each other.  A document without an id stays as it is and takes nothing.  No rows
     give no rows.  Other columns are not read.
     """
-    return _joined(docs, id_col, text_col).mapInArrow(_cut, RESULT)
+    return marked(docs, SCHEME, "words", id_col, text_col).mapInArrow(_cut, RESULT)
+
+
+def _cut_in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block in blocks(batches):
+        marks = block.batch.column("marks").to_pylist()
+        texts = []
+        for i in range(len(block)):
+            text = block.text(i)
+            if marks[i]:
+                spans = [m.span() for m in WORD.finditer(text)]
+                out = covered(marks[i], len(spans), WINDOW)
+                limits = [s for s, _ in spans] + [len(text)]
+                # a word goes with the white space after it
+                text = text[: limits[0]] + b"".join(text[limits[k] : limits[k + 1]] for k in np.flatnonzero(~out))
+            texts.append(text)
+        yield pa.RecordBatch.from_arrays([block.batch.column("row"), pa.array(texts, pa.binary()).cast(pa.string())], names=["row", "text"])
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the words that :func:`without_repeats` removes; white space between kept words stays, wordless rows go."""
+    return rewritten(docs, SCHEME, "words", _cut_in_place, id_col, text_col)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +96,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
-    return _joined(documents(spark, folder), "doc_id", "text").mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return marked(documents(spark, folder), SCHEME, "words", "doc_id", "text").mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 SQL = """
