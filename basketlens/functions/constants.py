@@ -108,9 +108,7 @@ HELP_TEXT = (
 # --- clustering ------------------------------------------------------------
 SEED = 42
 CLUSTER_COUNTS = [3, 4, 5, 6]
-SILHOUETTE_SAMPLE = 5000
 SCATTER_SAMPLE = 3000
-RESTART_LIMIT = 20_000
 CLUSTER_FEATURES = [
     "session_count_log",
     "events_log",

@@ -8,7 +8,6 @@ from multiprocessing.pool import ThreadPool
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -118,7 +117,7 @@ def _distance_sums():
 def silhouette_exact(df: DataFrame, id_col: str, vector_col: str, label_cols: list[str]) -> DataFrame:
     """Mean Euclidean silhouette per labelling: (labelling, clusters, points, silhouette).
 
-    The cost is quadratic, so callers pass a bounded sample.  Points are cut into
+    The cost is quadratic in the rows; :func:`silhouette_squared` is linear.  Points are cut into
     blocks; one task adds up the distances between two blocks and returns one row
     per point and cluster, never a row per pair.  A labelling with one cluster has
     silhouette -1, a point alone in its cluster counts 0.
@@ -158,10 +157,42 @@ def silhouette_exact(df: DataFrame, id_col: str, vector_col: str, label_cols: li
     )
 
 
-def silhouette_fast(df: DataFrame, vector_col: str, label_col: str) -> float:
-    """Squared-Euclidean silhouette over all rows, linear in their number; another figure."""
-    ready = df.select(array_to_vector(F.col(vector_col)).alias("features"), F.col(label_col).alias("prediction"))
-    return ClusteringEvaluator(metricName="silhouette").evaluate(ready)
+def silhouette_squared(df: DataFrame, vector_col: str, label_cols: list[str]) -> DataFrame:
+    """Mean silhouette by squared Euclidean distance per labelling: (labelling, clusters, points, silhouette).
+
+    The mean squared distance from a point to a cluster follows from the cluster's size, vector sum and sum of
+    squares, so the cost is linear in the rows; what each row is compared with is one entry per cluster.  The same
+    conventions hold as for :func:`silhouette_exact`.
+    """
+    v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
+    labels = F.posexplode(F.array(*[F.col(c).cast("int") for c in label_cols])).alias("labelling", "own")
+    points = df.select(v.alias("v"), labels).withColumn("q", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    parts = points.select("labelling", "own", "q", F.posexplode("v").alias("d", "x"))
+    sums = parts.groupBy("labelling", "own", "d").agg(
+        F.sum("x").alias("s"), F.sum(F.when(F.col("d") == 0, F.col("q"))).alias("q"), F.sum(F.when(F.col("d") == 0, 1)).alias("n")
+    )
+    clusters = sums.groupBy("labelling", "own").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("d", "s"))), lambda x: x["s"]).alias("s"), F.sum("q").alias("q"), F.sum("n").alias("n")
+    )
+    per_labelling = clusters.groupBy("labelling").agg(F.collect_list(F.struct("own", "s", "q", "n")).alias("clusters"))
+
+    def total(c: Column) -> Column:
+        dot = F.aggregate(F.zip_with(F.col("v"), c["s"], lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+        return c["n"] * F.col("q") - 2 * dot + c["q"]
+
+    own = F.filter("clusters", lambda c: c["own"] == F.col("own"))
+    own_total = F.get(F.transform(own, lambda c: F.when(c["n"] > 1, F.greatest(total(c), F.lit(0.0)) / (c["n"] - 1))), F.lit(0))
+    others = F.transform(F.filter("clusters", lambda c: c["own"] != F.col("own")), lambda c: F.greatest(total(c), F.lit(0.0)) / c["n"])
+    per_point = points.join(per_labelling, "labelling").select(
+        "labelling", F.size("clusters").alias("clusters"), own_total.alias("a"), F.array_min(others).alias("b")
+    )
+    widest = F.greatest("a", "b")
+    value = F.when(F.col("a").isNull() | (widest == 0), 0.0).otherwise((F.col("b") - F.col("a")) / widest)
+    return per_point.groupBy("labelling").agg(
+        F.max("clusters").alias("clusters"),
+        F.count("*").alias("points"),
+        F.when(F.max("clusters") > 1, F.avg(value)).otherwise(-1.0).alias("silhouette"),
+    )
 
 
 # --- k-means ----------------------------------------------------------------
@@ -183,6 +214,7 @@ def _fit(points: DataFrame, k: int, restarts: int, seed: int) -> KMeansModel:
 class Choice:
     k: int
     scores: DataFrame
+    model: KMeansModel
 
 
 def choose_k(
@@ -190,33 +222,28 @@ def choose_k(
     *,
     id_col: str = "customer_id",
     candidates: list[int] | None = None,
-    sample_size: int = K.SILHOUETTE_SAMPLE,
     restarts: int = 3,
     seed: int = K.SEED,
 ) -> Choice:
-    """Number of clusters with the best silhouette on a fixed-size sample.
+    """Number of clusters with the best silhouette, fitted and scored on all rows, and the model fitted for it.
 
-    ``scaled`` is (id, array<double> features), stored.  ``scores`` has one row
-    per candidate; the first strictly best one is chosen.
+    ``scaled`` is (id, array<double> features), stored.  The silhouette is that of squared distances, which is
+    linear in the rows.  ``scores`` has one row per candidate; the first strictly best one is chosen.
     """
     candidates = candidates or K.CLUSTER_COUNTS
-    sample = write_stage(stable_sample(scaled.select(id_col, "features"), id_col, sample_size), "cluster-sample")
-    points = sample.select(id_col, F.col("features").alias("vec"), array_to_vector("features").alias("features"))
-    points = points.coalesce(1).cache()  # a few thousand rows
+    points = scaled.select(id_col, F.col("features").alias("vec"), array_to_vector("features").alias("features")).persist()
     fit = inheritable_thread_target(points.sparkSession)(lambda k: _fit(points, k, restarts, seed))
-    with ThreadPool(len(candidates)) as pool:  # small independent fits: let them share the cores
+    with ThreadPool(len(candidates)) as pool:  # independent fits: let them share the cores
         models = pool.map(fit, candidates)
     labelled = points
     for k, model in zip(candidates, models):
         labelled = model.setPredictionCol(f"k{k}").transform(labelled)
     sizes = F.element_at(F.array(*map(F.lit, candidates)), F.col("labelling") + 1)
-    scores = silhouette_exact(labelled, id_col, "vec", [f"k{k}" for k in candidates]).select(
-        sizes.alias("k"), "silhouette"
-    )
+    scores = silhouette_squared(labelled, "vec", [f"k{k}" for k in candidates]).select(sizes.alias("k"), "silhouette")
     stored = write_stage(scores, "cluster-scores")
     points.unpersist()
     best = stored.orderBy(F.desc("silhouette"), "k").first()["k"]  # one row per candidate
-    return Choice(best, stored.withColumn("chosen", F.col("k") == best))
+    return Choice(best, stored.withColumn("chosen", F.col("k") == best), models[candidates.index(best)])
 
 
 def _oriented_pca(points: DataFrame, components: int = 2) -> np.ndarray:
@@ -255,11 +282,8 @@ def assign_clusters(profile: DataFrame, *, restarts: int = 3, seed: int = K.SEED
     stored = write_stage(vectors, "cluster-features")
     choice = choose_k(stored, restarts=restarts, seed=seed)
     points = stored.select("customer_id", F.col("features").alias("vec"), array_to_vector("features").alias("features"))
-    # restarts pay on small data; each one reads all customers
-    small = stored.count() <= K.RESTART_LIMIT
-    model = _fit(points, choice.k, restarts if small else 1, seed)
     axes = _oriented_pca(points)
-    placed = project(model.transform(points), "vec", axes, ["cluster_x", "cluster_y"])
+    placed = project(choice.model.setPredictionCol("prediction").transform(points), "vec", axes, ["cluster_x", "cluster_y"])
     columns = placed.select("customer_id", F.col("prediction").alias("cluster_id"), "cluster_x", "cluster_y")
     return Clustered(profile.join(columns, "customer_id", "left"), choice)
 
@@ -268,7 +292,7 @@ def assign_clusters(profile: DataFrame, *, restarts: int = 3, seed: int = K.SEED
 
 
 def cluster_summary(clustered: DataFrame) -> DataFrame:
-    """Size and means per cluster (a handful of rows)."""
+    """Size and means per cluster (a handful of rows); exact, so that equal clusters compare equal."""
     means = {
         "avg_age": "age",
         "sessions": "session_count",
@@ -281,7 +305,7 @@ def cluster_summary(clustered: DataFrame) -> DataFrame:
         "recency": "recency_days",
     }
     return clustered.groupBy("cluster_id").agg(
-        F.count("customer_id").alias("users"), *[F.avg(col).alias(out) for out, col in means.items()]
+        F.count("customer_id").alias("users"), *[S.fraction_mean(F.col(col)).alias(out) for out, col in means.items()]
     )
 
 
@@ -291,7 +315,7 @@ _THRESHOLDS = ["revenue", "orders", "sessions", "recency", "avg_discount", "conv
 def persona_thresholds(summary: DataFrame) -> DataFrame:
     """Upper quartiles over the clusters, and the plain mean of their conversions."""
     return summary.agg(
-        *[F.percentile(c, F.lit(0.75)).alias(c) for c in _THRESHOLDS], F.avg("conversion").alias("mean_conversion")
+        *[F.percentile(c, F.lit(0.75)).alias(c) for c in _THRESHOLDS], S.fraction_mean(F.col("conversion")).alias("mean_conversion")
     )
 
 
@@ -300,18 +324,21 @@ def persona_names(summary: DataFrame) -> DataFrame:
 
     A name already taken by a better cluster gets the cluster number appended.
     """
-    limits = persona_thresholds(summary)
-    held = summary.withColumn("__t", limits.select(F.struct(*limits.columns).alias("t")).scalar())
+    every = W.partitionBy()  # one row per cluster
+    total = F.sum(F.col("conversion").cast("decimal(28,12)")).over(every).cast("double")
+    held = summary.withColumns(
+        {f"__{c}": F.percentile(c, F.lit(0.75)).over(every) for c in _THRESHOLDS} | {"__mean": total / F.count("conversion").over(every)}
+    )
 
     def top(c: str) -> Column:
-        return F.col(c) >= F.col("__t")[c]
+        return F.col(c) >= F.col(f"__{c}")
 
     label = S.first_match(
         [
             ((F.col("revenue") <= 0) & (F.col("orders") <= 0), "Never Purchased"),
             (top("revenue") & top("orders"), "High-Value Repeat Buyers"),
             (
-                top("sessions") & (F.col("conversion") < F.col("__t")["mean_conversion"]),
+                top("sessions") & (F.col("conversion") < F.col("__mean")),
                 "Heavy Browsers, Low Conversion",
             ),
             (top("avg_discount"), "Promotion Sensitive"),
@@ -326,13 +353,13 @@ def persona_names(summary: DataFrame) -> DataFrame:
         held.withColumn("label", label)
         .withColumn("turn", turn)
         .withColumn("cluster_name", F.when(F.col("turn") == 1, F.col("label")).otherwise(numbered))
-        .drop("__t", "label", "turn")
+        .drop(*[f"__{c}" for c in _THRESHOLDS], "__mean", "label", "turn")
     )
 
 
 def add_personas(clustered: DataFrame, named: DataFrame) -> DataFrame:
-    """Attach cluster_name to every customer (one row per cluster, so broadcast)."""
-    return clustered.join(F.broadcast(named.select("cluster_id", "cluster_name")), "cluster_id", "left")
+    """Attach cluster_name to every customer (one row per cluster)."""
+    return clustered.join(named.select("cluster_id", "cluster_name"), "cluster_id", "left")
 
 
 def _dominant(clustered: DataFrame, column: str) -> DataFrame:
@@ -366,12 +393,17 @@ def persona_figures(clustered: DataFrame) -> DataFrame:
     """Means per persona with its dominant region and source, best revenue first."""
     means = clustered.groupBy("cluster_name").agg(
         F.count("customer_id").alias("users"),
-        F.avg("revenue").alias("revenue"),
-        F.avg("order_count").alias("orders"),
-        F.avg("session_count").alias("sessions"),
-        F.avg("session_to_order_rate").alias("conversion"),
-        F.avg("age").alias("avg_age"),
-        F.avg("avg_rating").alias("avg_rating"),
+        *[
+            S.fraction_mean(F.col(column)).alias(name)
+            for name, column in {
+                "revenue": "revenue",
+                "orders": "order_count",
+                "sessions": "session_count",
+                "conversion": "session_to_order_rate",
+                "avg_age": "age",
+                "avg_rating": "avg_rating",
+            }.items()
+        ],
     )
     region = persona_top_region(clustered).select("cluster_name", "top_region", F.col("share").alias("top_region_share"))
     source = persona_top_source(clustered).select("cluster_name", "top_source")

@@ -590,8 +590,12 @@ def _(t, star):
 
 @query("silhouette_exact")
 def _(t, star):
-    sample = ranking.stable_sample(star.raw("embeddings"), "vec_id", K.SILHOUETTE_SAMPLE)
-    return clusters.silhouette_exact(sample, "vec_id", "embedding", ["label"])
+    return clusters.silhouette_exact(star.raw("embeddings"), "vec_id", "embedding", ["label"])
+
+
+@query("silhouette_squared")
+def _(t, star):
+    return clusters.silhouette_squared(star.raw("embeddings"), "embedding", ["label"])
 
 
 @query("cluster_summary", SIGNUP, DISCOUNTS)

@@ -328,10 +328,18 @@ Q["standardised_features"] = "select customer_id, " + ", ".join(
 ) + " from features"
 Q["standardised_embeddings"] = """select vec_id, cast(d - 1 as int) as dimension, round((x - avg(x) over (partition by d)) / (case when stddev_pop(x) over (partition by d) = 0 then 1
  else stddev_pop(x) over (partition by d) end), 6) as z from (select vec_id, unnest(generate_series(1, 64)) as d, cast(unnest(embedding) as double) as x from embeddings) e"""
-Q["silhouette_exact"] = """with s as (select vec_id, cast(embedding as double[]) as v, label from embeddings order by ((vec_id % 4294967296) * 1103515245 + 42) % 4294967296, vec_id limit 5000),
+Q["silhouette_exact"] = """with s as (select vec_id, cast(embedding as double[]) as v, label from embeddings),
  m as (select a.vec_id, a.label as own, b.label as cluster, sum(list_distance(a.v, b.v)) as total, count(*) as size from s a join s b on true group by 1, 2, 3),
  p as (select vec_id, max(total / (size - 1)) filter (cluster = own and size > 1) as a, min(total / size) filter (cluster <> own) as b from m group by vec_id)
  select 0 as labelling, (select count(distinct label) from s) as clusters, count(*) as points, round(avg(case when a is null or greatest(a, b) = 0 then 0 else (b - a) / greatest(a, b) end), 6) as silhouette from p"""
+Q["silhouette_squared"] = """with s as (select vec_id, cast(embedding as double[]) as v, label from embeddings),
+ d as (select vec_id, label, generate_subscripts(v, 1) as i, unnest(v) as x from s),
+ q as (select vec_id, label, sum(x * x) as q from d group by all),
+ c as (select z.label, z.n, z.q, list(y.s order by y.i) as s from (select label, count(*) as n, sum(q) as q from q group by label) z
+  join (select label, i, sum(x) as s from d group by label, i) y on y.label = z.label group by all),
+ m as (select s.vec_id, s.label as own, c.label as cluster, c.n, greatest(c.n * q.q - 2 * list_dot_product(s.v, c.s) + c.q, 0) as total from s join q on q.vec_id = s.vec_id join c on true),
+ p as (select vec_id, max(total / (n - 1)) filter (cluster = own and n > 1) as a, min(total / n) filter (cluster <> own) as b from m group by vec_id)
+ select 0 as labelling, (select count(*) from c) as clusters, count(*) as points, round(avg(case when a is null or greatest(a, b) = 0 then 0 else (b - a) / greatest(a, b) end) + 1e-10, 6) as silhouette from p"""
 _SUMMARY = "avg_age sessions orders revenue aov conversion avg_discount avg_rating recency"
 Q["cluster_summary"] = f"select cluster_id, users, {_r(_SUMMARY)} from csummary"
 Q["persona_thresholds"] = f"select {_r('revenue orders sessions recency avg_discount conversion mean_conversion')} from cthresholds"

@@ -276,16 +276,22 @@ VIEWS["clustered"] = """
 select *, case market_segment when 'AUTOMOBILE' then 0 when 'BUILDING' then 1 when 'FURNITURE' then 2 when 'HOUSEHOLD' then 3 when 'MACHINERY' then 4 end as cluster_id from profile
 """
 
-VIEWS["csummary"] = """
-select cluster_id, count(*) as users, avg(age) as avg_age, avg(session_count) as sessions, avg(order_count) as orders, avg(revenue) as revenue,
- avg(avg_order_value) as aov, avg(session_to_order_rate) as conversion, avg(avg_discount_pct) as avg_discount, avg(avg_rating) as avg_rating, avg(recency_days) as recency
+def _mean(column: str) -> str:
+    """The same in whatever order the rows are added."""
+    return f"cast(sum(cast({column} as decimal(28,12))) as double) / count({column})"
+
+
+VIEWS["csummary"] = f"""
+select cluster_id, count(*) as users, {_mean("age")} as avg_age, {_mean("session_count")} as sessions, {_mean("order_count")} as orders, {_mean("revenue")} as revenue,
+ {_mean("avg_order_value")} as aov, {_mean("session_to_order_rate")} as conversion, {_mean("avg_discount_pct")} as avg_discount, {_mean("avg_rating")} as avg_rating,
+ {_mean("recency_days")} as recency
 from clustered group by cluster_id
 """
 
-VIEWS["cthresholds"] = """
+VIEWS["cthresholds"] = f"""
 select quantile_cont(revenue, 0.75) as revenue, quantile_cont(orders, 0.75) as orders, quantile_cont(sessions, 0.75) as sessions,
  quantile_cont(recency, 0.75) as recency, quantile_cont(avg_discount, 0.75) as avg_discount, quantile_cont(conversion, 0.75) as conversion,
- avg(conversion) as mean_conversion from csummary
+ {_mean("conversion")} as mean_conversion from csummary
 """
 
 VIEWS["cnamed"] = """
@@ -315,10 +321,10 @@ select cluster_name, dominant_source as top_source from
  from personas group by cluster_name, dominant_source) q where rn = 1
 """
 
-VIEWS["pfigures"] = """
+VIEWS["pfigures"] = f"""
 select p.*, r.top_region, r.share as top_region_share, s.top_source from
-(select cluster_name, count(*) as users, avg(revenue) as revenue, avg(order_count) as orders, avg(session_count) as sessions,
- avg(session_to_order_rate) as conversion, avg(age) as avg_age, avg(avg_rating) as avg_rating from personas group by cluster_name) p
+(select cluster_name, count(*) as users, {_mean("revenue")} as revenue, {_mean("order_count")} as orders, {_mean("session_count")} as sessions,
+ {_mean("session_to_order_rate")} as conversion, {_mean("age")} as avg_age, {_mean("avg_rating")} as avg_rating from personas group by cluster_name) p
 left join ptop_region r on r.cluster_name = p.cluster_name left join ptop_source s on s.cluster_name = p.cluster_name
 """
 

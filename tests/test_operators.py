@@ -367,3 +367,33 @@ def test_lookup(shop, frame):
     assert (card[0]["name"], card[0]["country"], card[0]["marketing_opt_in"], card[0]["cluster_name"]) == ("Mr. Kim X", "Germany", True, "-")
     batch = segments.customer_lookup(profile, frame([(2,), (2,), (404,)], "customer_id int"))
     assert rows(batch, "customer_id") == [(2,)]
+
+
+def test_squared_silhouette_against_pairs(frame):
+    points = [(i, [float(i % 7), float(i * i % 11)], i % 3, 0) for i in range(40)] + [(99, [50.0, 50.0], 9, 0)]
+    df = frame(points, "id long, v array<double>, three int, one int")
+    found = {r["labelling"]: r for r in clusters.silhouette_squared(df, "v", ["three", "one"]).collect()}
+
+    def squared(a, b):
+        return sum((x - y) ** 2 for x, y in zip(a, b))
+
+    values = []
+    for i, v, own, _ in points:
+        to = {c: [squared(v, w) for j, w, d, _ in points if d == c and j != i] for c in {p[2] for p in points}}
+        a, b = to.pop(own), min(sum(x) / len(x) for x in to.values() if x)
+        mean = sum(a) / len(a) if a else None
+        values.append(0.0 if mean is None else (b - mean) / max(a and mean, b))
+    assert found[0]["clusters"] == 4 and found[0]["points"] == 41
+    assert abs(found[0]["silhouette"] - sum(values) / len(values)) < 1e-9
+    assert found[1]["silhouette"] == -1
+
+
+def test_persona_names_do_not_depend_on_the_partitions(frame):
+    rows = [(i, i % 5, 30 + i % 3, i % 4, i % 6, (i % 6) * 0.1, 0.1 * (i % 5), 0.3, 0.07 * (i % 7), 4.0, i % 30) for i in range(400)]
+    df = frame(
+        rows,
+        "customer_id int, cluster_id int, age int, session_count int, order_count int, revenue double, avg_order_value double, "
+        "session_to_order_rate double, avg_discount_pct double, avg_rating double, recency_days int",
+    )
+    seen = {tuple(sorted(map(tuple, clusters.persona_names(clusters.cluster_summary(df.repartition(n))).collect()))) for n in (1, 3, 7, 16)}
+    assert len(seen) == 1

@@ -1,5 +1,7 @@
 """Every registered query against its SQL on the smallest tables."""
 
+import re
+
 import pytest
 from compare import differences, oracle_connection
 from conftest import SMALL
@@ -21,7 +23,8 @@ def test_same_rows_as_sql(spark, con, name):
 
 def test_every_statement_has_a_query():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"kmeans_select", "customer_clusters", "cluster_pca", "cluster_scatter"}
+    own = {name for name in QUERIES if name != "pipeline" and not re.match(r"op\d+_", name)}
+    assert own - set(SQL) == {"kmeans_select", "customer_clusters", "cluster_pca", "cluster_scatter"}
 
 
 def test_flagship(spark):
