@@ -105,6 +105,21 @@ HELP_TEXT = (
     "**RFM segments**, **ratings**, **conversion**, or **top products**."
 )
 
+# --- printed snapshot: section, title, unit ---------------------------------
+SNAPSHOT_TITLE = "BUSINESS SNAPSHOT"
+SNAPSHOT_SECTIONS = [
+    ("lifecycle", "LIFECYCLE STAGES", ""),
+    ("rfm", "RFM SEGMENTS", ""),
+    ("persona", "PERSONA CLUSTERS", ""),
+    ("region", "REGIONS (customer count)", ""),
+    ("country", "TOP COUNTRIES", ""),
+    ("product", "TOP 10 PRODUCTS (by units sold)", " units"),
+    ("category", "CATEGORIES (by units)", " units"),
+]
+
+# --- spending potential ------------------------------------------------------
+HIGH_POTENTIAL_TIERS = ["Platinum", "Gold"]
+
 # --- clustering ------------------------------------------------------------
 SEED = 42
 CLUSTER_COUNTS = [3, 4, 5, 6]

@@ -73,8 +73,8 @@ def category_monthly(tables: RetailTables) -> DataFrame:
     """Revenue, units and margin for every month with an order line and every category.
 
     Lines are combined per product and month before the product table is joined.
-    The grid is filled from the (month, category) totals and the list of
-    categories; lines of unknown products keep their month in the grid.
+    The grid gives every category the months found, which the calendar bounds, and
+    then looks the totals up; lines of unknown products keep their month in the grid.
     """
     months = tables.orders.select("order_id", S.period_start(F.col("order_time")).alias("month"))
     per_product = (
@@ -92,19 +92,10 @@ def category_monthly(tables: RetailTables) -> DataFrame:
             F.sum(F.col("margin_usd") * F.col("units")).cast("double").alias("gross_margin"),
         )
     )
-    categories = tables.products.agg(F.array_sort(F.collect_set("category")).alias("c")).scalar()
-    cell = F.struct("revenue", "units", "gross_margin")
-    known = F.when(F.col("category").isNotNull(), F.struct("category", cell.alias("cell")))
-    # one row per month, as wide as the list of categories
-    grid = totals.groupBy("month").agg(F.map_from_entries(F.collect_list(known)).alias("cells"))
-    return (
-        grid.withColumn("categories", categories)
-        .select("month", "cells", F.explode("categories").alias("category"))
-        .select("month", "category", F.try_element_at("cells", F.col("category")).alias("cell"))
-        .select("month", "category", "cell.*")
-        .fillna(0)
-        .orderBy("month", "category")
-    )
+    found = per_product.agg(F.array_sort(F.collect_set("month")).alias("m")).scalar()
+    categories = tables.products.select("category").dropna().distinct()
+    grid = categories.withColumn("month", F.explode(found))
+    return grid.join(totals, ["month", "category"], "left").fillna(0).orderBy("month", "category")
 
 
 def top_products(tables: RetailTables, n: int = 12) -> DataFrame:

@@ -37,7 +37,11 @@ def kpis(tables: RetailTables) -> DataFrame:
     )
     s = _one(tables.sessions, n=F.count("*"), users=F.countDistinct("customer_id"))
     o = _one(
-        tables.orders, n=F.count("*"), revenue=F.sum("total_usd").cast("double"), last=F.max("order_time")
+        tables.orders,
+        n=F.count("*"),
+        revenue=F.sum("total_usd").cast("double"),
+        priced=F.count("total_usd"),
+        last=F.max("order_time"),
     )
     r = _one(
         tables.reviews,
@@ -58,7 +62,7 @@ def kpis(tables: RetailTables) -> DataFrame:
         F.col("s.users").alias("active_users"),
         F.col("o.n").alias("orders"),
         F.coalesce("o.revenue", F.lit(0.0)).alias("revenue"),
-        _mean(F.col("o.revenue"), F.col("o.n")).alias("aov"),
+        _mean(F.col("o.revenue"), F.col("o.priced")).alias("aov"),
         F.col("f.purchase").alias("purchase_sessions"),
         S.ratio(F.col("f.purchase"), F.col("f.page_view")).alias("conversion_rate"),
         S.ratio(F.col("f.add_to_cart"), F.col("f.page_view")).alias("add_to_cart_rate"),
@@ -104,14 +108,15 @@ def ranked(counts: DataFrame, n: int | None = None) -> DataFrame:
 
 
 def headline(tables: RetailTables) -> DataFrame:
-    """The seven headline figures in long form.
+    """The headline figures in long form.
 
-    ``conversion`` is orders over sessions, unlike in ``kpis``.
+    ``conversion`` is orders over sessions, unlike in ``kpis``.  Orders without a total and reviews without a
+    rating do not count in the means.
     """
     c = _one(tables.customers, n=F.count("*"), countries=F.countDistinct("country"))
     s = _one(tables.sessions, n=F.count("*"))
-    o = _one(tables.orders, n=F.count("*"), revenue=F.coalesce(F.sum("total_usd"), F.lit(0)).cast("double"))
-    r = _one(tables.reviews, n=F.count("*"), total=F.sum("rating").cast("double"))
+    o = _one(tables.orders, n=F.count("*"), priced=F.count("total_usd"), revenue=F.coalesce(F.sum("total_usd"), F.lit(0)).cast("double"))
+    r = _one(tables.reviews, n=F.count("*"), rated=F.count("rating"), total=F.sum("rating").cast("double"))
     row = tables.spark.range(1).select(c.alias("c"), s.alias("s"), o.alias("o"), r.alias("r"))
     figures = {
         "customers": F.col("c.n"),
@@ -119,9 +124,9 @@ def headline(tables: RetailTables) -> DataFrame:
         "sessions": F.col("s.n"),
         "orders": F.col("o.n"),
         "revenue": F.col("o.revenue"),
-        "aov": S.ratio(F.col("o.revenue"), F.col("o.n")),
+        "aov": S.ratio(F.col("o.revenue"), F.col("o.priced")),
         "conversion": S.ratio(F.col("o.n"), F.col("s.n")),
-        "avg_rating": S.ratio(F.col("r.total"), F.col("r.n")),
+        "avg_rating": S.ratio(F.col("r.total"), F.col("r.rated")),
         "reviews": F.col("r.n"),
     }
     rows = [F.struct(F.lit(k).alias("key"), v.cast("double").alias("value")) for k, v in figures.items()]
@@ -171,28 +176,42 @@ def business_snapshot(tables: RetailTables, profile: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-_SNAPSHOT_SECTIONS = [
-    ("lifecycle", "LIFECYCLE STAGES", ""),
-    ("rfm", "RFM SEGMENTS", ""),
-    ("persona", "PERSONA CLUSTERS", ""),
-    ("region", "REGIONS (customer count)", ""),
-    ("country", "TOP COUNTRIES", ""),
-    ("product", "TOP 10 PRODUCTS (by units sold)", " units"),
-    ("category", "CATEGORIES (by units)", " units"),
-]
+def _headline_lines(snapshot: DataFrame) -> DataFrame:
+    """The headline figures and the peak month as printed, in one row of lines."""
+    number, usd, pct = S.number_text, S.currency_text, S.percent_text
+    keys = ["customers", "countries", "sessions", "orders", "revenue", "aov", "conversion", "avg_rating", "reviews"]
+
+    def figure(section: str, key: str | None, column: str) -> Column:
+        hit = F.col("section") == section
+        return F.max(F.when(hit if key is None else hit & (F.col("key") == key), F.col(column)))
+
+    facts = snapshot.agg(
+        *[F.coalesce(figure("headline", k, "value"), F.lit(0.0)).alias(k) for k in keys],
+        figure("peak_month", None, "key").alias("peak"),
+        figure("peak_month", None, "value").alias("peak_revenue"),
+    )
+    lines = [
+        F.concat(F.lit("Customers: "), number("customers"), F.lit(" across "), F.col("countries").cast("long").cast("string"), F.lit(" countries")),
+        F.concat(F.lit("Sessions: "), number("sessions"), F.lit(" | Orders: "), number("orders")),
+        F.concat(F.lit("Total revenue: "), usd("revenue")),
+        F.concat(F.lit("Average order value: "), usd("aov")),
+        F.concat(F.lit("Session→order conversion: "), pct("conversion")),
+        F.concat(F.lit("Average review rating: "), S.fixed_text("avg_rating", 2), F.lit("/5 across "), number("reviews"), F.lit(" reviews")),
+        F.concat(F.lit("Peak revenue month: "), "peak", F.lit(" ("), usd("peak_revenue"), F.lit(")")),
+    ]
+    listed = facts.select(F.posexplode(F.array(*lines)).alias("position", "line")).where("line is not null")
+    return listed.select(F.lit(0).alias("section_order"), (F.col("position") + 1).alias("rank"), F.lit(K.SNAPSHOT_TITLE).alias("title"), "line")
 
 
 def snapshot_lines(snapshot: DataFrame) -> DataFrame:
     """The snapshot as printed lines: section order, rank, title, line."""
-    order = S.first_match([(F.col("section") == s, i) for i, (s, _, _) in enumerate(_SNAPSHOT_SECTIONS, 1)], None)
-    title = S.first_match([(F.col("section") == s, t) for s, t, _ in _SNAPSHOT_SECTIONS], None)
-    unit = S.first_match([(F.col("section") == s, u) for s, _, u in _SNAPSHOT_SECTIONS], "")
+    sections = K.SNAPSHOT_SECTIONS
+    order = S.first_match([(F.col("section") == s, i) for i, (s, _, _) in enumerate(sections, 1)], None)
+    title = S.first_match([(F.col("section") == s, t) for s, t, _ in sections], None)
+    unit = S.first_match([(F.col("section") == s, u) for s, _, u in sections], "")
     text = F.concat(F.lit("- "), "key", F.lit(": "), S.number_text("value"), unit)
-    return (
-        snapshot.select(order.alias("section_order"), "rank", title.alias("title"), text.alias("line"))
-        .filter(F.col("section_order").isNotNull())
-        .orderBy("section_order", "rank")
-    )
+    listed = snapshot.select(order.alias("section_order"), "rank", title.alias("title"), text.alias("line")).filter(F.col("section_order").isNotNull())
+    return _headline_lines(snapshot).unionByName(listed).orderBy("section_order", "rank")
 
 
 def answers(snapshot: DataFrame, top_five: DataFrame) -> DataFrame:

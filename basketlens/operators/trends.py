@@ -66,6 +66,21 @@ def monthly_revenue(orders: DataFrame) -> DataFrame:
     )
 
 
+def recent_revenue(orders: DataFrame, months: int = 3) -> DataFrame:
+    """Revenue of the last ``months`` calendar months up to the latest order, and the change from the month before it.
+
+    A month without orders has no row; the change of the first row, or after a gap, is null.
+    """
+    monthly = monthly_revenue(orders)
+    last = monthly.agg(F.max("month").alias("m")).scalar()
+    before = F.lag(F.struct("month", "revenue")).over(W.orderBy("month"))  # one row per month
+    recent = monthly.filter(F.col("month") > F.add_months(last, -months - 1).cast("timestamp_ntz")).withColumn("before", before)
+    follows = F.col("before.month") == F.add_months("month", -1).cast("timestamp_ntz")
+    change = F.when(follows & (F.col("before.revenue") > 0), F.col("revenue") / F.col("before.revenue") - 1)
+    shown = recent.withColumn("change", change).filter(F.col("month") > F.add_months(last, -months).cast("timestamp_ntz"))
+    return shown.select("month", "revenue", "change").orderBy("month")
+
+
 def peak_month(orders: DataFrame) -> DataFrame:
     """The month with the highest revenue (the earlier one on a tie) and its label."""
     return (

@@ -6,6 +6,7 @@ to six digits here, never inside an operator.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 
 from basketlens.functions import constants as K
 from basketlens.functions import scalars as S
-from basketlens.operators import clusters, customers, funnel, products, ranking, retention, segments, snapshot, texts, trends
+from basketlens.operators import clusters, customers, funnel, potential, products, ranking, retention, segments, snapshot, texts, trends
 from basketlens.plans.stage import write_stage
 from basketlens.sources.files import json_safe
 from basketlens.sources.literals import constant_table
@@ -333,6 +334,11 @@ def _(t, star):
     return trends.monthly_overview(t)
 
 
+@query("recent_revenue")
+def _(t, star):
+    return trends.recent_revenue(t.orders)
+
+
 @query("peak_month")
 def _(t, star):
     return trends.peak_month(t.orders)
@@ -497,6 +503,11 @@ def _(t, star):
     return tidy(sample_sentiment(t, star), 4)
 
 
+@query("labelled_reviews")
+def _(t, star):
+    return tidy(texts.with_sentiment(t.reviews.drop("review_text"), sample_sentiment(t, star)), 4)
+
+
 @query("sentiment_by_category")
 def _(t, star):
     return products.sentiment_by_category(t, sample_sentiment(t, star))
@@ -558,6 +569,29 @@ def _(t, star):
     return snapshot.business_snapshot(t, write_stage(segment_labels(t), "segment-labels"))
 
 
+@query("snapshot_lines", SIGNUP)
+def _(t, star):
+    return snapshot.snapshot_lines(snapshot.business_snapshot(t, write_stage(segment_labels(t), "segment-labels")))
+
+
+# --- spending potential -----------------------------------------------------
+
+CUT, LATER_DAYS = dt.datetime(2000, 8, 1), 365
+
+
+@query("later_value")
+def _(t, star):
+    return potential.later_value(t, CUT, LATER_DAYS)
+
+
+@query("spending_potential", SIGNUP, DISCOUNTS)
+def _(t, star):
+    """Learned at a cut a year before the last orders, applied to what is known today."""
+    label = potential.later_value(t, CUT, LATER_DAYS)
+    today = CUT + dt.timedelta(days=LATER_DAYS)
+    return potential.spending_potential(potential.past_features(t, CUT), label, potential.past_features(t, today))
+
+
 # --- clusters ---------------------------------------------------------------
 
 

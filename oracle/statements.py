@@ -292,7 +292,7 @@ VIEWS["kpi_row"] = """
 select (select count(*) from x_customers) as customers, (select count(distinct country) from x_customers) as countries,
  (select count(*) from x_sessions) as sessions, (select count(distinct customer_id) from x_sessions) as active_users,
  (select count(*) from x_orders) as orders, (select cast(sum(total_usd) as double) from x_orders) as revenue,
- (select cast(sum(total_usd) as double) / count(*) from x_orders) as aov,
+ (select cast(sum(total_usd) as double) / count(total_usd) from x_orders) as aov,
  (select cast(sum(purchase) as bigint) from flags) as purchase_sessions,
  (select sum(purchase) / sum(page_view) from flags) as conversion_rate, (select sum(add_to_cart) / sum(page_view) from flags) as add_to_cart_rate,
  (select avg(rating) from x_reviews) as avg_rating, (select count(*) from x_reviews) as review_count,
@@ -316,6 +316,48 @@ Q["kpi_cards"] = " union all ".join(
 )
 Q["business_snapshot"] = "select section, rank, key, round(value, 6) as value from snapshot"
 
+_PRINTED = [
+    f"'Customers: ' || {_number(_fact('customers'))} || ' across ' || cast(cast({_fact('countries')} as int) as varchar) || ' countries'",
+    f"'Sessions: ' || {_number(_fact('sessions'))} || ' | Orders: ' || {_number(_fact('orders'))}",
+    f"'Total revenue: ' || {_currency(_fact('revenue'))}",
+    f"'Average order value: ' || {_currency(_fact('aov'))}",
+    f"'Session→order conversion: ' || {_percent(_fact('conversion'))}",
+    f"'Average review rating: ' || printf('%.2f', {_fact('avg_rating')}) || '/5 across ' || {_number(_fact('reviews'))} || ' reviews'",
+    f"'Peak revenue month: ' || (select label from peak) || ' (' || {_currency('(select revenue from peak)')} || ')'",
+]
+_SECTIONS = [
+    ("lifecycle", "LIFECYCLE STAGES", ""),
+    ("rfm", "RFM SEGMENTS", ""),
+    ("region", "REGIONS (customer count)", ""),
+    ("country", "TOP COUNTRIES", ""),
+    ("product", "TOP 10 PRODUCTS (by units sold)", " units"),
+    ("category", "CATEGORIES (by units)", " units"),
+]
+_ORDER = {"lifecycle": 1, "rfm": 2, "region": 4, "country": 5, "product": 6, "category": 7}
+Q["snapshot_lines"] = " union all ".join(
+    [f"select 0 as section_order, {i} as rank, 'BUSINESS SNAPSHOT' as title, {line} as line" for i, line in enumerate(_PRINTED, 1)]
+    + [
+        f"select {_ORDER[s]}, rank, '{title}', '- ' || key || ': ' || {_number('value')} || '{unit}' from snapshot where section = '{s}'"
+        for s, title, unit in _SECTIONS
+    ]
+)
+Q["labelled_reviews"] = """select r.review_id, r.order_id, r.product_id, r.rating, r.review_time, s.compound, s.sentiment
+ from x_reviews r join sentiment s on s.review_id = r.review_id"""
+Q["recent_revenue"] = """select month, round(revenue, 6) as revenue, round(change + 1e-10, 6) as change from
+ (select month, revenue, case when lag(month) over (order by month) = month - interval 1 month and lag(revenue) over (order by month) > 0
+   then revenue / lag(revenue) over (order by month) - 1 end as change, max(month) over () as last
+  from (select cast(date_trunc('month', order_time) as timestamp) as month, cast(sum(total_usd) as double) as revenue from x_orders group by 1) m) q
+ where month > last - interval 3 month"""
+Q["later_value"] = """select customer_id, later_orders, round(later_revenue, 6) as later_revenue, later_score,
+  case when later_score >= 80 then 'Platinum' when later_score >= 60 then 'Gold' when later_score >= 40 then 'Silver' else 'Bronze' end as later_tier, later_score >= 60 as high_potential
+ from (select c.customer_id, coalesce(n, 0) as later_orders, coalesce(v, 0) as later_revenue, case when n is null then 0 else least(100,
+   case when v >= 500 then 40 when v >= 200 then 28 when v >= 80 then 16 when v > 0 then 6 else 0 end
+   + case when n >= 8 then 30 when n >= 4 then 20 when n >= 2 then 10 when n = 1 then 4 else 0 end
+   + case when o.age <= 30 then 30 when o.age <= 60 then 22 when o.age <= 120 then 12 when o.age <= 180 then 4 else 0 end) end as later_score
+  from x_customers c left join (select customer_id, count(*) as n, cast(sum(total_usd) as double) as v,
+    floor(epoch(timestamp '2001-08-01 00:00:00' - max(order_time)) / 86400) as age
+   from x_orders where order_time >= timestamp '2000-08-01' and order_time < timestamp '2001-08-01' group by customer_id) o on o.customer_id = c.customer_id) q"""
+
 # --- clusters ---------------------------------------------------------------------------
 _FEATURES = (
     "session_count_log events_log page_to_cart_rate cart_to_checkout_rate checkout_to_purchase_rate orders_log revenue_log avg_order_value "

@@ -246,10 +246,13 @@ select customer_id, w, min(w) over (partition by customer_id) as cohort
 from (select distinct customer_id, cast(date_trunc('week', start_time) as timestamp) as w from x_sessions) x
 """
 
+# Only the words of the lexicon, each with the three before it.
 VIEWS["words"] = """
-select review_id, product_id, unnest(ws) as w, unnest(list_concat([null], ws)) as b1, unnest(list_concat([null, null], ws)) as b2, unnest(list_concat([null, null, null], ws)) as b3
-from (select review_id, product_id, list_transform(regexp_split_to_array(lower(coalesce(review_text, '')), '\\s+'),
-  lambda x: case when length(trim(x, '!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~')) > 2 then trim(x, '!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~') else x end) as ws from x_reviews) t
+select review_id, product_id, h.w as w, h.b1 as b1, h.b2 as b2, h.b3 as b3 from
+(select review_id, product_id, unnest([{'w': ws[i], 'b1': case when i > 1 then ws[i - 1] end, 'b2': case when i > 2 then ws[i - 2] end, 'b3': case when i > 3 then ws[i - 3] end}
+  for i in range(1, len(ws) + 1) if ws[i] in ('the', 'and', 'of', 'der', 'und', 'la', 'que', 'el')]) as h
+from (select review_id, product_id, [case when length(trim(x, '!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~')) > 2 then trim(x, '!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~') else x end
+  for x in regexp_split_to_array(lower(coalesce(review_text, '')), '\\s+')] as ws from x_reviews) t) u
 """
 
 VIEWS["lexicon"] = """
@@ -356,7 +359,7 @@ _HEADLINE = " union all ".join(
             ("sessions", "select count(*) from x_sessions"),
             ("orders", "select count(*) from x_orders"),
             ("revenue", "select sum(total_usd) from x_orders"),
-            ("aov", "select cast(sum(total_usd) as double) / count(*) from x_orders"),
+            ("aov", "select cast(sum(total_usd) as double) / count(total_usd) from x_orders"),
             ("conversion", "(select count(*) from x_orders) / (select count(*) from x_sessions)"),
             ("avg_rating", "select avg(rating) from x_reviews"),
             ("reviews", "select count(*) from x_reviews"),

@@ -6,7 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from basketlens.operators import clusters, customers, funnel, products, retention, segments, snapshot, texts, trends
+from basketlens.operators import clusters, customers, funnel, potential, products, retention, segments, snapshot, texts, trends
 
 
 def rows(df, *columns):
@@ -305,6 +305,53 @@ def test_kpis_and_snapshot(shop):
     assert texts_["conversion"].endswith("100.0%  \n**Sessions:** 3 | **Orders:** 3")
     lines = rows(snapshot.snapshot_lines(facts), "title", "line")
     assert ("CATEGORIES (by units)", "- toys: 8 units") in lines
+    assert ("BUSINESS SNAPSHOT", "Sessions: 3 | Orders: 3") in lines
+    assert ("BUSINESS SNAPSHOT", "Peak revenue month: March 2024 ($30)") in lines
+
+
+def test_means_leave_out_missing_totals_and_ratings(make_tables):
+    tables = make_tables(
+        customers=[{"customer_id": 1, "country": "US"}],
+        orders=[
+            {"order_id": 1, "customer_id": 1, "order_time": "2024-01-01", "total_usd": 10},
+            {"order_id": 2, "customer_id": 1, "order_time": "2024-02-01"},
+            {"order_id": 3, "customer_id": 1, "order_time": "2024-04-01", "total_usd": 30},
+        ],
+        reviews=[{"review_id": 1, "order_id": 1, "rating": 5}, {"review_id": 2, "order_id": 1}, {"review_id": 3, "order_id": 3, "rating": 2}],
+    )
+    row = snapshot.kpis(tables).first()
+    assert (row["orders"], row["aov"], row["avg_rating"], row["review_count"]) == (3, 20.0, 3.5, 3)
+    facts = {r["key"]: r["value"] for r in snapshot.headline(tables).collect()}
+    assert (facts["orders"], facts["aov"], facts["avg_rating"], facts["reviews"]) == (3, 20.0, 3.5, 3)
+
+
+def test_recent_revenue(frame):
+    orders = frame(
+        [(dt.datetime(2024, m, 3), v) for m, v in ((1, 10.0), (2, 20.0), (3, 30.0), (5, 60.0), (5, 6.0))], "order_time timestamp_ntz, total_usd double"
+    )
+    found = [(r["month"].month, r["revenue"], r["change"]) for r in trends.recent_revenue(orders, 4).collect()]
+    assert found == [(2, 20.0, 1.0), (3, 30.0, 0.5), (5, 66.0, None)]
+
+
+def test_later_value_and_potential(make_tables, frame):
+    cut = dt.datetime(2024, 1, 1)
+    spend = {1: [("2024-01-05", 600)] * 8 + [("2024-06-28", 1)], 2: [("2023-12-31", 900), ("2024-07-01", 900)], 3: [("2024-06-20", 100)]}
+    tables = make_tables(
+        customers=[{"customer_id": i} for i in (1, 2, 3)],
+        orders=[{"order_id": 10 * c + i, "customer_id": c, "order_time": t, "total_usd": v} for c, o in spend.items() for i, (t, v) in enumerate(o)],
+    )
+    found = {r["customer_id"]: (r["later_orders"], r["later_score"], r["later_tier"], r["high_potential"]) for r in potential.later_value(tables, cut, 182).collect()}
+    assert found == {1: (9, 100, "Platinum", True), 2: (0, 0, "Bronze", False), 3: (1, 50, "Silver", False)}
+    rows_ = [(i, 1 + i % 5, 1, 1, "Active Repeat Buyer", i % 3, 0.1, 50.0 + 200 * (i % 2), 0.0, 5, 10, 1) for i in range(200)]
+    schema = (
+        "customer_id int, r_score int, f_score int, m_score int, lifecycle_stage string, session_count int, page_to_cart_rate double, "
+        "avg_order_value double, avg_discount_pct double, active_days int, recency_days int, marketing_opt_in int"
+    )
+    past = frame(rows_, schema)
+    label = past.selectExpr("customer_id", "if(customer_id % 2 = 1, 'Gold', 'Bronze') as later_tier")
+    out = potential.spending_potential(past, label, past).collect()
+    assert all((r["predicted_ltv_tier"] == "Gold") == (r["customer_id"] % 2 == 1) == r["high_potential"] for r in out)
+    assert all(0 <= r["potential_score"] <= 100 for r in out)
 
 
 SUMMARY = "cluster_id int, users long, avg_age double, sessions double, orders double, revenue double, aov double, conversion double, avg_discount double, avg_rating double, recency double"

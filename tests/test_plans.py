@@ -9,7 +9,7 @@ from basketlens.operators import customers, ranking
 from basketlens.plans import catalog
 from basketlens.plans.catalog import REGISTRY
 
-FITTED = {"kmeans_select", "customer_clusters", "cluster_scatter", "cluster_pca"}
+FITTED = {"kmeans_select", "customer_clusters", "cluster_scatter", "cluster_pca", "spending_potential"}
 
 
 def plan(df, mode="simple"):
