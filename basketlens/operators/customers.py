@@ -33,9 +33,9 @@ def dominant_value(df: DataFrame, group_col: str, value_col: str, name: str) ->
     return value_profile(df, group_col, value_col, name, "values").drop("values")
 
 
-def _session_parts(sessions: DataFrame) -> list[DataFrame]:
-    """Count and span, then source and device figures, each one row per customer."""
-    spans = (
+def _session_span(sessions: DataFrame) -> DataFrame:
+    """Count and span, one row per customer."""
+    return (
         sessions.dropna(subset=["customer_id"])
         .groupBy("customer_id")
         .agg(
@@ -44,22 +44,54 @@ def _session_parts(sessions: DataFrame) -> list[DataFrame]:
             F.max("start_time").alias("last_session"),
         )
     )
-    return [
-        spans,
-        value_profile(sessions, "customer_id", "source", "dominant_source", "source_diversity"),
-        value_profile(sessions, "customer_id", "device", "dominant_device", "device_diversity"),
-    ]
 
 
-def session_summary(sessions: DataFrame) -> DataFrame:
-    spans, sources, devices = _session_parts(sessions)
-    return (
-        spans.join(sources.drop("dominant_source"), "customer_id", "left")
-        .join(devices.drop("dominant_device"), "customer_id", "left")
-        .fillna(0, subset=["source_diversity", "device_diversity"])
+def _session_parts(sessions: DataFrame) -> DataFrame:
+    """Count, span, and most frequent source and device with the number of each, from one pass over the sessions.
+
+    Sessions are combined per customer, source and device; both columns are then counted as entries of one list, so a
+    busy customer is a handful of rows from the first exchange on.
+    """
+    combined = (
+        sessions.dropna(subset=["customer_id"])
+        .groupBy("customer_id", "source", "device")
+        .agg(
+            F.count("session_id").alias("sessions"),
+            F.count("*").alias("rows"),
+            F.min("start_time").alias("first"),
+            F.max("start_time").alias("last"),
+        )
+    )
+    # sources carry the count and span as well; every session has one entry of each kind, null ones included
+    kinds = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("value")) for kind in ("source", "device")]))
+    counted = (
+        combined.select("customer_id", "sessions", "rows", "first", "last", kinds.alias("e"))
+        .groupBy("customer_id", "e.kind", "e.value")
+        .agg(F.sum("sessions").alias("sessions"), F.sum("rows").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+    )
+
+    def most(kind: str) -> Column:
+        known = (F.col("kind") == kind) & F.col("value").isNotNull()
+        return F.min_by(F.when(known, F.col("value")), F.when(known, F.struct(-F.col("n"), F.col("value"))))
+
+    def number(kind: str) -> Column:
+        return F.count(F.when(F.col("kind") == kind, F.col("value")))
+
+    return counted.groupBy("customer_id").agg(
+        F.sum(F.when(F.col("kind") == "source", F.col("sessions"))).alias("session_count"),
+        F.min("first").alias("first_session"),
+        F.max("last").alias("last_session"),
+        most("source").alias("dominant_source"),
+        number("source").alias("source_diversity"),
+        most("device").alias("dominant_device"),
+        number("device").alias("device_diversity"),
     )
 
 
+def session_summary(sessions: DataFrame) -> DataFrame:
+    return _session_parts(sessions).drop("dominant_source", "dominant_device")
+
+
 def events_per_session(events: DataFrame) -> DataFrame:
     """One row per session: event counts by type, and additive parts of the volume figures."""
     return events.groupBy("session_id").agg(
@@ -247,7 +279,7 @@ def segment_inputs(
     orders = order_summary(tables.orders).select("customer_id", "order_count", "revenue", "last_order")
     base = base.join(orders, "customer_id", "left")
     if lifecycle or recency_from == "sessions":
-        base = base.join(_session_parts(tables.sessions)[0], "customer_id", "left")
+        base = base.join(_session_span(tables.sessions), "customer_id", "left")
     filled = base.fillna(0, subset=[c for c in ("order_count", "revenue", "session_count") if c in base.columns])
     last_seen = F.coalesce("last_session" if recency_from == "sessions" else "last_order", "signup_date")
     recency = S.not_negative(S.elapsed_days(F.col("__now"), last_seen))
@@ -291,7 +323,7 @@ def customer_profile(
     people = geo_lookup(tables.customers, "country", tables.countries)
     people = infer_gender(people, "name", tables.first_names)
     sides = [
-        *_session_parts(tables.sessions),
+        _session_parts(tables.sessions),
         event_summary(tables),
         order_summary(tables.orders),
         review_summary(tables.reviews, tables.orders),

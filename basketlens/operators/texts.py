@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from basketlens.functions import constants as K
 from basketlens.functions import scalars as S
+from basketlens.plans.stage import write_stage
 
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _KEYWORD = r"([\p{L}\p{N}_][\p{L}\p{N}_']+)"
@@ -201,7 +202,8 @@ def category_phrases(
     taken within one review, from the words left after numbers are dropped; a pair
     with a stopword is left out.
     """
-    words = _category_counts(reviews, products, stopwords, text_col, 1)
+    # read three times below, so the texts are split once for words and once for pairs
+    words = write_stage(_category_counts(reviews, products, stopwords, text_col, 1), "word-counts")
     totals = words.groupBy("category").agg(F.sum("n").alias("total"))
     pairs = _category_counts(reviews, products, stopwords, text_col, 2)
     # one row per distinct word on the right side of both joins
@@ -252,6 +254,5 @@ def route_questions(questions: DataFrame, text_col: str, rules=K.INTENTS) -> Dat
 
 
 def answer_questions(questions: DataFrame, text_col: str, answers: DataFrame, rules=K.INTENTS) -> DataFrame:
-    """Every question with its intent and the answer text (one row per intent, so broadcast)."""
-    routed = route_questions(questions, text_col, rules)
-    return routed.join(F.broadcast(answers), "intent", "left")
+    """Every question with its intent and the answer text, which has one row per intent."""
+    return route_questions(questions, text_col, rules).join(answers, "intent", "left")

@@ -27,15 +27,15 @@ _PRINTED_AS_DOUBLE = {"events": ["product_id", "qty", "cart_size"]}
 
 
 def load_tables(
-    spark: SparkSession, folder: str, fmt: str = "csv", *, line_breaks_in_texts: bool = True, **lookups: DataFrame
+    spark: SparkSession, folder: str, fmt: str = "csv", *, line_breaks_in_texts: bool = False, **lookups: DataFrame
 ) -> RetailTables:
     """Load ``<folder>/<table>.<fmt>``, a file or a folder of files, for all seven tables.
 
     The schemas are declared, never inferred.  A CSV value that does not fit its
     column fails the read.  Every missing table is named in one error.
 
-    Review texts may hold line breaks, so one review file is read by one task; set
-    ``line_breaks_in_texts`` to False where they have none, and large files are split.
+    Large files are split.  Review texts that hold line breaks fail the read unless
+    ``line_breaks_in_texts`` is set; then one task reads each review file.
     """
     if fmt not in ("csv", "parquet"):
         raise ValueError(f"unsupported format: {fmt}")

@@ -34,6 +34,9 @@ HEADLINE = [
     "business_snapshot",
     "standardised_features",
     "silhouette_exact",
+    "silhouette_squared",
+    "category_phrases",
+    "customer_clusters",
 ]
 
 

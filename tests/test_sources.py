@@ -25,7 +25,7 @@ def test_csv_types(spark, tmp_path):
         events=["5,7,2024-01-02 10:30:00,page_view,,2.0,3,,,"],
         reviews=['9,1,2,5,"two\nlines, ""quoted""",2024-01-02'],
     )
-    t = load_tables(spark, str(tmp_path))
+    t = load_tables(spark, str(tmp_path), line_breaks_in_texts=True)
     ann, bob = t.customers.orderBy("customer_id").collect()
     assert (ann["age"], ann["marketing_opt_in"], ann["signup_date"]) == (None, True, dt.datetime(2024, 1, 2))
     assert (bob["country"], bob["age"], bob["signup_date"]) == (None, 33.5, dt.datetime(2024, 1, 2, 10, 30))
@@ -34,6 +34,12 @@ def test_csv_types(spark, tmp_path):
     assert t.orders.count() == 0
 
 
+def test_line_breaks_must_be_asked_for(spark, tmp_path):
+    write_csv(tmp_path, reviews=['9,1,2,5,"two\nlines",2024-01-02'])
+    with pytest.raises(Exception, match="FAILED_READ_FILE|MALFORMED"):
+        load_tables(spark, str(tmp_path)).reviews.collect()
+
+
 def test_all_missing_files_are_named(spark, tmp_path):
     write_csv(tmp_path)
     (tmp_path / "orders.csv").unlink()
