@@ -95,30 +95,32 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Texts are equal when they are after lower-casing A-Z only; equality is that of SHA-256 and length.  Of equal
     texts the ``largest`` (or ``smallest``) id stays.  Null text is empty, empty texts are equal to each other, rows with
-    the same id are separate rows of a group, no rows give no rows, and other columns are not read.  Ids are integers.
+    the same id are separate rows of a group, no rows give no rows, and other columns are not read.  Ids are integers; a row
+    without one counts in its group and stays only where no row of the group has one.
     """
     spark = docs.sparkSession
+    no_id = F.lit((1 << 63) - 1 if keep == "smallest" else -(1 << 63)).cast("long")  # loses against every id
     smallest, partitions = keep == "smallest", shuffle_partitions(spark)
     digests = store(id_and_text(docs, id_col, text_col).mapInArrow(_digests, DIGESTS), "digests")
     runs = int(digests.agg(F.coalesce(F.max("run"), F.lit(0)) + 1).first()[0])
     rounds = math.ceil(round(math.log2(runs), 9) / RADIX_BITS)
     cells = 1 << RADIX_BITS * rounds
 
-    start = store(_merge_runs(digests.select("run", "digest", "n_bytes", F.col("doc_id").alias("keep"), F.lit(1).cast("long").alias("n")), smallest, partitions), "runs")
+    start = store(_merge_runs(digests.select("run", "digest", "n_bytes", F.coalesce("doc_id", no_id).alias("keep"), F.lit(1).cast("long").alias("n")), smallest, partitions), "runs")
     level = start
     for r in range(rounds):
         bits = ((1 << RADIX_BITS) - 1) << RADIX_BITS * r
         cell = F.pmod(F.xxhash64("digest"), F.lit(cells)).cast("int")
         owner = F.col("run").bitwiseAND(F.lit(~bits)).bitwiseOR(cell.bitwiseAND(F.lit(bits)))
         level = _merge_runs(level.withColumn("run", owner), smallest, partitions)
-    whole = level.select("digest", "n_bytes", F.col("keep").alias("keep_id"), F.col("n").alias("group_size"))
+    whole = level.select("digest", "n_bytes", F.nullif(F.col("keep"), no_id).alias("keep_id"), F.col("n").alias("group_size"))
 
     per_run = start.select("run", "digest", "n_bytes").join(whole, ["digest", "n_bytes"])
     return digests.join(per_run, ["run", "digest", "n_bytes"]).select(
         "doc_id",
         "keep_id",
         "group_size",
-        (F.col("doc_id") == F.col("keep_id")).alias("kept"),
+        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 

@@ -39,6 +39,11 @@ LETTER_BYTE[97:123] = True
 LETTER_BYTE[128:] = True
 
 
+def has_letter(text: str) -> bool:
+    """Some characters that are neither digits nor marks, such as a superscript two, are no letters either."""
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of every subword of the texts in turn, and how many each text has."""
     raw = [b" " + t.lower().encode("utf-8") + b" " for t in texts]
@@ -180,7 +185,7 @@ def _predictor(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             texts = [block.text(i).decode("utf-8") for i in range(len(block))]
-            known = np.array([LETTER.search(t) is not None for t in texts])
+            known = np.array([has_letter(t) for t in texts])
             best, score = np.zeros(len(texts), int), np.zeros(len(texts))
             names = [UNKNOWN]
             if model is None:

@@ -7,7 +7,7 @@ from basketlens.llm.shared import ship
 
 SCHEMA = "doc_id long, text string, lang string, source string"
 # names that operators use themselves, or a careless join would confuse
-CLASHES = ["row", "t", "w", "h", "n", "a", "b", "marks", "text_key", "run", "digest", "label", "class_id", "component", "kept", "_gone", "length", "count"]
+CLASHES = ["row", "t", "w", "h", "n", "a", "b", "marks", "text_key", "run", "digest", "label", "class_id", "component", "kept", "gone", "length", "count"]
 
 
 @pytest.fixture(scope="session")

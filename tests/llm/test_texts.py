@@ -163,6 +163,10 @@ def test_subwords_of_a_text_do_not_depend_on_its_neighbours():
     assert [sorted(map(int, x)) for x in np.split(together, np.cumsum(counts)[:-1])] == [sorted(x) for x in alone]
 
 
+def test_letters():
+    assert [language.has_letter(t) for t in ("a", "1 é", "² ½ 3_", "", "Ⅷ", "中", "... !")] == [True, True, False, False, False, True, False]
+
+
 def test_sketch_bins(spark):
     values = [0, 1, 31, 32, 63, 64, 65, 66, 1000, 123456, 2**40 + 12345]
     got = spark.createDataFrame([(v,) for v in values], "v long").select("v", F.expr(quality.bin_of("v")).alias("b")).select("v", "b", F.expr(quality.value_of("b")).alias("low")).collect()
