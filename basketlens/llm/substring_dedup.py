@@ -101,10 +101,10 @@ def query(spark: SparkSession, folder: str) -> DataFrame:
 
 SQL = """
 with d as (select doc_id, [x for x in regexp_split_to_array(coalesce(text, ''), '[ \\t-\\r]+') if x <> ''] as w from documents),
-g as (select doc_id, i, array_to_string(w[i:i + 12], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from d)),
-hit as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by g) as m from g) where m < doc_id),
+u as materialized (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as i from d),
+g as (select doc_id, i, string_agg(x, ' ') over o as g, count(*) over o as n from u window o as (partition by doc_id order by i rows between current row and 12 following)),
+hit as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by g) as m from g where n = 13) where m < doc_id),
 gone as (select distinct doc_id, i + k as i from hit, range(0, 13) r(k)),
-u as (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as i from d),
 k as (select u.doc_id, count(*) filter (where gone.i is not null) as n_removed, string_agg(x, ' ' order by u.i) filter (where gone.i is null) as kept
   from u left join gone on gone.doc_id = u.doc_id and gone.i = u.i group by u.doc_id)
 select d.doc_id, len(w) as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k using (doc_id)
