@@ -11,7 +11,7 @@ ones matter.  The first incumbent takes, for the largest length, the filling wit
 first (found by subset sums held as bits), as often as the counts allow.  Sequences without waste are settled; the pieces
 of the others are searched by branch and bound: a branch ends when the sequences so far and the least number
 for the rest, by its tokens and by its large pieces, cannot beat the incumbent.  The search stops at the lower bound
-of the whole, or after ``MOST_NODES`` fillings, with the incumbent.
+of the whole, or after ``MOST_STEPS`` fillings, with the incumbent.
 """
 
 from __future__ import annotations
@@ -32,13 +32,15 @@ from pyspark.sql import functions as F
 from basketlens.llm.shared import blocks, documents, id_and_text, shuffle_partitions, store
 
 CAPACITY = 2048
-MOST_NODES = 20_000
+MOST_STEPS = 20_000
 CORE_SEQUENCES = 400
-CACHED_WORDS = 100_000
+HELD_WORDS = 1_000_000
+HELD_PIECES = 1_000_000
 
 # A space between two characters that are not white space: one pre-split match ends and the next begins here.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
-UNSAFE = re.compile(r" \s|\s |^ | $")
+# Letters up to an ASCII punctuation mark other than the apostrophe: a match ends there too.
+LETTERS = re.compile(r"[^\W\d_]+(?=[!-&(-/:-@\[-`{-~])")
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -52,17 +54,18 @@ Filling = tuple[tuple[int, int], ...]
 
 def least_sequences(counts: dict[int, int], capacity: int) -> int:
     """A lower bound: by all tokens, and for each k by the pieces too large to share a sequence with one of k."""
-    lengths = sorted(counts)
-    total = sum(x * counts[x] for x in lengths)
-    best = -(-total // capacity)
-    for k in [x for x in lengths if 2 * x <= capacity] + [capacity // 2 + 1]:
-        alone = [x for x in lengths if x > capacity - k]
-        half = [x for x in lengths if capacity // 2 < x <= capacity - k]
-        small = sum(x * counts[x] for x in lengths if k <= x <= capacity // 2)
-        n_half = sum(counts[x] for x in half)
-        rest = small - (n_half * capacity - sum(x * counts[x] for x in half))
-        best = max(best, sum(counts[x] for x in alone) + n_half + max(0, -(-rest // capacity)))
-    return best
+    lengths = np.array(sorted(x for x, n in counts.items() if n), np.int64)
+    if not len(lengths):
+        return 0
+    number = np.array([counts[x] for x in lengths.tolist()], np.int64)
+    pieces, tokens = (np.concatenate([[0], np.cumsum(x)]) for x in (number, number * lengths))
+    half = np.searchsorted(lengths, capacity // 2, side="right")
+    ks = np.append(lengths[:half], capacity // 2 + 1)
+    alone = np.searchsorted(lengths, capacity - ks, side="right").clip(min=half)
+    small = tokens[half] - tokens[np.searchsorted(lengths, ks).clip(max=half)]
+    room = (pieces[alone] - pieces[half]) * capacity - (tokens[alone] - tokens[half])
+    by_size = pieces[-1] - pieces[half] + np.maximum(0, -(-(small - room) // capacity))
+    return int(max(-(-tokens[-1] // capacity), by_size.max()))
 
 
 def least_waste_filling(counts: dict[int, int], lengths: list[int], room: int) -> Filling:
@@ -111,69 +114,74 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]
     return out
 
 
-def undominated(left: dict[int, int], room: int) -> Iterator[tuple[int, ...]]:
-    """Fillings of ``room`` that no single swap or addition improves, larger lengths first."""
-    lengths = sorted((x for x, n in left.items() if n and x <= room), reverse=True)
-
-    def improvable(chosen: Counter, gap: int) -> bool:
-        spare = [x for x in lengths if left[x] > chosen[x]]
-        return any(x <= gap for x in spare) or any(y < x <= y + gap for y in chosen for x in spare)
-
-    def extend(at: int, gap: int, chosen: list[int]) -> Iterator[tuple[int, ...]]:
-        held = Counter(chosen)
-        fits = False
-        for i in range(at, len(lengths)):
-            x = lengths[i]
-            if x <= gap and left[x] > held[x]:
-                fits = True
-                yield from extend(i, gap - x, [*chosen, x])
-        if not fits and not improvable(held, gap):
-            yield tuple(chosen)
-
-    return extend(0, room, [])
-
-
-def complete(counts: dict[int, int], capacity: int, limit: int, most: int) -> list[tuple[int, ...]] | None:
-    """Branch and bound: sequences for all pieces, fewer than ``limit``, or None where none were found."""
-    left = dict(counts)
-    bound, nodes = least_sequences(counts, capacity), 0
-    best: list[tuple[int, ...]] | None = None
-
-    def branch(done: list[tuple[int, ...]], tokens: int) -> bool:
+class Search:
+    """Branch and bound over sequences, within a number of steps; each filling begun is one."""
+
+    def __init__(self, counts: dict[int, int], capacity: int, limit: int, most: int):
+        self.left, self.capacity, self.limit, self.steps = dict(counts), capacity, limit, most
+        self.bound = least_sequences(counts, capacity)
+        self.best: list[tuple[int, ...]] | None = None
+
+    def undominated(self, room: int) -> Iterator[tuple[int, ...]]:
+        """Fillings of ``room`` that no single swap or addition improves, larger lengths first."""
+        lengths = sorted((x for x, n in self.left.items() if n and x <= room), reverse=True)
+
+        def improvable(held: Counter, gap: int) -> bool:
+            spare = [x for x in lengths if self.left[x] > held[x]]
+            return any(x <= gap for x in spare) or any(y < x <= y + gap for y in held for x in spare)
+
+        def extend(at: int, gap: int, chosen: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+            self.steps -= 1
+            if self.steps < 0:
+                return
+            held = Counter(chosen)
+            fits = False
+            for i in range(at, len(lengths)):
+                x = lengths[i]
+                if x <= gap and self.left[x] > held[x]:
+                    fits = True
+                    yield from extend(i, gap - x, (*chosen, x))
+                    if self.steps < 0:
+                        return
+            if not fits and (not gap or not improvable(held, gap)):
+                yield chosen
+
+        return extend(0, room, ())
+
+    def branch(self, done: list[tuple[int, ...]]) -> bool:
         """True when the search is over."""
-        nonlocal best, limit, nodes
-        top = max((x for x, n in left.items() if n), default=0)
-        if not top:
-            best, limit = list(done), len(done)
-            return limit <= bound
-        if len(done) + -(-tokens // capacity) >= limit or len(done) + least_sequences({x: n for x, n in left.items() if n}, capacity) >= limit:
+        rest = {x: n for x, n in self.left.items() if n}
+        if not rest:
+            self.best, self.limit = list(done), len(done)
+            return self.limit <= self.bound
+        if len(done) + least_sequences(rest, self.capacity) >= self.limit:
             return False
-        left[top] -= 1
-        options = []
-        for filling in undominated(left, capacity - top):
-            nodes += 1
-            options.append(filling)
-            if len(options) >= 64 or nodes >= most:
-                break
+        top = max(rest)
+        self.left[top] -= 1
+        options = sorted(self.undominated(self.capacity - top), key=lambda f: (-sum(f), len(f)))
         over = False
-        for filling in sorted(options, key=lambda f: (-sum(f), len(f))):
+        for filling in options:
             for x in filling:
-                left[x] -= 1
+                self.left[x] -= 1
             done.append((top, *filling))
-            over = branch(done, tokens - top - sum(filling)) or nodes >= most
+            over = self.branch(done) or self.steps < 0
             done.pop()
             for x in filling:
-                left[x] += 1
+                self.left[x] += 1
             if over:
                 break
-        left[top] += 1
+        self.left[top] += 1
         return over
 
-    branch([], sum(x * n for x, n in counts.items()))
-    return best
+
+def complete(counts: dict[int, int], capacity: int, limit: int, most: int) -> list[tuple[int, ...]] | None:
+    """Sequences for all pieces, fewer than ``limit``, or None where the search found none."""
+    search = Search(counts, capacity, limit, most)
+    search.branch([])
+    return search.best
 
 
-def fillings(counts: dict[int, int], capacity: int, most: int = MOST_NODES) -> list[tuple[Filling, int]]:
+def fillings(counts: dict[int, int], capacity: int, most: int = MOST_STEPS) -> list[tuple[Filling, int]]:
     """Fillings with repeats that hold every piece once, in as few sequences as the search finds."""
     incumbent = best_fit(counts, capacity)
     used, bound = sum(r for _, r in incumbent), least_sequences(counts, capacity)
@@ -196,30 +204,93 @@ def fillings(counts: dict[int, int], capacity: int, most: int = MOST_NODES) -> l
 # ---------------------------------------------------------------- token pieces
 
 
-@lru_cache(maxsize=4)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    loaded = Tokenizer.from_file(path)
-    loaded.encode_special_tokens = True
-    return loaded, {}
+def words_of(text: str) -> list[str]:
+    """The text cut at its safe spaces, which are left out."""
+    at_spaces = text.split(" ")
+    # as many words at any white space, line feeds apart: then every space is a single one between words
+    if len(text.replace("\n", "x").split()) == len(at_spaces) and " \n" not in text and "\n " not in text:
+        return at_spaces
+    return SAFE.split(text)
 
 
-def token_ids(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each text as little-endian 32-bit integers.
+class Encoder:
+    """Token ids of texts, each as little-endian 32-bit integers, with the words and pieces met so far.
 
-    Texts are cut at safe spaces, so a word met before costs one look-up; the words held are bounded in number.
+    A text is cut at safe spaces into words, and a word that begins with letters before its first ASCII punctuation, where
+    a match of the pre-split pattern ends as well.  A word met before costs one look-up; a new one those of its pieces.
+    New pieces that begin with a space follow each other in one text for the tokenizer, and the bytes of the tokens tell
+    where each ends.  What is held is bounded in number and dropped when full.
     """
-    tokenizer, known = _tokenizer(path)
-    if len(known) > CACHED_WORDS:
-        known.clear()
-    cut = [SAFE.split(t) if UNSAFE.search(t) else t.split(" ") for t in texts]
-    cut = [[c[0], *[" " + x for x in c[1:]]] for c in cut]
-    new = list({x for c in cut for x in c if x not in known})
-    for x, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-        known[x] = np.asarray(e.ids, "<u4").tobytes()
-    return [b"".join([known[x] for x in c]) for c in cut]
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token)  # one character stands for one byte
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        apart = [x for x in new if x[:1] != " " or x[-1:].isspace()]
+        for x, ids in zip(apart, self._ids(apart), strict=True):
+            self.pieces[x] = ids.tobytes()
+        inline = [x for x in new if x[:1] == " " and not x[-1:].isspace()]
+        groups = [inline[i : i + 500] for i in range(0, len(inline), 500)]
+        for group, ids in zip(groups, self._ids(["".join(g) for g in groups]), strict=True):
+            raw, upto = ids.tobytes(), np.cumsum(self.bytes_of[ids])
+            ends = np.searchsorted(upto, np.cumsum([len(x.encode("utf-8")) for x in group])) + 1
+            for x, i, j in zip(group, [0, *ends.tolist()], ends.tolist()):
+                self.pieces[x] = raw[4 * i : 4 * j]
+
+    def _meet(self, new: set[str]) -> None:
+        if len(self.words) + len(new) > HELD_WORDS:
+            self.words.clear()
+        if len(self.pieces) > HELD_PIECES:
+            self.pieces.clear()
+        match, plain, ending = LETTERS.match, [], []
+        for w in new:
+            m = match(w)
+            if m is None:
+                plain.append(w)
+            else:
+                ending.append((w, " " + m[0], w[m.end() :]))
+        wanted = {" " + w for w in plain}
+        wanted.update([x for _, x, _ in ending])
+        wanted.update([x for _, _, x in ending])
+        self._learn(list(wanted.difference(self.pieces)))
+        words, pieces = self.words, self.pieces
+        for w in plain:
+            words[w] = pieces[" " + w]
+        for w, x, y in ending:
+            words[w] = pieces[x] + pieces[y]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [words_of(t) for t in texts]
+        begin = [c[0] for c in cut]  # without a space before it
+        rest = [c[1:] for c in cut]
+        new = set().union(*rest).difference(self.words)
+        if new:
+            wanted = set().union(*rest) if len(self.words) + len(new) > HELD_WORDS else new
+            self._meet(wanted)
+        words = self.words
+        return [ids.tobytes() + b"".join([words[x] for x in r]) for ids, r in zip(self._ids(begin), rest, strict=True)]
+
+
+@lru_cache(maxsize=4)
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
+def token_ids(texts: list[str], path: str) -> list[bytes]:
+    return _encoder(path).encode(texts)
 
 
 def cut(tokens: int, capacity: int) -> list[tuple[int, int]]:
