@@ -49,9 +49,19 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+# Drops a query's shuffle files when it ends; otherwise they stay until the driver happens to collect garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back: lineage ends here and lost executors lose nothing."""
-    return write_stage(df, f"llm-{name}")
+    conf = df.sparkSession.conf
+    before = conf.get(CLEAN_UP, "false")
+    conf.set(CLEAN_UP, "true")
+    try:
+        return write_stage(df, f"llm-{name}")
+    finally:
+        conf.set(CLEAN_UP, before)
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

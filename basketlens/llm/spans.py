@@ -27,15 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basketlens.llm.shared import Block, Words, blocks, store, window_hashes, window_starts
+from basketlens.llm.shared import Block, Words, blocks, mix, store, window_hashes, window_starts
 
 PER_BUCKET = 2_000_000
 PER_FLUSH = 400_000
 LEAST_BUCKETS = 8
 
-SENT = "bucket int, told boolean, owners binary, of binary, hashes binary, more binary, places binary"
+SENT = "bucket int, told boolean, owners binary, counts binary, hashes binary, more binary, places binary"
+SENT_NAMES = ["bucket", "told", "owners", "counts", "hashes", "more", "places"]
+# What a bucket tells the texts, by group of texts, and what a text is told in the end.
+ANSWERS = "dealt int, owners binary, counts binary, marks binary"
 TOLD = "doc_id long, text_key long, marks binary"
-SENT_NAMES = ["bucket", "told", "owners", "of", "hashes", "more", "places"]
 
 
 @dataclass(frozen=True)
@@ -82,6 +84,21 @@ def runs(*sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(changed)
 
 
+def by_owner(key: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
+    """For entries sorted by (key, owner): where keys begin, their values, and the owners of each with their entries' number."""
+    owner = runs(key, ids, keys)
+    counts = np.diff(np.append(owner, len(ids))).astype(np.uint32)
+    starts = runs(key)
+    first = np.searchsorted(owner, starts)
+    owners = np.stack([ids[owner], keys[owner]], axis=1).reshape(-1)
+    return starts, key[starts], binaries(owners, first * 2), binaries(counts, first)
+
+
+def owners_of(row: dict) -> np.ndarray:
+    """(id, key) of each entry of a row that :func:`by_owner` has made."""
+    return np.repeat(np.frombuffer(row["owners"], np.int64).reshape(-1, 2), np.frombuffer(row["counts"], np.uint32), axis=0)
+
+
 class Gathered:
     """Entries of some texts until they are sent: owner (id and key), hash, more hash, place."""
 
@@ -90,9 +107,9 @@ class Gathered:
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.size = 0
 
-    def add(self, ids, keys, hashes, more, places) -> bool:
-        self.parts.append((ids, keys, hashes, more, places))
-        self.size += len(hashes)
+    def add(self, *columns: np.ndarray) -> bool:
+        self.parts.append(columns)
+        self.size += len(columns[0])
         return self.size >= PER_FLUSH
 
     def take(self) -> tuple[np.ndarray, ...]:
@@ -100,33 +117,16 @@ class Gathered:
         self.parts, self.size = [], 0
         return columns
 
-    def rows(self, told: bool, ids, keys, hashes, more, places) -> Iterator[pa.RecordBatch]:
-        """One row per bucket; what is already told goes to a bucket of its owner, only to be passed on."""
-        if not len(hashes):
+    def rows(self, told: bool, spread: np.ndarray, ids: np.ndarray, keys: np.ndarray, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """One row per bucket, that of ``spread``; columns that are not given are empty."""
+        if not len(ids):
             return
-        bucket = ((keys.view(np.uint64) if told else hashes >> np.uint64(32)) % self.buckets).astype(np.int32)
+        bucket = (spread % self.buckets).astype(np.int32)
         order = np.lexsort((keys, ids, bucket))
-        ids, keys, hashes, more, places, bucket = (x[order] for x in (ids, keys, hashes, more, places, bucket))
-        owner = runs(bucket, ids, keys)
-        of_owner = np.zeros(len(ids), np.int64)
-        of_owner[owner] = 1
-        of_owner = np.cumsum(of_owner) - 1
-        starts = runs(bucket)
-        first_owner = of_owner[starts]
-        local = (of_owner - np.repeat(first_owner, np.diff(np.append(starts, len(ids))))).astype(np.uint32)
-        owners = np.stack([ids[owner], keys[owner]], axis=1).reshape(-1)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(bucket[starts]),
-                pa.array(np.full(len(starts), told)),
-                binaries(owners, first_owner * 2),
-                binaries(local, starts),
-                binaries(hashes, starts),
-                binaries(more, starts),
-                binaries(places, starts),
-            ],
-            names=SENT_NAMES,
-        )
+        starts, buckets, owners, counts = by_owner(bucket[order], ids[order], keys[order])
+        empty = pa.array([b""] * len(starts), pa.binary())
+        rest = [binaries(columns[c][order], starts) if c in columns else empty for c in ("hashes", "more", "places")]
+        yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(np.full(len(starts), told)), owners, counts, *rest], names=SENT_NAMES)
 
 
 def _local(block: Block, scheme: Scheme) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
@@ -149,20 +149,33 @@ def _ids(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return block.batch.column("doc_id").to_numpy(zero_copy_only=False), block.batch.column("text_key").to_numpy(zero_copy_only=False)
 
 
+LOW, TOP = np.uint64(0xFFFFFFFFFF), np.uint64(40)
+
+
+def split_hashes(hashes: np.ndarray) -> dict[str, np.ndarray]:
+    """Forty bits of a hash, enough within a bucket."""
+    return {"hashes": hashes.astype(np.uint32), "more": (hashes >> np.uint64(32)).astype(np.uint8)}
+
+
+def whole_hashes(row: dict) -> np.ndarray:
+    low, high = np.frombuffer(row["hashes"], np.uint32), np.frombuffer(row["more"], np.uint8)
+    return low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
+
+
 def _send_fingerprints(scheme: Scheme, buckets: int):
     def flush(held: Gathered) -> Iterator[pa.RecordBatch]:
-        ids, keys, hashes, more, places = held.take()
+        ids, keys, hashes = held.take()
         order = np.lexsort((keys, ids, hashes))
         ids, keys, hashes = ids[order], keys[order], hashes[order]
         once = runs(hashes, ids, keys)
+        again = np.diff(np.append(once, len(hashes))) > 1  # further down in the same text
         ids, keys, hashes = ids[once], keys[once], hashes[once]
         group = runs(hashes)
         count = np.diff(np.append(group, len(hashes)))
-        blank = lambda n, kind: np.zeros(n, kind)
-        known = np.repeat(count > 1, count) | (np.repeat(scheme.within, len(hashes)))
+        known = np.repeat(count > 1, count) | (again & scheme.within)
         # of a fingerprint that several texts here have, the bucket needs to know once; they know already
-        yield from held.rows(False, ids[group], keys[group], hashes[group], (count > 1).astype(np.uint32), blank(len(group), np.uint32))
-        yield from held.rows(True, ids[known], keys[known], hashes[known], blank(int(known.sum()), np.uint32), blank(int(known.sum()), np.uint32))
+        yield from held.rows(False, hashes[group] >> TOP, ids[group], keys[group], places=(count > 1).astype(np.uint8), **split_hashes(hashes[group]))
+        yield from held.rows(True, keys[known].view(np.uint64), ids[known], keys[known], **split_hashes(hashes[known]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Gathered(buckets)
@@ -170,8 +183,7 @@ def _send_fingerprints(scheme: Scheme, buckets: int):
             units, hashes, of, places = _local(block, scheme)
             at, grams = _marks(scheme, units, hashes, places)
             ids, keys = _ids(block)
-            none = np.zeros(len(at), np.uint32)
-            if held.add(ids[of[at]], keys[of[at]], grams, none, none):
+            if held.add(ids[of[at]], keys[of[at]], grams):
                 yield from flush(held)
         if held.size:
             yield from flush(held)
@@ -179,39 +191,56 @@ def _send_fingerprints(scheme: Scheme, buckets: int):
     return run
 
 
-def _entries(table: pa.Table) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    for row in table.select(SENT_NAMES[1:]).to_pylist():
-        owners = np.frombuffer(row["owners"], np.int64).reshape(-1, 2)
-        of = np.frombuffer(row["of"], np.uint32)
-        yield row["told"], owners[of], np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["more"], np.uint32), np.frombuffer(row["places"], np.uint32), of
+def _answers(owners: list[np.ndarray], marks: list[np.ndarray], groups: int) -> pa.Table:
+    """One row per group of texts, with what each of its texts is told."""
+    owners = np.concatenate(owners) if owners else np.zeros((0, 2), np.int64)
+    marks = np.concatenate(marks) if marks else np.zeros(0, np.uint32)
+    dealt = (mix(owners[:, 0].view(np.uint64)) % np.uint64(groups)).astype(np.int32)
+    order = np.lexsort((owners[:, 1], owners[:, 0], dealt))
+    owners, marks = owners[order], marks[order]
+    starts, groups, owners, counts = by_owner(dealt[order], owners[:, 0], owners[:, 1])
+    return pa.Table.from_arrays([pa.array(groups), owners, counts, binaries(marks, starts)], names=["dealt", "owners", "counts", "marks"])
 
 
-def _tell(owners: np.ndarray, marks: np.ndarray) -> pa.Table:
-    """One row per owner with its marks."""
-    order = np.lexsort((owners[:, 1], owners[:, 0]))
-    owners, marks = owners[order], marks[order]
-    starts = runs(owners[:, 0], owners[:, 1])
-    return pa.Table.from_arrays([pa.array(owners[starts, 0]), pa.array(owners[starts, 1]), binaries(marks, starts)], names=["doc_id", "text_key", "marks"])
+def _gathered_answers(kind: type):
+    """One row per text with all its marks, from the rows of its group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.select(["owners", "counts", "marks"]).to_pylist()
+        owners = np.concatenate([owners_of(r) for r in rows])
+        marks = np.concatenate([np.frombuffer(r["marks"], kind) for r in rows])
+        order = np.lexsort((owners[:, 1], owners[:, 0]))
+        owners, marks = owners[order], marks[order]
+        starts = runs(owners[:, 0], owners[:, 1])
+        return pa.Table.from_arrays([pa.array(owners[starts, 0]), pa.array(owners[starts, 1]), binaries(marks, starts)], names=["doc_id", "text_key", "marks"])
 
+    return run
 
-def _joined(parts: list[np.ndarray], empty: np.ndarray) -> np.ndarray:
-    return np.concatenate(parts) if parts else empty
 
+def _shared_fingerprints(groups: int):
+    def run(table: pa.Table) -> pa.Table:
+        owners, marks, sent, already, sent_owners = [], [], [], [], []
+        for row in table.select(SENT_NAMES[1:]).to_pylist():
+            if row["told"]:
+                owners.append(owners_of(row))
+                marks.append(whole_hashes(row))
+            else:
+                sent_owners.append(owners_of(row))
+                sent.append(whole_hashes(row))
+                already.append(np.frombuffer(row["places"], np.uint8) > 0)
+        if sent:
+            hashes = np.concatenate(sent)
+            order = np.argsort(hashes, kind="stable")
+            group = runs(hashes[order])
+            count = np.diff(np.append(group, len(hashes)))
+            tell = np.zeros(len(hashes), bool)
+            tell[order] = np.repeat(count > 1, count)
+            tell &= ~np.concatenate(already)
+            owners.append(np.concatenate(sent_owners)[tell])
+            marks.append(hashes[tell])
+        return _answers(owners, marks, groups)
 
-def _shared_fingerprints(table: pa.Table) -> pa.Table:
-    known, sent = [], []
-    for told, owners, hashes, more, _, _ in _entries(table):
-        (known if told else sent).append((owners, hashes, more))
-    no_owner, no_hash = np.zeros((0, 2), np.int64), np.zeros(0, np.uint64)
-    owners, hashes = _joined([x[0] for x in sent], no_owner), _joined([x[1] for x in sent], no_hash)
-    already = _joined([x[2] for x in sent], np.zeros(0, np.uint32)) > 0
-    order = np.argsort(hashes, kind="stable")
-    group = runs(hashes[order])
-    count = np.diff(np.append(group, len(hashes)))
-    tell = np.zeros(len(hashes), bool)
-    tell[order] = np.repeat(count > 1, count)
-    tell &= ~already
-    return _tell(np.concatenate([owners[tell], *(x[0] for x in known)]), np.concatenate([hashes[tell], *(x[1] for x in known)]))
+    return run
 
 
 def _send_windows(scheme: Scheme, buckets: int):
@@ -221,14 +250,10 @@ def _send_windows(scheme: Scheme, buckets: int):
         ids, keys, hashes, more, places = held.take()
         order = np.lexsort((places, ids, more, hashes))
         ids, keys, hashes, more, places = (x[order] for x in (ids, keys, hashes, more, places))
-        group = runs(hashes, more)
-        size = np.diff(np.append(group, len(hashes)))
-        later = ids != np.repeat(ids[group], size)
-        if scheme.within:
-            later |= places != np.repeat(places[group], size)
+        later = _not_first(scheme.within, ids, hashes, more, places)
         first = ~later
-        yield from held.rows(False, ids[first], keys[first], hashes[first], more[first], places[first])
-        yield from held.rows(True, ids[later], keys[later], hashes[later], more[later], places[later])
+        yield from held.rows(False, hashes[first] >> TOP, ids[first], keys[first], hashes=hashes[first], more=more[first], places=places[first])
+        yield from held.rows(True, keys[later].view(np.uint64), ids[later], keys[later], places=places[later])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Gathered(buckets)
@@ -241,8 +266,7 @@ def _send_windows(scheme: Scheme, buckets: int):
             for i in range(len(block)):
                 lo, hi = limits[i], limits[i + 1]
                 if hi > lo:
-                    told = np.frombuffer(b"".join(marks[i].as_py()), np.uint64)
-                    shared[lo:hi] = np.isin(grams[lo:hi], told)
+                    shared[lo:hi] = np.isin(grams[lo:hi] & LOW, np.frombuffer(marks[i].as_py(), np.uint64))
             windows = window_hashes(hashes, n)
             whole = window_starts(units.first, n, len(hashes))[: len(windows)]
             # a window is compared when a shared fingerprint lies within it
@@ -263,50 +287,53 @@ def _send_windows(scheme: Scheme, buckets: int):
     return run
 
 
-def _later_windows(within: bool):
+def _not_first(within: bool, ids: np.ndarray, hashes: np.ndarray, more: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Of entries sorted by window, id and place: those that repeat the first of their window."""
+    group = runs(hashes, more)
+    size = np.diff(np.append(group, len(hashes)))
+    later = ids != np.repeat(ids[group], size)
+    return later | (places != np.repeat(places[group], size)) if within else later
+
+
+def _later_windows(within: bool, groups: int):
     def run(table: pa.Table) -> pa.Table:
-        known, sent = [], []
-        for told, owners, hashes, more, places, _ in _entries(table):
-            (known if told else sent).append((owners, hashes, more, places))
-        no_owner = np.zeros((0, 2), np.int64)
-        owners, hashes, more, places = (
-            _joined([x[k] for x in sent], e) for k, e in enumerate((no_owner, np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32)))
-        )
-        order = np.lexsort((places, owners[:, 0], more, hashes))
-        owners, hashes, more, places = owners[order], hashes[order], more[order], places[order]
-        group = runs(hashes, more)
-        size = np.diff(np.append(group, len(hashes)))
-        later = owners[:, 0] != np.repeat(owners[group, 0], size)
-        if within:
-            later |= places != np.repeat(places[group], size)
-        return _tell(np.concatenate([owners[later], *(x[0] for x in known)]), np.concatenate([places[later], *(x[3] for x in known)]))
+        owners, marks, sent = [], [], []
+        for row in table.select(SENT_NAMES[1:]).to_pylist():
+            places = np.frombuffer(row["places"], np.uint32)
+            if row["told"]:
+                owners.append(owners_of(row))
+                marks.append(places)
+            else:
+                sent.append((owners_of(row), np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["more"], np.uint32), places))
+        if sent:
+            whose, hashes, more, places = (np.concatenate(c) for c in zip(*sent, strict=True))
+            order = np.lexsort((places, whose[:, 0], more, hashes))
+            whose, hashes, more, places = whose[order], hashes[order], more[order], places[order]
+            later = _not_first(within, whose[:, 0], hashes, more, places)
+            owners.append(whose[later])
+            marks.append(places[later])
+        return _answers(owners, marks, groups)
 
     return run
 
 
-def _release(docs: DataFrame) -> None:
-    """Let Spark drop the shuffle files of frames that are no longer held; otherwise they stay until the driver collects garbage."""
-    docs.sparkSession.sparkContext._jvm.java.lang.System.gc()
+def _ask(sent: DataFrame, buckets: int, reducer, kind: type, name: str) -> DataFrame:
+    """What the buckets answer, one stored row per text."""
+    answers = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(reducer, ANSWERS)
+    return store(answers.repartition(buckets, "dealt").groupBy("dealt").applyInArrow(_gathered_answers(kind), TOLD), name)
 
 
 def later_repeats(texts: DataFrame, scheme: Scheme, name: str) -> DataFrame:
-    """doc_id, text_key, marks: for each text with later repeats, binary lists of the places where such windows begin.
+    """doc_id, text_key, marks: for each text with later repeats, the places where such windows begin, as 32-bit numbers.
 
     ``texts`` is of :func:`keyed`.  Texts without an id take no part.
     """
     named = texts.where(F.col("doc_id").isNotNull())
     buckets = buckets_for(named, scheme)
-    sent = named.mapInArrow(_send_fingerprints(scheme, buckets), SENT)
-    told = store(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared_fingerprints, TOLD), f"{name}-fingerprints")
-    del sent
-    _release(texts)
-    marks = told.groupBy("doc_id", "text_key").agg(F.collect_list("marks").alias("marks"))
-    suspects = named.join(marks.hint("shuffle_hash"), ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "marks")
-    sent = suspects.mapInArrow(_send_windows(scheme, buckets), SENT)
-    later = store(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_later_windows(scheme.within), TOLD), f"{name}-later")
-    del sent, suspects
-    _release(texts)
-    return later.groupBy("doc_id", "text_key").agg(F.collect_list("marks").alias("marks"))
+    told = _ask(named.mapInArrow(_send_fingerprints(scheme, buckets), SENT), buckets, _shared_fingerprints(buckets), np.uint64, f"{name}-fingerprints")
+    suspects = named.join(told.hint("shuffle_hash"), ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "marks")
+    later = _ask(suspects.mapInArrow(_send_windows(scheme, buckets), SENT), buckets, _later_windows(scheme.within, buckets), np.uint32, f"{name}-later")
+    return later
 
 
 def marked(docs: DataFrame, scheme: Scheme, name: str, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
@@ -325,10 +352,10 @@ def rewritten(docs: DataFrame, scheme: Scheme, name: str, cut, id_col: str, text
     return done.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
-def covered(starts: list[bytes] | None, units: int, window: int) -> np.ndarray:
+def covered(starts: bytes | None, units: int, window: int) -> np.ndarray:
     """Which of a text's units lie under a window that begins at one of ``starts``."""
     change = np.zeros(units + 1, np.int64)
-    at = np.unique(np.frombuffer(b"".join(starts), np.uint32)) if starts else np.zeros(0, np.uint32)
+    at = np.unique(np.frombuffer(starts or b"", np.uint32))
     at = at[at + window <= units].astype(np.int64)
     change[at] += 1
     np.add.at(change, at + window, -1)
