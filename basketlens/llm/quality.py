@@ -142,8 +142,16 @@ def adaptive_fences(df: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: bool = False) -> DataFrame:
-    rows = per_mille(store(measured(docs, id_col, text_col, lang_col, source_col, carry), "measures"))
-    limits = adaptive_fences(rows).alias("f")
+    """The measures with ``reason`` and ``kept``; with ``carry`` the whole row as well.
+
+    The limits are stored before the join, so that their size is known and texts are not exchanged for a small table.
+    Texts are not stored: with ``carry`` they are measured again where they are read.
+    """
+    columns = (docs, id_col, text_col, lang_col, source_col)
+    rows = per_mille(store(measured(*columns, carry=False), "measures"))
+    limits = store(adaptive_fences(rows), "fences").alias("f")
+    if carry:
+        rows = per_mille(measured(*columns, carry=True))
     joined = rows.alias("d").join(limits, F.col("d.lang").eqNullSafe(F.col("f.lang")) & F.col("d.source").eqNullSafe(F.col("f.source")), "left")
     out = []
     for name, (_, below) in MEASURES.items():
