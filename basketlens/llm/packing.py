@@ -34,8 +34,8 @@ from basketlens.llm.shared import blocks, documents, id_and_text, shuffle_partit
 CAPACITY = 2048
 MOST_STEPS = 20_000
 CORE_SEQUENCES = 400
-HELD_WORDS = 1_000_000
-HELD_PIECES = 1_000_000
+HELD_WORDS = 500_000
+HELD_PIECES = 600_000
 
 # A space between two characters that are not white space: one pre-split match ends and the next begins here.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
