@@ -18,25 +18,33 @@ stream sorted by its first document, which is split when many documents are comp
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketlens.llm.components import component_labels
 from basketlens.llm.shared import BLOCK_BYTES, Block, blocks, documents, mix, shuffle_partitions, store, window_hashes, words
-from basketlens.llm.spans import SENT, Gathered, binaries, runs
+from basketlens.llm.spans import SENT, TOP, Gathered, owners_of, runs, split_hashes, whole_hashes
 
 SHINGLE = 5
 PERCENT = 75
 SKETCH_BITS = 20
 SLICES = 64
-PER_BUCKET = 1_000_000
+PER_BUCKET = 2_000_000
 PARTNERS_AT_ONCE = 200
+# Rounds of few pairs before the one of all pairs, and the share of new links from which another one pays.
 TRIES = 3
+WORTH = 0.05
+# Lists of up to so many groups are searched for pairs that may link before anything is kept of them.
+SHORT_LIST = 8
 
-SETS = "doc_id long, n long, prefix_key long, set_a long, set_b long, prefix binary"
+SETS = "doc_id long, n long, prefix_key long, set_a long, set_b long"
+VOTES = "a long, b long, votes long"
+LISTS = "bucket int, owners binary, whose binary, lists binary, places binary"
 
 
 # ---------------------------------------------------------------- sets
@@ -92,29 +100,46 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
     return n - (PERCENT * n + 99) // 100 + 1
 
 
+@dataclass
+class Prefixes:
+    """The sets of a block's texts, and their prefixes one after the other."""
+
+    n: np.ndarray  # size of each set
+    key: np.ndarray  # hash of each prefix
+    grams: np.ndarray  # all shingles, text by text, in the order of the prefixes
+    first: np.ndarray  # where each text's shingles begin
+    tokens: np.ndarray
+    size: np.ndarray  # length of each prefix
+
+
+def _sums(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return np.where(sizes > 0, np.add.reduceat(np.append(values, np.uint64(0)), starts), np.uint64(0)).view(np.int64)
+
+
+def prefixes(block: Block, levels: np.ndarray) -> Prefixes:
+    grams, first = shingle_sets(block)
+    n = np.diff(first)
+    of = np.repeat(np.arange(len(block)), n)
+    grams = grams[np.lexsort((grams, levels[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], of))]
+    place = np.arange(len(grams)) - np.repeat(first[:-1], n)
+    size = np.where(n > 0, prefix_length(n), 0)
+    tokens = grams[place < np.repeat(size, n)]
+    return Prefixes(n.astype(np.int64), _sums(mix(tokens), np.cumsum(size) - size, size), grams, first, tokens, size)
+
+
 def _setter(levels: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            grams, first = shingle_sets(block)
-            n = np.diff(first)
-            of = np.repeat(np.arange(len(block)), n)
-            order = np.lexsort((grams, levels[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], of))
-            grams = grams[order]
-            place = np.arange(len(grams)) - np.repeat(first[:-1], n)
-            size = np.where(n > 0, prefix_length(n), 0)
-            prefix = grams[place < np.repeat(size, n)]
-            starts = np.cumsum(size) - size
-            add = lambda x, s, m: np.where(m > 0, np.add.reduceat(np.append(x, np.uint64(0)), s), np.uint64(0)).view(np.int64)
+            p = prefixes(block, levels)
             yield pa.RecordBatch.from_arrays(
                 [
                     block.batch.column("doc_id"),
-                    pa.array(n.astype(np.int64)),
-                    pa.array(add(mix(prefix), starts, size)),
-                    pa.array(add(mix(grams ^ np.uint64(0x5851F42D4C957F2D)), first[:-1], n)),
-                    pa.array(add(mix(mix(grams) ^ np.uint64(0x14057B7EF767814F)), first[:-1], n)),
-                    binaries(prefix, starts),
+                    pa.array(p.n),
+                    pa.array(p.key),
+                    pa.array(_sums(mix(p.grams ^ np.uint64(0x5851F42D4C957F2D)), p.first[:-1], p.n)),
+                    pa.array(_sums(mix(mix(p.grams) ^ np.uint64(0x14057B7EF767814F)), p.first[:-1], p.n)),
                 ],
-                names=["doc_id", "n", "prefix_key", "set_a", "set_b", "prefix"],
+                names=["doc_id", "n", "prefix_key", "set_a", "set_b"],
             )
 
     return run
@@ -123,45 +148,92 @@ def _setter(levels: np.ndarray):
 # ---------------------------------------------------------------- candidates
 
 
-def _send_prefixes(buckets: int):
+def _send_prefixes(levels: np.ndarray, buckets: int):
+    """Each group of texts, named by its prefix's hash and its size, once per task to the buckets of its shingles."""
+
+    def flush(held: Gathered) -> Iterator[pa.RecordBatch]:
+        keys, sizes, tokens, places = held.take()
+        order = np.lexsort((sizes, keys, tokens))
+        keys, sizes, tokens, places = (x[order] for x in (keys, sizes, tokens, places))
+        once = runs(tokens, keys, sizes)
+        keys, sizes, tokens, places = (x[once] for x in (keys, sizes, tokens, places))
+        yield from held.rows(False, tokens >> TOP, keys, sizes, places=places, **split_hashes(tokens))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Gathered(buckets)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                some = batch.slice(at, 2000)
-                prefixes = [np.frombuffer(p, np.uint64) for p in some.column("prefix").to_pylist()]
-                size = np.array([len(p) for p in prefixes])
-                whose = np.repeat(np.arange(len(size)), size)
-                column = lambda c: some.column(c).to_numpy(zero_copy_only=False)[whose]  # noqa: E731, B023
-                place = np.arange(len(whose)) - np.repeat(np.cumsum(size) - size, size)
-                if held.add(column("group_id"), column("component"), np.concatenate(prefixes), place.astype(np.uint32), column("n").astype(np.uint32)):
-                    yield from held.rows(False, *held.take())
+        for block in blocks(batches):
+            p = prefixes(block, levels)
+            place = np.arange(len(p.tokens)) - np.repeat(np.cumsum(p.size) - p.size, p.size)
+            if held.add(np.repeat(p.key, p.size), np.repeat(p.n, p.size), p.tokens, place.astype(np.uint32)):
+                yield from flush(held)
         if held.size:
-            yield from held.rows(False, *held.take())
+            yield from flush(held)
 
     return run
 
 
+def _meeting(table: pa.Table) -> pa.Table:
+    """Of a bucket's shingles those of several groups, as numbered lists of entries (group, place)."""
+    rows = table.select(["owners", "counts", "hashes", "more", "places"]).to_pylist()
+    owners = np.concatenate([owners_of(r) for r in rows])
+    tokens = np.concatenate([whole_hashes(r) for r in rows])
+    places = np.concatenate([np.frombuffer(r["places"], np.uint32) for r in rows])
+    order = np.lexsort((owners[:, 1], owners[:, 0], tokens))
+    owners, tokens, places = owners[order], tokens[order], places[order]
+    once = runs(tokens, owners[:, 0], owners[:, 1])
+    owners, tokens, places = owners[once], tokens[once], places[once]
+    start = runs(tokens)
+    count = np.diff(np.append(start, len(tokens)))
+    useful = np.repeat(count > SHORT_LIST, count)
+    end = np.repeat(np.cumsum(count), count)
+    n, at = owners[:, 1], places.astype(np.int64)
+    for d in range(1, SHORT_LIST):  # in a short list, an entry that may link with no other is dropped
+        i = np.flatnonzero((np.repeat(count, count) <= SHORT_LIST) & (np.arange(len(end)) + d < end))
+        i = i[_possible(n[i], n[i + d], at[i], at[i + d])]
+        useful[i] = useful[i + d] = True
+    number = np.repeat(np.arange(len(count), dtype=np.uint32), count)
+    owners, places, lists = owners[useful], places[useful], number[useful]
+    known, whose = np.unique(owners, axis=0, return_inverse=True)
+    parts = [known.astype(np.int64), whose.reshape(-1).astype(np.uint32), lists, places]
+    return pa.Table.from_arrays([table.column("bucket").slice(0, 1).combine_chunks(), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], names=["bucket", "owners", "whose", "lists", "places"])
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for bucket, owners in zip(batch.column("bucket").to_pylist(), batch.column("owners").to_pylist(), strict=True):
+            pairs = np.frombuffer(owners, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), bucket, np.int32)), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["bucket", "prefix_key", "n"])
+
+
+def _entries(lists: pa.Table, roster: pa.Table, salt: int) -> tuple[np.ndarray, ...]:
+    """The lists of a bucket with the groups split by component: (group, component, list, place, size), ordered by list."""
+    if not lists.num_rows or not roster.num_rows:
+        return (np.zeros(0, np.int64),) * 5
+    row = lists.to_pylist()[0]
+    owners = np.frombuffer(row["owners"], np.int64).reshape(-1, 2)
+    named = pd.DataFrame({"prefix_key": owners[:, 0], "n": owners[:, 1], "at": np.arange(len(owners))})
+    split = named.merge(roster.select(["prefix_key", "n", "component", "group_id"]).to_pandas(), on=["prefix_key", "n"]).sort_values("at", kind="stable")
+    each = np.bincount(split["at"], minlength=len(owners))
+    first = np.cumsum(each) - each
+    whose = np.frombuffer(row["whose"], np.uint32).astype(np.int64)
+    times = each[whose]
+    entry = np.repeat(np.arange(len(whose)), times)
+    at = np.repeat(first[whose], times) + np.arange(len(entry)) - np.repeat(np.cumsum(times) - times, times)
+    group, component = split["group_id"].to_numpy()[at], split["component"].to_numpy()[at]
+    token = np.frombuffer(row["lists"], np.uint32)[entry].astype(np.int64)
+    place = np.frombuffer(row["places"], np.uint32)[entry].astype(np.int64)
+    size = owners[whose[entry], 1]
+    shuffled = mix(group.view(np.uint64) + np.uint64(salt)) if salt else group
+    order = np.lexsort((shuffled, token))
+    return tuple(x[order] for x in (group, component, token, place, size))
+
+
 def _possible(n: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Whether sets of n and m shingles may link when the first one they share is the i-th of one and the j-th of the other."""
     most = 1 + np.minimum(n - i - 1, m - j - 1)
     return (100 + PERCENT) * most >= PERCENT * (n + m)
 
 
-def _lists(table: pa.Table, salt: int):
-    owners, token, place, size = [], [], [], []
-    for row in table.select(["owners", "of", "hashes", "more", "places"]).to_pylist():
-        owners.append(np.frombuffer(row["owners"], np.int64).reshape(-1, 2)[np.frombuffer(row["of"], np.uint32)])
-        token.append(np.frombuffer(row["hashes"], np.uint64))
-        place.append(np.frombuffer(row["more"], np.uint32).astype(np.int64))
-        size.append(np.frombuffer(row["places"], np.uint32).astype(np.int64))
-    owners, token, place, size = np.concatenate(owners), np.concatenate(token), np.concatenate(place), np.concatenate(size)
-    group, component = owners[:, 0], owners[:, 1]
-    shuffled = mix(group.view(np.uint64) + np.uint64(salt)) if salt else group.view(np.uint64)
-    order = np.lexsort((shuffled, token))
-    return tuple(x[order] for x in (group, component, token, place, size))
-
-
 def _votes(pairs: np.ndarray) -> pa.Table:
     if len(pairs):
         pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
@@ -173,8 +245,8 @@ def _votes(pairs: np.ndarray) -> pa.Table:
 def _few(salt: int):
     """Of the groups that share a shingle, each with the first one, or in later rounds with the next one of another component."""
 
-    def run(table: pa.Table) -> pa.Table:
-        group, component, token, place, size = _lists(table, salt)
+    def run(lists: pa.Table, roster: pa.Table) -> pa.Table:
+        group, component, token, place, size = _entries(lists, roster, salt)
         start = runs(token)
         count = np.diff(np.append(start, len(token)))
         here = np.arange(len(token))
@@ -192,34 +264,32 @@ def _few(salt: int):
     return run
 
 
-def _all(table: pa.Table) -> pa.Table:
+def _all(lists: pa.Table, roster: pa.Table) -> pa.Table:
     """All pairs of groups that share a shingle, are of different components, and may link."""
-    group, component, token, place, size = _lists(table, 0)
+    group, component, token, place, size = _entries(lists, roster, 0)
     order = np.lexsort((group, size, token))
     group, component, token, place, size = (x[order] for x in (group, component, token, place, size))
     start = runs(token)
     count = np.diff(np.append(start, len(token)))
-    found = []
-    # lists by distance: entries d apart in the same list, until no list is that long
-    for d in range(1, int(count.max(initial=1))):
-        i = np.flatnonzero(np.repeat(count > d, count))
-        i = i[i + d < len(token)]
-        i = i[token[i + d] == token[i]]
-        if not len(i):
-            break
-        ok = (component[i] != component[i + d]) & _possible(size[i], size[i + d], place[i], place[i + d])
-        i = i[ok]
-        if len(i):
-            pair = np.stack([group[i], group[i + d]], axis=1)
-            found.append(np.unique(np.sort(pair, axis=1), axis=0))
+    if len(start):
+        mixed = np.minimum.reduceat(component, start) != np.maximum.reduceat(component, start)
+        keep = np.repeat(mixed, count)
+        group, component, place, size = (x[keep] for x in (group, component, place, size))
+        count = count[mixed]
+    end = np.repeat(np.cumsum(count), count)
+    found, i, d = [], np.arange(len(group)), 1
+    # pairs d apart in a list; its sizes ascend, so an entry is done once the other is too large
+    while len(i):
+        i = i[i + d < end[i]]
+        i = i[100 * size[i] >= PERCENT * size[i + d]]
+        at = i[component[i] != component[i + d]]
+        at = at[_possible(size[at], size[at + d], place[at], place[at + d])]
+        if len(at):
+            found.append(np.unique(np.sort(np.stack([group[at], group[at + d]], axis=1), axis=1), axis=0))
+        d += 1
     return _votes(np.concatenate(found) if found else np.zeros((0, 2), np.int64))
 
 
-def _candidates(groups: DataFrame, buckets: int, reducer) -> DataFrame:
-    sent = groups.select("group_id", "component", "n", "prefix").mapInArrow(_send_prefixes(buckets), SENT)
-    return sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(reducer, "a long, b long, votes long")
-
-
 # ---------------------------------------------------------------- verification
 
 
@@ -259,14 +329,10 @@ def _links(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS_AT_ONCE).alias("salts"))
     partners = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), "salts").alias("salt"), F.lit(1).alias("role"), "b")
     pivots = many.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("b"))
-    meeting = texts.join(partners.union(pivots), F.col("doc_id") == F.col("b")).select("a", "salt", "role", "b", "text")
+    meeting = texts.join(partners.union(pivots).hint("shuffle_hash"), F.col("doc_id") == F.col("b")).select("a", "salt", "role", "b", "text")
     return meeting.repartition(shuffle_partitions(spark), "a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(_verify, "a long, b long")
 
 
-def _release(df: DataFrame) -> None:
-    df.sparkSession.sparkContext._jvm.java.lang.System.gc()
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every document.
 
@@ -278,45 +344,59 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
     named = texts.where(F.col("doc_id").isNotNull())
-    sets = store(texts.mapInArrow(_setter(frequency_levels(named)), SETS), "sets")
-    _release(docs)
+    levels = frequency_levels(named)
+    sets = store(texts.mapInArrow(_setter(levels), SETS), "sets")
+    same, group = ["n", "prefix_key", "set_a", "set_b"], ["n", "prefix_key"]
+    classes = store(sets.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("class_id")), "classes")
+    of_row = store(sets.join(classes, same, "left").select("doc_id", "n", "class_id"), "rows")
+
+    # the lists of groups that share a prefix shingle, once; later rounds read them with the components of the day
+    size = sets.agg(F.sum("n")).first()[0] or 0
+    buckets = max(8, int(size * (100 - PERCENT) / 100) // PER_BUCKET + 1)
+    sent = named.mapInArrow(_send_prefixes(levels, buckets), SENT)
+    lists = store(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meeting, LISTS), "lists")
+    members = store(lists.select("bucket", "owners").mapInArrow(_members, "bucket int, prefix_key long, n long"), "members")
+    # only texts that may be compared: of classes whose group shares a shingle or holds several classes
+    crowded = classes.groupBy(*group).count().where("count > 1").select(*group)
+    suspects = classes.join(members.select(*group).union(crowded).distinct(), group, "left_semi").select("class_id").distinct()
+    compared = store(named.join(suspects.hint("shuffle_hash"), F.col("doc_id") == F.col("class_id"), "left_semi"), "compared")
 
-    same = ["n", "prefix_key", "set_a", "set_b"]
-    full = sets.where("n > 0 and doc_id is not null")
-    classes = store(full.groupBy(*same).agg(F.min("doc_id").alias("class_id")), "classes")
-    of_row = store(sets.select("doc_id", *same).join(classes, same, "left").select("doc_id", "n", "class_id"), "rows")
     # rows of one id that are in several classes tie these together
     least = of_row.groupBy("doc_id").agg(F.min("class_id").alias("a"))
-    tied = of_row.join(least, "doc_id").where("class_id <> a").select("a", F.col("class_id").alias("b")).distinct()
-    links = store(tied, "ties")
+    links = store(of_row.join(least, "doc_id").where("class_id <> a").select("a", F.col("class_id").alias("b")).distinct(), "ties")
     labels = component_labels(links)
-
-    size = sets.where("n > 0").agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
-    buckets = max(8, int(size) // PER_BUCKET + 1)
-    for attempt in range(TRIES + 1):
+    attempt = 0
+    while attempt <= TRIES:
         last = attempt == TRIES
-        placed = classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("label", "class_id")).drop("label")
-        # a group is split by component: what is together already need not meet
-        placed = store(placed, "placed")
-        groups = placed.groupBy("n", "prefix_key", "component").agg(F.min("class_id").alias("group_id"))
-        prefixes = full.select(F.col("doc_id").alias("group_id"), "n", "prefix_key", "prefix")
-        ready = groups.join(prefixes, ["group_id", "n", "prefix_key"])
-        found = _candidates(ready, buckets, _all if last else _few(attempt))
+        labelled = classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("label", "class_id"))
+        placed = store(labelled.select("class_id", "component", *group), "placed")
+        # a group is split by component, since what is together need not meet; at first it is one
+        apart = placed.groupBy(*group, "component").agg(F.min("class_id").alias("group_id"))
+        if attempt == 0:
+            apart = placed.groupBy(*group).agg(F.min("class_id").alias("group_id")).withColumn("component", F.col("group_id"))
+        apart = store(apart, "groups")
+        roster = members.join(apart, group).select("bucket", *group, "component", "group_id")
+        found = (
+            lists.repartition(buckets, "bucket").groupBy("bucket").cogroup(roster.repartition(buckets, "bucket").groupBy("bucket")).applyInArrow(_all if last else _few(attempt), VOTES)
+        )
         if last:
-            members = placed.join(groups, ["n", "prefix_key", "component"]).select("group_id", "class_id")
-            pairs = store(found.select("a", "b").distinct(), "group-pairs")
-            pairs = pairs.join(members.selectExpr("group_id as a", "class_id as x"), "a").join(members.selectExpr("group_id as b", "class_id as y"), "b").selectExpr("x as a", "y as b")
+            of_group = placed.join(apart, [*group, "component"]).select("group_id", "class_id")
+            inside = apart.alias("p").join(apart.alias("q"), group).where("p.component < q.component").select(F.col("p.group_id").alias("a"), F.col("q.group_id").alias("b"))
+            pairs = store(found.select("a", "b").union(inside).distinct(), "group-pairs")
+            pairs = pairs.join(of_group.selectExpr("group_id as a", "class_id as x"), "a").join(of_group.selectExpr("group_id as b", "class_id as y"), "b").selectExpr("x as a", "y as b")
         else:
             best = found.groupBy("b", "a").agg(F.sum("votes").alias("votes")).groupBy("b").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a"))
-            inside = placed.join(groups, ["n", "prefix_key", "component"]).where("class_id <> group_id").selectExpr("group_id as a", "class_id as b")
-            pairs = best.select("a", "b").union(inside.where(F.lit(attempt == 0)))
-        new = store(_links(named, pairs), "links")
-        del ready, found, pairs
-        _release(docs)
-        if new.isEmpty():
-            continue
-        links = links.union(new)
-        labels = component_labels(links)
+            pairs = best.select("a", "b")
+            if attempt == 0:
+                pairs = pairs.union(placed.join(apart.drop("component"), group).where("class_id <> group_id").selectExpr("group_id as a", "class_id as b"))
+        new = store(_links(compared, pairs), "links")
+        found_now = new.count()
+        if found_now:
+            links = links.union(new)
+            labels = component_labels(links)
+        if not last and found_now <= WORTH * links.count():
+            attempt = TRIES - 1  # a further round of few pairs would add little
+        attempt += 1
     by_class = labels.select(F.col("node").alias("class_id"), "label")
     return of_row.join(by_class, "class_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "class_id", "doc_id").alias("component_id")
@@ -326,8 +406,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component; rows without an id stay."""
     found = near_duplicates(docs, id_col, text_col)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    name = "gone"
+    while name in docs.columns:
+        name += "_"
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col(name), "left_anti")
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
