@@ -1,10 +1,11 @@
-"""Removing runs of lines that stood before, found by winnowing.
-
-The lines of a text that hold a word are its units; ``GRAM`` of them make a gram, and of every ``WINNOW`` grams in a row
-the one with the smallest hash (the last of equal ones) is a fingerprint.  Two equal runs of ``GRAM + WINNOW - 1`` lines
-have a whole winnowing window in common and so choose the same gram in it: no such run is missed.  Runs
-are extended from the shared fingerprints both ways, line by line, as windows of that length; overlapping ones make
-longer runs.  Of equal runs the first stays, by document id and then by place.
+"""Removing lines and runs of lines that stood before, found by winnowing.
+
+The lines of a text that hold a word are its units.  Winnowing is at its densest: a gram is one line and so is a winnowing
+window, so every line is a fingerprint and no equal line is missed, alone or in a run.  Around lines that are shared, runs are
+compared as a whole: a run counts when it has ``LEAST_WORDS`` words, however few its lines, or ``RUN`` lines, however short.
+Every such run is covered by runs of one to ``RUN`` lines that count, so these are the windows; overlapping ones make longer
+runs.  Of equal runs the first stays, by document id and then by place.  What stays though it stood before is a single line,
+or a pair, of fewer than ``LEAST_WORDS`` words ("Yes.", a bracket, a one-word heading), as it says little about its origin.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from basketlens.llm.shared import SEPARATOR, Block, Words, blocks, documents, lines
 from basketlens.llm.spans import Scheme, covered, marked, rewritten
 
-GRAM = 2
-WINNOW = 2
-RUN = GRAM + WINNOW - 1
+RUN = 3
+LENGTHS = tuple(range(1, RUN + 1))
+LEAST_WORDS = 5
+# A script without spaces has a word for so many bytes.
+WORD_BYTES = 8
 
 RESULT = "doc_id long, text string, n_lines long, n_removed long"
 
@@ -34,26 +37,21 @@ def lines_with_words(block: Block) -> Words:
     return Words(every.data, every.starts[has], every.ends[has], kept[every.first])
 
 
-def window_minima(first: np.ndarray, grams: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """The grams that are the last smallest of a window of ``WINNOW`` grams of one text."""
-    chosen = np.zeros(len(grams), bool)
-    n = len(grams) - WINNOW + 1
-    if n <= 0:
-        return chosen
-    windows = np.lib.stride_tricks.sliding_window_view(grams, WINNOW)
-    last_least = WINNOW - 1 - windows[:, ::-1].argmin(axis=1)
-    # the units under a window of grams must be of one text
-    total = len(grams) + GRAM - 1
-    ok = np.ones(total, bool)
-    for back in range(1, RUN):
-        at = first[1:] - back
-        ok[at[at >= 0]] = False
-    whole = np.flatnonzero(ok[:n])
-    chosen[whole + last_least[whole]] = True
-    return chosen
+def every_line(first: np.ndarray, grams: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return np.ones(len(grams), bool)
+
+
+def words_per_line(units: Words) -> np.ndarray:
+    """The words of each line, or one for ``WORD_BYTES`` bytes of them where that is more."""
+    inside = ~SEPARATOR[units.data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    begins[units.starts] = inside[units.starts]  # the byte before may be of another text
+    count, size = (np.concatenate([[0], np.cumsum(x)]) for x in (begins, inside))
+    return np.maximum(count[units.ends] - count[units.starts], (size[units.ends] - size[units.starts]) // WORD_BYTES)
 
 
-SCHEME = Scheme(units=lines_with_words, window=RUN, gram=GRAM, fingerprints=window_minima, within=True, per_byte=1 / 100)
+SCHEME = Scheme(units=lines_with_words, windows=LENGTHS, gram=1, fingerprints=every_line, within=True, per_byte=1 / 40, dense=True, weights=words_per_line, least=LEAST_WORDS)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,7 +61,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, n, gone = [], [], []
         for i in range(len(block)):
             text, lo, hi = block.text(i), units.first[i], units.first[i + 1]
-            out = covered(marks[i], hi - lo, RUN)
+            out = covered(marks[i], hi - lo, *LENGTHS)
             if out.any():
                 # a line goes with the line feeds and empty lines up to the next line with a word
                 begins = units.starts[lo:hi] - block.offsets[i]
@@ -84,8 +82,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, n_lines (with a word), n_removed for every document.
 
-    Lines go when they are part of a run of at least ``RUN`` lines with words that an earlier document, or the same one further
-    up, also has; empty lines between are no part of the comparison and go with the line before them.  Null and empty texts
+    Lines go when they are part of a run of lines with words that an earlier document, or the same one further up, also has, and
+    the run has at least ``LEAST_WORDS`` words (a single line may) or at least ``RUN`` lines; empty lines between are no part of the comparison and go with the line before them.  Null and empty texts
     have no lines.  Of equal texts the smallest id keeps its lines; rows with the same id take nothing from each other at the
     same place.  A document without an id stays as it is.  No rows give no rows.  Other columns are not read.
     """

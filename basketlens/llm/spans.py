@@ -1,7 +1,7 @@
 """Repeated stretches of units (words or lines) across all texts, found from selected fingerprints.
 
-A scheme names the units, how many of them make a window, how many a gram, and which grams are fingerprints.  It must
-promise that two equal windows share a fingerprint at the same place in both.  Then three passes suffice:
+A scheme names the units, how many of them make a window (there may be several lengths), how many a gram, and which grams
+are fingerprints.  It must promise that two equal windows share a fingerprint at the same place in both.  Then three passes suffice:
 
 1. *Fingerprints.*  Each task gathers the fingerprints of some texts and sends each different one once, to the
    bucket of its hash.  A fingerprint that comes to a bucket twice, or that two texts of one task have, is shared, and the
@@ -43,7 +43,8 @@ TOLD = "doc_id long, text_key long, marks binary"
 @dataclass(frozen=True)
 class Scheme:
     units: Callable[[Block], Words]
-    window: int
+    # lengths of windows, ascending; the place told is its number of units times their number, and which length
+    windows: tuple[int, ...]
     gram: int
     # (limits of the texts in the units, gram hashes) -> which grams are fingerprints; grams across texts never are
     fingerprints: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
@@ -51,6 +52,11 @@ class Scheme:
     within: bool
     # expected fingerprints or windows per byte of text, for the number of buckets
     per_byte: float
+    # whether every gram is a fingerprint: then all in a window must be shared
+    dense: bool = False
+    # windows below the longest count from this sum of their units' weights on
+    weights: Callable[[Words], np.ndarray] | None = None
+    least: int = 0
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
@@ -244,8 +250,6 @@ def _shared_fingerprints(groups: int):
 
 
 def _send_windows(scheme: Scheme, buckets: int):
-    n, reach = scheme.window, scheme.window - scheme.gram + 1
-
     def flush(held: Gathered) -> Iterator[pa.RecordBatch]:
         ids, keys, hashes, more, places = held.take()
         order = np.lexsort((places, ids, more, hashes))
@@ -267,20 +271,28 @@ def _send_windows(scheme: Scheme, buckets: int):
                 lo, hi = limits[i], limits[i + 1]
                 if hi > lo:
                     shared[lo:hi] = np.isin(grams[lo:hi] & LOW, np.frombuffer(marks[i].as_py(), np.uint64))
-            windows = window_hashes(hashes, n)
-            whole = window_starts(units.first, n, len(hashes))[: len(windows)]
-            # a window is compared when a shared fingerprint lies within it
-            near = np.zeros(len(hashes) + 1, np.int64)
             hit = at[shared]
-            np.add.at(near, np.maximum(hit - reach + 1, 0), 1)
-            np.add.at(near, hit + 1, -1)
-            start = np.flatnonzero((np.cumsum(near)[: len(windows)] > 0) & whole)
-            if not len(start):
+            if not len(hit):
                 continue
-            more = (window_hashes(units.hashes(1), n, 1)[start] >> np.uint64(32)).astype(np.uint32)
-            ids, keys = _ids(block)
-            if held.add(ids[of[start]], keys[of[start]], windows[start], more, places[start].astype(np.uint32)):
-                yield from flush(held)
+            others, (ids, keys) = units.hashes(1), _ids(block)
+            weight = None if scheme.weights is None else np.concatenate([[0], np.cumsum(scheme.weights(units))])
+            for which, n in enumerate(scheme.windows):
+                reach = n - scheme.gram + 1
+                windows = window_hashes(hashes, n)
+                whole = window_starts(units.first, n, len(hashes))[: len(windows)]
+                if weight is not None and n < scheme.windows[-1]:
+                    whole &= (weight[n:] - weight[:-n])[: len(windows)] >= scheme.least
+                # a window is compared when a shared fingerprint lies within it, or all of its fingerprints are shared
+                near = np.zeros(len(hashes) + 1, np.int64)
+                np.add.at(near, np.maximum(hit - reach + 1, 0), 1)
+                np.add.at(near, hit + 1, -1)
+                start = np.flatnonzero((np.cumsum(near)[: len(windows)] >= (reach if scheme.dense else 1)) & whole)
+                if not len(start):
+                    continue
+                more = (window_hashes(others, n, 1)[start] >> np.uint64(32)).astype(np.uint32)
+                told = (places[start] * len(scheme.windows) + which).astype(np.uint32)
+                if held.add(ids[of[start]], keys[of[start]], windows[start], more, told):
+                    yield from flush(held)
         if held.size:
             yield from flush(held)
 
@@ -352,11 +364,12 @@ def rewritten(docs: DataFrame, scheme: Scheme, name: str, cut, id_col: str, text
     return done.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
-def covered(starts: bytes | None, units: int, window: int) -> np.ndarray:
-    """Which of a text's units lie under a window that begins at one of ``starts``."""
+def covered(marks: bytes | None, units: int, *windows: int) -> np.ndarray:
+    """Which of a text's units lie under a window that begins at one of ``marks``, told for these lengths of windows."""
     change = np.zeros(units + 1, np.int64)
-    at = np.unique(np.frombuffer(starts or b"", np.uint32))
-    at = at[at + window <= units].astype(np.int64)
-    change[at] += 1
-    np.add.at(change, at + window, -1)
+    at, which = np.divmod(np.unique(np.frombuffer(marks or b"", np.uint32)).astype(np.int64), len(windows))
+    end = at + np.array(windows, np.int64)[which]
+    at, end = at[end <= units], end[end <= units]
+    np.add.at(change, at, 1)
+    np.add.at(change, end, -1)
     return np.cumsum(change)[:units] > 0

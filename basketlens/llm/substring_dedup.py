@@ -36,7 +36,7 @@ def on_cover(first: np.ndarray, grams: np.ndarray, places: np.ndarray) -> np.nda
     return in_cover[places % PERIOD]
 
 
-SCHEME = Scheme(units=words, window=WINDOW, gram=GRAM, fingerprints=on_cover, within=False, per_byte=len(COVER) / PERIOD / 6)
+SCHEME = Scheme(units=words, windows=(WINDOW,), gram=GRAM, fingerprints=on_cover, within=False, per_byte=len(COVER) / PERIOD / 6)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

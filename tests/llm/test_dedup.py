@@ -79,6 +79,44 @@ def test_lines_against_brute_force(make):
     assert sum(n for _, n, _ in got.values()) > 30
 
 
+def long_enough(lines):
+    words = sum(max(len(WORD.findall(x)), len("".join(WORD.findall(x)).encode()) // line_dedup.WORD_BYTES) for x in lines)
+    return len(lines) >= line_dedup.RUN or words >= line_dedup.LEAST_WORDS
+
+
+def brute_runs(rows):
+    """Like the above for runs of every length that are long enough, not only of the lengths that are compared."""
+    units, first = {}, {}
+    for i, text in sorted(rows):
+        units[i] = [x for x in text.split("\n") if WORD.search(x)]
+        for p in range(len(units[i])):
+            for q in range(p + 1, len(units[i]) + 1):
+                first.setdefault(tuple(units[i][p:q]), (i, p))
+    kept = {}
+    for i, every in units.items():
+        gone = set()
+        for p in range(len(every)):
+            for q in range(p + 1, len(every) + 1):
+                if long_enough(every[p:q]) and first[tuple(every[p:q])] != (i, p):
+                    gone |= set(range(p, q))
+        kept[i] = [x for k, x in enumerate(every) if k not in gone]
+    return kept
+
+
+def test_single_lines_and_pairs_against_brute_force(make):
+    rng = random.Random(9)
+    footer = "all of the rights to this page are reserved by its owner"
+    pool = [footer, "Yes.", "No.", "two words", "three words here", "four words stand here", "five words stand right here", "線" * 20, "線" * 4]
+    rows = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.5 else f"own {i} {k}" for k in range(rng.randrange(1, 9)))) for i in range(80)]
+    rows += [(100 + i, f"something new {i}\n\n{footer}") for i in range(20)] + [(200, footer), (201, "Yes."), (202, f"{footer}\nYes.\nown 202"), (203, f"{footer}\nYes.")]
+    rng.shuffle(rows)
+    expected = brute_runs(rows)
+    got = {r.doc_id: [x for x in r.text.split("\n") if WORD.search(x)] for r in line_dedup.without_repeated_lines(make(rows).repartition(7)).collect()}
+    assert got == expected
+    assert sum(footer in x for x in got.values()) == 1
+    assert got[200] == [] and got[201] == ["Yes."] and got[203] == []
+
+
 def shingles(text):
     w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text))
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
