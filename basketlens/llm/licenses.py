@@ -9,6 +9,11 @@ A text is not aligned as a whole.  Coverage c of n words needs ceil(c * n) of th
 n - ceil(c * n) + 1 must occur: the longest words of each template are its keys, and texts without a key are done.  Around
 its occurrences of the template's words, a text is cut into stretches; a stretch longer than the template is aligned in
 overlapping windows of twice the template's length, so that a repeated license is found each time.
+
+Names and versions decide.  A template below ``SHORT`` words is a name, and must stand in the text word for word.  Of a longer one,
+each deciding word (``DECIDING`` or a number) must be among the words aligned, and no other name or version between them
+unaligned: the notice of one license is not reported as that of its sibling.  Licenses without a template are
+not found; a family's name alone ("GPL") stands where no template with a version does.
 """
 
 from __future__ import annotations
@@ -29,12 +34,90 @@ LEAST_COVERAGE = 0.75
 # Of the words between the first and the last aligned one, at least this share must be aligned.
 LEAST_DENSITY = 0.6
 LONGEST_GAP = 12
+SHORT = 15
 
 WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 
-# License notices and texts as published.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
+# Names that tell a license from another.
+NAMES = frozenset(
+    b"0bsd affero agpl agplv3 apache artistic attribution boost bsd cc cc0 cddl commons creativecommons eclipse epl eupl gnu gpl gplv2 gplv3 isc lesser lgpl lgplv2 lgplv3 "
+    b"library mit mozilla mpl nc nd noncommercial noderivatives noderivs sa sharealike unlicense wtfpl zlib".split()
+)
+# The last two tell the three clauses of BSD from two.
+DECIDING = NAMES | {b"endorse", b"promote"}
+
+
+def _names() -> dict[str, tuple[str, ...]]:
+    """Short templates: the names of common licenses as they are written, with their versions and alone."""
+    out: dict[str, tuple[str, ...]] = {
+        "MIT": ("Released under the MIT License.", "MIT License", "MIT licensed", "Expat License", "licensed under MIT", "license: MIT"),
+        "MIT-0": ("MIT No Attribution", "MIT-0"),
+        "BSD": ("BSD License", "BSD licensed", "BSD-style license"),
+        "0BSD": ("Zero-Clause BSD", "BSD Zero Clause License", "0BSD"),
+        "ISC": ("ISC License", "ISC licensed"),
+        "Zlib": ("zlib License", "zlib/libpng License"),
+        "Unlicense": ("The Unlicense", "Unlicense License", "unlicense.org"),
+        "BSL-1.0": ("Boost Software License", "BSL-1.0"),
+        "WTFPL": ("WTFPL", "Do What The Fuck You Want To Public License"),
+        "CC0-1.0": ("CC0", "CC0 1.0", "Creative Commons Zero", "creativecommons.org/publicdomain/zero/1.0"),
+        "Apache": ("Apache License", "Apache Software License", "Apache licensed"),
+        "CC": ("Creative Commons License",),
+    }
+    for n, words in (("2", ("Simplified", "FreeBSD")), ("3", ("New", "Modified", "Revised")), ("4", ("Original",))):
+        out[f"BSD-{n}-Clause"] = (f"BSD {n}-Clause", f"{n}-Clause BSD", f"BSD {n}-Clause License", f"{n}-Clause BSD License", *(f"{w} BSD License" for w in words))
+    for v in ("1.0", "1.1", "2.0"):
+        forms = [f"{a} {b}{v}" for a in ("Apache License", "Apache Software License") for b in ("", "Version ", "v")]
+        out[f"Apache-{v}"] = (f"Licensed under the Apache License, Version {v}.", *forms, f"Apache-{v}", f"Apache {v}", f"apache.org/licenses/LICENSE-{v}")
+    families = {
+        "GPL": (("GNU General Public License", "GNU GPL", "GNU Public License", "GNU General Public License (GPL)"), ("1.0", "2.0", "3.0")),
+        "LGPL": (("GNU Lesser General Public License", "GNU Library General Public License", "GNU LGPL", "GNU Lesser General Public License (LGPL)"), ("2.0", "2.1", "3.0")),
+        "AGPL": (("GNU Affero General Public License", "Affero General Public License", "GNU AGPL", "GNU Affero General Public License (AGPL)"), ("1.0", "3.0")),
+        "MPL": (("Mozilla Public License", "Mozilla Public License (MPL)"), ("1.0", "1.1", "2.0")),
+        "EPL": (("Eclipse Public License", "Eclipse Public License (EPL)"), ("1.0", "2.0")),
+        "EUPL": (("European Union Public Licence", "European Union Public License"), ("1.1", "1.2")),
+        "CDDL": (("Common Development and Distribution License",), ("1.0", "1.1")),
+        "Artistic": (("Artistic License",), ("1.0", "2.0")),
+    }
+    for family, (names, versions) in families.items():
+        out[family] = (*names, f"{family} license", f"{family} licensed") if family != "Artistic" else names
+        for v in versions:
+            numbers = (v, v[:-2]) if v.endswith(".0") else (v,)
+            forms = [f"{a} {b}{n}" for a in (*names, family) for n in numbers for b in ("", "version ", "v", "v. ")]
+            out[f"{family}-{v}"] = (*forms, *(f"{family}v{n}" for n in numbers))
+    out["GPL-3.0"] = ("This work is licensed under the GNU General Public License, version 3.", *out["GPL-3.0"])
+    elements = {"BY": "Attribution", "SA": "ShareAlike", "NC": "NonCommercial", "ND": "NoDerivatives"}
+    for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
+        full = "-".join(elements[x] for x in kind.split("-"))
+        spelled = {full, full.replace("NonCommercial", "Non-Commercial"), full.replace("ShareAlike", "Share-Alike"), full.replace("Derivatives", "Derivs")}
+        spelled |= {x.replace("NoDeriv", "No-Deriv") for x in spelled}
+        plain = [f"CC {kind}", *sorted(f"Creative Commons {x}" for x in spelled)]
+        out[f"CC-{kind}"] = (f"CC-{kind} license", f"licensed under CC {kind}", *plain[1:])
+        for v in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+            forms = [f"{a} {b}{v}" for a in (*plain, *(f"{p} International" for p in plain[1:])) for b in ("", "License ")]
+            out[f"CC-{kind}-{v}"] = (f"Licensed under CC {kind} {v}.", *forms, f"creativecommons.org/licenses/{kind}/{v}")
+    for name in out:
+        out[name] += (f"SPDX-License-Identifier: {name}",)
+    return out
+
+
+def _gnu(name: str, version: str) -> str:
+    return (
+        f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by "
+        f"the Free Software Foundation, either version {version} of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        f"MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details."
+    )
+
+
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution."
+)
+
+# License names, notices and texts as published; of several forms each is a template.
+TEMPLATES: dict[str, str | tuple[str, ...]] = _names() | {
     "Apache-2.0 header": (
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. "
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
@@ -42,19 +125,29 @@ TEMPLATES = {
         "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
         "See the License for the specific language governing permissions and limitations under the License."
     ),
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0 notice": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
-        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
-        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
-        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+    "GPL-2.0 notice": _gnu("General Public License", "2"),
+    "GPL-3.0 notice": _gnu("General Public License", "3"),
+    "LGPL-2.1 notice": _gnu("Lesser General Public License", "2.1"),
+    "LGPL-3.0 notice": _gnu("Lesser General Public License", "3"),
+    "AGPL-3.0 notice": _gnu("Affero General Public License", "3"),
+    "MPL-2.0 notice": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+        "You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
+    "BSD-2-Clause text": _BSD,
+    "BSD-3-Clause text": (
+        f"{_BSD} Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+        "this software without specific prior written permission."
+    ),
+    "Unlicense text": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
     ),
     "ISC": (
+        *_names()["ISC"],
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
-        "above copyright notice and this permission notice appear in all copies."
+        "above copyright notice and this permission notice appear in all copies.",
     ),
-    "MIT": "Released under the MIT License.",
     "MIT text": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), "
         "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, "
@@ -117,18 +210,46 @@ def align(text: list[bytes], template: list[bytes]) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], coverage: float):
+    def __init__(self, templates: dict[str, str | tuple[str, ...]], coverage: float):
         self.coverage = coverage
-        self.words = {name: split(text) for name, text in templates.items()}
-        self.words = {name: w for name, w in self.words.items() if w}
-        self.keys: dict[bytes, set[str]] = {}
-        for name, w in self.words.items():
-            longest = sorted(w, key=lambda x: (-len(x), x))[: len(w) - math.ceil(coverage * len(w)) + 1]
-            for key in longest:
-                self.keys.setdefault(key, set()).add(name)
-        self.vocabulary = {name: set(w) for name, w in self.words.items()}
-
-    def stretches(self, words: list[bytes], name: str) -> Iterator[tuple[int, int]]:
+        forms = {(name, k): split(x) for name, text in templates.items() for k, x in enumerate([text] if isinstance(text, str) else text)}
+        # phrases by one of their words, a name if they hold one: its place in them, and all of them
+        self.phrases: dict[bytes, dict[tuple[str, int, tuple[bytes, ...]], None]] = {}
+        self.words = {form: w for form, w in forms.items() if len(w) >= SHORT}
+        self.keys: dict[bytes, set[tuple[str, int]]] = {}
+        for form, w in forms.items():
+            by_length = sorted(w, key=lambda x: (-len(x), x))
+            if form in self.words:
+                for key in by_length[: len(w) - math.ceil(coverage * len(w)) + 1]:
+                    self.keys.setdefault(key, set()).add(form)
+            elif w:
+                key = min(by_length, key=lambda x: x not in NAMES)
+                self.phrases.setdefault(key, {})[form[0], w.index(key), tuple(w)] = None
+        self.vocabulary = {form: set(w) for form, w in self.words.items()}
+        self.deciding = {form: {x for x in w if x in DECIDING or x.isdigit()} for form, w in self.words.items()}
+        self.any_key = self.keys.keys() | self.phrases.keys()
+
+    def named(self, words: list[bytes]) -> Iterator[tuple[str, float, int, int, int]]:
+        for i, w in enumerate(words):
+            for name, back, phrase in self.phrases.get(w, ()):
+                s = i - back
+                if s >= 0 and tuple(words[s : s + len(phrase)]) == phrase:
+                    yield name, 1.0, len(phrase), s, s + len(phrase)
+
+    def decided(self, words: list[bytes], form: tuple[str, int], pairs: list[tuple[int, int]]) -> bool:
+        """Whether the deciding words are all aligned, and no others stand between them."""
+        deciding = self.deciding[form]
+        at = [i for i, _ in pairs if words[i] in deciding]
+        if {words[i] for i in at} != deciding:
+            return False
+        aligned = {i for i, _ in pairs}
+        for i in range(at[0], at[-1]) if at else ():
+            if i not in aligned and words[i] not in deciding:
+                if words[i] in NAMES or (words[i].isdigit() and words[i - 1] in (b"version", b"v")):
+                    return False
+        return True
+
+    def stretches(self, words: list[bytes], name: tuple[str, int]) -> Iterator[tuple[int, int]]:
         vocabulary, n = self.vocabulary[name], len(self.words[name])
         at = [i for i, w in enumerate(words) if w in vocabulary]
         needed = math.ceil(self.coverage * n)
@@ -143,11 +264,11 @@ class Scanner:
 
     def found(self, words: list[bytes]) -> list[tuple[str, float, int, int, int]]:
         """(license, coverage, aligned words, first word, last word + 1), best first where they overlap."""
-        names = set().union(*(self.keys[w] for w in self.keys.keys() & set(words)))
-        matches = []
-        for name in sorted(names):
-            template = self.words[name]
-            for s, e in self.stretches(words, name):
+        matches = list(self.named(words))
+        forms = set().union(*(self.keys[w] for w in self.keys.keys() & set(words)))
+        for form in sorted(forms):
+            template = self.words[form]
+            for s, e in self.stretches(words, form):
                 pairs = align(words[s:e], template)
                 if len(pairs) < self.coverage * len(template):
                     continue
@@ -158,17 +279,19 @@ class Scanner:
                         lo += 1
                     else:
                         hi -= 1
-                if hi - lo >= self.coverage * len(template):
-                    matches.append((name, (hi - lo) / len(template), hi - lo, s + pairs[lo][0], s + pairs[hi - 1][0] + 1))
+                if hi - lo >= self.coverage * len(template) and self.decided(words, form, [(s + i, j) for i, j in pairs[lo:hi]]):
+                    matches.append((form[0], (hi - lo) / len(template), hi - lo, s + pairs[lo][0], s + pairs[hi - 1][0] + 1))
         # of overlapping matches the one with the most aligned words stays
         kept: list[tuple[str, float, int, int, int]] = []
+        taken = bytearray(len(words))
         for m in sorted(matches, key=lambda m: (-m[2], -m[1], m[3], m[0])):
-            if all(m[4] <= k[3] or k[4] <= m[3] for k in kept):
+            if not any(taken[m[3] : m[4]]):
+                taken[m[3] : m[4]] = b"\1" * (m[4] - m[3])
                 kept.append(m)
         return sorted(kept, key=lambda m: m[3])
 
 
-def _scan(templates: dict[str, str], coverage: float):
+def _scan(templates: dict[str, str | tuple[str, ...]], coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, coverage)
         for block in blocks(batches):
@@ -177,7 +300,7 @@ def _scan(templates: dict[str, str], coverage: float):
             for i in range(len(block)):
                 text = block.text(i).decode("utf-8")
                 words = split(text)
-                matches = scanner.found(words) if not scanner.keys.keys().isdisjoint(words) else []
+                matches = scanner.found(words) if not scanner.any_key.isdisjoint(words) else []
                 if matches:
                     spans = [m.span() for m in WORD.finditer(text.lower().encode("utf-8"))]
                     rows += [(ids[i], name, share, n, spans[s][0], spans[e - 1][1]) for name, share, n, s, e in matches]
@@ -191,10 +314,10 @@ def _scan(templates: dict[str, str], coverage: float):
     return run
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = LEAST_COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: dict[str, str | tuple[str, ...]] | None = None, coverage: float = LEAST_COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per license found: doc_id, license, coverage, n_aligned, start_byte, end_byte (of the lower-cased text).
 
-    A document has a row for each place of each license, none without one; null and empty texts have none.  Where templates
+    ``coverage`` is for templates of ``SHORT`` words or more; shorter ones must stand word for word.  A document has a row for each place of each license, none without one; null and empty texts have none.  Where templates
     match the same place, the one with the most aligned words stands.  Texts of any length are read whole; repeated
     rows are scanned each; no rows give no rows; other columns are not read.
     """

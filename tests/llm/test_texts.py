@@ -130,6 +130,47 @@ def test_scan_finds_edited_and_repeated_licenses(make):
     assert got == [(1, "MIT text"), (2, "MIT"), (2, "MIT"), (4, "Apache-2.0")]
 
 
+def test_names_and_versions_decide():
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.LEAST_COVERAGE)
+
+    def found(text):
+        return [m[0] for m in scanner.found(licenses.split(text))]
+
+    lines = {
+        "Released under the BSD License.": "BSD",
+        "Released under the MIT License.": "MIT",
+        "Under the 3-Clause BSD License": "BSD-3-Clause",
+        "Licensed under CC BY 4.0.": "CC-BY-4.0",
+        "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0",
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+        "Licensed under CC BY-NC-SA 3.0.": "CC-BY-NC-SA-3.0",
+        "Creative Commons Attribution-ShareAlike 3.0 License": "CC-BY-SA-3.0",
+        "https://creativecommons.org/licenses/by-nd/2.5/": "CC-BY-ND-2.5",
+        "subject to the Mozilla Public License, Version 2.0": "MPL-2.0",
+        "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+        "Licensed under the Apache License, Version 1.1.": "Apache-1.1",
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+        "This work is licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0",
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.": "LGPL-2.1",
+        "This work is licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0",
+        "the GNU General Public License, version 9": "GPL",
+        "SPDX-License-Identifier: CC0-1.0": "CC0-1.0",
+        "released into the public domain under The Unlicense": "Unlicense",
+    }
+    assert {t: found(t) for t in lines} == {t: [name] for t, name in lines.items()}
+    assert found("released under the Foo License, in cc by mail at 4.0") == []
+    for name, text in licenses.TEMPLATES.items():
+        for form in [text] if isinstance(text, str) else text:
+            assert found(f"some words {form} and more")[:1] == [name], form
+    # a template alone does not pass for its sibling
+    notice = licenses.TEMPLATES["GPL-3.0 notice"]
+    only = licenses.Scanner({"GPL-3.0 notice": notice, "BSD-3-Clause text": licenses.TEMPLATES["BSD-3-Clause text"]}, licenses.LEAST_COVERAGE)
+    for other in ("GPL-2.0 notice", "LGPL-3.0 notice", "AGPL-3.0 notice", "BSD-2-Clause text"):
+        assert only.found(licenses.split(licenses.TEMPLATES[other] + " the copyright holder and contributors of this software")) == [], other
+    assert [m[0] for m in only.found(licenses.split(notice.replace("useful", "of use")))] == ["GPL-3.0 notice"]
+
+
 def test_language_on_rows_it_has_not_learned_from(spark, folder):
     from basketlens.llm.shared import documents
 
