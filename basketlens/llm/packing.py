@@ -8,10 +8,12 @@ the pieces of its length.
 Search.  The largest length left must go somewhere, so fillings are listed around it.  A filling is dominated when a
 length that is left over would fit in its gap, alone or in place of a smaller one it holds; only undominated
 ones matter.  The first incumbent takes, for the largest length, the filling with the least waste that uses the larger lengths
-first (found by subset sums held as bits), as often as the counts allow.  Sequences without waste are settled; the pieces
-of the others are searched by branch and bound: a branch ends when the sequences so far and the least number
-for the rest, by its tokens and by its large pieces, cannot beat the incumbent.  The search stops at the lower bound
-of the whole, or after ``MOST_STEPS`` fillings, with the incumbent.
+first (found by subset sums held as bits), as often as the counts allow.  Unless it is at the lower bound, branch and bound follows, on
+fillings with repeats: a branch is a filling and how often, so the cost does not depend on the number of sequences.  Fillings are
+listed best first, as far as a branch may go, and the search allows one step away from the best filling on a path, then two, four
+and so on.  A branch ends when the sequences so far and the least number for the rest, by its tokens and by its large
+pieces, cannot beat the incumbent.  The wasteful sequences of the incumbent are searched first, by themselves, and then all lengths.  Each
+search stops at its lower bound, at its end, or after ``MOST_STEPS`` fillings listed, with the incumbent.
 """
 
 from __future__ import annotations
@@ -22,7 +24,9 @@ import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +37,6 @@ from basketlens.llm.shared import blocks, documents, id_and_text, shuffle_partit
 
 CAPACITY = 2048
 MOST_STEPS = 20_000
-CORE_SEQUENCES = 400
 HELD_WORDS = 500_000
 HELD_PIECES = 600_000
 
@@ -68,10 +71,10 @@ def least_sequences(counts: dict[int, int], capacity: int) -> int:
     return int(max(-(-tokens[-1] // capacity), by_size.max()))
 
 
-def least_waste_filling(counts: dict[int, int], lengths: list[int], room: int) -> Filling:
-    """The fullest filling of ``room``, larger lengths first; ``lengths`` ascend."""
+def reachable(counts: dict[int, int], lengths: list[int], room: int) -> tuple[list[int], list[int]]:
+    """The lengths up to ``room``, ascending as ``lengths`` do, and at i the sums, as bits, of the i smallest of them."""
     mask = (1 << room + 1) - 1
-    reach = [1]  # reach[i]: the sums, as bits, of the i smallest lengths
+    reach = [1]
     usable = lengths[: bisect_right(lengths, room)]
     for x in usable:
         bits, left, step = reach[-1], min(counts[x], room // x), 1
@@ -81,17 +84,28 @@ def least_waste_filling(counts: dict[int, int], lengths: list[int], room: int) -
             left -= step
             step *= 2
         reach.append(bits)
-    target, filling = reach[-1].bit_length() - 1, []
-    for i in range(len(usable) - 1, -1, -1):
-        x, n = usable[i], 0
-        # as many of this length as still leave a sum of smaller ones
-        for n in range(min(counts[x], target // x), -1, -1):
+    return usable, reach
+
+
+def fillings_of(counts: dict[int, int], usable: list[int], reach: list[int], target: int, upto: int | None = None) -> Iterator[Filling]:
+    """All fillings of this sum, as many of the larger lengths first as still leave a sum of smaller ones."""
+    if not target:
+        yield ()
+        return
+    for i in range((len(usable) if upto is None else upto) - 1, -1, -1):
+        x = usable[i]
+        for n in range(min(counts[x], target // x), 0, -1):
             if reach[i] >> target - n * x & 1:
-                break
-        if n:
-            filling.append((x, n))
-            target -= n * x
-    return tuple(filling)
+                for rest in fillings_of(counts, usable, reach, target - n * x, i):
+                    yield ((x, n), *rest)
+        if not reach[i] >> target & 1:
+            return
+
+
+def least_waste_filling(counts: dict[int, int], lengths: list[int], room: int) -> Filling:
+    """The fullest filling of ``room``, larger lengths first; ``lengths`` ascend."""
+    usable, reach = reachable(counts, lengths, room)
+    return next(fillings_of(counts, usable, reach, reach[-1].bit_length() - 1))
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
@@ -114,91 +128,138 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]
     return out
 
 
+@dataclass
+class Node:
+    """A place on the path: sequences before it, steps away that are left, what may be taken next, and what is taken."""
+
+    done: int
+    away: int
+    options: list[tuple[Filling, int]]
+    at: int = 0
+    taken: tuple[Filling, int] | None = None
+
+
 class Search:
-    """Branch and bound over sequences, within a number of steps; each filling begun is one."""
+    """Branch and bound over fillings with repeats, within a number of steps; each filling listed is one."""
 
     def __init__(self, counts: dict[int, int], capacity: int, limit: int, most: int):
-        self.left, self.capacity, self.limit, self.steps = dict(counts), capacity, limit, most
+        self.left, self.capacity, self.limit, self.steps = {x: counts[x] for x in sorted(counts) if counts[x]}, capacity, limit, most
         self.bound = least_sequences(counts, capacity)
-        self.best: list[tuple[int, ...]] | None = None
-
-    def undominated(self, room: int) -> Iterator[tuple[int, ...]]:
-        """Fillings of ``room`` that no single swap or addition improves, larger lengths first."""
-        lengths = sorted((x for x, n in self.left.items() if n and x <= room), reverse=True)
-
-        def improvable(held: Counter, gap: int) -> bool:
-            spare = [x for x in lengths if self.left[x] > held[x]]
-            return any(x <= gap for x in spare) or any(y < x <= y + gap for y in held for x in spare)
-
-        def extend(at: int, gap: int, chosen: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
-            self.steps -= 1
-            if self.steps < 0:
-                return
-            held = Counter(chosen)
-            fits = False
-            for i in range(at, len(lengths)):
-                x = lengths[i]
-                if x <= gap and self.left[x] > held[x]:
-                    fits = True
-                    yield from extend(i, gap - x, (*chosen, x))
-                    if self.steps < 0:
-                        return
-            if not fits and (not gap or not improvable(held, gap)):
-                yield chosen
-
-        return extend(0, room, ())
-
-    def branch(self, done: list[tuple[int, ...]]) -> bool:
-        """True when the search is over."""
-        rest = {x: n for x, n in self.left.items() if n}
-        if not rest:
-            self.best, self.limit = list(done), len(done)
-            return self.limit <= self.bound
-        if len(done) + least_sequences(rest, self.capacity) >= self.limit:
-            return False
-        top = max(rest)
-        self.left[top] -= 1
-        options = sorted(self.undominated(self.capacity - top), key=lambda f: (-sum(f), len(f)))
-        over = False
-        for filling in options:
-            for x in filling:
-                self.left[x] -= 1
-            done.append((top, *filling))
-            over = self.branch(done) or self.steps < 0
-            done.pop()
-            for x in filling:
-                self.left[x] += 1
-            if over:
-                break
-        self.left[top] += 1
-        return over
-
-
-def complete(counts: dict[int, int], capacity: int, limit: int, most: int) -> list[tuple[int, ...]] | None:
-    """Sequences for all pieces, fewer than ``limit``, or None where the search found none."""
-    search = Search(counts, capacity, limit, most)
-    search.branch([])
+        self.best: list[tuple[Filling, int]] | None = None
+        self.seen: dict[int, tuple[int, int]] = {}
+        self.cut = False
+
+    def undominated(self, top: int, lengths: list[int]) -> Iterator[Filling]:
+        """Fillings around ``top`` that no single swap or addition improves, the fullest first."""
+        left, room = self.left, self.capacity - top
+        left[top] -= 1
+        usable, reach = reachable(left, lengths, room)
+
+        def spare(held: dict[int, int], low: int, high: int) -> bool:
+            return any(left[x] > held.get(x, 0) for x in usable[bisect_right(usable, low) : bisect_right(usable, high)])
+
+        try:
+            for target in range(reach[-1].bit_length() - 1, -1, -1):
+                if reach[-1] >> target & 1:
+                    gap = room - target
+                    for filling in fillings_of(left, usable, reach, target):
+                        self.steps -= 1
+                        if self.steps < 0:
+                            return
+                        held = dict(filling)
+                        if not gap or not (spare(held, 0, gap) or any(spare(held, y, y + gap) for y in held)):
+                            yield filling
+        finally:
+            left[top] += 1
+
+    def options(self) -> Iterator[tuple[Filling, int]]:
+        """Fillings around the largest length left, as often as the counts allow; half as often and once come after the next filling."""
+        lengths = [x for x, n in self.left.items() if n]
+        top, later = lengths[-1], []
+        for rest in self.undominated(top, lengths):
+            held = Counter(dict(rest))
+            held[top] += 1
+            filling = tuple(sorted(held.items(), reverse=True))
+            # the generator holds one piece of the largest length
+            most = min((self.left[x] + (x == top)) // n for x, n in filling)
+            yield filling, most
+            yield from later
+            later = [(filling, r) for r in sorted({most // 2, 1} - {0, most}, reverse=True)]
+        yield from later
+
+    def node(self, done: int, away: int) -> Node:
+        found = self.options()
+        options = list(islice(found, away + 2))
+        found.close()
+        self.cut = self.cut or len(options) > away + 1
+        return Node(done, away, options[: away + 1])
+
+    def take(self, taken: tuple[Filling, int], sign: int) -> None:
+        for x, n in taken[0]:
+            self.left[x] -= sign * n * taken[1]
+
+    def dive(self, away: int) -> None:
+        """All paths that leave the best options by no more than ``away`` in sum, where the next best is one away."""
+        self.seen.clear()
+        self.cut = False
+        path = [self.node(0, away)]
+        while path:
+            node = path[-1]
+            if node.taken:
+                self.take(node.taken, -1)
+                node.taken = None
+            if node.at == len(node.options) or self.steps < 0 or self.limit <= self.bound:
+                path.pop()
+                continue
+            node.taken, left = node.options[node.at], node.away - node.at
+            node.at += 1
+            self.take(node.taken, 1)
+            done = node.done + node.taken[1]
+            rest = {x: n for x, n in self.left.items() if n}
+            if done + least_sequences(rest, self.capacity) >= self.limit:
+                continue
+            if not rest:
+                self.best, self.limit = [x.taken for x in path], done
+                continue
+            key = hash(tuple(self.left.values()))
+            before = self.seen.get(key)
+            if before and before[0] <= done and before[1] >= left:
+                continue
+            self.seen[key] = done, left
+            path.append(self.node(done, left))
+
+
+def complete(counts: dict[int, int], capacity: int, limit: int, most: int) -> list[tuple[Filling, int]] | None:
+    """Fillings with repeats for all pieces, fewer sequences than ``limit``, or None where the search found none."""
+    search, away = Search(counts, capacity, limit, most), 1
+    while search.limit > search.bound:
+        search.dive(away)
+        if search.steps < 0 or not search.cut:
+            break
+        away *= 2
     return search.best
 
 
 def fillings(counts: dict[int, int], capacity: int, most: int = MOST_STEPS) -> list[tuple[Filling, int]]:
     """Fillings with repeats that hold every piece once, in as few sequences as the search finds."""
-    incumbent = best_fit(counts, capacity)
-    used, bound = sum(r for _, r in incumbent), least_sequences(counts, capacity)
-    wasteful = [(f, r) for f, r in incumbent if sum(x * n for x, n in f) < capacity]
-    core = sum(r for _, r in wasteful)
-    if used == bound or not 1 < core <= CORE_SEQUENCES:
-        return incumbent
-    pieces: Counter = Counter()
-    for f, r in wasteful:
-        for x, n in f:
-            pieces[x] += n * r
-    found = complete(dict(pieces), capacity, core, most)
-    if found is None:
-        return incumbent
-    settled = [(f, r) for f, r in incumbent if sum(x * n for x, n in f) == capacity]
-    again = Counter(tuple(sorted(Counter(s).items(), reverse=True)) for s in found)
-    return settled + list(again.items())
+    plan = best_fit(counts, capacity)
+    bound = least_sequences(counts, capacity)
+    full = [(f, r) for f, r in plan if sum(x * n for x, n in f) == capacity]
+    for settled in (full, []) if full else ([],):
+        used = sum(r for _, r in plan)
+        if used <= bound:
+            break
+        pieces = Counter(counts)
+        for f, r in settled:
+            for x, n in f:
+                pieces[x] -= n * r
+        found = complete(pieces, capacity, used - sum(r for _, r in settled), most)
+        if found is not None:
+            again: Counter = Counter()
+            for f, r in settled + found:
+                again[f] += r
+            plan = list(again.items())
+    return plan
 
 
 # ---------------------------------------------------------------- token pieces

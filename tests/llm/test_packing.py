@@ -55,6 +55,32 @@ def test_near_the_bound_on_larger_inputs(lengths):
     assert sum(r for _, r in plan) <= packing.least_sequences(counts, 100) + 1
 
 
+def test_search_does_not_depend_on_the_number_of_sequences():
+    for many in (10, 1000, 1_000_000):
+        counts = {1025: many, 614: many, 409: many, 512: many, 511: many, 717: 2 * many}
+        plan = packing.fillings(counts, 2048)
+        held = Counter()
+        for filling, repeats in plan:
+            assert sum(x * n for x, n in filling) <= 2048
+            for x, n in filling:
+                held[x] += n * repeats
+        assert held == counts
+        assert sum(r for _, r in packing.best_fit(counts, 2048)) > sum(r for _, r in plan) == 11 * many // 5
+        assert many > 1000 or packing.least_sequences(counts, 2048) == 11 * many // 5
+
+
+def test_search_over_many_lengths_ends_with_a_whole_plan():
+    counts = {x: 1 + x * 7 % 50 for x in range(700, 2048)}
+    plan = packing.fillings(counts, 2048, most=3000)
+    held = Counter()
+    for filling, repeats in plan:
+        assert sum(x * n for x, n in filling) <= 2048
+        for x, n in filling:
+            held[x] += n * repeats
+    assert held == counts
+    assert sum(r for _, r in plan) <= sum(r for _, r in packing.best_fit(counts, 2048))
+
+
 def test_cut():
     assert packing.cut(1, 8) == [(0, 1)]
     assert packing.cut(8, 8) == [(0, 8)]
