@@ -4,7 +4,8 @@ A tree is built first: start tags close what they imply (a paragraph, list item,
 their element, void elements have no content, and the content of scripts, styles and text areas is taken raw.  The
 tree is then walked without recursion.  Elements that a browser does not show are skipped; white space is collapsed but in
 ``pre``; blocks stand on lines of their own, paragraphs, headings, lists and tables have an empty line around
-them; list items get a dash or number and are indented by depth; table cells are padded to their column.
+them; list items get a dash or number and are indented by depth; table cells are padded to their column.  Formulas and the texts of drawings
+are inline content, each drawn text a word of its own; what only describes them is not shown.
 """
 
 from __future__ import annotations
@@ -33,12 +34,23 @@ NOT_SHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hid
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes title meta link datalist object audio video canvas svg math param source track area map".split())
+UNSEEN = frozenset("head script style template noscript iframe noembed noframes title meta link datalist object audio video canvas param source track area map".split())
+# Within a formula or drawing: what is not shown, in lower case, and in a drawing the elements that show text.
+UNSEEN_IN = {
+    "math": frozenset(["annotation", "annotation-xml"]),
+    "svg": frozenset("defs metadata title desc symbol clippath mask pattern marker lineargradient radialgradient filter".split()),
+}
+DRAWN = frozenset(["text", "foreignobject"])
+# A start tag of these ends an open formula or drawing, but within an element that holds HTML.
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+HOLDS_HTML = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 PARAGRAPH_ENDS = frozenset(
     "address article aside blockquote details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
 )
-BLOCKS = PARAGRAPH_ENDS | frozenset("html body li dt dd summary legend caption option optgroup select textarea center tr td th tbody thead tfoot".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr".split())
+BLOCKS = PARAGRAPH_ENDS | frozenset("html body li dt dd summary legend caption option optgroup select textarea center tr td th tbody thead tfoot xmp".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre xmp ul ol dl table figure hr".split())
 # A start tag of the key closes an open element of the set, up to the nearest of the borders.
 IMPLIED = {
     "li": (frozenset(["li"]), frozenset("ul ol menu dir table".split())),
@@ -139,6 +151,13 @@ def build(page: str) -> Node:
             elif tag == "br":
                 stack[-1].children.append(Node("br"))
             continue
+        if tag in BREAKOUT and (counts.get("math") or counts.get("svg")):
+            for n in range(len(stack) - 1, 0, -1):
+                if stack[n].tag in HOLDS_HTML:
+                    break
+                if stack[n].tag in UNSEEN_IN:
+                    close(n)
+                    break
         if tag in IMPLIED:
             ends, borders = IMPLIED[tag]
             if any(counts.get(e) for e in ends):
@@ -157,13 +176,22 @@ def build(page: str) -> Node:
                     break
                 if stack[n].tag in SCOPES:
                     break
+        inside = next((x for x in ("math", "svg") if counts.get(x)), None)
         node = _open(tag, m[3])
+        if inside:
+            # of formula and drawing, the inner one decides
+            inside = next(n.tag for n in reversed(stack) if n.tag in UNSEEN_IN) if counts.get("math") and counts.get("svg") else inside
+            node.hidden = node.hidden or tag in UNSEEN_IN[inside]
         stack[-1].children.append(node)
-        if tag in RAW:
+        if inside and m[3].endswith("/"):
+            continue  # such elements may close themselves
+        if tag in RAW and not (inside and tag == "title"):
             end = re.compile(rf"</{re.escape(tag)}\s*/?>", re.I).search(page, at)
             raw = page[at : end.start() if end else len(page)]
             if tag in ("textarea", "title"):
                 node.children.append(html.unescape(raw))
+            elif tag == "xmp":
+                node.children.append(raw)
             at = end.end() if end else len(page)
         elif tag not in VOID:
             stack.append(node)
@@ -249,10 +277,13 @@ def render(root: Node) -> str:
     tables: list[list[list[str]]] = []
     lists: list[list[int | None]] = []
     pre = 0
+    drawn: list[bool] = []  # for each open drawing, whether text is shown here
     todo: list[tuple[object, bool]] = [(root, False)]
     while todo:
         node, leaving = todo.pop()
         if isinstance(node, str):
+            if drawn and not drawn[-1]:
+                continue
             out.as_is(node) if pre else out.words(node)
             continue
         tag = node.tag
@@ -288,8 +319,14 @@ def render(root: Node) -> str:
                     out.mark = "- "
             elif tag in ("dd", "blockquote"):
                 out.indent += 2
-            elif tag == "pre":
+            elif tag in ("pre", "xmp"):
                 pre += 1
+            elif tag == "svg":
+                drawn.append(False)
+                out.space = out.space or bool(out.open)
+            elif drawn and tag in DRAWN:
+                drawn.append(True)
+                out.space = out.space or bool(out.open)
             elif tag == "hr":
                 out.add("---")
                 out.block(True)
@@ -321,8 +358,11 @@ def render(root: Node) -> str:
             lists.pop()
         elif tag in ("dd", "blockquote"):
             out.indent -= 2
-        elif tag == "pre":
+        elif tag in ("pre", "xmp"):
             pre -= 1
+        elif drawn and (tag == "svg" or tag in DRAWN):
+            drawn.pop()
+            out.space = out.space or bool(out.open)
     return page.text().strip("\n")
 
 

@@ -130,6 +130,21 @@ def test_scan_finds_edited_and_repeated_licenses(make):
     assert got == [(1, "MIT text"), (2, "MIT"), (2, "MIT"), (4, "Apache-2.0")]
 
 
+def test_formulas_drawings_and_listings_show():
+    page = (
+        "<p>Area <math><semantics><mrow><mi>a</mi><mo>=</mo><mi>b</mi><mi>h</mi></mrow><annotation encoding='tex'>a=bh</annotation></semantics></math> here</p>"
+        "<svg viewBox='0 0 9 9'><title>hint</title><desc>about</desc><metadata>data</metadata><defs><text>kept back</text></defs>stray"
+        "<rect width='1'/><g><text x='1'>Left <tspan>label</tspan></text><text>right</text></g><foreignObject><p>boxed</p></foreignObject></svg>"
+        "<p>after</p><xmp>if a < b:\n    <b>x</b> &amp;\n</xmp><p>end</p>"
+    )
+    text = pages.visible_text(page)
+    assert text.split("\n")[0] == "Area a=bh here"
+    assert " ".join(text.split()) == "Area a=bh here Left label right boxed after if a < b: <b>x</b> &amp; end"
+    assert "if a < b:\n    <b>x</b> &amp;\n" in text
+    assert pages.visible_text("<svg><circle r=1 /></svg>tail <svg><text>a</text>") == "tail a"
+    assert pages.visible_text("<svg><path d='M0'><p>not lost</p><math><mi>x<p>y") == "not lost\n\nx\n\ny"
+
+
 def test_names_and_versions_decide():
     scanner = licenses.Scanner(licenses.TEMPLATES, licenses.LEAST_COVERAGE)
 
