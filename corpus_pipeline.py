@@ -58,7 +58,7 @@ STAGES = [
     ("best_fit_packing", pack),
 ]
 
-# Tokenizing and the packing search cannot be said in SQL; tests compare the stages with brute force.
+# Tokenizing and the packing search cannot be said in SQL; tests/llm/test_stages.py compares the stages with plain Python.
 ORACLE_SQL = None
 
 
