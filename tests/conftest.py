@@ -1,7 +1,5 @@
-import datetime as dt
 import os
 import sys
-from decimal import Decimal
 
 import pytest
 
@@ -10,8 +8,7 @@ sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
 from basketlens.plans.session import local_session  # noqa: E402
 from basketlens.sources.tables import SCHEMAS, RetailTables  # noqa: E402
-
-SMALL = "/root/testdata/sf0.001"
+from support import SMALL, typed  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -26,18 +23,6 @@ def folder():
     return SMALL
 
 
-def moment(text: str) -> dt.datetime:
-    return dt.datetime.fromisoformat(text)
-
-
-def typed(value, kind: str):
-    if value is None:
-        return None
-    if kind == "timestamp_ntz":
-        return moment(value)
-    return Decimal(str(value)) if kind == "decimal" else value
-
-
 @pytest.fixture(scope="session")
 def make_tables(spark):
     """Tables from short dict rows; absent columns are null, absent tables empty."""

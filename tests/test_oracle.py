@@ -4,7 +4,7 @@ import re
 
 import pytest
 from compare import differences, oracle_connection
-from conftest import SMALL
+from support import SMALL
 
 import __spark_entry__ as entry
 

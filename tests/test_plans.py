@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from conftest import SMALL
+from support import SMALL
 
 from basketlens.operators import customers, ranking
 from basketlens.plans import catalog

@@ -3,7 +3,7 @@
 import datetime as dt
 
 import pytest
-from conftest import moment
+from support import moment
 from hypothesis import Phase, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
