@@ -65,29 +65,32 @@ def _unpacked(column: pa.Array, components: int) -> np.ndarray:
     return np.array([np.frombuffer(x, "<i4" if len(x) == 4 * components else "<i8") for x in held], np.int64).reshape(-1, components)
 
 
+def scaled(x: np.ndarray, scale: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.clip(np.floor(x * scale), -float(FARTHEST), float(FARTHEST)).astype(np.int64)
+
+
 def _scaler(components: int, scale: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, components)
-            with np.errstate(over="ignore"):
-                v = np.clip(np.floor(x * scale), -float(FARTHEST), float(FARTHEST)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([_packed(row) for row in v], pa.binary())], names=["vec_id", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([_packed(v) for v in scaled(x, scale)], pa.binary())], names=["vec_id", "v"])
 
     return run
 
 
-def whole_vectors(table: DataFrame, id_col: str, vector_col: str, components: int, scale: int) -> DataFrame:
-    """vec_id and the vector as integers, of the rows whose vector is complete and finite."""
+def complete_vectors(table: DataFrame, id_col: str, vector_col: str, components: int) -> DataFrame:
+    """vec_id and the vector ``x`` of the rows whose vector is complete and finite."""
     x = F.col(f"`{vector_col}`").cast("array<double>")
     fit = (F.size(x) == components) & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
-    return table.where(fit).select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), x.alias("x")).mapInArrow(_scaler(components, scale), VECTORS)
+    return table.where(fit).select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), x.alias("x"))
 
 
-def first_centroids(vectors: DataFrame, clusters: int, seed: int, components: int) -> np.ndarray:
+def first_centroids(vectors: DataFrame, clusters: int, seed: int, components: int, scale: int) -> np.ndarray:
     """The vectors with the smallest hashed ids; those without an id come last, equal hashes by the vector."""
     code = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")).cast("binary"), 256)
-    rows = vectors.select(code.alias("code"), "v").orderBy(F.col("code").asc_nulls_last(), "v").limit(clusters).collect()
-    return np.array([np.frombuffer(r.v, "<i4" if len(r.v) == 4 * components else "<i8") for r in rows], np.int64).reshape(-1, components)
+    rows = vectors.select(code.alias("code"), "x").orderBy(F.col("code").asc_nulls_last(), "x").limit(clusters).collect()
+    return scaled(np.array([r.x for r in rows], np.float64).reshape(-1, components), scale)
 
 
 # ---------------------------------------------------------------- distances and bounds
@@ -269,8 +272,9 @@ def cluster_vectors(
     rows.  Other columns are not read.
     """
     ship(table.sparkSession)
-    vectors = whole_vectors(table, id_col, vector_col, components, scale)
-    centroids = first_centroids(vectors, clusters, seed, components)
+    complete = complete_vectors(table, id_col, vector_col, components)
+    centroids = first_centroids(complete, clusters, seed, components, scale)
+    vectors = complete.mapInArrow(_scaler(components, scale), VECTORS)
     if not len(centroids):
         return vectors.selectExpr("vec_id", "0 as cluster", "0L as distance"), centroids, []
     state, shares, anchored = vectors, [], None

@@ -15,7 +15,7 @@ SCHEMA = "vec_id long, embedding array<double>, label int"
 def brute(rows, k, rounds, components, scale=256, seed=2):
     kept = [(i, [math.floor(scale * x) for x in v]) for i, v in rows if v is not None and len(v) == components and all(x is not None and math.isfinite(x) for x in v)]
     code = lambda i: (i is None, hashlib.sha256(f"{seed}:{i}".encode()).hexdigest() if i is not None else "")
-    centroids = [v for _, v in sorted(kept, key=lambda x: code(x[0]))[:k]]
+    centroids = [v for _, v in sorted(kept, key=lambda x: (code(x[0]), x[1]))[:k]]
 
     def assign():
         out = []
