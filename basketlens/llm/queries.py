@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from basketlens.llm import bpe, clustering, exact_dedup, language, licenses, line_dedup, ngram_join, packing, pages, quality, substring_dedup
+from basketlens.llm import bpe, clustering, exact_dedup, language, licenses, line_dedup, ngram_join, packing, pages, quality, secrets, substring_dedup
 
 REGISTRY = {
     "op7_ngram_join": ngram_join.query,
@@ -15,6 +15,7 @@ REGISTRY = {
     "op6_quality_rules": quality.query,
     "op8_byte_bpe": bpe.query,
     "op10_exact_dedup": exact_dedup.query,
+    "op12_secret_scan": secrets.query,
     "op13_centroid_clustering": clustering.query,
 }
 
@@ -22,5 +23,6 @@ SQL = {
     "op3_substring_dedup": substring_dedup.SQL,
     "op6_quality_rules": quality.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
+    "op12_secret_scan": secrets.SQL,
     "op13_centroid_clustering": clustering.SQL,
 }

@@ -4,7 +4,7 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from basketlens.llm import bpe, exact_dedup, language, licenses, line_dedup, ngram_join, packing, pages, quality, substring_dedup
+from basketlens.llm import bpe, exact_dedup, language, licenses, line_dedup, ngram_join, packing, pages, quality, secrets, substring_dedup
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,6 +23,7 @@ ONE_ROW_EACH = {
     "bpe": lambda d: bpe.round_trip_digests(bpe.encode_texts(d, RANKS, PATTERN), RANKS, PATTERN),
     "lines": line_dedup.without_repeated_lines,
     "exact": exact_dedup.exact_duplicates,
+    "secrets": secrets.secret_digests,
 }
 OTHERS = {
     "packing": lambda d: packing.pack_documents(d, TOKENIZER),
