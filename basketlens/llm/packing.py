@@ -18,8 +18,9 @@ search stops at its lower bound, at its end, or after ``MOST_STEPS`` fillings li
 
 from __future__ import annotations
 
+import json
+import logging
 import os
-import re
 import zlib
 from bisect import bisect_right
 from collections import Counter
@@ -33,17 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from basketlens.llm.bpe import parts
 from basketlens.llm.shared import blocks, documents, id_and_text, shuffle_partitions, store
 
 CAPACITY = 2048
 MOST_STEPS = 20_000
-HELD_WORDS = 500_000
-HELD_PIECES = 600_000
 
-# A space between two characters that are not white space: one pre-split match ends and the next begins here.
-SAFE = re.compile(r"(?<=\S) (?=\S)")
-# Letters up to an ASCII punctuation mark other than the apostrophe: a match ends there too.
-LETTERS = re.compile(r"[^\W\d_]+(?=[!-&(-/:-@\[-`{-~])")
+# Fixed value: how byte-level tokenizers split a text before they merge.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -265,84 +263,60 @@ def fillings(counts: dict[int, int], capacity: int, most: int = MOST_STEPS) -> l
 # ---------------------------------------------------------------- token pieces
 
 
-def words_of(text: str) -> list[str]:
-    """The text cut at its safe spaces, which are left out."""
-    at_spaces = text.split(" ")
-    # as many words at any white space, line feeds apart: then every space is a single one between words
-    if len(text.replace("\n", "x").split()) == len(at_spaces) and " \n" not in text and "\n " not in text:
-        return at_spaces
-    return SAFE.split(text)
+def byte_alphabet() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: itself if it prints, else the next above U+00FF."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
+
+
+def ranked(path: str) -> tuple[dict[bytes, int], dict[str, int]] | None:
+    """Ranks of tokens, and the special tokens, of a tokenizer file that is a plain byte-level BPE with merges in the order of ids."""
+    with open(path, encoding="utf-8") as file:
+        held = json.load(file)
+    model, pre, added = held["model"], held.get("pre_tokenizer") or {}, held.get("added_tokens") or []
+    plain = (
+        model.get("type") == "BPE"
+        and (pre.get("type"), pre.get("add_prefix_space"), pre.get("use_regex", True)) == ("ByteLevel", False, True)
+        and not any(held.get(k) for k in ("normalizer", "post_processor", "truncation", "padding"))
+        and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        and not any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    )
+    if not plain:
+        return None
+    vocabulary, special = model["vocab"], {t["content"]: t["id"] for t in added}
+    merged = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    letters = byte_alphabet()
+    ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if token not in special}
+    singles = [ranks.get(bytes([b])) for b in range(256)]
+    in_order = None not in singles and merged == sorted(set(merged)) and len(merged) + 256 == len(ranks) and max(singles) < merged[0]
+    return (ranks, special) if in_order else None
 
 
 class Encoder:
-    """Token ids of texts, each as little-endian 32-bit integers, with the words and pieces met so far.
+    """Token ids of texts as the tokenizers library gives them for a file, as little-endian 32-bit integers.
 
-    A text is cut at safe spaces into words, and a word that begins with letters before its first ASCII punctuation, where
-    a match of the pre-split pattern ends as well.  A word met before costs one look-up; a new one those of its pieces.
-    New pieces that begin with a space follow each other in one text for the tokenizer, and the bytes of the tokens tell
-    where each ends.  What is held is bounded in number and dropped when full.
+    A plain byte-level BPE is run by tiktoken, which knows the same merges by the ranks of their results and takes half the time; the strings
+    of special tokens are these tokens.  Long texts are cut at safe spaces.  Any other file, and a text whose white space
+    is too long for tiktoken's pattern, goes to the tokenizers library itself.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        vocabulary = self.tokenizer.get_vocab()
-        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for token, i in vocabulary.items():
-            self.bytes_of[i] = len(token)  # one character stands for one byte
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: list[str]) -> None:
-        apart = [x for x in new if x[:1] != " " or x[-1:].isspace()]
-        for x, ids in zip(apart, self._ids(apart), strict=True):
-            self.pieces[x] = ids.tobytes()
-        inline = [x for x in new if x[:1] == " " and not x[-1:].isspace()]
-        groups = [inline[i : i + 500] for i in range(0, len(inline), 500)]
-        for group, ids in zip(groups, self._ids(["".join(g) for g in groups]), strict=True):
-            raw, upto = ids.tobytes(), np.cumsum(self.bytes_of[ids])
-            ends = np.searchsorted(upto, np.cumsum([len(x.encode("utf-8")) for x in group])) + 1
-            for x, i, j in zip(group, [0, *ends.tolist()], ends.tolist()):
-                self.pieces[x] = raw[4 * i : 4 * j]
-
-    def _meet(self, new: set[str]) -> None:
-        if len(self.words) + len(new) > HELD_WORDS:
-            self.words.clear()
-        if len(self.pieces) > HELD_PIECES:
-            self.pieces.clear()
-        match, plain, ending = LETTERS.match, [], []
-        for w in new:
-            m = match(w)
-            if m is None:
-                plain.append(w)
-            else:
-                ending.append((w, " " + m[0], w[m.end() :]))
-        wanted = {" " + w for w in plain}
-        wanted.update([x for _, x, _ in ending])
-        wanted.update([x for _, _, x in ending])
-        self._learn(list(wanted.difference(self.pieces)))
-        words, pieces = self.words, self.pieces
-        for w in plain:
-            words[w] = pieces[" " + w]
-        for w, x, y in ending:
-            words[w] = pieces[x] + pieces[y]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [words_of(t) for t in texts]
-        begin = [c[0] for c in cut]  # without a space before it
-        rest = [c[1:] for c in cut]
-        new = set().union(*rest).difference(self.words)
-        if new:
-            wanted = set().union(*rest) if len(self.words) + len(new) > HELD_WORDS else new
-            self._meet(wanted)
-        words = self.words
-        return [ids.tobytes() + b"".join([words[x] for x in r]) for ids, r in zip(self._ids(begin), rest, strict=True)]
+        found = ranked(path)
+        self.ranks = found and tiktoken.Encoding("local", pat_str=BYTE_LEVEL, mergeable_ranks=found[0], special_tokens=found[1])
+
+    def encode(self, text: str) -> bytes:
+        if self.ranks:
+            try:
+                return b"".join([self.ranks.encode_to_numpy(p, allowed_special="all").astype("<u4", copy=False).tobytes() for p in parts(text)])
+            except ValueError:
+                pass
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @lru_cache(maxsize=4)
@@ -351,7 +325,8 @@ def _encoder(path: str) -> Encoder:
 
 
 def token_ids(texts: list[str], path: str) -> list[bytes]:
-    return _encoder(path).encode(texts)
+    encode = _encoder(path).encode
+    return [encode(t) for t in texts]
 
 
 def cut(tokens: int, capacity: int) -> list[tuple[int, int]]:
@@ -430,6 +405,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     stored = store(pieces, "pieces")
     counts = {int(r[0]): int(r[1]) for r in stored.groupBy("length").count().collect()}  # at most ``capacity`` rows
     plan = fillings(counts, capacity)
+    logging.getLogger(__name__).info("%d sequences, at least %d are needed", sum(r for _, r in plan), least_sequences(counts, capacity))
     share = max(1, sum(counts.values()) // (4 * shuffle_partitions(spark)))
     split = spark.createDataFrame([(x, -(-n // share)) for x, n in counts.items()], "length long, salts long")
     salted = stored.join(F.broadcast(split), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts")))

@@ -1,5 +1,6 @@
 """Packing: places without gaps, few sequences, and the search against all partitions of small inputs."""
 
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -88,12 +89,31 @@ def test_cut():
     assert packing.cut(24, 8) == [(0, 8), (8, 8), (16, 8)]
 
 
-def test_ids_are_those_of_whole_texts():
+def test_ids_are_those_of_the_tokenizers_library():
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
-    texts = ["", " ", "a  b", " a b ", "one two\nthree", "x \n y", "can't  stop\t now ", "é ü　ß   z", "12 345! ?? <|endoftext|>", "a\x1c b \x85 c", "\r\n q"]
+    assert packing.Encoder(PATH).ranks
+    texts = ["", " ", "a  b", " a b ", "one two\nthree", "x \n y", "can't  stop\t now ", "é ü　ß   z", "12 345! ?? <|endoftext|>", "a\x1c b \x85 c", "\r\n q"]
+    texts += ["a b <|endoftext|> c", "<|endoftext|><|endoftext|>x", "<|endoftext|", "x" * 200_000, "é1" * 50_000, " " * 200_000 + "x", "word " * 40_000, "a\n" * 70_000 + "<|endoftext|> z"]
+    rng = random.Random(6)
+    bits = ["<|endoftext|>", "<|", "|>", " ", "  ", "\n", "\t", "a", "B", "é", "'s", "'ll", "1", "٣", "。", "\u00a0", "\u200b", "-", "😀", "\x00", "ñandú", "word"]
+    texts += ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 15))) for _ in range(5000)]
     for text, ids in zip(texts, packing.token_ids(texts, PATH), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text[:100]
+
+
+def test_ids_around_every_kind_of_character():
+    tokenizer = Tokenizer.from_file(PATH)
+    texts = [f"a{x}b {x}{x} 1{x}2 .{x}. {x}  {x}\n{x}'s '{x}" for x in map(chr, [*range(0x3000), *range(0x3000, 0xD800, 7), *range(0xE000, 0x110000, 101)])]
+    for text, ids, e in zip(texts, packing.token_ids(texts, PATH), tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == e.ids, text
+
+
+def test_other_tokenizer_files():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    assert packing.ranked(path) is None
+    for text, ids in zip(texts := ["Some words, and more.", "", "é 12"], packing.token_ids(texts, path), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_pieces_and_places(spark, make, copies):
