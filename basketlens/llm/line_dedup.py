@@ -1,11 +1,13 @@
 """Removing lines and runs of lines that stood before, found by winnowing.
 
-The lines of a text that hold a word are its units.  Winnowing is at its densest: a gram is one line and so is a winnowing
-window, so every line is a fingerprint and no equal line is missed, alone or in a run.  Around lines that are shared, runs are
-compared as a whole: a run counts when it has ``LEAST_WORDS`` words, however few its lines, or ``RUN`` lines, however short.
-Every such run is covered by runs of one to ``RUN`` lines that count, so these are the windows; overlapping ones make longer
-runs.  Of equal runs the first stays, by document id and then by place.  What stays though it stood before is a single line,
-or a pair, of fewer than ``LEAST_WORDS`` words ("Yes.", a bracket, a one-word heading), as it says little about its origin.
+The lines of a text that hold a word are its units.  A run of lines counts when it has ``LEAST_WORDS`` words, however few its
+lines, or ``RUN`` lines, however short.  A winnowing window is the shortest run from a line on that counts: a long line is one by itself,
+short lines are taken together.  Of each window the line with the least hash is a fingerprint.  Equal runs that count begin with
+equal windows, which have their least hash at the same place, so they share a fingerprint.  Around shared fingerprints, runs
+are extended and compared as a whole: those of one to ``RUN`` lines that count and whose windows all have shared
+fingerprints; overlapping ones make longer runs.  Of equal runs the first stays, by document id and then by place.  What
+stays though it stood before is a single line, or a pair, of fewer than ``LEAST_WORDS`` words ("Yes.", a bracket, a one-word
+heading), as it says little about its origin.
 """
 
 from __future__ import annotations
@@ -37,10 +39,6 @@ def lines_with_words(block: Block) -> Words:
     return Words(every.data, every.starts[has], every.ends[has], kept[every.first])
 
 
-def every_line(first: np.ndarray, grams: np.ndarray, places: np.ndarray) -> np.ndarray:
-    return np.ones(len(grams), bool)
-
-
 def words_per_line(units: Words) -> np.ndarray:
     """The words of each line, or one for ``WORD_BYTES`` bytes of them where that is more."""
     inside = ~SEPARATOR[units.data]
@@ -51,7 +49,26 @@ def words_per_line(units: Words) -> np.ndarray:
     return np.maximum(count[units.ends] - count[units.starts], (size[units.ends] - size[units.starts]) // WORD_BYTES)
 
 
-SCHEME = Scheme(units=lines_with_words, windows=LENGTHS, gram=1, fingerprints=every_line, within=True, per_byte=1 / 40, dense=True, weights=words_per_line, least=LEAST_WORDS)
+def winnow(units: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each line, the line with the least hash in the shortest run from it that counts (-1 where none does), and where that run ends."""
+    n = len(hashes)
+    here = np.arange(n)
+    limit = np.repeat(units.first[1:], np.diff(units.first))
+    weight = words_per_line(units)
+    total, least = weight.copy(), here.copy()
+    chosen, end = np.full(n, -1, np.int64), here.copy()
+    for size in range(1, RUN + 1):
+        fits = here + size <= limit
+        if size > 1:
+            last = np.minimum(here + size - 1, max(n - 1, 0))
+            least = np.where(fits & (hashes[last] < hashes[least]), last, least)
+            total = total + weight[last]
+        counts = (chosen < 0) & fits & ((total >= LEAST_WORDS) | (size == RUN))
+        chosen[counts], end[counts] = least[counts], here[counts] + size
+    return chosen, end
+
+
+SCHEME = Scheme(units=lines_with_words, windows=LENGTHS, gram=1, fingerprints=None, within=True, per_byte=1 / 40, winnow=winnow, weights=words_per_line, least=LEAST_WORDS)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

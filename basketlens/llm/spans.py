@@ -46,14 +46,15 @@ class Scheme:
     # lengths of windows, ascending; the place told is its number of units times their number, and which length
     windows: tuple[int, ...]
     gram: int
-    # (limits of the texts in the units, gram hashes) -> which grams are fingerprints; grams across texts never are
-    fingerprints: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+    # (limits of the texts in the units, gram hashes, places) -> which grams are fingerprints; grams across texts never are
+    fingerprints: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None
     # whether a window also repeats one further up in its own text
     within: bool
     # expected fingerprints or windows per byte of text, for the number of buckets
     per_byte: float
-    # whether every gram is a fingerprint: then all in a window must be shared
-    dense: bool = False
+    # in place of ``fingerprints``, with grams of one unit: (units, hashes) -> for each unit the fingerprint of the least window from
+    # it, or -1, and where that window ends; then the fingerprints of all least windows within a window must be shared
+    winnow: Callable[[Words, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None
     # windows below the longest count from this sum of their units' weights on
     weights: Callable[[Words], np.ndarray] | None = None
     least: int = 0
@@ -145,6 +146,10 @@ def _local(block: Block, scheme: Scheme) -> tuple[Words, np.ndarray, np.ndarray,
 
 def _marks(scheme: Scheme, units: Words, hashes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where fingerprints begin, and their hashes."""
+    if scheme.winnow is not None:
+        chosen = np.unique(scheme.winnow(units, hashes)[0])
+        chosen = chosen[chosen >= 0]
+        return chosen, window_hashes(hashes, 1)[chosen]
     grams = window_hashes(hashes, scheme.gram)
     whole = window_starts(units.first, scheme.gram, len(hashes))[: len(grams)]
     chosen = np.flatnonzero(scheme.fingerprints(units.first, grams, places[: len(grams)]) & whole)
@@ -276,17 +281,26 @@ def _send_windows(scheme: Scheme, buckets: int):
                 continue
             others, (ids, keys) = units.hashes(1), _ids(block)
             weight = None if scheme.weights is None else np.concatenate([[0], np.cumsum(scheme.weights(units))])
+            if scheme.winnow is not None:
+                found, end = scheme.winnow(units, hashes)
+                missed = (found >= 0) & ~np.isin(found, hit)
             for which, n in enumerate(scheme.windows):
                 reach = n - scheme.gram + 1
                 windows = window_hashes(hashes, n)
                 whole = window_starts(units.first, n, len(hashes))[: len(windows)]
                 if weight is not None and n < scheme.windows[-1]:
                     whole &= (weight[n:] - weight[:-n])[: len(windows)] >= scheme.least
-                # a window is compared when a shared fingerprint lies within it, or all of its fingerprints are shared
-                near = np.zeros(len(hashes) + 1, np.int64)
-                np.add.at(near, np.maximum(hit - reach + 1, 0), 1)
-                np.add.at(near, hit + 1, -1)
-                start = np.flatnonzero((np.cumsum(near)[: len(windows)] >= (reach if scheme.dense else 1)) & whole)
+                # a window is compared when a shared fingerprint lies within it, or those of all least windows within it are shared
+                if scheme.winnow is not None:
+                    here = np.arange(len(windows))
+                    for q in range(n):
+                        whole &= ~(missed[here + q] & (end[here + q] <= here + n))
+                    start = np.flatnonzero(whole)
+                else:
+                    near = np.zeros(len(hashes) + 1, np.int64)
+                    np.add.at(near, np.maximum(hit - reach + 1, 0), 1)
+                    np.add.at(near, hit + 1, -1)
+                    start = np.flatnonzero((np.cumsum(near)[: len(windows)] > 0) & whole)
                 if not len(start):
                     continue
                 more = (window_hashes(others, n, 1)[start] >> np.uint64(32)).astype(np.uint32)
