@@ -3,10 +3,15 @@
 Every document gets a few whole-number measures.  A sketch counts documents per measure and bin; bins are exact up
 to 63 and then 32 to each doubling, so a quantile read from it is at most 1/32 too low.  Sketches of the same measure
 merge by adding counts: per-partition counts into those of a (language, source), these into a language's and
-these into one of all.  A (language, source) with few documents takes the limits of the next larger sketch.
+these into one of all.
 
-A document is kept when it passes the fixed base rule and no measure lies beyond its group's fence, which stands
-``REACH`` interquartile ranges and a slack outside the quartiles, so that ordinary documents are never near it.
+The limits of a group of n documents are the mean of its own fences, with weight n, and those of the next larger group, with
+weight ``WEIGHT``: a language's fences lean on those of all documents, and a source's on its language's, the more so the fewer documents there are.
+
+A document is kept when it passes the fixed base rule and no measure lies beyond its group's limit.  The fences of a measure
+that spreads around its middle stand ``REACH`` interquartile ranges and a slack outside the quartiles.  Of one that is zero in most
+documents the quartiles say nothing; its fence stands beyond the 99th percentile by that percentile's distance to
+the median, and a slack.  So ordinary documents are never near a fence.
 
 Only DataFrame functions are used.  Documents are counted per bin before anything is exchanged, so a source with a
 third of all rows is a bounded number of rows; the limits join the documents, whose skewed side may be split.
@@ -19,14 +24,15 @@ from pyspark.sql import functions as F
 
 from basketlens.llm.shared import documents, store
 
-LEAST_DOCUMENTS = 100
+# Documents that a wider group's fences count for.
+WEIGHT = 100
 REACH = 3
-# measure: (slack above, slack below or None where small values are good)
+# measure: (slack above, slack below or None where small values are good); these without a lower fence are mostly zero
 MEASURES = {
     "word_length": (100, 100),  # hundredths of a character per word
-    "symbols": (100, None),  # per 1000 words
-    "dup_lines": (500, None),  # per 1000 lines that hold a word
-    "repeat_words": (350, None),  # per 1000 words
+    "symbols": (40, None),  # per 1000 words
+    "dup_lines": (100, None),  # per 1000 lines that hold a word
+    "repeat_words": (100, None),  # per 1000 words
 }
 LEAST_WORDS = 50
 
@@ -113,32 +119,37 @@ def fences(sketches: DataFrame, *keys: str) -> DataFrame:
     """One row per key: how many documents, and below and above what each measure is out."""
     by = Window.partitionBy(*keys, "measure")
     ranked = sketches.withColumn("upto", F.sum("n").over(by.orderBy("bin"))).withColumn("docs", F.sum("n").over(by))
-    low, high = (F.expr(value_of(f"min(case when 4 * upto >= {k} * docs then bin end)")) for k in (1, 3))
-    limits = ranked.groupBy(*keys, "measure").agg(F.max("docs").alias("docs"), low.alias("q1"), high.alias("q3"))
-    spread = REACH * (F.col("q3") - F.col("q1"))
+    at = {q: F.expr(value_of(f"min(case when 100 * upto >= {q} * docs then bin end)")).alias(f"q{q}") for q in (25, 50, 75, 99)}
+    limits = ranked.groupBy(*keys, "measure").agg(F.max("docs").alias("docs"), *at.values())
+    spread = REACH * (F.col("q75") - F.col("q25"))
     columns = []
     for name, (above, below) in MEASURES.items():
         here = F.col("measure") == name
-        columns.append(F.max(F.when(here, F.col("q3") + spread + above)).alias(f"{name}_most"))
+        high = F.col("q75") + spread if below is not None else 2 * F.col("q99") - F.col("q50")
+        columns.append(F.max(F.when(here, high + above)).alias(f"{name}_most"))
         if below is not None:
-            columns.append(F.max(F.when(here, F.col("q1") - spread - below)).alias(f"{name}_least"))
+            columns.append(F.max(F.when(here, F.col("q25") - spread - below)).alias(f"{name}_least"))
     return limits.groupBy(*keys).agg(F.max("docs").alias("docs"), *columns)
 
 
+def limit_names() -> list[str]:
+    return [f"{m}_{side}" for m, (_, below) in MEASURES.items() for side in (["most", "least"] if below is not None else ["most"])]
+
+
+def leaning(own: str, wider: str, docs: str) -> str:
+    """SQL: the limit of a group of so many documents, from its own fence and the limit of the wider group."""
+    return f"cast(floor(({docs} * {own} + {WEIGHT} * {wider}) / ({docs} + {WEIGHT})) as bigint)"
+
+
 def adaptive_fences(df: DataFrame) -> DataFrame:
-    """The fences that hold for each (lang, source)."""
+    """The limits that hold for each (lang, source)."""
     group = sketch(df, "lang", "source")
     lang = merge(group, "lang")
-    every = merge(lang)
-    names = [f"{m}_{side}" for m, (_, below) in MEASURES.items() for side in (["most", "least"] if below is not None else ["most"])]
-    own, wider, widest = fences(group, "lang", "source").alias("g"), fences(lang, "lang").alias("l"), fences(every)
-    overall = widest.select(F.struct("docs", *names).alias("a"))
-
-    def pick(c: str) -> Column:
-        enough = lambda x: F.col(f"{x}.docs") >= LEAST_DOCUMENTS
-        return F.when(enough("g"), F.col(f"g.{c}")).when(enough("l"), F.col(f"l.{c}")).otherwise(F.col(f"a.{c}")).alias(c)
-
-    return own.join(wider, F.col("g.lang").eqNullSafe(F.col("l.lang"))).withColumn("a", overall.scalar()).select("g.lang", "g.source", *[pick(c) for c in names])
+    overall = fences(merge(lang)).select(F.struct(*limit_names()).alias("a")).scalar()
+    wider = fences(lang, "lang").withColumn("a", overall)
+    wider = wider.select("lang", *[F.expr(leaning(c, f"a.{c}", "docs")).alias(c) for c in limit_names()]).alias("l")
+    own = fences(group, "lang", "source").alias("g")
+    return own.join(wider, F.col("g.lang").eqNullSafe(F.col("l.lang"))).select("g.lang", "g.source", *[F.expr(leaning(f"g.{c}", f"l.{c}", "g.docs")).alias(c) for c in limit_names()])
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: bool = False) -> DataFrame:
@@ -198,20 +209,23 @@ def _sql() -> str:
             tests.append(f"when {name} {sign} {name}_{side} then '{name}'")
     slack = " ".join(f"when '{m}' then {a}" for m, (a, _) in MEASURES.items())
     slack_low = " ".join(f"when '{m}' then {b}" for m, (_, b) in MEASURES.items() if b is not None)
-    names = [p.rpartition(" as ")[2] for p in picks]
+    middle = ", ".join(f"'{m}'" for m, (_, b) in MEASURES.items() if b is not None)
+    names = limit_names()
 
     def level(n: str, keys: str) -> str:
         by = f"partition by {keys}, measure" if keys else "partition by measure"
         group = f"{keys}, measure" if keys else "measure"
+        quantiles = ", ".join(f"{value_sql(f'min(bin) filter (100 * upto >= {q} * docs)')} as q{q}" for q in (25, 50, 75, 99))
         return f"""
 {n}_s as (select {group}, bin, count(*) as n from bins group by {group}, bin),
 {n}_r as (select *, sum(n) over ({by} order by bin) as upto, sum(n) over ({by}) as docs from {n}_s),
-{n}_q as (select {group}, max(docs) as docs, {value_sql("min(bin) filter (4 * upto >= docs)")} as q1, {value_sql("min(bin) filter (4 * upto >= 3 * docs)")} as q3
-  from {n}_r group by {group}),
-{n}_l as (select *, q3 + {REACH} * (q3 - q1) + case measure {slack} end as most, q1 - {REACH} * (q3 - q1) - case measure {slack_low} end as least from {n}_q),
+{n}_q as (select {group}, max(docs) as docs, {quantiles} from {n}_r group by {group}),
+{n}_l as (select *, case when measure in ({middle}) then q75 + {REACH} * (q75 - q25) else 2 * q99 - q50 end + case measure {slack} end as most,
+  q25 - {REACH} * (q75 - q25) - case measure {slack_low} end as least from {n}_q),
 {n}_f as (select {keys + ", " if keys else ""}max(docs) as docs, {", ".join(picks)} from {n}_l {"group by " + keys if keys else ""}),"""
 
-    chosen = ", ".join(f"case when g.docs >= {LEAST_DOCUMENTS} then g.{c} when l.docs >= {LEAST_DOCUMENTS} then l.{c} else a.{c} end as {c}" for c in names)
+    leant = ", ".join(f"{leaning(f'l.{c}', f'a.{c}', 'l.docs')} as {c}" for c in names)
+    chosen = ", ".join(f"{leaning(f'g.{c}', f'w.{c}', 'g.docs')} as {c}" for c in names)
     bins = " union all ".join(f"select lang, source, '{m}' as measure, {bin_sql(m)} as bin from m where not base_failed" for m in MEASURES)
     return f"""
 with d as (select row_number() over () as r, doc_id, lang, source, coalesce(text, '') as t from documents),
@@ -228,7 +242,8 @@ bins as ({bins}),
 {level("g", "lang, source")}
 {level("l", "lang")}
 {level("a", "")}
-f as (select g.lang, g.source, {chosen} from g_f g join l_f l on g.lang is not distinct from l.lang, a_f a),
+w as (select l.lang, {leant} from l_f l, a_f a),
+f as (select g.lang, g.source, {chosen} from g_f g join w on g.lang is not distinct from w.lang),
 j as (select m.*, case when base_failed then 'base' {" ".join(tests)} end as reason from m left join f on m.lang is not distinct from f.lang and m.source is not distinct from f.source)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, reason is null as kept, reason from j
 """

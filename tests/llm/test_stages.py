@@ -52,10 +52,10 @@ def good(rows):
     kept = set(measures)
     for name, (above, below) in quality.MEASURES.items():
         values = sorted(m[name] for m in measures.values())
-        low, high = (values[-(-k * len(values) // 4) - 1] for k in (1, 3))
-        low, high = (v >> s << s for v in (low, high) for s in [max(v.bit_length() - 6, 0)])
-        most = high + quality.REACH * (high - low) + above
-        least = low - quality.REACH * (high - low) - below if below is not None else 0
+        q = {k: values[-(-k * len(values) // 100) - 1] for k in (25, 50, 75, 99)}
+        q = {k: v >> s << s for k, v in q.items() for s in [max(v.bit_length() - 6, 0)]}
+        most = (q[75] + quality.REACH * (q[75] - q[25]) if below is not None else 2 * q[99] - q[50]) + above
+        least = q[25] - quality.REACH * (q[75] - q[25]) - below if below is not None else 0
         kept -= {i for i, m in measures.items() if not least <= m[name] <= most}
     return [(i, t) for i, t in rows if i in kept]
 
