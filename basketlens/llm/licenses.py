@@ -5,15 +5,18 @@ diff does it: words that occur once in both are anchors, the longest increasing
 equal words next to an anchor are taken along, and the gaps between anchors are aligned again in the same way, where
 words that were frequent before may have become unique.  A template's coverage is the share of its words aligned.
 
-A text is not aligned as a whole.  Coverage c of n words needs ceil(c * n) of them, so at least one of any
-n - ceil(c * n) + 1 must occur: the longest words of each template are its keys, and texts without a key are done.  Around
-its occurrences of the template's words, a text is cut into stretches; a stretch longer than the template is aligned in
-overlapping windows of twice the template's length, so that a repeated license is found each time.
-
-Names and versions decide.  A template below ``SHORT`` words is a name, and must stand in the text word for word.  Of a longer one,
-each deciding word (``DECIDING`` or a number) must be among the words aligned, and no other name or version between them
-unaligned: the notice of one license is not reported as that of its sibling.  Licenses without a template are
-not found; a family's name alone ("GPL") stands where no template with a version does.
+*Texts and notices.*  Coverage c of n words needs ceil(c * n) of them, so at least one of any n - ceil(c * n) + 1 must
+occur: the longest words of each template are its keys, and texts without a key are done.  Around its occurrences of the
+template's words, a text is cut into stretches; a stretch longer than the template is aligned in overlapping windows of twice the
+template's length, so that a repeated license is found each time.
+
+*Names.*  A license that is only named stands in a sentence about licensing.  The sentences around the deciding word of a name are
+aligned with templates that lead up to the name (``LEADS``), and count where the name is aligned as a whole, without foreign words
+in it, and with it a word of the lead, unless the name itself speaks of a license.  No match goes across the end of a sentence.
+
+Names and versions decide.  In a template each deciding word (``DECIDING`` or a number) must be among the words aligned, and no other
+name or version between them unaligned: the notice of one license is not reported as that of its sibling.  Licenses without a
+template are not found; a family's name alone ("GPL") stands where no template with a version does.
 """
 
 from __future__ import annotations
@@ -34,9 +37,26 @@ LEAST_COVERAGE = 0.75
 # Of the words between the first and the last aligned one, at least this share must be aligned.
 LEAST_DENSITY = 0.6
 LONGEST_GAP = 12
-SHORT = 15
-
-WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
+# Words of a sentence that are read to either side of a name.
+SENTENCE_WORDS = 40
+
+WORD = re.compile(rb"[A-Za-z0-9\x80-\xff]+")
+# Between two words: a sentence ends, if the next one begins with a capital; a blank line ends one as well.
+FULL_STOP = re.compile(rb"[.!?][\x29\x5d\"'*]*\s+\S?[\x28\x5b\"'*]*$")
+BLANK_LINE = re.compile(rb"\n[ \t\r]*\n")
+
+# How sentences lead up to a name, and words of which one must be aligned with it.
+LEADS = (
+    "This work is licensed under the terms of the",
+    "This software is released under the",
+    "The code is distributed under the terms of the",
+    "is made available under the",
+    "is subject to the terms of the",
+    "may be used under the",
+    "SPDX-License-Identifier",
+    "License",
+)
+LICENSING = frozenset(b"licensed license licence licenses licensing released distributed available subject terms spdx identifier permission copying".split())
 
 # Names that tell a license from another.
 NAMES = frozenset(
@@ -48,9 +68,9 @@ DECIDING = NAMES | {b"endorse", b"promote"}
 
 
 def _names() -> dict[str, tuple[str, ...]]:
-    """Short templates: the names of common licenses as they are written, with their versions and alone."""
+    """The names of common licenses as they are written, with their versions and alone."""
     out: dict[str, tuple[str, ...]] = {
-        "MIT": ("Released under the MIT License.", "MIT License", "MIT licensed", "Expat License", "licensed under MIT", "license: MIT"),
+        "MIT": ("MIT License", "MIT licensed", "Expat License", "licensed under MIT", "license: MIT"),
         "MIT-0": ("MIT No Attribution", "MIT-0"),
         "BSD": ("BSD License", "BSD licensed", "BSD-style license"),
         "0BSD": ("Zero-Clause BSD", "BSD Zero Clause License", "0BSD"),
@@ -67,7 +87,7 @@ def _names() -> dict[str, tuple[str, ...]]:
         out[f"BSD-{n}-Clause"] = (f"BSD {n}-Clause", f"{n}-Clause BSD", f"BSD {n}-Clause License", f"{n}-Clause BSD License", *(f"{w} BSD License" for w in words))
     for v in ("1.0", "1.1", "2.0"):
         forms = [f"{a} {b}{v}" for a in ("Apache License", "Apache Software License") for b in ("", "Version ", "v")]
-        out[f"Apache-{v}"] = (f"Licensed under the Apache License, Version {v}.", *forms, f"Apache-{v}", f"Apache {v}", f"apache.org/licenses/LICENSE-{v}")
+        out[f"Apache-{v}"] = (*forms, f"Apache-{v}", f"Apache {v}", f"apache.org/licenses/LICENSE-{v}")
     families = {
         "GPL": (("GNU General Public License", "GNU GPL", "GNU Public License", "GNU General Public License (GPL)"), ("1.0", "2.0", "3.0")),
         "LGPL": (("GNU Lesser General Public License", "GNU Library General Public License", "GNU LGPL", "GNU Lesser General Public License (LGPL)"), ("2.0", "2.1", "3.0")),
@@ -84,7 +104,6 @@ def _names() -> dict[str, tuple[str, ...]]:
             numbers = (v, v[:-2]) if v.endswith(".0") else (v,)
             forms = [f"{a} {b}{n}" for a in (*names, family) for n in numbers for b in ("", "version ", "v", "v. ")]
             out[f"{family}-{v}"] = (*forms, *(f"{family}v{n}" for n in numbers))
-    out["GPL-3.0"] = ("This work is licensed under the GNU General Public License, version 3.", *out["GPL-3.0"])
     elements = {"BY": "Attribution", "SA": "ShareAlike", "NC": "NonCommercial", "ND": "NoDerivatives"}
     for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
         full = "-".join(elements[x] for x in kind.split("-"))
@@ -94,10 +113,9 @@ def _names() -> dict[str, tuple[str, ...]]:
         out[f"CC-{kind}"] = (f"CC-{kind} license", f"licensed under CC {kind}", *plain[1:])
         for v in ("1.0", "2.0", "2.5", "3.0", "4.0"):
             forms = [f"{a} {b}{v}" for a in (*plain, *(f"{p} International" for p in plain[1:])) for b in ("", "License ")]
-            out[f"CC-{kind}-{v}"] = (f"Licensed under CC {kind} {v}.", *forms, f"creativecommons.org/licenses/{kind}/{v}")
-    for name in out:
-        out[name] += (f"SPDX-License-Identifier: {name}",)
-    return out
+            forms += [f"{a} {v} {b}License" for a in plain[1:] for b in ("", "International ", "Unported ")]
+            out[f"CC-{kind}-{v}"] = (*forms, f"creativecommons.org/licenses/{kind}/{v}")
+    return {name: tuple(dict.fromkeys((*forms, name))) for name, forms in out.items()}
 
 
 def _gnu(name: str, version: str) -> str:
@@ -116,8 +134,44 @@ _BSD = (
     "documentation and/or other materials provided with the distribution."
 )
 
-# License names, notices and texts as published; of several forms each is a template.
-TEMPLATES: dict[str, str | tuple[str, ...]] = _names() | {
+_BSD_THIRD = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+    "this software without specific prior written permission."
+)
+_BSD_WARRANTY = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED "
+    "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, "
+    "INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR "
+    "PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+    "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_AS_IS = (
+    "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A "
+    "PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION "
+    "OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), "
+    "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, "
+    "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
+    "conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+)
+_ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
+    "above copyright notice and this permission notice appear in all copies."
+)
+_ISC_WARRANTY = (
+    "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. "
+    "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+    "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+    "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+)
+
+# Notices and texts as published; of several forms each is a template.
+TEMPLATES: dict[str, str | tuple[str, ...]] = {
     "Apache-2.0 header": (
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. "
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
@@ -134,33 +188,81 @@ TEMPLATES: dict[str, str | tuple[str, ...]] = _names() | {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
         "You can obtain one at http://mozilla.org/MPL/2.0/."
     ),
-    "BSD-2-Clause text": _BSD,
-    "BSD-3-Clause text": (
-        f"{_BSD} Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
-        "this software without specific prior written permission."
-    ),
+    "BSD-2-Clause text": (_BSD, f"{_BSD} {_BSD_WARRANTY}"),
+    "BSD-3-Clause text": (f"{_BSD} {_BSD_THIRD}", f"{_BSD} {_BSD_THIRD} {_BSD_WARRANTY}"),
     "Unlicense text": (
-        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
-        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+        _UNLICENSE,
+        f"{_UNLICENSE} In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the "
+        "software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend "
+        "this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. " + _AS_IS,
+    ),
+    "ISC text": (_ISC, f"{_ISC} {_ISC_WARRANTY}"),
+    "0BSD text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. " + _ISC_WARRANTY
+    ),
+    "Zlib text": (
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of "
+        "this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it "
+        "freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original "
+        "software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered "
+        "source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered "
+        "from any source distribution."
+    ),
+    "BSL-1.0 text": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this "
+        "license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit "
+        "third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, "
+        "including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all "
+        "derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor."
+    ),
+    "Apache-2.0 text": (
+        "2. Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, "
+        "no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the "
+        "Work and such Derivative Works in Source or Object form. 3. Grant of Patent License. Subject to the terms and conditions of this License, each Contributor hereby "
+        "grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable (except as stated in this section) patent license to make, have made, use, "
+        "offer to sell, sell, import, and otherwise transfer the Work"
     ),
-    "ISC": (
-        *_names()["ISC"],
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
-        "above copyright notice and this permission notice appear in all copies.",
+    "GPL text": (
+        "The GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses for most software and other practical works are "
+        "designed to take away your freedom to share and change the works. By contrast, the GNU General Public License is intended to guarantee your freedom to share and "
+        "change all versions of a program--to make sure it remains free software for all its users.",
+        "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee "
+        "your freedom to share and change free software--to make sure the software is free for all its users. This General Public License applies to most of the Free "
+        "Software Foundation's software and to any other program whose authors commit to using it.",
     ),
     "MIT text": (
+        _MIT,
+        f"{_MIT} {_AS_IS}",
+    ),
+    "MIT-0 text": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), "
         "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, "
-        "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
-        "conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+        "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so. " + _AS_IS
     ),
 }
-
 FOUND = "doc_id long, license string, coverage double, n_aligned int, start_byte long, end_byte long"
 
 
+NAMED = _names()
+
+
+def words_of(data: bytes) -> tuple[list[bytes], list[tuple[int, int]]]:
+    spans = [m.span() for m in WORD.finditer(data)]
+    return [data[s:e].lower() for s, e in spans], spans
+
+
 def split(text: str) -> list[bytes]:
-    return WORD.findall(text.lower().encode("utf-8"))
+    return words_of(text.encode("utf-8"))[0]
+
+
+def sentence_ends(data: bytes, spans: list[tuple[int, int]]):
+    """A function that says whether a sentence ends after the i-th word."""
+
+    def ends(i: int) -> bool:
+        gap, begin = data[spans[i][1] : spans[i + 1][0]], spans[i + 1][0]
+        return bool(BLANK_LINE.search(gap) or (data[begin : begin + 1].isupper() and FULL_STOP.search(gap)))
+
+    return ends
 
 
 def longest_increasing(values: list[int]) -> list[int]:
@@ -210,31 +312,64 @@ def align(text: list[bytes], template: list[bytes]) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str | tuple[str, ...]], coverage: float):
+    def __init__(self, templates: dict[str, str | tuple[str, ...]], coverage: float, names: dict[str, tuple[str, ...]] | None = None):
         self.coverage = coverage
-        forms = {(name, k): split(x) for name, text in templates.items() for k, x in enumerate([text] if isinstance(text, str) else text)}
-        # phrases by one of their words, a name if they hold one: its place in them, and all of them
-        self.phrases: dict[bytes, dict[tuple[str, int, tuple[bytes, ...]], None]] = {}
-        self.words = {form: w for form, w in forms.items() if len(w) >= SHORT}
+        self.words = {(name, k): split(x) for name, text in templates.items() for k, x in enumerate([text] if isinstance(text, str) else text)}
         self.keys: dict[bytes, set[tuple[str, int]]] = {}
-        for form, w in forms.items():
-            by_length = sorted(w, key=lambda x: (-len(x), x))
-            if form in self.words:
-                for key in by_length[: len(w) - math.ceil(coverage * len(w)) + 1]:
-                    self.keys.setdefault(key, set()).add(form)
-            elif w:
-                key = min(by_length, key=lambda x: x not in NAMES)
-                self.phrases.setdefault(key, {})[form[0], w.index(key), tuple(w)] = None
+        for form, w in self.words.items():
+            for key in sorted(w, key=lambda x: (-len(x), x))[: len(w) - math.ceil(coverage * len(w)) + 1]:
+                self.keys.setdefault(key, set()).add(form)
         self.vocabulary = {form: set(w) for form, w in self.words.items()}
         self.deciding = {form: {x for x in w if x in DECIDING or x.isdigit()} for form, w in self.words.items()}
-        self.any_key = self.keys.keys() | self.phrases.keys()
-
-    def named(self, words: list[bytes]) -> Iterator[tuple[str, float, int, int, int]]:
+        # names by one of their words, a deciding one if they hold one
+        self.leads = [split(x) for x in LEADS]
+        self.names: dict[bytes, dict[tuple[str, tuple[bytes, ...]], None]] = {}
+        for name, forms in (names or {}).items():
+            for w in map(split, forms):
+                key = min(sorted(w, key=lambda x: (-len(x), x)), key=lambda x: x not in NAMES)
+                self.names.setdefault(key, {})[name, tuple(w)] = None
+        self.any_key = self.keys.keys() | self.names.keys()
+
+    def sentence(self, n: int, i: int, ends) -> tuple[int, int]:
+        """The words of the sentence around the i-th, ``SENTENCE_WORDS`` to either side at most."""
+        a, b = i, i + 1
+        while a > max(0, i - SENTENCE_WORDS) and not ends(a - 1):
+            a -= 1
+        while b < min(n, i + SENTENCE_WORDS) and not ends(b - 1):
+            b += 1
+        return a, b
+
+    def named(self, words: list[bytes], ends) -> Iterator[tuple[str, float, int, int, int]]:
+        """Names that a sentence leads up to, each with its best lead."""
         for i, w in enumerate(words):
-            for name, back, phrase in self.phrases.get(w, ()):
-                s = i - back
-                if s >= 0 and tuple(words[s : s + len(phrase)]) == phrase:
-                    yield name, 1.0, len(phrase), s, s + len(phrase)
+            if w not in self.names:
+                continue
+            a, b = self.sentence(len(words), i, ends)
+            here, present = words[a:b], set(words[a:b])
+            for name, form in self.names[w]:
+                if present.issuperset(form):
+                    found = [m for lead in self.leads if (m := self.led(here, lead, form, i - a)) is not None]
+                    if found:
+                        n, share, s, e = max(found, key=lambda m: (m[0], m[1]))
+                        yield name, share, n, a + s, a + e
+
+    def led(self, words: list[bytes], lead: list[bytes], name: tuple[bytes, ...], at: int) -> tuple[int, float, int, int] | None:
+        """(aligned words, coverage, first, last + 1) where the sentence aligns with the lead and the name, the name as a whole around ``at``."""
+        template = [*lead, *name]
+        pairs = align(words, template)
+        own = [i for i, j in pairs if j >= len(lead)]
+        if len(own) < len(name) or own[-1] - own[0] >= len(name) or not own[0] <= at <= own[-1]:
+            return None
+        before = [(i, j) for i, j in pairs if j < len(lead)]
+        # between the lead and a long name other words may stand, up to half as many as the name has
+        near = bool(before) and own[0] - before[-1][0] <= 1 + (len(name) - 1) // 2 and any(words[i] in LICENSING for i, _ in before)
+        if not near:
+            if not LICENSING.intersection(name) and not {b"unlicense", b"unlicence"}.intersection(name):
+                return None
+            before, share = [], 1.0
+        else:
+            share = (len(before) + len(own)) / len(template)
+        return len(before) + len(own), share, before[0][0] if before else own[0], own[-1] + 1
 
     def decided(self, words: list[bytes], form: tuple[str, int], pairs: list[tuple[int, int]]) -> bool:
         """Whether the deciding words are all aligned, and no others stand between them."""
@@ -262,9 +397,9 @@ class Scanner:
                         yield s, min(s + 2 * n, last)
                 begin = k
 
-    def found(self, words: list[bytes]) -> list[tuple[str, float, int, int, int]]:
-        """(license, coverage, aligned words, first word, last word + 1), best first where they overlap."""
-        matches = list(self.named(words))
+    def found(self, words: list[bytes], ends=lambda i: False) -> list[tuple[str, float, int, int, int]]:
+        """(license, coverage, aligned words, first word, last word + 1); of overlapping ones the best."""
+        matches = list(self.named(words, ends))
         forms = set().union(*(self.keys[w] for w in self.keys.keys() & set(words)))
         for form in sorted(forms):
             template = self.words[form]
@@ -291,18 +426,19 @@ class Scanner:
         return sorted(kept, key=lambda m: m[3])
 
 
-def _scan(templates: dict[str, str | tuple[str, ...]], coverage: float):
+def _scan(templates: dict[str, str | tuple[str, ...]], names: dict[str, tuple[str, ...]], coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, coverage)
+        scanner = Scanner(templates, coverage, names)
         for block in blocks(batches):
             ids = block.batch.column("doc_id").to_pylist()
             rows = []
             for i in range(len(block)):
-                text = block.text(i).decode("utf-8")
-                words = split(text)
-                matches = scanner.found(words) if not scanner.any_key.isdisjoint(words) else []
+                data = block.text(i)
+                if scanner.any_key.isdisjoint(WORD.findall(data.lower())):
+                    continue
+                words, spans = words_of(data)
+                matches = scanner.found(words, sentence_ends(data, spans))
                 if matches:
-                    spans = [m.span() for m in WORD.finditer(text.lower().encode("utf-8"))]
                     rows += [(ids[i], name, share, n, spans[s][0], spans[e - 1][1]) for name, share, n, s, e in matches]
             if rows:
                 doc, name, share, n, start, end = zip(*rows, strict=True)
@@ -314,14 +450,22 @@ def _scan(templates: dict[str, str | tuple[str, ...]], coverage: float):
     return run
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str | tuple[str, ...]] | None = None, coverage: float = LEAST_COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per license found: doc_id, license, coverage, n_aligned, start_byte, end_byte (of the lower-cased text).
-
-    ``coverage`` is for templates of ``SHORT`` words or more; shorter ones must stand word for word.  A document has a row for each place of each license, none without one; null and empty texts have none.  Where templates
-    match the same place, the one with the most aligned words stands.  Texts of any length are read whole; repeated
-    rows are scanned each; no rows give no rows; other columns are not read.
+def scan_licenses(
+    docs: DataFrame,
+    templates: dict[str, str | tuple[str, ...]] = TEMPLATES,
+    names: dict[str, tuple[str, ...]] = NAMED,
+    coverage: float = LEAST_COVERAGE,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """One row per license found: doc_id, license, coverage, n_aligned, start_byte, end_byte.
+
+    ``coverage`` is asked of ``templates``; of ``names`` the whole name and some of what leads up to it.  A document has a row for each
+    place of each license, none without one; null and empty texts have none.  Where templates match the same place, the one with the
+    most aligned words stands.  Texts of any length are read whole; repeated rows are scanned each; no rows give no
+    rows; other columns are not read.
     """
-    return id_and_text(docs, id_col, text_col).mapInArrow(_scan(templates or TEMPLATES, coverage), FOUND)
+    return id_and_text(docs, id_col, text_col).mapInArrow(_scan(templates, names, coverage), FOUND)
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

@@ -104,7 +104,7 @@ def test_deep_and_broken_pages():
 
 def test_alignment():
     assert licenses.longest_increasing([3, 1, 2, 5, 4, 6]) in ([1, 2, 4, 5], [1, 2, 3, 5])
-    template = licenses.split(licenses.TEMPLATES["MIT text"])
+    template = licenses.split(licenses.TEMPLATES["MIT text"][0])
     assert [j for _, j in licenses.align(template, template)] == list(range(len(template)))
     pairs = licenses.align("x the a b y the c".split(), "the a b the c".split())
     assert pairs == [(1, 0), (2, 1), (3, 2), (5, 3), (6, 4)]
@@ -113,7 +113,7 @@ def test_alignment():
 
 def test_scan_finds_edited_and_repeated_licenses(make):
     rng = random.Random(2)
-    words = licenses.TEMPLATES["MIT text"].split()
+    words = licenses.TEMPLATES["MIT text"][0].split()
     for _ in range(10):
         words[rng.randrange(len(words))] = "changed"
     noise = " ".join(f"word{i}" for i in range(300))
@@ -146,10 +146,12 @@ def test_formulas_drawings_and_listings_show():
 
 
 def test_names_and_versions_decide():
-    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.LEAST_COVERAGE)
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.LEAST_COVERAGE, licenses.NAMED)
 
     def found(text):
-        return [m[0] for m in scanner.found(licenses.split(text))]
+        data = text.encode()
+        words, spans = licenses.words_of(data)
+        return [m[0] for m in scanner.found(words, licenses.sentence_ends(data, spans))]
 
     lines = {
         "Released under the BSD License.": "BSD",
@@ -174,18 +176,63 @@ def test_names_and_versions_decide():
         "released into the public domain under The Unlicense": "Unlicense",
     }
     assert {t: found(t) for t in lines} == {t: [name] for t, name in lines.items()}
-    assert found("released under the Foo License, in cc by mail at 4.0") == []
+    for text in (
+        "released under the Foo License, in cc by mail at 4.0",
+        "We study at MIT. License plates are blue.",
+        "we study at MIT and love it",
+        "The license of the MIT museum",
+        "MIT students wrote this. It is licensed. BSD is older.",
+        "a permission slip for the gnu at the zoo",
+    ):
+        assert found(text) == [], text
     for name, text in licenses.TEMPLATES.items():
         for form in [text] if isinstance(text, str) else text:
             assert found(f"some words {form} and more")[:1] == [name], form
+    for name, forms in licenses.NAMED.items():
+        for form in forms:
+            assert found(f"This package is licensed under the {form} and more")[:1] == [name], form
+            assert found(f"SPDX-License-Identifier: {form}")[:1] == [name], form
     # a template alone does not pass for its sibling
     notice = licenses.TEMPLATES["GPL-3.0 notice"]
     only = licenses.Scanner({"GPL-3.0 notice": notice, "BSD-3-Clause text": licenses.TEMPLATES["BSD-3-Clause text"]}, licenses.LEAST_COVERAGE)
     for other in ("GPL-2.0 notice", "LGPL-3.0 notice", "AGPL-3.0 notice", "BSD-2-Clause text"):
-        assert only.found(licenses.split(licenses.TEMPLATES[other] + " the copyright holder and contributors of this software")) == [], other
+        text = licenses.TEMPLATES[other]
+        assert only.found(licenses.split((text if isinstance(text, str) else text[0]) + " the copyright holder and contributors of this software")) == [], other
     assert [m[0] for m in only.found(licenses.split(notice.replace("useful", "of use")))] == ["GPL-3.0 notice"]
 
 
+def common(a, b):
+    """The length of a longest common subsequence, by the plain table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b):
+            before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def test_coverage_against_longest_common_subsequences():
+    rng = random.Random(7)
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.LEAST_COVERAGE, {})
+    for name, text in licenses.TEMPLATES.items():
+        for form in [text] if isinstance(text, str) else text:
+            template = licenses.split(form)
+            for edits in (0, 3, len(template) // 12, len(template) // 2):
+                words = list(template)
+                for _ in range(edits):
+                    at = rng.randrange(len(words))
+                    words[at : at + 1] = rng.choice([[], [b"other"], [words[at], b"more"]])
+                most = common(words, template)
+                aligned = len(licenses.align(words, template))
+                assert 0.95 * most <= aligned <= most
+                stretch = [b"noise%d" % i for i in range(30)] + words + [b"tail%d" % i for i in range(30)]
+                found = {m[0]: m for m in scanner.found(stretch)}
+                if most < licenses.LEAST_COVERAGE * len(template):
+                    assert name not in found or isinstance(text, tuple)
+                elif edits <= 3 and scanner.deciding[name, 0] <= set(words):
+                    assert found, name
+
+
 def test_language_on_rows_it_has_not_learned_from(spark, folder):
     from basketlens.llm.shared import documents
 
