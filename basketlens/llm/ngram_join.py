@@ -7,7 +7,9 @@ the first ``n - ceil(t n) + 1`` of each, its prefix.
 1. *Collapse.*  Equal sets are one class; classes with the same size and the same prefix are one group, with one prefix.
 2. *Filter group pairs.*  A group's prefix is sent to the buckets of its shingles.  There, groups that share a shingle
    meet, and a pair is a candidate if the sizes, and the places of the shared shingle in both, still allow the similarity.
-3. *Expand and verify.*  Candidates expand to the classes of both groups, whose whole sets are compared exactly.
+3. *Expand and verify.*  Candidates expand to the classes of both groups.  Of each class a bitmap of its shingles is kept, a bit a shingle and
+   at least four times as many bits as shingles (up to ``MOST_BITS``).  Bits that differ are shingles that differ, so most pairs are seen to be too far apart by their bitmaps;
+   the whole sets of the others are compared exactly.
 
 Only components are asked for, so rounds of few pairs come first: each group is tried with one partner at a time, and what
 links is merged.  The last round takes all pairs of groups that share a shingle and are still in different components, so
@@ -39,12 +41,13 @@ PARTNERS_AT_ONCE = 200
 # Rounds of few pairs before the one of all pairs, and the share of new links from which another one pays.
 TRIES = 3
 WORTH = 0.05
-# Lists of up to so many groups are searched for pairs that may link before anything is kept of them.
-SHORT_LIST = 8
 
 SETS = "doc_id long, n long, prefix_key long, set_a long, set_b long"
 VOTES = "a long, b long, votes long"
 LISTS = "bucket int, owners binary, whose binary, lists binary, places binary"
+ROUND = f"{LISTS}, pairs binary, votes binary"
+BITMAPS = "doc_id long, n long, bits binary"
+LEAST_BITS, MOST_BITS = 1 << 8, 1 << 17
 
 
 # ---------------------------------------------------------------- sets
@@ -172,6 +175,32 @@ def _send_prefixes(levels: np.ndarray, buckets: int):
     return run
 
 
+def with_partner(lists: np.ndarray, n: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which entries of numbered lists may link with another one of their list, by sizes and places.
+
+    Two entries may link when each one's size is within the other's reach, see :func:`_possible`.  In a list sorted by size, the sizes
+    within reach are its beginning, so an entry has a partner if the largest reach there, its own left out, gets to its size.
+    """
+    useful = np.zeros(len(n), bool)
+    if not len(n):
+        return useful
+    reach = (100 * (n - place) - PERCENT * place) // PERCENT
+    order = np.lexsort((n, lists))
+    lists, n, reach = lists[order], n[order], reach[order]
+    span = np.int64(max(n.max(), reach.max()) - min(0, reach.min()) + 2)
+    base = lists * span - min(0, reach.min())  # values of a list lie above those of the lists before it
+    first = np.maximum.accumulate(base + reach)
+    lesser = np.minimum(base + reach, np.append(np.int64(-1), first[:-1]))
+    second = np.maximum.accumulate(lesser)
+    last = np.searchsorted(base + n, base + reach, side="right") - 1
+    here = np.arange(len(n))
+    inside = last >= here  # its own size is within its reach
+    # what the beginning's largest reach is without this entry's own
+    best = np.where(inside & (base + reach == first[last]), second[last], first[last])
+    useful[order] = (last >= 0) & (best >= base + n)
+    return useful
+
+
 def _meeting(table: pa.Table) -> pa.Table:
     """Of a bucket's shingles those of several groups, as numbered lists of entries (group, place)."""
     rows = table.select(["owners", "counts", "hashes", "more", "places"]).to_pylist()
@@ -182,20 +211,18 @@ def _meeting(table: pa.Table) -> pa.Table:
     owners, tokens, places = owners[order], tokens[order], places[order]
     once = runs(tokens, owners[:, 0], owners[:, 1])
     owners, tokens, places = owners[once], tokens[once], places[once]
-    start = runs(tokens)
-    count = np.diff(np.append(start, len(tokens)))
-    useful = np.repeat(count > SHORT_LIST, count)
-    end = np.repeat(np.cumsum(count), count)
-    n, at = owners[:, 1], places.astype(np.int64)
-    for d in range(1, SHORT_LIST):  # in a short list, an entry that may link with no other is dropped
-        i = np.flatnonzero((np.repeat(count, count) <= SHORT_LIST) & (np.arange(len(end)) + d < end))
-        i = i[_possible(n[i], n[i + d], at[i], at[i + d])]
-        useful[i] = useful[i + d] = True
-    number = np.repeat(np.arange(len(count), dtype=np.uint32), count)
-    owners, places, lists = owners[useful], places[useful], number[useful]
-    known, whose = np.unique(owners, axis=0, return_inverse=True)
-    parts = [known.astype(np.int64), whose.reshape(-1).astype(np.uint32), lists, places]
-    return pa.Table.from_arrays([table.column("bucket").slice(0, 1).combine_chunks(), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], names=["bucket", "owners", "whose", "lists", "places"])
+    count = np.diff(np.append(runs(tokens), len(tokens)))
+    useful = with_partner(np.repeat(np.arange(len(count)), count), owners[:, 1], places.astype(np.int64))
+    number = np.repeat(np.arange(len(count)), count)
+    return _listed(table.column("bucket").slice(0, 1), owners[useful], number[useful], places[useful])
+
+
+def _listed(bucket, owners: np.ndarray, lists: np.ndarray, places: np.ndarray, **more: bytes) -> pa.Table:
+    """A bucket's row: its groups once, and the entries of its lists."""
+    known, whose = np.unique(owners.reshape(-1, 2), axis=0, return_inverse=True)
+    parts = [known.astype(np.int64), whose.reshape(-1).astype(np.uint32), lists.astype(np.uint32), places.astype(np.uint32)]
+    columns = {"owners": parts[0].tobytes(), "whose": parts[1].tobytes(), "lists": parts[2].tobytes(), "places": parts[3].tobytes(), **more}
+    return pa.Table.from_arrays([pa.array(bucket.to_pylist(), pa.int32()), *(pa.array([x], pa.binary()) for x in columns.values())], names=["bucket", *columns])
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,9 +233,12 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _entries(lists: pa.Table, roster: pa.Table, salt: int) -> tuple[np.ndarray, ...]:
-    """The lists of a bucket with the groups split by component: (group, component, list, place, size), ordered by list."""
+    """The lists of a bucket with the groups split by component: (group, component, list, place, size, prefix's hash), ordered by list.
+
+    Of lists whose groups are all in one component nothing is left.
+    """
     if not lists.num_rows or not roster.num_rows:
-        return (np.zeros(0, np.int64),) * 5
+        return (np.zeros(0, np.int64),) * 6
     row = lists.to_pylist()[0]
     owners = np.frombuffer(row["owners"], np.int64).reshape(-1, 2)
     named = pd.DataFrame({"prefix_key": owners[:, 0], "n": owners[:, 1], "at": np.arange(len(owners))})
@@ -222,10 +252,18 @@ def _entries(lists: pa.Table, roster: pa.Table, salt: int) -> tuple[np.ndarray,
     group, component = split["group_id"].to_numpy()[at], split["component"].to_numpy()[at]
     token = np.frombuffer(row["lists"], np.uint32)[entry].astype(np.int64)
     place = np.frombuffer(row["places"], np.uint32)[entry].astype(np.int64)
-    size = owners[whose[entry], 1]
+    key, size = owners[whose[entry], 0], owners[whose[entry], 1]
     shuffled = mix(group.view(np.uint64) + np.uint64(salt)) if salt else group
     order = np.lexsort((shuffled, token))
-    return tuple(x[order] for x in (group, component, token, place, size))
+    columns = tuple(x[order] for x in (group, component, token, place, size, key))
+    start = runs(columns[2])
+    if len(start):
+        count = np.diff(np.append(start, len(order)))
+        mixed = np.repeat(np.minimum.reduceat(columns[1], start) != np.maximum.reduceat(columns[1], start), count)
+        columns = tuple(x[mixed] for x in columns)
+        useful = with_partner(columns[2], columns[4], columns[3])
+        columns = tuple(x[useful] for x in columns)
+    return columns
 
 
 def _possible(n: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -234,19 +272,31 @@ def _possible(n: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.
     return (100 + PERCENT) * most >= PERCENT * (n + m)
 
 
-def _votes(pairs: np.ndarray) -> pa.Table:
+def _round(lists: pa.Table, entries: tuple[np.ndarray, ...], pairs: np.ndarray) -> pa.Table:
+    """What a bucket says in a round: pairs of groups with the number of lists that name them, and what is left of its lists."""
     if len(pairs):
         pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
     first = runs(pairs[:, 0], pairs[:, 1])
-    votes = np.diff(np.append(first, len(pairs)))
-    return pa.Table.from_arrays([pa.array(pairs[first, 0]), pa.array(pairs[first, 1]), pa.array(votes.astype(np.int64))], names=["a", "b", "votes"])
+    votes = np.diff(np.append(first, len(pairs))).astype(np.int64)
+    _, _, token, place, size, key = entries
+    left = np.unique(np.stack([token, place, key, size], axis=1), axis=0)  # parts of a group are one entry again
+    bucket = lists.column("bucket").slice(0, 1) if lists.num_rows else pa.chunked_array([pa.array([-1], pa.int32())])
+    return _listed(bucket, left[:, 2:], left[:, 0], left[:, 1], pairs=pairs[first].astype(np.int64).tobytes(), votes=votes.tobytes())
+
+
+def _said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for pairs, votes in zip(batch.column("pairs").to_pylist(), batch.column("votes").to_pylist(), strict=True):
+            ab = np.frombuffer(pairs, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0].copy()), pa.array(ab[:, 1].copy()), pa.array(np.frombuffer(votes, np.int64))], names=["a", "b", "votes"])
 
 
 def _few(salt: int):
     """Of the groups that share a shingle, each with the first one, or in later rounds with the next one of another component."""
 
     def run(lists: pa.Table, roster: pa.Table) -> pa.Table:
-        group, component, token, place, size = _entries(lists, roster, salt)
+        entries = _entries(lists, roster, salt)
+        group, component, token, place, size, _ = entries
         start = runs(token)
         count = np.diff(np.append(start, len(token)))
         here = np.arange(len(token))
@@ -259,23 +309,18 @@ def _few(salt: int):
             partner = np.repeat(start, count)
         ok = (token[partner] == token) & (component[partner] != component)
         ok &= _possible(size, size[partner], place, place[partner])
-        return _votes(np.stack([group[partner[ok]], group[ok]], axis=1))
+        return _round(lists, entries, np.stack([group[partner[ok]], group[ok]], axis=1))
 
     return run
 
 
 def _all(lists: pa.Table, roster: pa.Table) -> pa.Table:
     """All pairs of groups that share a shingle, are of different components, and may link."""
-    group, component, token, place, size = _entries(lists, roster, 0)
+    entries = _entries(lists, roster, 0)
+    group, component, token, place, size, _ = entries
     order = np.lexsort((group, size, token))
     group, component, token, place, size = (x[order] for x in (group, component, token, place, size))
-    start = runs(token)
-    count = np.diff(np.append(start, len(token)))
-    if len(start):
-        mixed = np.minimum.reduceat(component, start) != np.maximum.reduceat(component, start)
-        keep = np.repeat(mixed, count)
-        group, component, place, size = (x[keep] for x in (group, component, place, size))
-        count = count[mixed]
+    count = np.diff(np.append(runs(token), len(token)))
     end = np.repeat(np.cumsum(count), count)
     found, i, d = [], np.arange(len(group)), 1
     # pairs d apart in a list; its sizes ascend, so an entry is done once the other is too large
@@ -287,7 +332,7 @@ def _all(lists: pa.Table, roster: pa.Table) -> pa.Table:
         if len(at):
             found.append(np.unique(np.sort(np.stack([group[at], group[at + d]], axis=1), axis=1), axis=0))
         d += 1
-    return _votes(np.concatenate(found) if found else np.zeros((0, 2), np.int64))
+    return _round(lists, entries, np.concatenate(found) if found else np.zeros((0, 2), np.int64))
 
 
 # ---------------------------------------------------------------- verification
@@ -322,10 +367,48 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
 
-def _links(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+def bits_for(n: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (4 * n - 1).bit_length()))
+
+
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each text, the size of its set and a bitmap of its shingles."""
+    for block in blocks(batches):
+        grams, first = shingle_sets(block)
+        n = np.diff(first)
+        bits = []
+        for i, size in enumerate(n.tolist()):
+            held = np.zeros(bits_for(size), np.uint8)
+            held[(mix(grams[first[i] : first[i + 1]]) % np.uint64(len(held))).astype(np.int64)] = 1
+            bits.append(np.packbits(held, bitorder="little").tobytes())
+        yield pa.RecordBatch.from_arrays([block.batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(bits, pa.binary())], names=["doc_id", "n", "bits"])
+
+
+def least_difference(one: bytes, other: bytes) -> int:
+    """Shingles that are in one set only, at least: the bits that differ, the longer bitmap folded to the shorter one's length."""
+    a, b = (np.frombuffer(x, np.uint8) for x in (one, other))
+    size = min(len(a), len(b))
+    a, b = (np.bitwise_or.reduce(x.reshape(-1, size), axis=0) for x in (a, b))
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _near_enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sizes and bitmaps allow the similarity: of n and m shingles, (n + m)(1 - t) / (1 + t) may differ."""
+    for batch in batches:
+        n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
+        x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
+        keep = [(100 + PERCENT) * least_difference(p, q) <= (100 - PERCENT) * (i + j) for p, q, i, j in zip(x, y, n.tolist(), m.tolist())]
+        keep = np.flatnonzero(np.array(keep, bool) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)))
+        yield batch.select(["a", "b"]).take(pa.array(keep))
+
+
+def _links(texts: DataFrame, bitmaps: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets link."""
     spark = texts.sparkSession
-    pairs = store(pairs.select("a", "b"), "pairs")
+    left = bitmaps.select(F.col("doc_id").alias("a"), "n", F.col("bits").alias("x"))
+    right = bitmaps.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
+    near = pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(_near_enough, "a long, b long")
+    pairs = store(near, "pairs")
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS_AT_ONCE).alias("salts"))
     partners = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), "salts").alias("salt"), F.lit(1).alias("role"), "b")
     pivots = many.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("b"))
@@ -360,6 +443,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crowded = classes.groupBy(*group).count().where("count > 1").select(*group)
     suspects = classes.join(members.select(*group).union(crowded).distinct(), group, "left_semi").select("class_id").distinct()
     compared = store(named.join(suspects.hint("shuffle_hash"), F.col("doc_id") == F.col("class_id"), "left_semi"), "compared")
+    bitmaps = store(compared.mapInArrow(_bitmaps, BITMAPS), "bitmaps")
 
     # rows of one id that are in several classes tie these together
     least = of_row.groupBy("doc_id").agg(F.min("class_id").alias("a"))
@@ -376,9 +460,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             apart = placed.groupBy(*group).agg(F.min("class_id").alias("group_id")).withColumn("component", F.col("group_id"))
         apart = store(apart, "groups")
         roster = members.join(apart, group).select("bucket", *group, "component", "group_id")
-        found = (
-            lists.repartition(buckets, "bucket").groupBy("bucket").cogroup(roster.repartition(buckets, "bucket").groupBy("bucket")).applyInArrow(_all if last else _few(attempt), VOTES)
-        )
+        turn = lists.repartition(buckets, "bucket").groupBy("bucket").cogroup(roster.repartition(buckets, "bucket").groupBy("bucket"))
+        said = store(turn.applyInArrow(_all if last else _few(attempt), ROUND), "round")
+        found = said.mapInArrow(_said, VOTES)
+        # the next round reads only what is left: lists that still join different components
+        lists = said.drop("pairs", "votes").where(F.octet_length("lists") > 0)
+        members = lists.select("bucket", "owners").mapInArrow(_members, "bucket int, prefix_key long, n long")
         if last:
             of_group = placed.join(apart, [*group, "component"]).select("group_id", "class_id")
             inside = apart.alias("p").join(apart.alias("q"), group).where("p.component < q.component").select(F.col("p.group_id").alias("a"), F.col("q.group_id").alias("b"))
@@ -389,7 +476,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = best.select("a", "b")
             if attempt == 0:
                 pairs = pairs.union(placed.join(apart.drop("component"), group).where("class_id <> group_id").selectExpr("group_id as a", "class_id as b"))
-        new = store(_links(compared, pairs), "links")
+        new = store(_links(compared, bitmaps, pairs), "links")
         found_now = new.count()
         if found_now:
             links = links.union(new)

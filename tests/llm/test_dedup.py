@@ -166,6 +166,50 @@ def test_near_duplicates_against_brute_force(make, copies, which):
     assert got == expected
 
 
+def test_near_duplicates_with_a_shingle_in_a_third_of_all_documents(make):
+    rng = random.Random(17)
+    phrase, rows = "the very same five words", []
+    for i in range(450):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(1, 9))]
+        if i % 3 == 0:
+            words[rng.randrange(len(words)) : 0] = phrase.split()
+        if i % 5 == 4:
+            words = rows[rng.randrange(len(rows))][1].split()
+            words[rng.randrange(len(words))] = rng.choice(["THE", "x1"])
+            words = [w.upper() for w in words] if i % 2 else words
+        rows.append((i, " ".join(words)))
+        rows += [(1000 + i, rows[-1][1].upper())] if i % 9 == 0 else []
+    sets = {i: shingles(t) for i, t in rows}
+    expected = components(sets)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(make(rows).repartition(6)).collect()}
+    assert got == {i: (len(sets[i]), expected[i]) for i in sets}
+    assert len(set(expected.values())) < len(rows) - 20
+
+
+def test_entries_with_a_partner_in_their_list():
+    rng = np.random.default_rng(0)
+    for _ in range(500):
+        k = int(rng.integers(0, 40))
+        lists, n = np.sort(rng.integers(0, 5, k)), rng.integers(1, 30, k)
+        place = np.array([int(rng.integers(0, max(1, x // 4 + 1))) for x in n], np.int64)
+        possible = [[a != b and lists[a] == lists[b] and ngram_join._possible(n[a], n[b], place[a], place[b]) for b in range(k)] for a in range(k)]
+        assert ngram_join.with_partner(lists, n, place).tolist() == [any(row) for row in possible]
+
+
+def test_bitmaps_never_overstate_the_difference():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        n, m = rng.integers(1, 3000, 2)
+        shared = rng.integers(0, min(n, m) + 1)
+        pool = rng.choice(1 << 40, int(n + m), replace=False).astype(np.uint64)
+        bits = []
+        for own in (pool[:n], np.concatenate([pool[:shared], pool[n : n + m - shared]])):
+            held = np.zeros(ngram_join.bits_for(len(own)), np.uint8)
+            held[(ngram_join.mix(own) % np.uint64(len(held))).astype(np.int64)] = 1
+            bits.append(np.packbits(held, bitorder="little").tobytes())
+        assert ngram_join.least_difference(*bits) <= n + m - 2 * shared
+
+
 def test_rows_of_one_id_tie_components(make):
     a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
     got = ngram_join.near_duplicates(make([(5, a), (9, a), (9, b), (7, b), (8, "other words that stand alone")])).collect()
