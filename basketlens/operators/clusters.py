@@ -3,20 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.util import inheritable_thread_target
 
 from basketlens.functions import constants as K
 from basketlens.functions import scalars as S
+from basketlens.operators import kmeans
 from basketlens.operators.ranking import exact_median, stable_sample
 from basketlens.plans.stage import write_stage
 
@@ -197,24 +193,14 @@ def silhouette_squared(df: DataFrame, vector_col: str, label_cols: list[str]) ->
 
 # --- k-means ----------------------------------------------------------------
 
-
-def _fit(points: DataFrame, k: int, restarts: int, seed: int) -> KMeansModel:
-    """Best of several seeded fits by training cost.
-
-    The seeding samples many candidate centres itself, so a few restarts do.
-    """
-    models = [
-        KMeans(k=k, seed=seed + i, maxIter=100, tol=1e-4, featuresCol="features").fit(points)
-        for i in range(restarts)
-    ]
-    return min(models, key=lambda m: m.summary.trainingCost)
+STARTS = 20
 
 
 @dataclass(frozen=True)
 class Choice:
     k: int
     scores: DataFrame
-    model: KMeansModel
+    centres: np.ndarray
 
 
 def choose_k(
@@ -222,37 +208,69 @@ def choose_k(
     *,
     id_col: str = "customer_id",
     candidates: list[int] | None = None,
-    restarts: int = 3,
+    starts: int = STARTS,
     seed: int = K.SEED,
+    measure: str = "silhouette",
+    **options,
 ) -> Choice:
-    """Number of clusters with the best silhouette, fitted and scored on all rows, and the model fitted for it.
+    """Number of clusters with the best silhouette, fitted and scored on all rows, and the centres fitted for it.
 
-    ``scaled`` is (id, array<double> features), stored.  The silhouette is that of squared distances, which is
-    linear in the rows.  ``scores`` has one row per candidate; the first strictly best one is chosen.
+    ``scaled`` is (id, array<double> features), stored.  Every number of clusters is fitted from ``starts`` starts, all of them together in one
+    scan a round, and the cheapest fit of each is scored.  ``scores`` has a row per candidate with its cost, the Euclidean ``silhouette``
+    between its bounds, and that of squared distances (``silhouette_squared``); the first strictly best one by ``measure`` is chosen.
+    ``options`` go to :func:`kmeans.fit_models`, such as ``batches`` for mini batches.
     """
     candidates = candidates or K.CLUSTER_COUNTS
-    points = scaled.select(id_col, F.col("features").alias("vec"), array_to_vector("features").alias("features")).persist()
-    fit = inheritable_thread_target(points.sparkSession)(lambda k: _fit(points, k, restarts, seed))
-    with ThreadPool(len(candidates)) as pool:  # independent fits: let them share the cores
-        models = pool.map(fit, candidates)
-    labelled = points
-    for k, model in zip(candidates, models):
-        labelled = model.setPredictionCol(f"k{k}").transform(labelled)
-    sizes = F.element_at(F.array(*map(F.lit, candidates)), F.col("labelling") + 1)
-    scores = silhouette_squared(labelled, "vec", [f"k{k}" for k in candidates]).select(sizes.alias("k"), "silhouette")
-    stored = write_stage(scores, "cluster-scores")
-    points.unpersist()
-    best = stored.orderBy(F.desc("silhouette"), "k").first()["k"]  # one row per candidate
-    return Choice(best, stored.withColumn("chosen", F.col("k") == best), models[candidates.index(best)])
-
-
-def _oriented_pca(points: DataFrame, components: int = 2) -> np.ndarray:
-    """Principal axes with a fixed sign: the largest loading of each is positive."""
-    axes = PCA(k=components, inputCol="features", outputCol="pca").fit(points).pc.toArray()
+    size = len(scaled.select("features").first()[0])
+    best, _ = kmeans.best_fits(kmeans.pack_points(scaled, id_col, "features"), candidates, starts, seed, **options)
+    names = [f"k{fit.k}" for fit in best]
+    labelled = scaled.select(id_col, "features", *[kmeans.nearest_centre(F.col("features"), fit.centres)[0].alias(n) for n, fit in zip(names, best)])
+    packed = kmeans.pack_points(labelled, id_col, "features", *names)
+    squared = silhouette_squared(labelled, "features", names).select("labelling", F.col("silhouette").alias("silhouette_squared"))
+    fits = scaled.sparkSession.createDataFrame([(i, fit.k, fit.cost) for i, fit in enumerate(best)], "labelling int, k int, cost double")
+    scores = kmeans.silhouette_bounds(packed, names, size).join(squared, "labelling").join(fits, "labelling")
+    stored = write_stage(scores.select("k", "cost", "silhouette", "lower", "upper", "silhouette_squared"), "cluster-scores")
+    chosen = stored.orderBy(F.desc(measure), "k").first()["k"]  # one row per candidate
+    return Choice(chosen, stored.withColumn("chosen", F.col("k") == chosen), best[candidates.index(chosen)].centres)
+
+
+def covariance(df: DataFrame, vector_col: str, size: int) -> DataFrame:
+    """(i, j, value) with i <= j: the covariance of each two coordinates over the population, in one scan."""
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+    x = [F.get(F.col(vector_col), F.lit(i)).cast("double") for i in range(size)]
+    held = df.agg(F.array(*[F.covar_pop(x[i], x[j]) for i, j in pairs]).alias("c"))
+    places = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])
+    return held.select(F.explode(F.arrays_zip(places.alias("at"), F.col("c").alias("value"))).alias("e")).select("e.at.i", "e.at.j", "e.value")
+
+
+def matrix_of(found: DataFrame, size: int) -> np.ndarray:
+    out = np.zeros((size, size))
+    for r in found.collect():  # one row per two coordinates
+        out[r.i, r.j] = out[r.j, r.i] = r.value
+    return out
+
+
+def principal_axes(matrix: np.ndarray, components: int = 2) -> np.ndarray:
+    """The axes along which a covariance matrix spreads most, with a fixed sign: the largest loading of each is positive."""
+    axes = np.linalg.eigh(matrix)[1][:, ::-1][:, :components]
     strongest = np.abs(axes).argmax(axis=0)
     return axes * np.sign(axes[strongest, range(components)])
 
 
+def axis_checks(matrix: np.ndarray, axes: np.ndarray) -> list[tuple[int, float, float, float]]:
+    """(axis, length, product with the other axes, largest deviation of the matrix times the axis from a multiple of it)."""
+    out = []
+    for k, a in enumerate(axes.T):
+        others = [abs(float(a @ b)) for j, b in enumerate(axes.T) if j != k]
+        out.append((k, float(np.linalg.norm(a)), max(others, default=0.0), float(np.abs(matrix @ a - (a @ matrix @ a) * a).max())))
+    return out
+
+
+def _oriented_pca(scaled: DataFrame, components: int = 2) -> np.ndarray:
+    size = len(scaled.select("features").first()[0])
+    return principal_axes(matrix_of(covariance(scaled, "features", size), size), components)
+
+
 def project(df: DataFrame, vector_col: str, axes: np.ndarray, names: list[str]) -> DataFrame:
     """Coordinates along the given axes; the vectors are centred already."""
 
@@ -265,8 +283,7 @@ def project(df: DataFrame, vector_col: str, axes: np.ndarray, names: list[str])
 
 def pca_coordinates(scaled: DataFrame, id_col: str = "customer_id") -> DataFrame:
     """First two principal coordinates of stored, standardised vectors."""
-    axes = _oriented_pca(scaled.select(array_to_vector("features").alias("features")))
-    return project(scaled, "features", axes, ["cluster_x", "cluster_y"]).select(id_col, "cluster_x", "cluster_y")
+    return project(scaled, "features", _oriented_pca(scaled), ["cluster_x", "cluster_y"]).select(id_col, "cluster_x", "cluster_y")
 
 
 @dataclass(frozen=True)
@@ -275,16 +292,15 @@ class Clustered:
     choice: Choice
 
 
-def assign_clusters(profile: DataFrame, *, restarts: int = 3, seed: int = K.SEED) -> Clustered:
+def assign_clusters(profile: DataFrame, *, starts: int = STARTS, seed: int = K.SEED, **options) -> Clustered:
     """Add cluster_id, cluster_x, cluster_y to a stored profile."""
     features = standardise(cluster_features(profile), K.CLUSTER_FEATURES)
     vectors = features.select("customer_id", F.array(*K.CLUSTER_FEATURES).alias("features"))
     stored = write_stage(vectors, "cluster-features")
-    choice = choose_k(stored, restarts=restarts, seed=seed)
-    points = stored.select("customer_id", F.col("features").alias("vec"), array_to_vector("features").alias("features"))
-    axes = _oriented_pca(points)
-    placed = project(choice.model.setPredictionCol("prediction").transform(points), "vec", axes, ["cluster_x", "cluster_y"])
-    columns = placed.select("customer_id", F.col("prediction").alias("cluster_id"), "cluster_x", "cluster_y")
+    choice = choose_k(stored, starts=starts, seed=seed, **options)
+    placed = project(stored, "features", _oriented_pca(stored), ["cluster_x", "cluster_y"])
+    cluster, _ = kmeans.nearest_centre(F.col("features"), choice.centres)
+    columns = placed.select("customer_id", cluster.alias("cluster_id"), "cluster_x", "cluster_y")
     return Clustered(profile.join(columns, "customer_id", "left"), choice)
 
 
@@ -440,8 +456,12 @@ def cluster_zscores(named: DataFrame) -> DataFrame:
     return standardise(named.select("cluster_name", *_HEAT_METRICS), _HEAT_METRICS)
 
 
+def marker_size(revenue: Column) -> Column:
+    """A marker's size: by revenue, within fixed limits."""
+    return F.least(F.greatest(revenue + 20, F.lit(20.0)), F.lit(600.0))
+
+
 def cluster_scatter(clustered: DataFrame, n: int = K.SCATTER_SAMPLE, seed: int = K.SEED) -> DataFrame:
     """A fixed sample of customers in the plane, with a clipped marker size."""
-    size = F.least(F.greatest(F.col("revenue") + 20, F.lit(20.0)), F.lit(600.0))
     sample = stable_sample(clustered.select("customer_id", "cluster_x", "cluster_y", "cluster_name", "revenue"), "customer_id", n, seed)
-    return sample.select("customer_id", "cluster_x", "cluster_y", "cluster_name", size.alias("marker_size"))
+    return sample.select("customer_id", "cluster_x", "cluster_y", "cluster_name", marker_size(F.col("revenue")).alias("marker_size"))

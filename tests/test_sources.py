@@ -106,7 +106,7 @@ def test_publish(spark, make_tables, tmp_path):
         ],
     )
     stopwords = spark.createDataFrame([("the",)], "token string")
-    outputs = build_outputs(tables, stopwords=stopwords, restarts=1)
+    outputs = build_outputs(tables, stopwords=stopwords, starts=1)
     paths = publish_outputs(outputs, str(tmp_path))
     read = {name: spark.read.parquet(path) for name, path in paths.items()}
     assert read["profile"].count() == 60
