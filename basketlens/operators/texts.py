@@ -12,19 +12,13 @@ from pyspark.sql import functions as F
 
 from basketlens.functions import constants as K
 from basketlens.functions import scalars as S
+from basketlens.operators import valence
+from basketlens.operators.valence import sentiment_label  # noqa: F401
 from basketlens.plans.stage import write_stage
 
-_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _KEYWORD = r"([\p{L}\p{N}_][\p{L}\p{N}_']+)"
 
 
-def sentiment_label(compound: Column) -> Column:
-    return S.first_match(
-        [(compound >= K.COMPOUND_CUTOFF, "Positive"), (compound <= -K.COMPOUND_CUTOFF, "Negative")],
-        "Neutral",
-    )
-
-
 def review_sentiment(
     reviews: DataFrame,
     lexicon: DataFrame,
@@ -35,51 +29,9 @@ def review_sentiment(
     negations: list[str] | None = None,
     boosters: dict[str, float] | None = None,
 ) -> DataFrame:
-    """Valence score and label per review: id, kept columns, compound, sentiment.
-
-    ``lexicon`` is (token, valence).  A valence is strengthened or weakened by a
-    booster and flipped by a negation among the three words before it; the sum s
-    over the review becomes s / sqrt(s*s + 15), rounded to four digits.  Reviews
-    without any hit, or without text, are Neutral.
-    """
-    negations = K.NEGATIONS if negations is None else negations
-    boosters = K.BOOSTERS if boosters is None else boosters
-
-    def bare(word: Column) -> Column:
-        # punctuation goes, unless next to nothing would be left: ":)" stays a word
-        stripped = F.btrim(word, F.lit(_PUNCTUATION))
-        return F.when(F.length(stripped) > 2, stripped).otherwise(word)
-
-    words = F.transform(F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"\s+"), bare)
-
-    def shifted(n: int) -> Column:
-        return F.concat(F.array(*[F.lit(None).cast("string")] * n), F.col("words")).alias(f"back{n}")
-
-    tokens = (
-        reviews.select(id_col, *keep, words.alias("words"))
-        .select(id_col, *keep, "words", shifted(1), shifted(2), shifted(3))
-        .select(id_col, *keep, F.explode(F.arrays_zip("words", "back1", "back2", "back3")).alias("w"))
-        .select(id_col, *keep, "w.*")
-    )
-    scored = tokens.join(lexicon, F.col("words") == F.col("token"), "left")
-
-    value = F.col("valence")
-    for distance, damping in enumerate(K.BOOST_DAMPING, start=1):
-        word = F.col(f"back{distance}")
-        if boosters:
-            step = S.first_match([(word == b, amount * damping) for b, amount in boosters.items()], 0.0)
-            value = value + F.when(F.col("valence") < 0, -step).otherwise(step)
-        if negations:
-            value = value * F.when(word.isin(negations), K.NEGATION_FACTOR).otherwise(1.0)
-
-    total = F.coalesce(F.sum(value), F.lit(0.0))
-    return (
-        scored.groupBy(id_col, *keep)
-        .agg(total.alias("s"))
-        .withColumn("compound", F.round(F.col("s") / F.sqrt(F.col("s") * F.col("s") + K.COMPOUND_ALPHA), 4))
-        .withColumn("sentiment", sentiment_label(F.col("compound")))
-        .drop("s")
-    )
+    """Valence score and label per review by boosters and negations alone; :func:`valence.valence_scores` has all rules."""
+    rules = valence.Rules(K.NEGATIONS if negations is None else negations, K.BOOSTERS if boosters is None else boosters)
+    return valence.valence_scores(reviews, lexicon, rules, id_col=id_col, text_col=text_col, keep=keep)
 
 
 def with_sentiment(reviews: DataFrame, scored: DataFrame, id_col: str = "review_id") -> DataFrame:

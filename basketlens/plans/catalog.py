@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from basketlens.functions import constants as K
 from basketlens.functions import scalars as S
-from basketlens.operators import clusters, customers, funnel, kmeans, potential, products, ranking, retention, segments, snapshot, texts, trends
+from basketlens.operators import clusters, customers, funnel, kmeans, potential, products, ranking, retention, segments, snapshot, texts, trends, valence
 from basketlens.plans.stage import write_stage
 from basketlens.sources.files import json_safe
 from basketlens.sources.literals import constant_table
@@ -504,6 +504,27 @@ def _(t, star):
     return tidy(sample_sentiment(t, star), 4)
 
 
+TEST_RULES = valence.Rules(
+    TEST_NEGATIONS,
+    TEST_BOOSTERS,
+    capitals=0.733,
+    intensified=("un", ("le", "die"), 1.5),
+    affirmed=("in", ("is",)),
+    least=("les", ("un",)),
+    contrast=("die", "is"),
+    exclamation=(0.292, 4),
+    question=(0.18, 0.96),
+)
+TEST_IDIOMS = [("of the", 2.5), ("the and", -1.0), ("der und", 1.2), ("la que el", 0.6), ("is the of", -2.0)]
+
+
+@query("valence_sentiment")
+def _(t, star):
+    """All valence rules."""
+    lexicon, idioms = constant_table(star.spark, TEST_LEXICON, ["token", "valence"]), constant_table(star.spark, TEST_IDIOMS, ["phrase", "valence"])
+    return tidy(valence.valence_scores(t.reviews, lexicon, TEST_RULES, idioms), 4)
+
+
 @query("labelled_reviews")
 def _(t, star):
     return tidy(texts.with_sentiment(t.reviews.drop("review_text"), sample_sentiment(t, star)), 4)

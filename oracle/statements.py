@@ -341,6 +341,7 @@ Q["snapshot_lines"] = " union all ".join(
         for s, title, unit in _SECTIONS
     ]
 )
+Q["valence_sentiment"] = "select review_id, product_id, compound, sentiment from valenced"
 Q["labelled_reviews"] = """select r.review_id, r.order_id, r.product_id, r.rating, r.review_time, s.compound, s.sentiment
  from x_reviews r join sentiment s on s.review_id = r.review_id"""
 Q["recent_revenue"] = """select month, round(revenue, 6) as revenue, round(change + 1e-10, 6) as change from

@@ -273,6 +273,45 @@ from (select r.review_id, r.product_id, round(coalesce(s, 0) / sqrt(coalesce(s,
  from x_reviews r left join (select review_id, sum({_VALUE}) as s from words join lexicon on w = token group by review_id) h on h.review_id = r.review_id) q
 """
 
+# All rules: every hit with its neighbours, its place, the text's first contrast word and whether the text is partly in capitals.
+_BARE = "case when length(trim({x}, '!\"#$%&''()*+,-./:;<=>?@[\\]^_`{{|}}~')) > 2 then trim({x}, '!\"#$%&''()*+,-./:;<=>?@[\\]^_`{{|}}~') else {x} end"
+VIEWS["wordy"] = f"""
+select review_id, product_id, t, ws, ks, [{_BARE.format(x="x")} for x in ws] as bs, list_position([k in ('die', 'is') for k in ks], true) as turn,
+ len([x for x in ws if x = upper(x) and x <> lower(x)]) > 0 and len([x for x in ws if x = upper(x) and x <> lower(x)]) < len(ws) as mixed
+from (select review_id, product_id, t, ws, [{_BARE.format(x="lower(x)")} for x in ws] as ks
+ from (select review_id, product_id, coalesce(review_text, '') as t, regexp_split_to_array(coalesce(review_text, ''), '\\s+') as ws from x_reviews) a) b
+"""
+VIEWS["struck"] = """
+select review_id, i, turn, mixed, ks[i] as k, bs[i] as w, case when i > 1 then ks[i - 1] end as b1, case when i > 2 then ks[i - 2] end as b2, case when i > 3 then ks[i - 3] end as b3,
+ case when i > 1 then bs[i - 1] end as w1, case when i > 2 then bs[i - 2] end as w2, case when i > 3 then bs[i - 3] end as w3, ks[i + 1] as n1, ks[i + 2] as n2
+from (select review_id, turn, mixed, ks, bs, unnest([i for i in range(1, len(ks) + 1) if ks[i] in ('the', 'and', 'of', 'der', 'und', 'la', 'que', 'el')]) as i from wordy) a
+"""
+
+
+def _nearer(value: str, n: int, damping: float) -> str:
+    loud = f"case when w{n} = upper(w{n}) and w{n} <> lower(w{n}) and mixed then 0.733 else 0.0 end"
+    step = f"(case when b{n} in ('is', 'die') then 0.293::double + {loud} when b{n} = 'on' then -0.293::double + {loud} else 0.0 end)"
+    between = " or ".join(f"coalesce(b{m} in ({{0}}), false)" for m in range(1, n)) or "false"
+    flip = f"""(case when b{n} = 'un' and ({between.format("'le', 'die'")}) then 1.5::double when b{n} = 'in' and ({between.format("'is'")}) then 1.0 when b{n} in ('in', 'un') then -0.74 else 1.0 end)"""
+    return f"(({value}) + (case when v0 < 0 then -1 else 1 end) * {step} * {damping}) * {flip}"
+
+
+_LOUD = "v0 + case when w = upper(w) and w <> lower(w) and mixed then (case when v0 < 0 then -1 else 1 end) * 0.733::double else 0.0 end"
+_LEAST = "(case when b1 = 'les' and coalesce(b2, '') <> 'un' then -0.74::double else 1.0 end)"
+_SPANS = ["b3 b2 b1 k", "b2 b1 k n1", "b1 k n1 n2", "b2 b1 k", "b1 k n1", "k n1 n2", "b1 k", "k n1"]
+_IDIOM = "coalesce(" + ", ".join(
+    "case " + " || ' ' || ".join(span.split()) + " " + " ".join(f"when '{p}' then {v}::double" for p, v in (("of the", 2.5), ("the and", -1.0), ("der und", 1.2), ("la que el", 0.6), ("is the of", -2.0))) + " end"
+    for span in _SPANS
+)
+_RICH = f"{_IDIOM}, ({_nearer(_nearer(_nearer(_LOUD, 1, 1.0), 2, 0.95), 3, 0.9)}) * {_LEAST}) * (case when i < turn then 0.5 when i > turn then 1.5 else 1.0 end)"
+VIEWS["valenced"] = f"""
+select review_id, product_id, compound, case when compound >= 0.05 then 'Positive' when compound <= -0.05 then 'Negative' else 'Neutral' end as sentiment
+from (select review_id, product_id, round(s / sqrt(s * s + 15), 4) as compound
+ from (select r.review_id, r.product_id, coalesce(h.s, 0) + sign(coalesce(h.s, 0)) * (least(length(t) - length(replace(t, '!', '')), 4) * 0.292::double
+   + case when length(t) - length(replace(t, '?', '')) > 3 then 0.96::double when length(t) - length(replace(t, '?', '')) > 1 then (length(t) - length(replace(t, '?', ''))) * 0.18::double else 0.0 end) as s
+  from wordy r left join (select review_id, sum({_RICH}) as s from struck join lexicon on k = token group by review_id) h on h.review_id = r.review_id) q) q2
+"""
+
 # --- clusters: the market segment as the given cluster --------------------------------
 
 VIEWS["clustered"] = """
