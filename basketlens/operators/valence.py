@@ -63,28 +63,37 @@ FULL = Rules(
 )
 
 
+def _is_punctuation(character: Column) -> Column:
+    code = F.ascii(character)
+    return code.between(33, 47) | code.between(58, 64) | code.between(91, 96) | code.between(123, 126)
+
+
 def bare(word: Column) -> Column:
     """Without punctuation around it, unless next to nothing would be left: ":)" stays a word."""
     stripped = F.btrim(word, F.lit(PUNCTUATION))
     return F.when(F.length(stripped) > 2, stripped).otherwise(word)
 
 
+def bare_seldom(word: Column) -> Column:
+    """The same for a column of all words: trimming looks up every character, so only words that begin or end with punctuation are trimmed."""
+    return F.when(_is_punctuation(word) | _is_punctuation(F.substring(word, -1, 1)), bare(word)).otherwise(word)
+
+
 def _in_capitals(word: Column) -> Column:
     return (word == F.upper(word)) & (word != F.lower(word))
 
 
-def _neighbours(words: Column) -> Column:
+def _neighbours(words: Column, after: int) -> Column:
     """Each word with those around it, null beyond the ends; ``w`` is the word, ``b1`` the one before it, ``n1`` the next."""
     nothing = F.lit(None).cast("string")
     columns = {"w": words}
     columns |= {f"b{n}": F.concat(F.array(*[nothing] * n), words) for n in range(1, BEFORE + 1)}
-    columns |= {f"n{n}": F.concat(F.slice(words, n + 1, F.greatest(F.size(words) - n, F.lit(0))), F.array(nothing)) for n in range(1, AFTER + 1)}
+    columns |= {f"n{n}": F.concat(F.slice(words, n + 1, F.greatest(F.size(words) - n, F.lit(0))), F.array(nothing)) for n in range(1, after + 1)}
     return F.arrays_zip(*[c.alias(name) for name, c in columns.items()])
 
 
 def _hits(reviews: DataFrame, lexicon: DataFrame, keys: list[str], text: Column, rules: Rules, idioms: DataFrame | None) -> DataFrame:
     """The words of the lexicon, with their neighbours and what the rules ask of the whole text."""
-    wide = rules.capitals or rules.contrast or idioms is not None
     words = reviews.select(*keys, F.split(text if rules.capitals else F.lower(text), r"\s+").alias("words"))
     shape: list[str] = []
     if rules.capitals:
@@ -95,16 +104,21 @@ def _hits(reviews: DataFrame, lexicon: DataFrame, keys: list[str], text: Column,
         turns = F.transform("words", lambda w: bare(F.lower(w)).isin(list(rules.contrast)))
         words = words.withColumn("turn", F.array_position(turns, True))
         shape.append("turn")
-    around = _neighbours(F.col("words"))
-    if not wide:
-        around = F.transform(around, lambda x: x.dropFields(*[f"n{n}" for n in range(1, AFTER + 1)]))
-    entries = words.select(*keys, *shape, F.posexplode(around).alias("at", "e")).select(*keys, *shape, "at", "e.*")
-    return entries.withColumn("key", bare(F.lower("w"))).join(lexicon.select(F.col("token").alias("key"), "valence"), "key")
+    around = _neighbours(F.col("words"), AFTER if idioms is not None else 0)
+    found = F.posexplode(around).alias("at", "e") if rules.contrast else F.explode(around).alias("e")
+    entries = words.select(*keys, *shape, found)
+    columns = [c for c in entries.columns if c != "e"]
+    entries = entries.select(*columns, "e.*")
+    # never null, so that the join asks for no second look at every word
+    key = F.coalesce(bare_seldom(F.lower("w") if rules.capitals else F.col("w")), F.lit(""))
+    held = entries.withColumn("key", key).join(lexicon.select(F.col("token").alias("key"), "valence"), "key")
+    near = [c for c in held.columns if c[0] in "bn" and c[1:].isdigit()]
+    return held.withColumns({f"low_{c}": bare(F.lower(c)) for c in near})
 
 
 def _value(rules: Rules, idioms: DataFrame | None) -> Column:
     """A hit's valence after all rules of its neighbourhood."""
-    before = [bare(F.lower(f"b{n}")) for n in range(1, BEFORE + 1)]
+    before = [F.col(f"low_b{n}") for n in range(1, BEFORE + 1)]
     valence = F.col("valence")
     sign = F.when(valence < 0, -1.0).otherwise(1.0)
     mixed = F.col("mixed") if rules.capitals else F.lit(False)
@@ -141,7 +155,7 @@ def _value(rules: Rules, idioms: DataFrame | None) -> Column:
         value = value * F.when((before[0] == rules.least[0]) & ~turned, rules.negation).otherwise(1.0)
     if idioms is not None:
         known = idioms.agg(F.map_from_entries(F.collect_list(F.struct("phrase", "valence"))).alias("m")).scalar()
-        row = [*reversed(before), F.col("key"), *[bare(F.lower(f"n{n}")) for n in range(1, AFTER + 1)]]
+        row = [*reversed(before), F.col("key"), *[F.col(f"low_n{n}") for n in range(1, AFTER + 1)]]
         spans = [(i, j) for i in range(BEFORE + 1) for j in range(BEFORE, len(row)) if 2 <= j - i + 1 <= 4]
         found = []
         for i, j in sorted(spans, key=lambda s: (s[0] - s[1], s[0])):
