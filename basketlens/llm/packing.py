@@ -26,7 +26,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import islice
 
 import numpy as np
@@ -302,14 +302,20 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         found = ranked(path)
         self.ranks = found and tiktoken.Encoding("local", pat_str=BYTE_LEVEL, mergeable_ranks=found[0], special_tokens=found[1])
 
+    @cached_property
+    def tokenizer(self):
+        """Only loaded where it is needed."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, text: str) -> bytes:
         if self.ranks:
             try:

@@ -12,7 +12,6 @@ import shutil
 import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 from basketlens.plans.stage import write_stage
 
 # Bytes of text that one block holds, unless a single text is longer.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 # Fixed odd multipliers: two for bytes, two for words; the pairs give independent hashes.
 BYTE_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -154,18 +153,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    def row(b: int) -> np.ndarray:
-        out = np.full(size, b, np.uint64)
-        out[0] = 1
-        return np.cumprod(out)
-
-    return row(base), row(pow(base, -1, 1 << 64))
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(base, max(1 << 20, 1 << int(size).bit_length()))
+    """At least ``size`` powers of a base and of its inverse; a worker holds one pair of arrays per base."""
+
+    def row(b: int, n: int) -> np.ndarray:
+        out = np.full(n, b, np.uint64)
+        out[0] = 1
+        return np.cumprod(out)
+
+    held = _POWERS.get(base)
+    if held is None or len(held[0]) < size:
+        n = -(-size // (1 << 18)) << 18
+        held = row(base, n), row(pow(base, -1, 1 << 64), n)
+        if n <= 4 * BLOCK_BYTES:  # those of a very long text are not kept
+            _POWERS[base] = held
+    return held
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
