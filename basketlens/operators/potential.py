@@ -8,6 +8,7 @@ from dataclasses import replace
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from basketlens.functions import constants as K
@@ -94,3 +95,44 @@ def spending_potential(
     high = sum((F.coalesce(F.get("p", F.lit(TIERS.index(t))), F.lit(0.0)) for t in K.HIGH_POTENTIAL_TIERS), F.lit(0.0))
     tier = F.element_at(F.array(*map(F.lit, TIERS)), F.col("prediction").cast("int") + 1)
     return scored.select("customer_id", tier.alias("predicted_ltv_tier"), (100 * high).alias("potential_score"), (high >= 0.5).alias("high_potential"))
+
+
+def _cuts(values: DataFrame, column: str, parts: int):
+    """Limits that cut a column into about equal parts, as a scalar array."""
+    shares = F.array(*[F.lit((i + 1) / parts) for i in range(parts - 1)])
+    return values.agg(F.percentile_approx(column, shares, F.lit(10_000)).alias("q")).scalar()
+
+
+def ranking_auc(df: DataFrame, score: str, label: str, parts: int = 100) -> DataFrame:
+    """(positives, negatives, auc): how often a positive row has a higher score than a negative one; ties count half.
+
+    Rows are counted per score, scores are cut into ranges, and positions add up range by range, so no row
+    of the table is sorted in one task.  ``label`` is a boolean; rows without score or label do not count.
+    """
+    c = F.col
+    counts = df.where(c(score).isNotNull() & c(label).isNotNull()).groupBy(c(score).cast("double").alias("s"))
+    counts = counts.agg(F.sum(c(label).cast("long")).alias("p"), F.sum((~c(label)).cast("long")).alias("n"))
+    held = counts.withColumn("q", _cuts(counts, "s", parts)).withColumn("part", F.size(F.filter("q", lambda x: x < c("s"))))
+    within = W.partitionBy("part").orderBy("s").rowsBetween(W.unboundedPreceding, -1)
+    inner = held.select("part", "p", "n", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("below"))
+    # pairs within a part, and what every part adds for the parts above it: at most ``parts`` rows
+    sums = inner.groupBy("part").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum(c("p") * (2 * c("below") + c("n")).cast("decimal(38,0)")).alias("pairs"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    total = sums.withColumn("before", before).agg(
+        F.coalesce(F.sum("p"), F.lit(0)).alias("positives"), F.coalesce(F.sum("n"), F.lit(0)).alias("negatives"), F.sum(c("pairs") + 2 * c("before").cast("decimal(38,0)") * c("p")).alias("pairs")
+    )
+    return total.select("positives", "negatives", S.ratio(c("pairs").cast("double"), 2 * c("positives").cast("double") * c("negatives")).alias("auc"))
+
+
+def calibration(df: DataFrame, score: str, label: str, parts: int = 10) -> DataFrame:
+    """(part, rows, mean_score, rate): for parts of the scores, what was predicted and the share that came true."""
+    known = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(F.col(score).cast("double").alias("s"), F.col(label).alias("y"))
+    held = known.withColumn("q", _cuts(known, "s", parts)).withColumn("part", F.size(F.filter("q", lambda x: x < F.col("s"))))
+    return held.groupBy("part").agg(F.count("*").alias("rows"), S.fraction_mean(F.col("s")).alias("mean_score"), F.avg(F.col("y").cast("double")).alias("rate"))
+
+
+def potential_quality(predictions: DataFrame, label: DataFrame) -> DataFrame:
+    """Predictions of an earlier cut against what happened after it: the figures of :func:`ranking_auc`, and the mean squared error."""
+    met = predictions.select("customer_id", (F.col("potential_score") / 100).alias("p")).join(label.select("customer_id", F.col("high_potential").alias("y")), "customer_id")
+    error = met.agg(F.avg((F.col("p") - F.col("y").cast("double")) ** 2).alias("e")).scalar()
+    return ranking_auc(met, "p", "y").withColumn("squared_error", error)

@@ -151,3 +151,22 @@ def age_pyramid(profile: DataFrame) -> DataFrame:
         .select("position", "age_band", "gender_inferred", "users", "plot_users")
         .orderBy("position", "gender_inferred")
     )
+
+
+def customer_cube(profile: DataFrame, columns: dict[str, list[str]]) -> DataFrame:
+    """Counts of several figures from one scan: (figure, first, second, users) for each figure's one or two columns.
+
+    Grouping sets make a row per figure in the scan itself, so the profile is read once however many figures there are.  Rows
+    where a figure's column is null do not count in it.
+    """
+    names = sorted({c for cs in columns.values() for c in cs})
+    sets = [[F.col(c) for c in cs] for cs in columns.values()]
+    # a column's bit in the id of the set is 0 where it belongs to the set; the first column has the highest bit
+    number = {figure: sum((c not in cs) << (len(names) - 1 - i) for i, c in enumerate(names)) for figure, cs in columns.items()}
+    cells = profile.select(*names).groupingSets(sets, *[F.col(c) for c in names]).agg(F.grouping_id().alias("set"), F.count("*").alias("users"))
+    rows = []
+    for figure, cs in columns.items():
+        here = (F.col("set") == number[figure]) & F.col(cs[0]).isNotNull() & (F.col(cs[1]).isNotNull() if len(cs) > 1 else F.lit(True))
+        value = F.struct(F.lit(figure).alias("figure"), F.col(cs[0]).cast("string").alias("first"), (F.col(cs[1]).cast("string") if len(cs) > 1 else F.lit(None).cast("string")).alias("second"))
+        rows.append(F.when(here, value))
+    return cells.select(F.coalesce(*rows).alias("r"), "users").where("r is not null").select("r.*", "users")

@@ -7,6 +7,7 @@ to six digits here, never inside an operator.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -16,8 +17,9 @@ from pyspark.sql import types as T
 
 from basketlens.functions import constants as K
 from basketlens.functions import scalars as S
-from basketlens.operators import clusters, customers, funnel, kmeans, potential, products, ranking, retention, segments, snapshot, texts, trends, valence
-from basketlens.plans.stage import write_stage
+from basketlens.operators import clusters, customers, flows, funnel, kmeans, potential, products, ranking, retention, segments, snapshot, texts, trends, valence
+from basketlens.plans import states
+from basketlens.plans.stage import shared_folder, write_stage
 from basketlens.sources.files import json_safe
 from basketlens.sources.literals import constant_table
 from basketlens.sources.star_schema import COUNTRY, DISCOUNTS, EVERYTHING, SIGNUP, StarSchema
@@ -371,6 +373,15 @@ def _(t, star):
     return trends.demographics(person_profile(t))
 
 
+CUBE = {"region": ["region"], "pyramid": ["age_band", "gender_inferred"], "market segment": ["market_segment"], "country": ["country_name"], "region and age": ["region", "age_band"]}
+
+
+@query("customer_cube")
+def _(t, star):
+    """Five figures of the customers from one scan."""
+    return trends.customer_cube(person_profile(t), CUBE)
+
+
 @query("age_pyramid")
 def _(t, star):
     return trends.age_pyramid(person_profile(t))
@@ -396,6 +407,16 @@ def _(t, star):
     return retention.retention(t, activity="orders")
 
 
+@query("retention_bitmaps", SIGNUP)
+def _(t, star):
+    return flows.retention_by_bitmaps(t)
+
+
+@query("customer_flow")
+def _(t, star):
+    return flows.customer_flow(t.orders)
+
+
 @query("retention_orders_wide", SIGNUP)
 def _(t, star):
     return retention.retention_wide(retention.retention(t, activity="orders"))
@@ -491,6 +512,32 @@ def _(t, star):
     return products.sales_rank(t)
 
 
+# --- results kept up to date ----------------------------------------------------
+
+
+@query("quarterly_states", COUNTRY)
+def _(t, star):
+    """Quarters from stored states per month, the last year of them refreshed once more; buyers against the exact number."""
+    path = f"{shared_folder(star.spark)}/basketlens/order-states-{uuid.uuid4().hex}"
+    states.refresh_order_states(t.orders, path)
+    last = t.orders.agg(F.max("order_time").alias("t")).first()["t"]
+    if last is not None:
+        states.refresh_order_states(t.orders, path, last.date().replace(month=1, day=1), last.date())
+    quarter = F.date_trunc("quarter", F.col("month")).cast("date").alias("quarter")
+    found = states.merged(states.read_order_states(star.spark, path), quarter)
+    exact = t.orders.groupBy(F.date_trunc("quarter", F.col("order_time")).cast("date").alias("quarter")).agg(F.countDistinct("customer_id").alias("exact"))
+    near = F.abs(F.col("buyers") - F.col("exact")) <= 0.1 * F.col("exact") + 1
+    return found.join(exact, "quarter").select("quarter", "orders", "revenue", near.alias("buyers_near"))
+
+
+@query("bucketed_activity", COUNTRY)
+def _(t, star):
+    """Facts stored in buckets, then joined without an exchange."""
+    parts = int(star.spark.conf.get("spark.sql.shuffle.partitions"))
+    stored = [states.bucketed(df, name, parts) for name, df in (("customers", t.customers.select("customer_id")), ("sessions", t.sessions), ("orders", t.orders))]
+    return states.customer_activity(*stored)
+
+
 # --- texts ------------------------------------------------------------------
 
 
@@ -606,6 +653,22 @@ def _(t, star):
     return potential.later_value(t, CUT, LATER_DAYS)
 
 
+@query("ranking_auc")
+def _(t, star):
+    """How well the revenue before the cut ranks customers by whether they buy in the year after it."""
+    earlier = potential.before(t, CUT).orders.groupBy("customer_id").agg(F.sum("total_usd").cast("double").alias("spent"))
+    later = potential.later_value(t, CUT, LATER_DAYS).select("customer_id", (F.col("later_orders") > 0).alias("bought"))
+    return potential.ranking_auc(later.join(earlier, "customer_id", "left").fillna(0.0, subset=["spent"]), "spent", "bought")
+
+
+@query("potential_quality", SIGNUP, DISCOUNTS)
+def _(t, star):
+    """The model of the year before the cut, against the year after it."""
+    first = CUT - dt.timedelta(days=LATER_DAYS)
+    learned = potential.spending_potential(potential.past_features(t, first), potential.later_value(t, first, LATER_DAYS), potential.past_features(t, CUT))
+    return potential.potential_quality(learned, potential.later_value(t, CUT, LATER_DAYS))
+
+
 @query("spending_potential", SIGNUP, DISCOUNTS)
 def _(t, star):
     """Learned at a cut a year before the last orders, applied to what is known today."""

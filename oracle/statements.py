@@ -137,6 +137,21 @@ Q["new_user_conversion"] = """select c.month, count(*) as new_users, count(o.cus
  left join (select distinct customer_id, cast(date_trunc('month', order_time) as timestamp) as month from x_orders) o
  on o.customer_id = c.customer_id and o.month = c.month group by c.month"""
 Q["demographics"] = "select region, gender_inferred, age_band, count(*) as users from profile group by 1, 2, 3"
+Q["customer_cube"] = " union all ".join(
+    f"select '{figure}' as figure, {a} as first, {b} as second, count(*) as users from profile where {a} is not null {'' if b.startswith('cast') else f'and {b} is not null'} group by 1, 2, 3"
+    for figure, a, b in (
+        ("region", "region", "cast(null as varchar)"),
+        ("pyramid", "age_band", "gender_inferred"),
+        ("market segment", "market_segment", "cast(null as varchar)"),
+        ("country", "country_name", "cast(null as varchar)"),
+        ("region and age", "region", "age_band"),
+    )
+)
+Q["quarterly_states"] = """select date_trunc('quarter', order_time)::date as quarter, count(*) as orders, round(sum(total_usd)::double, 6) as revenue, true as buyers_near
+ from x_orders group by 1"""
+Q["bucketed_activity"] = """select c.customer_id, coalesce(s.n, 0) as sessions, coalesce(o.n, 0) as orders, round(coalesce(o.r, 0)::double, 6) as revenue from x_customers c
+ left join (select customer_id, count(*) as n from x_sessions group by 1) s on s.customer_id = c.customer_id
+ left join (select customer_id, count(*) as n, sum(total_usd) as r from x_orders group by 1) o on o.customer_id = c.customer_id"""
 Q["age_pyramid"] = """select d.position, d.age_band, p.gender_inferred, count(*) as users, count(*) as plot_users from profile p
  join (values (0, '18-24'), (1, '25-34'), (2, '35-44'), (3, '45-54'), (4, '55-64'), (5, '65-75'), (6, 'Unknown')) d(position, age_band)
  on d.age_band = p.age_band group by 1, 2, 3"""
@@ -151,6 +166,13 @@ def _wide(view: str) -> str:
 Q["retention_sessions"] = _LONG.format(v="retention_s")
 Q["retention_sessions_wide"] = _wide("retention_s")
 Q["retention_orders"] = _LONG.format(v="retention_o")
+Q["retention_bitmaps"] = _LONG.format(v="retention_o")
+VIEWS["month_active"] = "select distinct customer_id, date_trunc('month', order_time)::timestamp as month from x_orders"
+VIEWS["month_kept"] = """select *, min(month) over (partition by customer_id) as first,
+ coalesce(lag(month) over (partition by customer_id order by month) = month - interval 1 month, false) as kept from month_active"""
+VIEWS["month_flow"] = "select month, count(*) as active, count(*) filter (kept) as kept, count(*) filter (month = first) as new from month_kept group by month"
+Q["customer_flow"] = """select m.month, m.active, m.kept, coalesce(p.active, 0) - m.kept as lost, m.new, m.active - m.kept - m.new as returned
+ from month_flow m left join month_flow p on p.month = m.month - interval 1 month"""
 Q["retention_orders_wide"] = _wide("retention_o")
 _TEXTS = ", ".join(f"coalesce(printf('%.1f%%', max(retention) filter (period = {n}) * 100), '') as m{n}" for n in range(13))
 Q["retention_text"] = f"select strftime(cohort, '%Y-%m') as cohort, {_TEXTS} from retention_o group by retention_o.cohort"
@@ -349,6 +371,12 @@ Q["recent_revenue"] = """select month, round(revenue, 6) as revenue, round(chang
    then revenue / lag(revenue) over (order by month) - 1 end as change, max(month) over () as last
   from (select cast(date_trunc('month', order_time) as timestamp) as month, cast(sum(total_usd) as double) as revenue from x_orders group by 1) m) q
  where month > last - interval 3 month"""
+VIEWS["spent_and_bought"] = """select c.customer_id, coalesce(e.s, 0)::double as s, l.customer_id is not null as y from x_customers c
+ left join (select customer_id, sum(total_usd)::double as s from x_orders where order_time < timestamp '2000-08-01' group by 1) e on e.customer_id = c.customer_id
+ left join (select distinct customer_id from x_orders where order_time >= timestamp '2000-08-01' and order_time < timestamp '2001-08-01') l on l.customer_id = c.customer_id"""
+VIEWS["spent_places"] = "select y, rank() over (order by s) + (count(*) over (partition by s) - 1) / 2.0 as place from spent_and_bought"
+Q["ranking_auc"] = """select p as positives, n as negatives, round(case when p * n = 0 then 0 else (places - p * (p + 1) / 2.0) / (p * n) end, 6) as auc
+ from (select count(*) filter (y) as p, count(*) filter (not y) as n, sum(place) filter (y) as places from spent_places) t"""
 Q["later_value"] = """select customer_id, later_orders, round(later_revenue, 6) as later_revenue, later_score,
   case when later_score >= 80 then 'Platinum' when later_score >= 60 then 'Gold' when later_score >= 40 then 'Silver' else 'Bronze' end as later_tier, later_score >= 60 as high_potential
  from (select c.customer_id, coalesce(n, 0) as later_orders, coalesce(v, 0) as later_revenue, case when n is null then 0 else least(100,

@@ -2,11 +2,12 @@
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from basketlens.operators import clusters, customers, funnel, potential, products, retention, segments, snapshot, texts, trends
+from basketlens.operators import clusters, customers, flows, funnel, potential, products, retention, segments, snapshot, texts, trends
 
 
 def rows(df, *columns):
@@ -444,3 +445,32 @@ def test_persona_names_do_not_depend_on_the_partitions(frame):
     )
     seen = {tuple(sorted(map(tuple, clusters.persona_names(clusters.cluster_summary(df.repartition(n))).collect()))) for n in (1, 3, 7, 16)}
     assert len(seen) == 1
+
+
+def test_customer_flow(frame):
+    months = {1: [1, 2, 3], 2: [2, 3, 4], 4: [1, 2], 5: [1, 2, 5]}
+    data = [(c, dt.datetime(2024, m, 5)) for m, cs in months.items() for c in cs for _ in range(2)] + [(None, dt.datetime(2024, 1, 1)), (70_000, None)]
+    found = flows.customer_flow(frame(data, "customer_id int, order_time timestamp_ntz"))
+    got = {r.month.month: (r.active, r.kept, r.lost, r.new, r.returned) for r in found.collect()}
+    assert got == {1: (3, 0, 0, 3, 0), 2: (3, 2, 1, 1, 0), 4: (2, 0, 0, 0, 2), 5: (3, 2, 0, 1, 0)}
+
+
+def test_bitmaps_hold_any_id(frame):
+    ids = [0, 1, -1, 32_768, -32_768, 2**40, 7, 7]
+    df = frame([(i,) for i in ids] + [(None,)], "customer_id long").withColumn("k", F.lit("a"))
+    both = flows.in_both(flows.bitmaps(df, "k"), flows.bitmaps(df.where("customer_id > 0"), "k"), "k").collect()
+    assert [r.both for r in both] == [4]
+
+
+def test_ranking_auc_and_calibration(frame):
+    rng = random.Random(3)
+    for rows in ([(float(rng.randrange(9)), rng.random() < 0.4) for _ in range(300)], [(rng.random(), rng.random() < 0.1) for _ in range(200)], [(1.0, True)], []):
+        df = frame([*rows, (None, True), (0.5, None)], "s double, y boolean")
+        (r,) = potential.ranking_auc(df, "s", "y", parts=7).collect()
+        up, down = [s for s, y in rows if y], [s for s, y in rows if not y]
+        wins = sum((a > b) + 0.5 * (a == b) for a in up for b in down)
+        assert (r.positives, r.negatives) == (len(up), len(down))
+        assert r.auc == pytest.approx(wins / (len(up) * len(down)) if up and down else 0.0)
+    df = frame([(i / 100, i % 100 < 30) for i in range(1000)], "s double, y boolean")
+    parts = potential.calibration(df, "s", "y", parts=5).collect()
+    assert len(parts) == 5 and sum(p.rows for p in parts) == 1000 and all(p.rate == pytest.approx(0.3, abs=0.02) for p in parts)

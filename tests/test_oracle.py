@@ -24,7 +24,7 @@ def test_same_rows_as_sql(spark, con, name):
 def test_every_statement_has_a_query():
     assert set(SQL) <= set(QUERIES)
     own = {name for name in QUERIES if name != "pipeline" and not re.match(r"op\d+_", name)}
-    assert own - set(SQL) == {"kmeans_select", "customer_clusters", "cluster_pca", "cluster_scatter", "spending_potential"}
+    assert own - set(SQL) == {"kmeans_select", "customer_clusters", "cluster_pca", "cluster_scatter", "spending_potential", "potential_quality"}
 
 
 def test_flagship(spark):

@@ -1,15 +1,20 @@
 """Physical plans: what must not appear in them."""
 
+import datetime as dt
+import os
 import re
 
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from support import SMALL
 
 from basketlens.operators import customers, ranking
-from basketlens.plans import catalog
+from basketlens.plans import catalog, states
 from basketlens.plans.catalog import REGISTRY
+from basketlens.sources.star_schema import COUNTRY
 
-FITTED = {"kmeans_select", "customer_clusters", "cluster_scatter", "cluster_pca", "spending_potential"}
+FITTED = {"kmeans_select", "customer_clusters", "cluster_scatter", "cluster_pca", "spending_potential", "potential_quality"}
 
 
 def plan(df, mode="simple"):
@@ -57,3 +62,70 @@ def test_filter_and_columns_reach_the_scan(spark):
     text = plan(catalog.StarSchema(spark, SMALL, ()).order_items.filter("order_id = 5").select("order_id", "quantity"))
     assert "PushedFilters: [IsNotNull(l_orderkey), EqualTo(l_orderkey,5)]" in text
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in text
+
+
+def test_bucketed_facts_meet_without_an_exchange(spark, folder):
+    star = catalog.StarSchema(spark, folder, (COUNTRY,))
+    stored = [states.bucketed(df, "test", 4) for df in (star.customers.select("customer_id"), star.sessions, star.orders)]
+    found = states.customer_activity(*stored)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # the test tables are small
+    try:
+        text = plan(found)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in text and text.count("Bucketed: true") == 3 and "SortMergeJoin" in text
+    plain = states.customer_activity(star.customers, star.sessions, star.orders)
+    assert sorted(found.collect()) == sorted(plain.collect())
+
+
+def test_a_refresh_reads_its_months_only(spark, folder, tmp_path):
+    star = catalog.StarSchema(spark, folder, (COUNTRY,))
+    orders = star.orders.where("order_time >= '1995-01-01' and order_time < '1995-06-01'")
+    path, whole = f"{tmp_path}/states", f"{tmp_path}/whole"
+    states.refresh_order_states(orders.where("order_time < '1995-05-01'"), path)
+    states.refresh_order_states(orders, path, dt.date(1995, 5, 1), dt.date(1995, 5, 31))
+    states.refresh_order_states(orders, whole)
+
+    def rows(at):
+        return sorted(map(tuple, states.merged(states.read_order_states(spark, at), "month").collect()))
+
+    assert rows(path) == rows(whole) and len(rows(path)) == 5
+    # the months' limits reach the scan of the orders, and a read of one month opens its partition alone
+    text = plan(states.order_states(star.orders, dt.date(1995, 5, 1), dt.date(1995, 5, 31)), "formatted")
+    assert re.search(r"PushedFilters: .*GreaterThanOrEqual\(o_orderdate,1995-05-01", text)
+    one = states.read_order_states(spark, path).where("month = date'1995-05-01'")
+    assert re.search(r"PartitionFilters: \[isnotnull\(month", plan(one)) and len(one.select("month").distinct().collect()) == 1
+    # a month that lost its orders is overwritten too
+    states.refresh_order_states(orders.where("order_time < '1995-05-01'"), path, dt.date(1995, 5, 1), dt.date(1995, 5, 31))
+    assert [r[1] for r in rows(path)][-1] == 0
+
+
+def test_sketches_of_any_period_come_near_the_exact_number(spark, folder, tmp_path):
+    star = catalog.StarSchema(spark, folder, (COUNTRY,))
+    states.refresh_order_states(star.orders, f"{tmp_path}/s")
+    stored = states.read_order_states(spark, f"{tmp_path}/s")
+    orders = star.orders.selectExpr("*", "year(order_time) as y")
+    for key, column in (("country", "country"), ("y", "year(month)")):
+        exact = {r[0]: r[1] for r in orders.groupBy(key).agg(F.countDistinct("customer_id")).collect()}
+        near = {r[0]: r.buyers for r in states.merged(stored, F.expr(column).alias(key)).collect()}
+        assert exact.keys() == near.keys() and all(abs(near[k] - n) <= 0.06 * n + 1 for k, n in exact.items())
+
+
+def test_a_look_up_reads_one_row_group(spark, tmp_path):
+    path = f"{tmp_path}/profile"
+    states.write_for_lookup(spark.range(0, 40_000, 2).selectExpr("id as customer_id", "id * 2 as v"), path, "customer_id", 8)
+    groups = []
+    for name in sorted(os.listdir(path)):
+        if name.endswith(".parquet"):
+            meta = pq.ParquetFile(f"{path}/{name}").metadata
+            for g in range(meta.num_row_groups):
+                column = meta.row_group(g).column(0)
+                groups.append((column.statistics.min, column.statistics.max))
+    assert len(groups) == 8 and sum(low <= 12_346 <= high for low, high in groups) == 1
+    found = spark.read.parquet(path).where("customer_id = 12346")
+    assert "EqualTo(customer_id,12346)" in plan(found) and found.collect()[0].v == 24_692
+
+
+def test_a_cube_scans_the_profile_once(spark, folder):
+    text = plan(REGISTRY["customer_cube"](spark, folder))
+    assert text.count("customer.parquet") == 1 and text.count("Expand") == 1
