@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,12 +30,14 @@ MARKUP = re.compile(
 )
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 SPACE = re.compile(r"[ \t\n\f\r]+")
-NOT_SHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)", re.I)
+NUMBER = re.compile(r"-?[0-9]{1,9}")
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes title meta link datalist object audio video canvas param source track area map".split())
+UNSEEN = frozenset("head script style template noscript iframe noembed noframes title meta link datalist object audio video canvas param source track area map rp".split())
 # Within a formula or drawing: what is not shown, in lower case, and in a drawing the elements that show text.
 UNSEEN_IN = {
     "math": frozenset(["annotation", "annotation-xml"]),
@@ -70,11 +73,18 @@ SCOPES = frozenset("table td th caption html template button".split())
 WIDEST_PADDED = 60
 
 
+# As in browsers.
+MOST_ROWS, MOST_COLUMNS = 65_534, 1_000
+
+
 class Node:
-    __slots__ = ("tag", "hidden", "ordered", "children")
+    __slots__ = ("tag", "hidden", "ordered", "children", "visible", "span", "back")
 
     def __init__(self, tag: str, hidden: bool = False, ordered: int | None = None):
         self.tag, self.hidden, self.ordered, self.children = tag, hidden, ordered, []
+        self.visible: bool | None = None  # None: as the parent
+        self.span = (1, 1)  # rows and columns of a cell
+        self.back = False  # numbers go down
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -84,21 +94,37 @@ def _attributes(raw: str) -> dict[str, str]:
     return out
 
 
+def _number(a: dict[str, str], name: str) -> int | None:
+    value = a.get(name, "").strip()
+    return int(value) if NUMBER.fullmatch(value) else None
+
+
 def _open(tag: str, raw: str) -> Node:
     hidden = tag in UNSEEN
     ordered = None
+    visible, span, back = None, (1, 1), False
     if raw and not raw.isspace():
         a = _attributes(raw)
         hidden = hidden or "hidden" in a or bool(NOT_SHOWN.search(a.get("style", ""))) or (tag == "input" and a.get("type", "").lower() == "hidden")
         if tag == "dialog":
             hidden = hidden or "open" not in a
+        if style := VISIBILITY.findall(a.get("style", "")):
+            visible = style[-1].lower() == "visible"
         if tag == "ol":
-            start = a.get("start", "").strip()
-            ordered = int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1
+            ordered, back = _number(a, "start"), "reversed" in a
+            if ordered is None and not back:
+                ordered = 1
+        if tag == "li":
+            ordered = _number(a, "value")
+        if tag in ("td", "th"):
+            down, across = _number(a, "rowspan"), _number(a, "colspan")
+            # no rows means all that follow
+            span = MOST_ROWS if down == 0 else min(max(down or 1, 1), MOST_ROWS), min(max(across or 1, 1), MOST_COLUMNS)
         if tag == "details":
             ordered = 1 if "open" in a else 0
         if tag == "input" and not hidden and a.get("type", "text").lower() in ("submit", "button", "reset", "text", "search", "email", "url", "tel"):
             node = Node(tag)
+            node.visible = visible
             if a.get("value"):
                 node.children.append(a["value"])
             return node
@@ -108,7 +134,9 @@ def _open(tag: str, raw: str) -> Node:
         ordered = 1
     elif tag == "details":
         ordered = 0
-    return Node(tag, hidden, ordered)
+    node = Node(tag, hidden, ordered)
+    node.visible, node.span, node.back = visible, span, back
+    return node
 
 
 def build(page: str) -> Node:
@@ -255,18 +283,57 @@ class Lines:
         return "\n".join(self.done)
 
 
-def table_lines(rows: list[list[str]]) -> list[str]:
+Cell = tuple[str, int, int]  # text, rows, columns
+
+
+def grid(rows: list[list[Cell]]) -> list[list[tuple[int, int, str]]]:
+    """For each row its cells as (first column, column after the last, text), past the columns that cells above reach into."""
+    out, taken = [], []  # for each column, how many more rows it is taken
+    for row in rows:
+        placed, at = [], 0
+        left = list(taken)
+        for text, down, across in row:
+            while at < len(taken) and taken[at]:
+                at += 1
+            end = at + across
+            taken += [0] * (end - len(taken))
+            left += [0] * (end - len(left))
+            for i in range(at, end):
+                left[i] = max(left[i], down)
+            placed.append((at, end, text))
+            at = end
+        taken = [max(0, n - 1) for n in left]
+        out.append(placed)
+    return out
+
+
+def table_lines(rows: list[list[Cell]]) -> list[str]:
     """Cells side by side, padded to the widest of their column; longer ones than ``WIDEST_PADDED`` overflow."""
-    cells = [[c.strip("\n").split("\n") for c in row] for row in rows]
-    widths = [0] * max((len(r) for r in cells), default=0)
-    for row in cells:
-        for i, c in enumerate(row):
-            widths[i] = max(widths[i], *(len(x) for x in c if len(x) <= WIDEST_PADDED), 0) if any(len(x) <= WIDEST_PADDED for x in c) else widths[i]
+    placed = [row for row in grid(rows) if any(text.strip() for *_, text in row)]
+    # only columns in which some cell begins
+    begins = sorted({at for row in placed for at, _, _ in row})
+    number = {at: i for i, at in enumerate(begins)}
+    cells = [[(number[at], bisect_left(begins, end), text.strip("\n").split("\n")) for at, end, text in row] for row in placed]
+    widths = [0] * len(begins)
+
+    def room(i: int, j: int) -> int:
+        return sum(widths[i:j]) + 3 * (j - i - 1)
+
+    for span in sorted({j - i for row in cells for i, j, _ in row}):
+        for row in cells:
+            for i, j, lines in row:
+                if j - i == span:
+                    widest = max((len(x) for x in lines if len(x) <= WIDEST_PADDED), default=0)
+                    widths[j - 1] += max(0, widest - room(i, j))
     out = []
     for row in cells:
-        for k in range(max((len(c) for c in row), default=0)):
-            line = " | ".join((c[k] if k < len(c) else "").ljust(widths[i]) for i, c in enumerate(row)).rstrip()
-            out.append(line)
+        for k in range(max((len(lines) for *_, lines in row), default=0)):
+            parts, at = [], 0
+            for i, j, lines in row:
+                parts += ["".ljust(widths[c]) for c in range(at, i)]  # what a cell above reaches into
+                parts.append((lines[k] if k < len(lines) else "").ljust(room(i, j)))
+                at = j
+            out.append(" | ".join(parts).rstrip())
     return out
 
 
@@ -274,15 +341,16 @@ def render(root: Node) -> str:
     """The visible text of a tree."""
     page = Lines()
     out, outs = page, []  # cells are laid out apart
-    tables: list[list[list[str]]] = []
-    lists: list[list[int | None]] = []
+    tables: list[list[list[Cell]]] = []
+    lists: list[list[int | None]] = []  # the next number, and what it goes on by
+    shown = [True]
     pre = 0
     drawn: list[bool] = []  # for each open drawing, whether text is shown here
     todo: list[tuple[object, bool]] = [(root, False)]
     while todo:
         node, leaving = todo.pop()
         if isinstance(node, str):
-            if drawn and not drawn[-1]:
+            if (drawn and not drawn[-1]) or not shown[-1]:
                 continue
             out.as_is(node) if pre else out.words(node)
             continue
@@ -290,6 +358,8 @@ def render(root: Node) -> str:
         if not leaving:
             if node.hidden:
                 continue
+            if node.visible is not None and tag not in VOID:
+                shown.append(node.visible)
             if tag == "br":
                 out.end_line() if out.open else out.done.append("") if out.done and not out.gap else None
                 continue
@@ -309,17 +379,22 @@ def render(root: Node) -> str:
             elif tag in BLOCKS:
                 out.block(tag in SPACED and not (tag in ("ul", "ol") and lists))
             if tag in ("ul", "ol", "menu", "dir"):
-                lists.append([node.ordered])
+                number = node.ordered
+                if number is None and node.back:
+                    number = sum(isinstance(c, Node) and c.tag == "li" and not c.hidden for c in node.children)
+                lists.append([number, -1 if node.back else 1])
                 out.indent += 2 * (len(lists) > 1)
             elif tag == "li":
+                mark = "- "
                 if lists and lists[-1][0] is not None:
-                    out.mark = f"{lists[-1][0]}. "
-                    lists[-1][0] += 1
-                else:
-                    out.mark = "- "
+                    if node.ordered is not None:
+                        lists[-1][0] = node.ordered
+                    mark = f"{lists[-1][0]}. "
+                    lists[-1][0] += lists[-1][1]
+                out.mark = mark if shown[-1] else ""
             elif tag in ("dd", "blockquote"):
                 out.indent += 2
-            elif tag in ("pre", "xmp"):
+            elif tag in ("pre", "xmp", "textarea"):
                 pre += 1
             elif tag == "svg":
                 drawn.append(False)
@@ -328,7 +403,8 @@ def render(root: Node) -> str:
                 drawn.append(True)
                 out.space = out.space or bool(out.open)
             elif tag == "hr":
-                out.add("---")
+                if shown[-1] and node.visible is not False:
+                    out.add("---")
                 out.block(True)
             elif tag in ("input", "button"):
                 out.space = out.space or bool(out.open)
@@ -339,12 +415,11 @@ def render(root: Node) -> str:
             todo.extend((c, False) for c in reversed(children))
             continue
         if tag in ("td", "th") and tables and outs:
-            tables[-1][-1].append(out.text())
+            tables[-1][-1].append((out.text(), *node.span))
             out = outs.pop()
         elif tag == "table":
-            rows = [r for r in tables.pop() if any(c.strip() for c in r)]
             out.block(True)
-            for line in table_lines(rows):
+            for line in table_lines(tables.pop()):
                 if line:
                     out.add(line)
                     out.end_line()
@@ -358,11 +433,13 @@ def render(root: Node) -> str:
             lists.pop()
         elif tag in ("dd", "blockquote"):
             out.indent -= 2
-        elif tag in ("pre", "xmp"):
+        elif tag in ("pre", "xmp", "textarea"):
             pre -= 1
         elif drawn and (tag == "svg" or tag in DRAWN):
             drawn.pop()
             out.space = out.space or bool(out.open)
+        if node.visible is not None and tag not in VOID:
+            shown.pop()
     return page.text().strip("\n")
 
 

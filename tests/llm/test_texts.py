@@ -145,6 +145,32 @@ def test_formulas_drawings_and_listings_show():
     assert pages.visible_text("<svg><path d='M0'><p>not lost</p><math><mi>x<p>y") == "not lost\n\nx\n\ny"
 
 
+LAYOUTS = {
+    "<table><tr><td rowspan=2>a<td>b<tr><td>c</table>": "a | b\n  | c",
+    "<table><tr><td colspan=2>both<td>x<tr><td>l<td>r<td>y</table>": "both  | x\nl | r | y",
+    "<table><tr><td>1<td>2<td>3<tr><td colspan=3>a title that is wide<tr><td>4<td colspan=2>5</table>": "1 | 2 | 3\na title that is wide\n4 | 5",
+    "<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>": "a | b\n  | c\n  | d",
+    "<table><tr><td rowspan=2>a<td rowspan=2>b<tr></tr><tr><td>c<td>d</table>": "a | b\nc | d",
+    "<table><tr><td colspan=99999>x<tr><td>y</table>": "x\ny",
+    "<ol><li>a<li value=5>b<li>c</ol>": "1. a\n5. b\n6. c",
+    "<ol reversed><li>a<li>b<li>c</ol>": "3. a\n2. b\n1. c",
+    "<ol reversed start=9><li>a<li value=4>b<li>c</ol>": "9. a\n4. b\n3. c",
+    "<ol start=-1><li>a<li>b</ol>": "-1. a\n0. b",
+    "<ul><li value=3>a</ul>": "- a",
+    "<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</div>after": "yes\nafter",
+    "<div style='visibility:hidden'>no <p>no <i>no</i></p><span style='VISIBILITY:VISIBLE'>yes <u style='visibility:collapse'>no</u> also</span></div>": "yes also",
+    "<div style='display:none'>no <b style='visibility:visible'>no</b></div>yes": "yes",
+    "<ul style='visibility:hidden'><li>no<li style='visibility:visible'>yes</ul>": "- yes",
+    "<p>x<hr style='visibility:hidden'>y": "x\n\ny",
+    "<ruby>漢<rp>(</rp><rt>kan</rt><rp>)</rp></ruby>": "漢kan",
+    "a<textarea>one\n  two\n</textarea>b": "a\none\n  two\nb",
+}
+
+
+def test_spans_numbers_and_visibility():
+    assert {page: pages.visible_text(page) for page in LAYOUTS} == LAYOUTS
+
+
 def test_names_and_versions_decide():
     scanner = licenses.Scanner(licenses.TEMPLATES, licenses.LEAST_COVERAGE, licenses.NAMED)
 
