@@ -2,7 +2,8 @@
 
 The rank file is read once per Python worker.  Long texts are cut before encoding, only at spaces that stand between
 two characters that are not white space: there one match of the pre-splitting pattern always ends and the next
-begins, so the ids of the parts are the ids of the text, and no call gets more than a part.
+begins, so the ids of the parts are the ids of the text.  A text without such a place is one part, and a stretch of white space
+too long for the pattern's engine is cut as the pattern would match it: all but its last character are one match.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ from basketlens.llm.shared import blocks, documents, id_and_text
 
 PART_CHARS = 1 << 16
 SAFE = re.compile(r"(?<=\S) (?=\S)")
+# White space as the pattern has it.
+WHITE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+LONG_WHITE = 1000
 ENCODED = "doc_id long, ids binary, n_tokens long"
 
 
@@ -45,8 +49,25 @@ def parts(text: str, limit: int = PART_CHARS) -> Iterator[str]:
     yield text[begin:]
 
 
+def around_white(text: str, enc, limit: int = LONG_WHITE) -> list[int]:
+    """Ids of a text whose stretches of white space over ``limit`` are matched here: whole at the text's end, else without the last character."""
+    ids, begin = [], 0
+    for m in re.finditer(f"{WHITE}{{{limit},}}", text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        ids += enc.encode_ordinary(text[begin : m.start()]) + enc._encode_single_piece(text[m.start() : end].encode("utf-8"))
+        begin = end
+    return ids + enc.encode_ordinary(text[begin:])
+
+
+def _part_ids(text: str, enc) -> list[int]:
+    try:
+        return enc.encode_ordinary(text)
+    except ValueError:  # the pattern's engine gave up
+        return around_white(text, enc)
+
+
 def encode(text: str, enc) -> np.ndarray:
-    return np.concatenate([np.asarray(enc.encode_ordinary(p), "<u4") for p in parts(text)])
+    return np.concatenate([np.asarray(_part_ids(p, enc), "<u4") for p in parts(text)])
 
 
 def _encoder(rank_file: str, pattern: str):

@@ -145,6 +145,16 @@ def test_formulas_drawings_and_listings_show():
     assert pages.visible_text("<svg><path d='M0'><p>not lost</p><math><mi>x<p>y") == "not lost\n\nx\n\ny"
 
 
+def test_long_white_space():
+    enc = bpe.encoding(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng = random.Random(9)
+    for _ in range(3000):
+        text = "".join(rng.choice([" ", "  ", "\n", "\t", "\u00a0", "\u3000", "\x1c", "a", "é1", "!", "'s"]) * rng.randrange(1, 4) for _ in range(rng.randrange(12)))
+        assert bpe.around_white(text, enc, limit=2) == enc.encode_ordinary(text), repr(text)
+    for text in (" " * 300_000, " " * 300_000 + "x", "a" + "\n" * 300_000 + " b", "a \t" * 100_000):
+        assert enc.decode_bytes(bpe.encode(text, enc).tolist()) == text.encode()
+
+
 LAYOUTS = {
     "<table><tr><td rowspan=2>a<td>b<tr><td>c</table>": "a | b\n  | c",
     "<table><tr><td colspan=2>both<td>x<tr><td>l<td>r<td>y</table>": "both  | x\nl | r | y",
