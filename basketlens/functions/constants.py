@@ -161,3 +161,14 @@ BOOSTERS = {
 }
 KEYWORDS_PER_CATEGORY = 120
 COLLOCATION_CUTOFF = 30
+
+# --- names of personas, by the rule that gives them ---
+PERSONAS = {
+    "never": "Never Purchased",
+    "value": "High-Value Repeat Buyers",
+    "browsing": "Heavy Browsers, Low Conversion",
+    "discounts": "Promotion Sensitive",
+    "dormant": "Dormant / Churn Risk",
+    "intent": "High Intent, High Conversion",
+    "other": "Steady Mainstream",
+}

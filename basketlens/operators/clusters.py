@@ -351,17 +351,17 @@ def persona_names(summary: DataFrame) -> DataFrame:
 
     label = S.first_match(
         [
-            ((F.col("revenue") <= 0) & (F.col("orders") <= 0), "Never Purchased"),
-            (top("revenue") & top("orders"), "High-Value Repeat Buyers"),
+            ((F.col("revenue") <= 0) & (F.col("orders") <= 0), K.PERSONAS["never"]),
+            (top("revenue") & top("orders"), K.PERSONAS["value"]),
             (
                 top("sessions") & (F.col("conversion") < F.col("__mean")),
-                "Heavy Browsers, Low Conversion",
+                K.PERSONAS["browsing"],
             ),
-            (top("avg_discount"), "Promotion Sensitive"),
-            (top("recency"), "Dormant / Churn Risk"),
-            (top("conversion"), "High Intent, High Conversion"),
+            (top("avg_discount"), K.PERSONAS["discounts"]),
+            (top("recency"), K.PERSONAS["dormant"]),
+            (top("conversion"), K.PERSONAS["intent"]),
         ],
-        "Steady Mainstream",
+        K.PERSONAS["other"],
     )
     turn = F.row_number().over(W.partitionBy("label").orderBy(F.desc("revenue"), F.desc("orders"), "cluster_id"))
     numbered = F.concat("label", F.lit(" "), (F.col("cluster_id") + 1).cast("string"))

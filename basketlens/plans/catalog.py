@@ -22,7 +22,7 @@ from basketlens.plans import states
 from basketlens.plans.stage import shared_folder, write_stage
 from basketlens.sources.files import json_safe
 from basketlens.sources.literals import constant_table
-from basketlens.sources.star_schema import COUNTRY, DISCOUNTS, EVERYTHING, SIGNUP, StarSchema
+from basketlens.sources.star_schema import COUNTRY, DISCOUNTS, EVERYTHING, SIGNUP, STORED, StarSchema
 from basketlens.sources.tables import RetailTables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -200,12 +200,12 @@ def _(t, star):
     return customers.reference_time(t)
 
 
-@query("customer_profile", SIGNUP, DISCOUNTS)
+@query("customer_profile", SIGNUP, DISCOUNTS, STORED)
 def _(t, star):
     return customers.customer_profile(t).drop("market_segment")
 
 
-@query("customer_rates", SIGNUP, DISCOUNTS)
+@query("customer_rates", SIGNUP, DISCOUNTS, STORED)
 def _(t, star):
     return customers.customer_profile(t).select(
         "customer_id",
@@ -614,7 +614,7 @@ def canned_answers(t: RetailTables) -> DataFrame:
     return snapshot.answers(figures, snapshot.ranked(top))
 
 
-@query("question_answers", SIGNUP)
+@query("question_answers", SIGNUP, STORED)
 def _(t, star):
     answered = texts.answer_questions(star.raw("conversations"), "text", canned_answers(t), TEST_INTENTS)
     return answered.select("conv_id", "turn", "intent", "answer")
@@ -623,22 +623,22 @@ def _(t, star):
 # --- headline figures ---------------------------------------------------------
 
 
-@query("kpis", SIGNUP)
+@query("kpis", SIGNUP, STORED)
 def _(t, star):
     return snapshot.kpis(t)
 
 
-@query("kpi_cards", SIGNUP)
+@query("kpi_cards", SIGNUP, STORED)
 def _(t, star):
     return snapshot.kpi_cards(snapshot.kpis(t))
 
 
-@query("business_snapshot", SIGNUP)
+@query("business_snapshot", SIGNUP, STORED)
 def _(t, star):
     return snapshot.business_snapshot(t, write_stage(segment_labels(t), "segment-labels"))
 
 
-@query("snapshot_lines", SIGNUP)
+@query("snapshot_lines", SIGNUP, STORED)
 def _(t, star):
     return snapshot.snapshot_lines(snapshot.business_snapshot(t, write_stage(segment_labels(t), "segment-labels")))
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from basketlens.functions.scalars import first_match
 from basketlens.plans.session import tune
+from basketlens.plans.stage import write_stage
 
 _MONEY = "decimal(18,2)"
 _EVENT_NAMES = [("view", "page_view"), ("click", "add_to_cart"), ("signup", "checkout")]
@@ -29,6 +30,8 @@ _SOURCES = ["organic", "direct", "paid", "social", "email"]
 # Extras that cost a join or an aggregation; a query asks for what it reads.
 SIGNUP, DISCOUNTS, COUNTRY = "signup", "discounts", "country"
 EVERYTHING = (SIGNUP, DISCOUNTS, COUNTRY)
+# For queries that read sessions several times: their cut is stored once.
+STORED = "stored"
 
 
 class StarSchema:
@@ -97,11 +100,13 @@ class StarSchema:
         gap = F.col("first_ts") - F.lag("last_ts").over(in_order)
         opens = F.when(gap <= F.expr("interval '12' hour"), 0).otherwise(1)
         visit = F.sum("opens").over(in_order.rowsBetween(W.unboundedPreceding, W.currentRow))
-        return (
+        cut = (
             per_half_day.withColumn("opens", opens)
             .withColumn("visit", visit)
             .withColumn("session_id", F.min("first_id").over(W.partitionBy("user_id", "visit")))
+            .drop("opens", "visit", "last_ts")
         )
+        return write_stage(cut, "half-days") if STORED in self.needs else cut
 
     @cached_property
     def _events(self) -> DataFrame:

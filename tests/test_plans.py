@@ -129,3 +129,10 @@ def test_a_look_up_reads_one_row_group(spark, tmp_path):
 def test_a_cube_scans_the_profile_once(spark, folder):
     text = plan(REGISTRY["customer_cube"](spark, folder))
     assert text.count("customer.parquet") == 1 and text.count("Expand") == 1
+
+
+@pytest.mark.parametrize("name", ["customer_profile", "kpis"])
+def test_sessions_are_cut_once(spark, folder, name):
+    text = plan(REGISTRY[name](spark, folder))
+    assert len(re.findall(r"FileScan parquet[^\n]*events\.parquet", text)) <= 2
+    assert "Window" not in text.split("Subquery")[0] or "half-days" in text
