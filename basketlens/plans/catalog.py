@@ -661,14 +661,6 @@ def _(t, star):
     return potential.ranking_auc(later.join(earlier, "customer_id", "left").fillna(0.0, subset=["spent"]), "spent", "bought")
 
 
-@query("potential_quality", SIGNUP, DISCOUNTS)
-def _(t, star):
-    """The model of the year before the cut, against the year after it."""
-    first = CUT - dt.timedelta(days=LATER_DAYS)
-    learned = potential.spending_potential(potential.past_features(t, first), potential.later_value(t, first, LATER_DAYS), potential.past_features(t, CUT))
-    return potential.potential_quality(learned, potential.later_value(t, CUT, LATER_DAYS))
-
-
 @query("spending_potential", SIGNUP, DISCOUNTS)
 def _(t, star):
     """Learned at a cut a year before the last orders, applied to what is known today."""
