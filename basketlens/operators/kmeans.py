@@ -33,7 +33,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 UNIT = float(1 << 24)
 ROWS_AT_ONCE = 4096
 SEEDING_ROWS = 4000
-MOST_ROUNDS = 100
+MOST_ROUNDS = 40
 TOLERANCE = 1e-4
 
 
