@@ -222,7 +222,8 @@ class StarSchema:
         )
         placed = self.raw("orders").select(F.col("o_orderkey").alias("order_id"), "o_orderdate")
         later = F.make_dt_interval(F.col("days_later"))
-        return docs.join(placed, "order_id").select(
+        # texts pass by a table of their orders, unsorted: a sort would hold the texts of a partition in memory
+        return docs.join(placed.hint("shuffle_hash"), "order_id").select(
             "review_id",
             "order_id",
             "product_id",
