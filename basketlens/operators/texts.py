@@ -1,7 +1,7 @@
 """Review sentiment, keywords and question routing.
 
-Texts are never moved: tokens are taken where the text is read, and only counts
-or scores per review, product or category are exchanged.
+Tokens are never moved: they are taken where the text is, and only counts or scores
+per review or category are exchanged.  A text itself moves at most to its product's category.
 """
 
 from __future__ import annotations
@@ -60,31 +60,37 @@ def wordlist_sentiment(
 def _clean_word(raw: Column) -> Column:
     """Without a possessive ending; null for a number or for nothing."""
     word = F.when(raw.endswith("'s"), F.left(raw, F.length(raw) - 2)).otherwise(raw)
-    return F.when(~word.rlike(r"^\p{N}*$"), word)
+    # a first letter a-z settles most words without a pattern
+    return F.when(F.ascii(word).between(97, 122) | ~word.rlike(r"^\p{N}*$"), word)
+
+
+def _clean_again(word: Column) -> Column:
+    """``_clean_word`` of a word that is clean already: only a second possessive ending is left to see."""
+    return F.when(word.endswith("'s"), _clean_word(word)).otherwise(word)
 
 
 def _category_counts(reviews: DataFrame, products: DataFrame, stopwords: DataFrame, text_col: str, size: int) -> DataFrame:
     """Counts per category of words (size 1) or of pairs of neighbouring words (size 2).
 
-    Counted per product where the texts are read, cleaned once per distinct word, and
-    only then brought to the category.
+    The category comes to the text before its words are taken, so each task counts within the few categories and sends an entry
+    once for each, not once per product.
     """
-    words = F.regexp_extract_all(F.lower(text_col), F.lit(_KEYWORD))
-    raw, clean = [f"raw{i}" for i in range(size)], [f"word{i}" for i in range(size)]
+    category = products.select("product_id", "category").dropna().hint("shuffle_hash")
+    texts = reviews.select("product_id", text_col).join(category, "product_id")
+    words = texts.select("category", F.regexp_extract_all(F.lower(text_col), F.lit(_KEYWORD)).alias("w"))
+    clean = [f"word{i}" for i in range(size)]
+    # the outer form of explode, whose nulls dropna leaves out: the plain one has the words taken once more, as a filter where the texts are read
     if size == 1:
-        entries = reviews.select("product_id", F.explode(words).alias("raw0"))
+        entries = words.select("category", F.explode_outer("w").alias("raw")).select("category", _clean_word(F.col("raw")).alias("word0"))
     else:
         # numbers are dropped before neighbours are looked at
-        kept = F.filter(F.transform(words, _clean_word), lambda w: w.isNotNull())
-        listed = reviews.select("product_id", kept.alias("w")).filter(F.size("w") > 1)
-        pairs = F.expr("transform(slice(w, 1, size(w) - 1), (x, i) -> struct(x as a, w[i + 1] as b))")
-        entries = listed.select("product_id", F.explode(pairs).alias("p")).select(
-            "product_id", F.col("p.a").alias("raw0"), F.col("p.b").alias("raw1")
+        kept = words.select("category", F.filter(F.transform("w", _clean_word), lambda w: w.isNotNull()).alias("w"))
+        most = F.greatest(F.size("w") - 1, F.lit(0))
+        pairs = F.arrays_zip(F.slice("w", 1, most).alias("a"), F.slice("w", 2, most).alias("b"))
+        entries = kept.select("category", F.explode_outer(pairs).alias("p")).select(
+            "category", _clean_again(F.col("p.a")).alias("word0"), _clean_again(F.col("p.b")).alias("word1")
         )
-    counted = entries.groupBy("product_id", *raw).agg(F.count("*").alias("n"))
-    counted = counted.select("product_id", *[_clean_word(F.col(r)).alias(c) for r, c in zip(raw, clean)], "n").dropna()
-    category = products.select("product_id", "category").dropna()
-    counts = counted.join(category, "product_id").groupBy("category", *clean).agg(F.sum("n").alias("n"))
+    counts = entries.dropna().groupBy("category", *clean).agg(F.count("*").alias("n"))
     for column in clean:
         counts = counts.join(stopwords.select(F.col("token").alias(column)), column, "left_anti")
     return counts

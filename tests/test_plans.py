@@ -53,6 +53,25 @@ def test_sessions_are_cut_on_combined_rows(spark):
     assert "HashAggregate(keys=[user_id" in text[first_window:]
 
 
+def test_texts_pass_by_their_orders_without_a_sort(spark):
+    """A sorted join holds the texts of a whole partition in one task's memory."""
+    text = plan(REGISTRY["labelled_reviews"](spark, SMALL))
+    assert "ShuffledHashJoin" in text and "SortMergeJoin [order_id" not in text and "BroadcastHashJoin [order_id" not in text
+
+
+@pytest.mark.parametrize("name", ["category_keywords", "category_phrases"])
+def test_words_are_counted_per_category(spark, name):
+    """Counts per product hold nearly every word of every text; the plan has the stored counts of words only where it reads them."""
+    text = plan(REGISTRY[name](spark, SMALL))
+    assert "HashAggregate(keys=[category" in text and "HashAggregate(keys=[product_id" not in text
+
+
+@pytest.mark.parametrize("name", ["category_keywords", "category_phrases", "review_sentiment", "valence_sentiment"])
+def test_words_are_taken_once(spark, name):
+    """No filter on the size of the exploded words, which would take them a second time in the scan."""
+    assert not re.search(r"Filter [^\n]*(arrays_zip|regexp_extract_all|split)\(", plan(REGISTRY[name](spark, SMALL)))
+
+
 def test_keyword_limit_is_pushed_below_the_exchange(spark):
     text = plan(REGISTRY["category_keywords"](spark, SMALL))
     assert text.count("WindowGroupLimit") == 2 and "Partial" in text
