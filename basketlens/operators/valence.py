@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from basketlens.functions import constants as K
 from basketlens.functions import scalars as S
 
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+# ASCII punctuation at either end; a run is only looked at from its beginning
+_AROUND = r"^\p{Punct}++|(?<!\p{Punct})\p{Punct}++\z"
 BEFORE, AFTER = 3, 2
 
 
@@ -70,12 +71,12 @@ def _is_punctuation(character: Column) -> Column:
 
 def bare(word: Column) -> Column:
     """Without punctuation around it, unless next to nothing would be left: ":)" stays a word."""
-    stripped = F.btrim(word, F.lit(PUNCTUATION))
+    stripped = F.regexp_replace(word, _AROUND, "")
     return F.when(F.length(stripped) > 2, stripped).otherwise(word)
 
 
 def bare_seldom(word: Column) -> Column:
-    """The same for a column of all words: trimming looks up every character, so only words that begin or end with punctuation are trimmed."""
+    """The same for a column of all words: a pattern costs more than a look at both ends, so only words that begin or end with punctuation are trimmed."""
     return F.when(_is_punctuation(word) | _is_punctuation(F.substring(word, -1, 1)), bare(word)).otherwise(word)
 
 
@@ -83,6 +84,11 @@ def _in_capitals(word: Column) -> Column:
     return (word == F.upper(word)) & (word != F.lower(word))
 
 
+def _loud(word: Column) -> Column:
+    """``_in_capitals`` for a column of all words: a first letter a-z settles most of them."""
+    return ~F.ascii(word).between(97, 122) & _in_capitals(word)
+
+
 def _neighbours(words: Column, after: int) -> Column:
     """Each word with those around it, null beyond the ends; ``w`` is the word, ``b1`` the one before it, ``n1`` the next."""
     nothing = F.lit(None).cast("string")
@@ -97,15 +103,19 @@ def _hits(reviews: DataFrame, lexicon: DataFrame, keys: list[str], text: Column,
     words = reviews.select(*keys, F.split(text if rules.capitals else F.lower(text), r"\s+").alias("words"))
     shape: list[str] = []
     if rules.capitals:
-        loud = F.size(F.filter("words", _in_capitals))
-        words = words.withColumn("mixed", (loud > 0) & (loud < F.size("words")))
+        words = words.withColumn("mixed", ~F.forall("words", _loud) & F.exists("words", _loud))
         shape.append("mixed")
     if rules.contrast:
-        turns = F.transform("words", lambda w: bare(F.lower(w)).isin(list(rules.contrast)))
-        words = words.withColumn("turn", F.array_position(turns, True))
+
+        def turns(word: Column) -> Column:
+            held = S.contains_any(word, list(rules.contrast))  # settles most words
+            return held & bare_seldom(word).isin(list(rules.contrast))
+
+        words = words.withColumn("turn", F.array_position(F.transform("words", lambda w: turns(F.lower(w))), True))
         shape.append("turn")
     around = _neighbours(F.col("words"), AFTER if idioms is not None else 0)
-    found = F.posexplode(around).alias("at", "e") if rules.contrast else F.explode(around).alias("e")
+    # never empty; the outer form keeps the words from being taken once more for a filter on that
+    found = F.posexplode_outer(around).alias("at", "e") if rules.contrast else F.explode_outer(around).alias("e")
     entries = words.select(*keys, *shape, found)
     columns = [c for c in entries.columns if c != "e"]
     entries = entries.select(*columns, "e.*")
@@ -113,7 +123,7 @@ def _hits(reviews: DataFrame, lexicon: DataFrame, keys: list[str], text: Column,
     key = F.coalesce(bare_seldom(F.lower("w") if rules.capitals else F.col("w")), F.lit(""))
     held = entries.withColumn("key", key).join(lexicon.select(F.col("token").alias("key"), "valence"), "key")
     near = [c for c in held.columns if c[0] in "bn" and c[1:].isdigit()]
-    return held.withColumns({f"low_{c}": bare(F.lower(c)) for c in near})
+    return held.withColumns({f"low_{c}": bare_seldom(F.lower(c)) for c in near})
 
 
 def _value(rules: Rules, idioms: DataFrame | None) -> Column:
@@ -123,8 +133,12 @@ def _value(rules: Rules, idioms: DataFrame | None) -> Column:
     sign = F.when(valence < 0, -1.0).otherwise(1.0)
     mixed = F.col("mixed") if rules.capitals else F.lit(False)
     value = valence
+
+    def capital(word: Column) -> Column:
+        return mixed & _in_capitals(word)  # punctuation around it has no case
+
     if rules.capitals:
-        value = value + F.when(_in_capitals(bare(F.col("w"))) & mixed, sign * rules.capitals).otherwise(0.0)
+        value = value + F.when(capital(F.col("w")), sign * rules.capitals).otherwise(0.0)
 
     def negates(word: Column) -> Column:
         listed = word.isin(list(rules.negations)) if rules.negations else F.lit(False)
@@ -134,7 +148,7 @@ def _value(rules: Rules, idioms: DataFrame | None) -> Column:
         if rules.boosters:
             step = S.first_match([(word == b, amount) for b, amount in rules.boosters.items()], 0.0)
             if rules.capitals:
-                step = step + F.when((step != 0) & _in_capitals(bare(F.col(f"b{n}"))) & mixed, rules.capitals).otherwise(0.0)
+                step = step + F.when((step != 0) & capital(F.col(f"b{n}")), rules.capitals).otherwise(0.0)
             value = value + sign * step * rules.damping[n - 1]
         between = before[: n - 1]
 
