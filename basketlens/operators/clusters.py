@@ -70,41 +70,67 @@ def standardise_vectors(df: DataFrame, id_col: str, vector_col: str, size: int)
 
 # --- silhouette -------------------------------------------------------------
 
-_BLOCK = 1024
+_BLOCK, _TILE = 1024, 512
+# Blocks are larger, not more, up to _LARGEST points: what is sent grows with the points times the blocks.
+_BLOCKS, _LARGEST = 16, 65536
+
+
+def _blocks_of(n: Column) -> Column:
+    """Into how many blocks n points are cut: at most ``_BLOCKS`` until a block holds ``_LARGEST``."""
+    few = F.least(F.ceil(n / _BLOCK), F.lit(_BLOCKS))
+    return F.greatest(few, F.ceil(n / _LARGEST), F.lit(1)).cast("int")
 
 
 def _distance_sums():
     # built here, so that it travels to the executors by value: they need no copy of this package
     columns = ["labelling", "id", "own", "cluster", "total", "size"]
+    tile = _TILE
 
     def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """Distance sums from each left point to each right cluster, for every labelling."""
+        """Distance sums from each point of two blocks to each cluster of the other, for every labelling; within a block, if both are one."""
         if left.empty or right.empty:
             return pd.DataFrame(columns=columns)
-        a = np.stack(left["vec"].to_numpy())
-        b = np.stack(right["vec"].to_numpy())
-        squared = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
-        distance = np.sqrt(np.maximum(squared, 0.0))
-        ids = left["id"].to_numpy()
-        distance[ids[:, None] == right["id"].to_numpy()[None, :]] = 0.0
-        own = np.stack(left["labels"].to_numpy())
-        other = np.stack(right["labels"].to_numpy())
+        same = left["i"].iloc[0] == right["j"].iloc[0]
+        a, b = np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy())
+        of_a, of_b = np.stack(left["labels"].to_numpy()), np.stack(right["labels"].to_numpy())
+        ids_a, ids_b = left["id"].to_numpy(), right["id"].to_numpy()
+        wide_a, wide_b, turned = (a * a).sum(1), (b * b).sum(1), np.ascontiguousarray(b.T)
+        found_a = [np.unique(of_a[:, k], return_inverse=True) for k in range(of_a.shape[1])]
+        found_b = [np.unique(of_b[:, k], return_inverse=True) for k in range(of_b.shape[1])]
+        order = [np.argsort(index, kind="stable") for _, index in found_b]
+        first = [np.searchsorted(index[o], np.arange(len(c))) for o, (c, index) in zip(order, found_b)]
+        to_b = [np.zeros((len(a), len(c))) for c, _ in found_b]
+        to_a = [np.zeros((len(c), len(b))) for c, _ in found_a]
+        for at in range(0, len(a), tile):
+            here = slice(at, at + tile)
+            distance = a[here] @ turned
+            distance *= -2
+            distance += wide_a[here, None]
+            distance += wide_b
+            np.sqrt(np.maximum(distance, 0.0, out=distance), out=distance)
+            if same:
+                distance[ids_a[here, None] == ids_b] = 0.0
+            for k, (o, start) in enumerate(zip(order, first)):
+                # with many clusters, sums of runs; with few, a product
+                if len(start) > 64:
+                    to_b[k][here] = np.add.reduceat(distance[:, o], start, axis=1)
+                else:
+                    to_b[k][here] = distance @ np.eye(len(start))[found_b[k][1]]
+                if not same:
+                    clusters, index = found_a[k][0], found_a[k][1][here]
+                    some = np.unique(index)
+                    to_a[k][some] += (index == some[:, None]).astype(float) @ distance
         parts = []
-        for labelling in range(own.shape[1]):
-            clusters, index = np.unique(other[:, labelling], return_inverse=True)
-            members = np.eye(len(clusters))[index]
-            parts.append(
-                pd.DataFrame(
-                    {
-                        "labelling": labelling,
-                        "id": np.repeat(ids, len(clusters)),
-                        "own": np.repeat(own[:, labelling], len(clusters)),
-                        "cluster": np.tile(clusters, len(left)),
-                        "total": (distance @ members).ravel(),
-                        "size": np.tile(members.sum(0).astype("int64"), len(left)),
-                    }
-                )
-            )
+
+        def add(labelling, ids, own, clusters, index, total):
+            size = np.bincount(index, minlength=len(clusters))
+            of = {"id": np.repeat(ids, len(clusters)), "own": np.repeat(own, len(clusters)), "cluster": np.tile(clusters, len(ids))}
+            parts.append(pd.DataFrame({"labelling": labelling, **of, "total": total.ravel(), "size": np.tile(size, len(ids))}))
+
+        for k in range(of_a.shape[1]):
+            add(k, ids_a, of_a[:, k], *found_b[k], to_b[k])
+            if not same:
+                add(k, ids_b, of_b[:, k], *found_a[k], to_a[k].T)
         return pd.concat(parts)[columns]
 
     return sums
@@ -114,7 +140,7 @@ def silhouette_exact(df: DataFrame, id_col: str, vector_col: str, label_cols: li
     """Mean Euclidean silhouette per labelling: (labelling, clusters, points, silhouette).
 
     The cost is quadratic in the rows; :func:`silhouette_squared` is linear.  Points are cut into
-    blocks; one task adds up the distances between two blocks and returns one row
+    blocks; one task adds up the distances between two blocks, once for both, and returns one row
     per point and cluster, never a row per pair.  A labelling with one cluster has
     silhouette -1, a point alone in its cluster counts 0.
     """
@@ -124,11 +150,10 @@ def silhouette_exact(df: DataFrame, id_col: str, vector_col: str, label_cols: li
         F.col(id_col).cast("long").alias("id"),
         F.transform(F.col(vector_col), lambda x: x.cast("double")).alias("vec"),
         labels.alias("labels"),
-        F.greatest(F.ceil(n / _BLOCK), F.lit(1)).cast("int").alias("blocks"),
+        _blocks_of(n).alias("blocks"),
     ).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = points.select("id", "vec", "labels", F.col("block").alias("i"), every.alias("j"))
-    right = points.select("id", "vec", "labels", F.col("block").alias("j"), every.alias("i"))
+    left = points.select("id", "vec", "labels", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
+    right = points.select("id", "vec", "labels", F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), "block")).alias("i"))
     sums = (
         left.groupBy("i", "j")
         .cogroup(right.groupBy("i", "j"))

@@ -123,3 +123,19 @@ def test_choice_and_axes(spark):
     assert np.allclose(spread, np.sort(np.linalg.eigvalsh(np.cov(x.T, bias=True)))[::-1][:2])
     assert all(abs(c[1] - 1) < 1e-9 and c[2] < 1e-9 and c[3] < 1e-9 for c in clusters.axis_checks(matrix, axes))
     assert all(a[np.abs(a).argmax()] > 0 for a in axes.T)
+
+
+def test_exact_silhouette_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "_BLOCK", 8)
+    rng = np.random.default_rng(5)
+    x, of, many = rng.normal(size=(150, 4)), rng.integers(0, 4, 150), np.arange(150) // 2
+    df = spark.createDataFrame([(i, v.tolist(), int(c), int(m)) for i, (v, c, m) in enumerate(zip(x, of, many))], "id long, v array<double>, few int, many int")
+    found = {r.labelling: r for r in clusters.silhouette_exact(df, "id", "v", ["few", "many"]).collect()}
+    assert [found[0].clusters, found[1].clusters, found[0].points, found[1].points] == [4, 75, 150, 150]
+    assert found[0].silhouette == pytest.approx(plain_silhouette(x, of)) and found[1].silhouette == pytest.approx(plain_silhouette(x, many))
+
+
+def test_exact_silhouette_sends_points_to_a_fixed_number_of_blocks(spark):
+    """Twenty times the points are sent as often each; blocks grow until they hold 65536 points."""
+    blocks = [spark.range(1).select(clusters._blocks_of(F.lit(n))).first()[0] for n in (0, 500, 2000, 20000, 400000, 1048576, 2000000)]
+    assert blocks == [1, 1, 2, 16, 16, 16, 31]
