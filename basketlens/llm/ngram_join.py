@@ -6,7 +6,9 @@ the first ``n - ceil(t n) + 1`` of each, its prefix.
 
 1. *Collapse.*  Equal sets are one class; classes with the same size and the same prefix are one group, with one prefix.
 2. *Filter group pairs.*  A group's prefix is sent to the buckets of its shingles.  There, groups that share a shingle
-   meet, and a pair is a candidate if the sizes, and the places of the shared shingle in both, still allow the similarity.
+   meet.  What is left are lists of groups; those with the same least group go to one home, so that the many lists of near copies
+   lie together, and what a group is asked by does not grow with the number of buckets.  A pair is a candidate if the sizes, and the places of the shared
+   shingle in both, still allow the similarity.
 3. *Expand and verify.*  Candidates expand to the classes of both groups.  Of each class a bitmap of its shingles is kept, a bit a shingle and
    at least four times as many bits as shingles (up to ``MOST_BITS``).  Bits that differ are shingles that differ, so most pairs are seen to be too far apart by their bitmaps;
    the whole sets of the others are compared exactly.
@@ -37,6 +39,9 @@ PERCENT = 75
 SKETCH_BITS = 20
 SLICES = 64
 PER_BUCKET = 1_000_000
+# Entries of lists in a home; lists above LONG entries are dealt over PARTS homes, since those of a large group of near copies have one least group.
+PER_HOME = 250_000
+LONG, PARTS = 16, 16
 PARTNERS_AT_ONCE = 200
 # Rounds of few pairs before the one of all pairs, and the share of new links from which another one pays.
 TRIES = 3
@@ -225,6 +230,47 @@ def _listed(bucket, owners: np.ndarray, lists: np.ndarray, places: np.ndarray, *
     return pa.Table.from_arrays([pa.array(bucket.to_pylist(), pa.int32()), *(pa.array([x], pa.binary()) for x in columns.values())], names=["bucket", *columns])
 
 
+def _homes_of(owners: np.ndarray, lists: np.ndarray, homes: int) -> np.ndarray:
+    """For entries ordered by list, the home of each one's list: that of the list's least group."""
+    start = runs(lists)
+    count = np.diff(np.append(start, len(lists)))
+    names = mix(owners[:, 0].view(np.uint64) ^ mix(owners[:, 1].astype(np.uint64)))
+    part = np.where(count > LONG, mix(lists[start].astype(np.uint64) + np.uint64(1)) % np.uint64(PARTS), np.uint64(0))
+    least = np.minimum.reduceat(names, start) if len(start) else names
+    return np.repeat((mix(least + part) % np.uint64(homes)).astype(np.int64), count)
+
+
+def _read_lists(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The entries of a row of lists: group (prefix's hash, size), list, place."""
+    owners = np.frombuffer(row["owners"], np.int64).reshape(-1, 2)
+    whose, lists, places = (np.frombuffer(row[c], np.uint32) for c in ("whose", "lists", "places"))
+    return owners[whose], lists, places
+
+
+def _send_home(homes: int):
+    """The lists of each bucket, one row for each home."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                owners, lists, places = _read_lists(row)
+                home = _homes_of(owners, lists, homes)
+                order = np.argsort(home, kind="stable")
+                for at in np.split(order, runs(home[order])[1:]):
+                    if len(at):
+                        yield from _listed(pa.array([home[at[0]]]), owners[at], lists[at], places[at]).to_batches()
+
+    return run
+
+
+def _at_home(table: pa.Table) -> pa.Table:
+    """The lists that several buckets have sent to a home, numbered anew."""
+    owners, lists, places = zip(*(_read_lists(r) for r in table.to_pylist()), strict=True)
+    after = np.cumsum([0, *(int(x.max()) + 1 for x in lists)])
+    numbers = np.unique(np.concatenate([x + n for x, n in zip(lists, after)]), return_inverse=True)[1]
+    return _listed(table.column("bucket").slice(0, 1), np.concatenate(owners), numbers, np.concatenate(places))
+
+
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for bucket, owners in zip(batch.column("bucket").to_pylist(), batch.column("owners").to_pylist(), strict=True):
@@ -437,7 +483,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = sets.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, int(size * (100 - PERCENT) / 100) // PER_BUCKET + 1)
     sent = named.mapInArrow(_send_prefixes(levels, buckets), SENT)
-    lists = store(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meeting, LISTS), "lists")
+    met = store(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meeting, LISTS), "met")
+    homes = max(8, (met.agg(F.sum(F.octet_length("lists"))).first()[0] or 0) // (4 * PER_HOME) + 1)
+    lists = store(met.mapInArrow(_send_home(homes), LISTS).repartition(homes, "bucket").groupBy("bucket").applyInArrow(_at_home, LISTS), "lists")
     members = store(lists.select("bucket", "owners").mapInArrow(_members, "bucket int, prefix_key long, n long"), "members")
     # only texts that may be compared: of classes whose group shares a shingle or holds several classes
     crowded = classes.groupBy(*group).count().where("count > 1").select(*group)
@@ -460,7 +508,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             apart = placed.groupBy(*group).agg(F.min("class_id").alias("group_id")).withColumn("component", F.col("group_id"))
         apart = store(apart, "groups")
         roster = members.join(apart, group).select("bucket", *group, "component", "group_id")
-        turn = lists.repartition(buckets, "bucket").groupBy("bucket").cogroup(roster.repartition(buckets, "bucket").groupBy("bucket"))
+        turn = lists.repartition(homes, "bucket").groupBy("bucket").cogroup(roster.repartition(homes, "bucket").groupBy("bucket"))
         said = store(turn.applyInArrow(_all if last else _few(attempt), ROUND), "round")
         found = said.mapInArrow(_said, VOTES)
         # the next round reads only what is left: lists that still join different components

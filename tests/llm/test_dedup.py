@@ -5,6 +5,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -186,6 +188,46 @@ def test_near_duplicates_with_a_shingle_in_a_third_of_all_documents(make):
     assert len(set(expected.values())) < len(rows) - 20
 
 
+def test_rows_of_members_do_not_grow_with_the_buckets(make, monkeypatch):
+    rng = random.Random(8)
+    rows = []
+    for i in range(0, 300, 3):  # near copies: a word changed at the end
+        text = [f"v{rng.randrange(10**6)}" for _ in range(300)]
+        rows += [(i + k, " ".join([*text[:-1], f"end{k}"])) for k in range(3)]
+    stored, store = {}, ngram_join.store
+
+    def counting(df, name):
+        out = store(df, name)
+        stored.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "store", counting)
+    monkeypatch.setattr(ngram_join, "PER_BUCKET", 400)
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(make(rows)).collect()}
+    assert got == {i: i // 3 * 3 for i, _ in rows}
+    assert stored["met"][0] > 30  # buckets where shingles meet
+    assert stored["members"][0] <= 2 * len(rows)
+
+
+def test_lists_stay_whole_on_their_way_home():
+    rng = np.random.default_rng(9)
+    parts, expected = [], []
+    for bucket in range(5):
+        lists = np.sort(rng.integers(60, size=400))
+        lists = np.concatenate([lists, np.full(50, 60)])
+        owners = np.stack([rng.integers(-40, 40, size=450) << 40, rng.integers(5, 9, size=450)], axis=1)
+        places = rng.integers(30, size=450)
+        parts += ngram_join._listed(pa.array([bucket]), owners, lists, places).to_batches()
+        expected += [sorted((*owners[i].tolist(), int(places[i])) for i in np.flatnonzero(lists == n)) for n in np.unique(lists)]
+    sent = pa.Table.from_batches(ngram_join._send_home(7)(iter(parts)))
+    got = []
+    for home in set(sent.column("bucket").to_pylist()):
+        row = ngram_join._at_home(sent.filter(pc.equal(sent.column("bucket"), home))).to_pylist()[0]
+        owners, lists, places = ngram_join._read_lists(row)
+        got += [sorted((*owners[i].tolist(), int(places[i])) for i in np.flatnonzero(lists == n)) for n in np.unique(lists)]
+    assert sorted(got) == sorted(expected)
+
+
 def test_entries_with_a_partner_in_their_list():
     rng = np.random.default_rng(0)
     for _ in range(500):
