@@ -32,6 +32,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 UNIT = float(1 << 24)
 ROWS_AT_ONCE = 4096
+TILE = 512  # points whose distances to all centres stay in a core's cache
 SEEDING_ROWS = 4000
 MOST_ROUNDS = 40
 TOLERANCE = 1e-4
@@ -41,7 +42,10 @@ TOLERANCE = 1e-4
 
 
 def pack_points(df: DataFrame, id_col: str, vector_col: str, *labels: str) -> DataFrame:
-    """The stored points as blocks: ids, coordinates and labels of some thousand rows in one."""
+    """The stored points as blocks: ids, coordinates and labels of some thousand rows in one.
+
+    The blocks are dealt over files for all cores, since a scan of a file is one task, and a stage before may have left few of them.
+    """
     columns = ["id", "v", *labels]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,7 +58,8 @@ def pack_points(df: DataFrame, id_col: str, vector_col: str, *labels: str) -> Da
 
     flat = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), *[F.col(c).cast("long").alias(c) for c in labels])
     schema = ", ".join(["rows long", "v binary", "id binary", *[f"`{c}` binary" for c in labels]])
-    return write_stage(flat.select(*columns).mapInArrow(pack, schema), "points")
+    files = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return write_stage(flat.select(*columns).mapInArrow(pack, schema).repartition(files), "points")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[np.ndarray, ...]]:
@@ -68,10 +73,6 @@ def _squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * (x @ centres.T) + (centres * centres).sum(1), 0.0)
 
 
-def _nearest_of(distances: np.ndarray, first: np.ndarray, model: int) -> np.ndarray:
-    return distances[:, first[model] : first[model + 1]].argmin(axis=1)
-
-
 # --- rounds of many models ---------------------------------------------------
 
 
@@ -106,19 +107,37 @@ def model_sums(points: DataFrame, models: list[np.ndarray], part: tuple[int, int
     size = centres.shape[1]
     sums = [f"s{i}" for i in range(size)]
 
+    counts = np.diff(first)
+    # the centres of all models of one size together: the first ones of each, then the second ones, ...
+    places = [first[:-1][counts == k] + np.arange(k)[:, None] for k in np.unique(counts)]
+    order = np.concatenate([p.ravel() for p in places])
+    twice, own = -2 * centres[order], (centres[order] ** 2).sum(1)[:, None]
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, cost, total = np.zeros(len(centres), np.int64), np.zeros(len(centres), np.int64), np.zeros((len(centres), size), np.int64)
-        for x, ids in _blocks(batches, "id"):
-            x = x[_in_batch(ids, part)]
-            units = np.rint(x * UNIT)
-            distances = _squared(x, centres)
-            for m in range(len(first) - 1):
-                nearest = _nearest_of(distances, first, m)
-                member = np.equal.outer(np.arange(first[m + 1] - first[m]), nearest).astype(np.float64)
-                here = slice(first[m], first[m + 1])
-                n[here] += member.sum(1).astype(np.int64)
-                total[here] += (member @ units).astype(np.int64)  # whole numbers below 2**53
-                cost[here] += (member @ np.rint(distances[np.arange(len(x)), first[m] + nearest] * UNIT)).astype(np.int64)
+        held = np.empty((len(centres), TILE))
+        for x_all, ids in _blocks(batches, "id"):
+            x_all = x_all[_in_batch(ids, part)]
+            for at in range(0, len(x_all), TILE):
+                x = x_all[at : at + TILE]
+                distances = twice @ x.T
+                distances += (x * x).sum(1)
+                distances += own
+                np.maximum(distances, 0.0, out=distances)
+                member, begin = held[:, : len(x)], 0
+                for k, m in (p.shape for p in places):
+                    here = slice(begin, begin + k * m)
+                    of, chosen = distances[here].reshape(k, m, -1), member[here].reshape(k, m, -1)
+                    least = of.min(axis=0)
+                    free, units = np.ones(least.shape, bool), np.rint(least * UNIT)
+                    for j in range(k):  # of equally near centres the first one
+                        nearest = (of[j] == least) & free
+                        free &= ~nearest
+                        chosen[j] = nearest
+                        cost[order[begin + j * m : begin + (j + 1) * m]] += (chosen[j] * units).sum(1).astype(np.int64)
+                    begin += k * m
+                n[order] += member.sum(1).astype(np.int64)
+                total[order] += (member @ np.rint(x * UNIT)).astype(np.int64)  # whole numbers below 2**53
         some = np.flatnonzero(n)
         columns = [pa.array(some.astype(np.int32)), pa.array(n[some]), pa.array(cost[some]), *(pa.array(total[some, i]) for i in range(size))]
         yield pa.RecordBatch.from_arrays(columns, names=["at", "n", "cost", *sums])

@@ -37,6 +37,30 @@ def test_models_move_together_as_each_alone(spark):
         assert np.allclose(fit.centres, centres, atol=1e-5) and fit.cost == pytest.approx(cost, rel=1e-6)
 
 
+def test_points_of_one_partition_are_scanned_by_several_tasks(spark):
+    df = spark.range(60_000, numPartitions=1).selectExpr("id", "array(id / 7D, id % 11D) as v")
+    points = kmeans.pack_points(df, "id", "v")
+    assert points.rdd.getNumPartitions() >= 8
+    assert points.agg(F.sum("rows")).first()[0] == 60_000
+
+
+def test_one_scan_for_models_of_many_sizes(spark):
+    x, _ = blobs(1500, 3, 4, 0.7, 6)
+    models = [x[:k].copy() for k in (1, 5, 2, 5, 3)]
+    models[3][4] = models[3][1]  # equal centres: the first one has the points
+    rows = kmeans.model_sums(kmeans.pack_points(frame_of(spark, x), "customer_id", "features"), models).collect()
+    got = {(r.model, r.centre): (r.n, r.cost, *r[4:]) for r in rows}
+    for m, centres in enumerate(models):
+        squared = ((x[:, None] - centres) ** 2).sum(2)
+        of = squared.argmin(1)
+        assert not (m == 3 and (of == 4).any())
+        for k in np.unique(of).tolist():
+            n, cost, *sums = got.pop((m, k))
+            assert n == (of == k).sum() and sums == np.rint(x[of == k] * kmeans.UNIT).sum(0).tolist()
+            assert cost == pytest.approx(squared[of == k, k].sum() * kmeans.UNIT, abs=2 * n)
+    assert not got
+
+
 def test_result_does_not_depend_on_partitions(spark):
     x, _ = blobs(500, 4, 3, 1.0, 2)
     found = []
