@@ -32,6 +32,8 @@ SIGNUP, DISCOUNTS, COUNTRY = "signup", "discounts", "country"
 EVERYTHING = (SIGNUP, DISCOUNTS, COUNTRY)
 # For queries that read sessions several times: their cut is stored once.
 STORED = "stored"
+# Orders in one task's hash table, about: 64 MB at most.
+TABLE_ORDERS = 500_000
 
 
 class StarSchema:
@@ -222,6 +224,12 @@ class StarSchema:
         )
         placed = self.raw("orders").select(F.col("o_orderkey").alias("order_id"), "o_orderdate")
         later = F.make_dt_interval(F.col("days_later"))
+        # a hash table can't spill, and partitions merged by their bytes hold ten million orders where no text is
+        # read: many orders are dealt to a fixed number of tasks, which is not merged
+        tables = -(-self.raw("orders").count() // TABLE_ORDERS)
+        if tables > 1:
+            tasks = max(tables, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+            docs, placed = docs.repartition(tasks, "order_id"), placed.repartition(tasks, "order_id")
         # texts pass by a table of their orders, unsorted: a sort would hold the texts of a partition in memory
         return docs.join(placed.hint("shuffle_hash"), "order_id").select(
             "review_id",

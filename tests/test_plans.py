@@ -12,6 +12,7 @@ from support import SMALL
 from basketlens.operators import customers, ranking
 from basketlens.plans import catalog, states
 from basketlens.plans.catalog import REGISTRY
+from basketlens.sources import star_schema
 from basketlens.sources.star_schema import COUNTRY
 
 FITTED = {"kmeans_select", "customer_clusters", "cluster_scatter", "cluster_pca", "spending_potential"}
@@ -59,6 +60,33 @@ def test_texts_pass_by_their_orders_without_a_sort(spark):
     assert "ShuffledHashJoin" in text and "SortMergeJoin [order_id" not in text and "BroadcastHashJoin [order_id" not in text
 
 
+def test_hash_tables_of_orders_stay_small(spark, frame, tmp_path, monkeypatch):
+    """Partitions merged by their bytes hold ten million orders where no text is read, and a hash table can't spill."""
+    days = [(k, dt.datetime(2020, 1, 1 + k % 28)) for k in range(1000)] + [(13, dt.datetime(2021, 1, 1)), (None, dt.datetime(2021, 1, 2))]
+    orders = frame(days, "o_orderkey long, o_orderdate timestamp_ntz")
+    docs = [(k, f"text {k}", k) for k in range(60)] + [(5, "again", 1)] + [(None, "lost", 2)] * 3
+    tables = {"orders": orders, "documents": frame(docs, "doc_id long, text string, n_chars long"), "part": frame([(k,) for k in range(9)], "p_partkey long")}
+    for name, table in tables.items():
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+
+    def reviews():
+        return star_schema.StarSchema(spark, str(tmp_path), ()).reviews
+
+    def found():
+        return sorted(map(tuple, reviews().collect()))
+
+    few = found()
+    monkeypatch.setattr(star_schema, "TABLE_ORDERS", 50)
+    # 1002 orders in tables of about 50, with and without the texts; a missing order is dropped before
+    for df in (reviews(), reviews().drop("review_text")):
+        text = plan(df)
+        assert len(re.findall(r"hashpartitioning\(order_id#\d+L, 21\), REPARTITION_BY_NUM", text)) == 2
+        assert re.search(r"ShuffledHashJoin \[order_id", text) and "ENSURE_REQUIREMENTS" not in text.split("Subquer")[0]
+        assert len(re.findall(r"Filter isnotnull\(\(?\(?doc_id|Filter .*isnotnull\(doc_id", text)) == 1
+    assert found() == few and len(few) == 60 + 1 + 1
+    assert sum(r[0] == 5 for r in few) == 2 and sum(r[0] == 1 for r in few) == 2 and all(r[0] is not None for r in few)
+
+
 @pytest.mark.parametrize("name", ["category_keywords", "category_phrases"])
 def test_words_are_counted_per_category(spark, name):
     """Counts per product hold nearly every word of every text; the plan has the stored counts of words only where it reads them."""
