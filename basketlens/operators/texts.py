@@ -6,6 +6,11 @@ per review or category are exchanged.  A text itself moves at most to its produc
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -69,31 +74,106 @@ def _clean_again(word: Column) -> Column:
     return F.when(word.endswith("'s"), _clean_word(word)).otherwise(word)
 
 
-def _category_counts(reviews: DataFrame, products: DataFrame, stopwords: DataFrame, text_col: str, size: int) -> DataFrame:
-    """Counts per category of words (size 1) or of pairs of neighbouring words (size 2).
+def _category_words(reviews: DataFrame, products: DataFrame, text_col: str) -> DataFrame:
+    """category, w: the words of each text as they stand in it.
 
     The category comes to the text before its words are taken, so each task counts within the few categories and sends an entry
     once for each, not once per product.
     """
     category = products.select("product_id", "category").dropna().hint("shuffle_hash")
     texts = reviews.select("product_id", text_col).join(category, "product_id")
-    words = texts.select("category", F.regexp_extract_all(F.lower(text_col), F.lit(_KEYWORD)).alias("w"))
-    clean = [f"word{i}" for i in range(size)]
+    return texts.select("category", F.regexp_extract_all(F.lower(text_col), F.lit(_KEYWORD)).alias("w"))
+
+
+def _without(counts: DataFrame, stopwords: DataFrame, column: str) -> DataFrame:
+    return counts.join(stopwords.select(F.col("token").alias(column)), column, "left_anti")
+
+
+def _word_counts(reviews: DataFrame, products: DataFrame, stopwords: DataFrame, text_col: str) -> DataFrame:
+    """category, token, n."""
+    words = _category_words(reviews, products, text_col)
     # the outer form of explode, whose nulls dropna leaves out: the plain one has the words taken once more, as a filter where the texts are read
-    if size == 1:
-        entries = words.select("category", F.explode_outer("w").alias("raw")).select("category", _clean_word(F.col("raw")).alias("word0"))
-    else:
-        # numbers are dropped before neighbours are looked at
-        kept = words.select("category", F.filter(F.transform("w", _clean_word), lambda w: w.isNotNull()).alias("w"))
-        most = F.greatest(F.size("w") - 1, F.lit(0))
-        pairs = F.arrays_zip(F.slice("w", 1, most).alias("a"), F.slice("w", 2, most).alias("b"))
-        entries = kept.select("category", F.explode_outer(pairs).alias("p")).select(
-            "category", _clean_again(F.col("p.a")).alias("word0"), _clean_again(F.col("p.b")).alias("word1")
+    entries = words.select("category", F.explode_outer("w").alias("raw")).select("category", _clean_word(F.col("raw")).alias("token"))
+    return _without(entries.dropna().groupBy("category", "token").agg(F.count("*").alias("n")), stopwords, "token")
+
+
+def _pack_followers(most: int = 1 << 21):
+    """category, w to category, word, entries, counted in pieces of about ``most`` words, as numbers of the piece's own vocabulary.
+
+    Entries are the word's count and the words that follow it, each with its count if above one: ``"4 life=2 pack"``.  Words hold no
+    blank or equals sign.
+    """
+
+    def lists(piece: pa.RecordBatch, lengths: np.ndarray) -> pa.RecordBatch:
+        words = piece.column("w").flatten().dictionary_encode()
+        categories = piece.column("category").dictionary_encode()
+        code = words.indices.to_numpy().astype(np.int64)
+        size = len(words.dictionary) + 1
+        follower = np.append(code[1:] + 1, 0)  # 0 where a text ends
+        follower[np.cumsum(lengths)[lengths > 0] - 1] = 0
+        home = np.repeat(categories.indices.to_numpy().astype(np.int64), lengths) * size + code
+        found, n = np.unique(home * size + follower, return_counts=True)
+        home, follower = np.divmod(found, size)
+        starts = np.flatnonzero(np.append(True, home[1:] != home[:-1]))
+        pairs = np.flatnonzero(follower > 0)
+        many, times = pa.array(n[pairs] > 1), pa.array(n[pairs]).cast(pa.string())
+        nexts = words.dictionary.take(pa.array(follower[pairs] - 1))
+        nexts = pc.if_else(many, pc.binary_join_element_wise(nexts, times, "="), nexts)
+        own = pa.array(np.add.reduceat(n, starts)).cast(pa.string())
+        # each list begins with the word's own count
+        at = np.searchsorted(pairs, starts)
+        order = pa.array(np.insert(np.arange(len(pairs)) + len(own), at, np.arange(len(own))))
+        offsets = pa.array(np.append(at, len(pairs)) + np.arange(len(starts) + 1), pa.int32())
+        entries = pc.binary_join(pa.ListArray.from_arrays(offsets, pa.concat_arrays([own, nexts]).take(order)), " ")
+        category, word = np.divmod(home[starts], size)
+        return pa.RecordBatch.from_arrays(
+            [categories.dictionary.take(pa.array(category)), words.dictionary.take(pa.array(word)), entries], ["category", "word", "entries"]
         )
-    counts = entries.dropna().groupBy("category", *clean).agg(F.count("*").alias("n"))
-    for column in clean:
-        counts = counts.join(stopwords.select(F.col("token").alias(column)), column, "left_anti")
-    return counts
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = pc.fill_null(pc.list_value_length(batch.column("w")), 0).to_numpy().astype(np.int64)
+            ends = np.cumsum(lengths)
+            begin, before = 0, 0
+            while begin < batch.num_rows:
+                end = max(begin + 1, int(np.searchsorted(ends, before + most, side="right")))
+                if ends[end - 1] > before:
+                    yield lists(batch.slice(begin, end - begin), lengths[begin:end])
+                begin, before = end, ends[end - 1]
+
+    return pack
+
+
+def _counted_pairs(reviews: DataFrame, products: DataFrame, stopwords: DataFrame, text_col: str) -> DataFrame:
+    """category, word0, word1, n, first: pairs of neighbouring words with the count of the first one; and each word's count as n, with word1 null.
+
+    One pass over the texts.  A word goes to its home once per batch of texts, with all that follow it in one text, so the exchange
+    holds little more than each pair's second word; there the pairs are counted and meet the count of their first word unsent.
+    """
+    words = _category_words(reviews, products, text_col)
+    # numbers are dropped before neighbours are looked at
+    kept = words.select("category", F.filter(F.transform("w", _clean_word), lambda w: w.isNotNull()).alias("w"))
+    kind = kept.schema["category"].dataType.simpleString()
+    lists = kept.mapInArrow(_pack_followers(), f"category {kind}, word string, entries string")
+    # a second possessive ending falls from words of pairs alone, so their pairs have another home than their count
+    own = F.substring_index("entries", " ", 1)
+    rest = F.concat(F.lit("0"), F.substring(F.col("entries"), F.length(own) + 1, F.length("entries")))
+    turned = F.array(F.struct("word", own.alias("entries")), F.struct(_clean_again(F.col("word")).alias("word"), rest.alias("entries")))
+    parts = F.when(F.col("word").endswith("'s"), turned).otherwise(F.array(F.struct("word", "entries")))
+    homes = lists.select("category", F.explode_outer(parts).alias("e")).select("category", "e.*")
+    # not dropna, whose filter a join doesn't see: it adds its own, and then the exchange below is not shared
+    homes = _without(homes.where(F.col("category").isNotNull() & F.col("word").isNotNull()), stopwords, "word").repartition("category", "word")
+    own_count = F.sum(F.substring_index("entries", " ", 1).cast("long"))
+    counts = homes.groupBy("category", "word").agg(own_count.alias("first")).where(F.col("first") > 0)
+    tokens = F.split("entries", " ")
+    entry = F.explode_outer(F.slice(tokens, 2, F.size(tokens) - 1)).alias("e")
+    entries = homes.join(counts, ["category", "word"]).select("category", F.col("word").alias("word0"), "first", entry)
+    times = F.when(F.col("e").contains("="), F.substring_index("e", "=", -1).cast("long")).otherwise(1)
+    pairs = entries.select("category", "word0", _clean_again(F.substring_index("e", "=", 1)).alias("word1"), "first", times.alias("n"))
+    pairs = pairs.dropna(subset=["word1"]).groupBy("category", "word0", "word1", "first").agg(F.sum("n").alias("n"))
+    pairs = _without(pairs, stopwords, "word1").select("category", "word0", "word1", "n", "first")
+    alone = counts.select("category", F.col("word").alias("word0"), F.lit(None).cast("string").alias("word1"), F.col("first").alias("n"), "first")
+    return pairs.unionAll(alone)
 
 
 def keyword_counts(
@@ -108,7 +188,7 @@ def keyword_counts(
     With ``phrases`` (see ``category_phrases``) these pairs are entries too, and their
     words count only where they stand outside a pair.
     """
-    counts = _category_counts(reviews, products, stopwords, text_col, 1).withColumnRenamed("word0", "token")
+    counts = _word_counts(reviews, products, stopwords, text_col)
     if phrases is not None:
         inside = phrases.select("category", F.explode(F.split("token", " ")).alias("token"), (-F.col("n")).alias("n"))
         counts = counts.unionByName(inside).groupBy("category", "token").agg(F.sum("n").alias("n"))
@@ -160,16 +240,16 @@ def category_phrases(
     taken within one review, from the words left after numbers are dropped; a pair
     with a stopword is left out.
     """
-    # read three times below, so the texts are split once for words and once for pairs
-    words = write_stage(_category_counts(reviews, products, stopwords, text_col, 1), "word-counts")
-    totals = words.groupBy("category").agg(F.sum("n").alias("total"))
-    pairs = _category_counts(reviews, products, stopwords, text_col, 2)
-    # one row per distinct word on the right side of both joins
-    first = words.withColumnRenamed("n", "first")
+    # read three times below; what the texts were exchanged in is gone before the pairs are
+    counted = write_stage(_counted_pairs(reviews, products, stopwords, text_col), "counted-pairs", clean_up=True)
+    words = counted.where(F.col("word1").isNull())
+    # one row per category comes to the pairs, which would else be gathered by category
+    totals = F.broadcast(words.groupBy("category").agg(F.sum("n").alias("total")))
+    # one row per distinct word
     second = words.select("category", F.col("word0").alias("word1"), F.col("n").alias("second"))
     score = _log_likelihood(*[F.col(c).cast("double") for c in ("n", "first", "second", "total")])
     return (
-        pairs.join(first, ["category", "word0"])
+        counted.where(F.col("word1").isNotNull())
         .join(second, ["category", "word1"])
         .join(totals, "category")
         .withColumn("score", score)

@@ -25,9 +25,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def write_stage(df: DataFrame, name: str) -> DataFrame:
-    """Materialise ``df`` once and return a frame that reads the stored table."""
+# Drops a query's shuffle files when it ends; otherwise they stay until the driver happens to collect garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_stage(df: DataFrame, name: str, clean_up: bool = False) -> DataFrame:
+    """Materialise ``df`` once and return a frame that reads the stored table; with ``clean_up`` its shuffle files go at once."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/basketlens/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true" if clean_up else before)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -3,7 +3,10 @@
 import datetime as dt
 import math
 import random
+import re
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,6 +234,49 @@ def test_phrases_take_the_counts_of_their_words(frame):
     assert (found["battery life"], found["battery"], found["life"], found["worda"]) == (20, 1, 3, 1)
 
 
+def test_words_and_pairs_are_counted_in_one_pass(frame):
+    data = [(1, "ox's's cart ox's's cart the cart 42 end"), (2, "ox cart"), (1, None), (1, ""), (3, "ox cart"), (1, "ox"), (9, "ox cart"), (1, "7a's's ab 77's's ab")]
+    products_ = frame([(1, "c"), (2, "c"), (2, "e"), (3, None)], "product_id int, category string")
+    stop = frame([("the",), ("ab",)], "token string")
+    counted = texts._counted_pairs(frame(data, "product_id int, review_text string"), products_, stop, "review_text")
+    found = Counter(map(tuple, counted.collect()))
+    # "ox's" counts for itself, but its pairs are those of "ox"
+    words = [("c", "ox's", None, 2, 2), ("c", "cart", None, 4, 4), ("c", "end", None, 1, 1), ("c", "ox", None, 2, 2), ("c", "7a's", None, 1, 1), ("c", "77's", None, 1, 1)]
+    pairs = [("c", "ox", "cart", 3, 2), ("c", "cart", "ox", 1, 4), ("c", "cart", "end", 1, 4), ("e", "ox", "cart", 1, 1)]
+    assert found == Counter(words + [("e", "ox", None, 1, 1), ("e", "cart", None, 1, 1)] + pairs)
+    # the texts pass once, to the words' homes
+    final = counted._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("MapInArrow") == 1 and len(re.findall(r"ReusedExchange [^\n]*REPARTITION_BY_COL", final)) == 2
+
+
+@pytest.mark.parametrize("most", [1, 3, 100])
+def test_words_and_followers_are_packed_in_pieces(most):
+    category, words = ["c", "d", "c", "c", "c"], [["a", "b", "a", "b"], ["a"], None, [], ["b", "a"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(category), pa.array(words, pa.list_(pa.string()))], ["category", "w"])
+    alone, pairs = Counter(), Counter()
+    for piece in texts._pack_followers(most)(iter([batch.slice(0, 4), batch.slice(4), batch.slice(2, 2)])):
+        for row in piece.to_pylist():
+            n, *nexts = row["entries"].split(" ")
+            alone[row["category"], row["word"]] += int(n)
+            for x in nexts:
+                pairs[row["category"], row["word"], x.split("=")[0]] += int((x.split("=") + ["1"])[1])
+    assert alone == {("c", "a"): 3, ("c", "b"): 3, ("d", "a"): 1} and pairs == {("c", "a", "b"): 2, ("c", "b", "a"): 2}
+
+
+def test_pairs_are_not_gathered_by_category(spark, frame):
+    """The totals of the few categories come to the pairs, however many pairs there are."""
+    reviews = frame([(1, "battery life")] * 20, "product_id int, review_text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # the tables here are small
+    try:
+        found = texts.category_phrases(reviews, frame([(1, "c")], "product_id int, category string"), frame([("the",)], "token string"))
+        text = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # only the sums of words are
+    gathered = r"Exchange hashpartitioning\(category#\d+, \d+\)"
+    assert len(re.findall(gathered, text)) == len(re.findall(gathered + r"[^\n]*\n[^\n]*HashAggregate", text)) == 1
+
+
 def test_new_user_conversion(shop):
     found = rows(trends.new_user_conversion(shop), "month", "new_users", "buyers", "conversion")
     assert [(m.month, n, b, c) for m, n, b, c in found] == [(12, 1, 0, 0.0), (1, 1, 0, 0.0), (3, 1, 0, 0.0)]
