@@ -100,7 +100,7 @@ def _word_counts(reviews: DataFrame, products: DataFrame, stopwords: DataFrame,
 def _pack_followers(most: int = 1 << 21):
     """category, w to category, word, entries, counted in pieces of about ``most`` words, as numbers of the piece's own vocabulary.
 
-    Entries are the word's count and the words that follow it, each with its count if above one: ``"4 life=2 pack"``.  Words hold no
+    Entries are the word's count and the words that follow it, each with its count if above one: ``"=4 life=2 pack"``.  Words hold no
     blank or equals sign.
     """
 
@@ -116,15 +116,18 @@ def _pack_followers(most: int = 1 << 21):
         home, follower = np.divmod(found, size)
         starts = np.flatnonzero(np.append(True, home[1:] != home[:-1]))
         pairs = np.flatnonzero(follower > 0)
-        many, times = pa.array(n[pairs] > 1), pa.array(n[pairs]).cast(pa.string())
+        times = n[pairs]
+        many = np.flatnonzero(times > 1)
         nexts = words.dictionary.take(pa.array(follower[pairs] - 1))
-        nexts = pc.if_else(many, pc.binary_join_element_wise(nexts, times, "="), nexts)
-        own = pa.array(np.add.reduceat(n, starts)).cast(pa.string())
+        repeated = pc.binary_join_element_wise(nexts.take(pa.array(many)), pa.array(times[many]).cast(pa.string()), "=")
+        own = pc.binary_join_element_wise("", pa.array(np.add.reduceat(n, starts)).cast(pa.string()), "=")
         # each list begins with the word's own count
         at = np.searchsorted(pairs, starts)
-        order = pa.array(np.insert(np.arange(len(pairs)) + len(own), at, np.arange(len(own))))
+        order = np.arange(len(pairs)) + len(own)
+        order[many] = np.arange(len(many)) + len(own) + len(pairs)
+        order = pa.array(np.insert(order, at, np.arange(len(own))))
         offsets = pa.array(np.append(at, len(pairs)) + np.arange(len(starts) + 1), pa.int32())
-        entries = pc.binary_join(pa.ListArray.from_arrays(offsets, pa.concat_arrays([own, nexts]).take(order)), " ")
+        entries = pc.binary_join(pa.ListArray.from_arrays(offsets, pa.concat_arrays([own, nexts, repeated]).take(order)), " ")
         category, word = np.divmod(home[starts], size)
         return pa.RecordBatch.from_arrays(
             [categories.dictionary.take(pa.array(category)), words.dictionary.take(pa.array(word)), entries], ["category", "word", "entries"]
@@ -157,23 +160,25 @@ def _counted_pairs(reviews: DataFrame, products: DataFrame, stopwords: DataFrame
     lists = kept.mapInArrow(_pack_followers(), f"category {kind}, word string, entries string")
     # a second possessive ending falls from words of pairs alone, so their pairs have another home than their count
     own = F.substring_index("entries", " ", 1)
-    rest = F.concat(F.lit("0"), F.substring(F.col("entries"), F.length(own) + 1, F.length("entries")))
+    rest = F.concat(F.lit("=0"), F.substring(F.col("entries"), F.length(own) + 1, F.length("entries")))
     turned = F.array(F.struct("word", own.alias("entries")), F.struct(_clean_again(F.col("word")).alias("word"), rest.alias("entries")))
     parts = F.when(F.col("word").endswith("'s"), turned).otherwise(F.array(F.struct("word", "entries")))
     homes = lists.select("category", F.explode_outer(parts).alias("e")).select("category", "e.*")
     # not dropna, whose filter a join doesn't see: it adds its own, and then the exchange below is not shared
-    homes = _without(homes.where(F.col("category").isNotNull() & F.col("word").isNotNull()), stopwords, "word").repartition("category", "word")
-    own_count = F.sum(F.substring_index("entries", " ", 1).cast("long"))
-    counts = homes.groupBy("category", "word").agg(own_count.alias("first")).where(F.col("first") > 0)
-    tokens = F.split("entries", " ")
-    entry = F.explode_outer(F.slice(tokens, 2, F.size(tokens) - 1)).alias("e")
+    homes = _without(homes.where(F.col("category").isNotNull() & F.col("word").isNotNull()), stopwords, "word")
+    homes = homes.repartition("category", "word").select("category", "word", "entries")
+    counts = homes.groupBy("category", "word").agg(F.sum(F.substring(own, 2, 20).cast("long")).alias("first")).where(F.col("first") > 0)
+    entry = F.explode_outer(F.split("entries", " ")).alias("e")
     entries = homes.join(counts, ["category", "word"]).select("category", F.col("word").alias("word0"), "first", entry)
-    times = F.when(F.col("e").contains("="), F.substring_index("e", "=", -1).cast("long")).otherwise(1)
-    pairs = entries.select("category", "word0", _clean_again(F.substring_index("e", "=", 1)).alias("word1"), "first", times.alias("n"))
-    pairs = pairs.dropna(subset=["word1"]).groupBy("category", "word0", "word1", "first").agg(F.sum("n").alias("n"))
-    pairs = _without(pairs, stopwords, "word1").select("category", "word0", "word1", "n", "first")
-    alone = counts.select("category", F.col("word").alias("word0"), F.lit(None).cast("string").alias("word1"), F.col("first").alias("n"), "first")
-    return pairs.unionAll(alone)
+    several = F.col("e").contains("=")
+    raw = F.when(several, F.substring_index("e", "=", 1)).otherwise(F.col("e"))
+    times = F.when(several, F.substring_index("e", "=", -1).cast("long")).otherwise(1)
+    pairs = entries.select("category", "word0", raw.alias("raw"), "first", times.alias("n")).where(F.col("n") > 0)
+    # the word's own count has no second word; a number is none
+    word1 = F.when(F.col("raw") != "", _clean_again(F.col("raw")))
+    pairs = pairs.select("category", "word0", word1.alias("word1"), "first", "n").where((F.col("raw") == "") | word1.isNotNull())
+    pairs = pairs.groupBy("category", "word0", "word1", "first").agg(F.sum("n").alias("n"))
+    return _without(pairs, stopwords, "word1").select("category", "word0", "word1", "n", "first")
 
 
 def keyword_counts(
