@@ -7,6 +7,7 @@ per review or category are exchanged.  A text itself moves at most to its produc
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,9 @@ from basketlens.operators import valence
 from basketlens.operators.valence import sentiment_label  # noqa: F401
 from basketlens.plans.stage import write_stage
 
+# Parts in which phrases are counted one after the other, so that the exchanges of one part are on disk at a time.
+PASSES = 3
+
 _KEYWORD = r"([\p{L}\p{N}_][\p{L}\p{N}_']+)"
 
 
@@ -147,12 +151,8 @@ def _pack_followers(most: int = 1 << 21):
     return pack
 
 
-def _counted_pairs(reviews: DataFrame, products: DataFrame, stopwords: DataFrame, text_col: str) -> DataFrame:
-    """category, word0, word1, n, first: pairs of neighbouring words with the count of the first one; and each word's count as n, with word1 null.
-
-    One pass over the texts.  A word goes to its home once per batch of texts, with all that follow it in one text, so the exchange
-    holds little more than each pair's second word; there the pairs are counted and meet the count of their first word unsent.
-    """
+def _followers(reviews: DataFrame, products: DataFrame, stopwords: DataFrame, text_col: str) -> DataFrame:
+    """category, word, entries (see ``_pack_followers``), in one pass over the texts: a word has a row per batch of texts."""
     words = _category_words(reviews, products, text_col)
     # numbers are dropped before neighbours are looked at
     kept = words.select("category", F.filter(F.transform("w", _clean_word), lambda w: w.isNotNull()).alias("w"))
@@ -165,8 +165,17 @@ def _counted_pairs(reviews: DataFrame, products: DataFrame, stopwords: DataFrame
     parts = F.when(F.col("word").endswith("'s"), turned).otherwise(F.array(F.struct("word", "entries")))
     homes = lists.select("category", F.explode_outer(parts).alias("e")).select("category", "e.*")
     # not dropna, whose filter a join doesn't see: it adds its own, and then the exchange below is not shared
-    homes = _without(homes.where(F.col("category").isNotNull() & F.col("word").isNotNull()), stopwords, "word")
-    homes = homes.repartition("category", "word").select("category", "word", "entries")
+    return _without(homes.where(F.col("category").isNotNull() & F.col("word").isNotNull()), stopwords, "word").select("category", "word", "entries")
+
+
+def _counted_pairs(followers: DataFrame, stopwords: DataFrame) -> DataFrame:
+    """category, word0, word1, n, first: pairs of neighbouring words with the count of the first one; and each word's count as n, with word1 null.
+
+    A word goes to its home with all that follow it in one text, so the exchange holds little more than each pair's second word;
+    there the pairs are counted and meet the count of their first word unsent.
+    """
+    homes = followers.repartition("category", "word")
+    own = F.substring_index("entries", " ", 1)
     counts = homes.groupBy("category", "word").agg(F.sum(F.substring(own, 2, 20).cast("long")).alias("first")).where(F.col("first") > 0)
     entry = F.explode_outer(F.split("entries", " ")).alias("e")
     entries = homes.join(counts, ["category", "word"]).select("category", F.col("word").alias("word0"), "first", entry)
@@ -245,22 +254,33 @@ def category_phrases(
     taken within one review, from the words left after numbers are dropped; a pair
     with a stopword is left out.
     """
-    # read three times below; what the texts were exchanged in is gone before the pairs are
-    counted = write_stage(_counted_pairs(reviews, products, stopwords, text_col), "counted-pairs", clean_up=True)
+    # what the texts were exchanged in is gone before the pairs are, and each part's exchange before the next part's
+    followers = write_stage(_followers(reviews, products, stopwords, text_col), "followers", clean_up=True, compression="zstd")
+
+    def part(df: DataFrame, column: str, i: int) -> DataFrame:
+        return df.where(F.pmod(F.xxhash64(column), F.lit(PASSES)) == i)
+
+    halves = [write_stage(_counted_pairs(part(followers, "word", i), stopwords), "counted-pairs", clean_up=True, compression="zstd") for i in range(PASSES)]
+    counted = reduce(DataFrame.unionAll, halves)
     words = counted.where(F.col("word1").isNull())
     # one row per category comes to the pairs, which would else be gathered by category
     totals = F.broadcast(words.groupBy("category").agg(F.sum("n").alias("total")))
     # one row per distinct word
     second = words.select("category", F.col("word0").alias("word1"), F.col("n").alias("second"))
     score = _log_likelihood(*[F.col(c).cast("double") for c in ("n", "first", "second", "total")])
-    return (
-        counted.where(F.col("word1").isNotNull())
-        .join(second, ["category", "word1"])
-        .join(totals, "category")
-        .withColumn("score", score)
-        .filter(F.col("score") > cutoff)
-        .select("category", F.concat_ws(" ", "word0", "word1").alias("token"), "n", "score")
-    )
+
+    def scored(i: int) -> DataFrame:
+        return (
+            part(counted.where(F.col("word1").isNotNull()), "word1", i)
+            .join(part(second, "word1", i), ["category", "word1"])
+            .join(totals, "category")
+            .withColumn("score", score)
+            .filter(F.col("score") > cutoff)
+            .select("category", F.concat_ws(" ", "word0", "word1").alias("token"), "n", "score")
+        )
+
+    # the last part is left to whoever reads the result
+    return reduce(DataFrame.unionAll, [*[write_stage(scored(i), "phrases", clean_up=True) for i in range(PASSES - 1)], scored(PASSES - 1)])
 
 
 def category_keywords(

@@ -29,14 +29,14 @@ def shared_folder(spark: SparkSession) -> str:
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def write_stage(df: DataFrame, name: str, clean_up: bool = False) -> DataFrame:
+def write_stage(df: DataFrame, name: str, clean_up: bool = False, compression: str | None = None) -> DataFrame:
     """Materialise ``df`` once and return a frame that reads the stored table; with ``clean_up`` its shuffle files go at once."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/basketlens/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEAN_UP, "false")
     spark.conf.set(CLEAN_UP, "true" if clean_up else before)
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     finally:
         spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -238,7 +238,8 @@ def test_words_and_pairs_are_counted_in_one_pass(frame):
     data = [(1, "ox's's cart ox's's cart the cart 42 end"), (2, "ox cart"), (1, None), (1, ""), (3, "ox cart"), (1, "ox"), (9, "ox cart"), (1, "7a's's ab 77's's ab")]
     products_ = frame([(1, "c"), (2, "c"), (2, "e"), (3, None)], "product_id int, category string")
     stop = frame([("the",), ("ab",)], "token string")
-    counted = texts._counted_pairs(frame(data, "product_id int, review_text string"), products_, stop, "review_text")
+    followers = texts._followers(frame(data, "product_id int, review_text string"), products_, stop, "review_text")
+    counted = texts._counted_pairs(followers, stop)
     found = Counter(map(tuple, counted.collect()))
     # "ox's" counts for itself, but its pairs are those of "ox"
     words = [("c", "ox's", None, 2, 2), ("c", "cart", None, 4, 4), ("c", "end", None, 1, 1), ("c", "ox", None, 2, 2), ("c", "7a's", None, 1, 1), ("c", "77's", None, 1, 1)]
